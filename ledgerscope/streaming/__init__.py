@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+Every analytic in this package is a batch query over a closed reporting
+window (the source application has no stream source, watermark or state), so
+there is no Structured Streaming job to build.  Results that should be reused
+across runs are written by ``operators.report.write_report_mart``.
+"""
