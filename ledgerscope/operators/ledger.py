@@ -99,6 +99,8 @@ def ledger(t: LedgerTables, *, users: bool = True, assets: bool = True,
         "transaction_id", "plan_id", "investment_plan_id", "tx_type", "transaction_type",
         "transaction_date", "ghs_amount", "usd_amount", "exchange_rate", "provider",
         "p_user_id", "ip_user_id",
+        F.col("ip_id").isNotNull().alias("has_investment_plan"),
+        F.col("p_id").isNotNull().alias("has_savings_plan"),
         F.coalesce("p_user_id", "ip_user_id").alias("owner_id"),
         F.when(has_inv, F.col("asset_name") if assets else F.lit(None).cast("string"))
          .when(has_sav, F.col("p_option")).alias("asset_type"),

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope import reference_data as rd
-from ledgerscope.functions.periods import Window
+from ledgerscope.functions.periods import PRESETS, Window, preset_window
 from ledgerscope.operators.ledger import (base_asset, base_general, eligible,
                                           in_window, ledger, provider_ok)
 from ledgerscope.sources.tables import LedgerTables
@@ -31,6 +31,33 @@ from ledgerscope.sources.tables import LedgerTables
 _MONEY = (("ghs", "ghs_amount"), ("usd", "usd_amount"))
 
 
+def customer_rollup(rows: DataFrame, keys: list[str], windows: dict[str, Window],
+                    is_deposit: Column, is_withdrawal: Column,
+                    extra: list[Column] = ()) -> DataFrame:
+    """Level 1: one row per ``keys`` group over the full history.
+
+    ``windows`` maps a column suffix to a window; each window gets its own
+    set of counts and sums, all from the same single pass over the rows.
+    """
+    dep = F.coalesce(is_deposit, F.lit(False))
+    wd = F.coalesce(is_withdrawal, F.lit(False))
+    wins = {sfx: in_window(w) for sfx, w in windows.items()}
+    any_win = F.lit(False)
+    for win in wins.values():
+        any_win = any_win | win
+    aggs = [F.min(F.when(dep, F.col("transaction_date"))).alias("first_dep"),
+            F.max(F.when(dep, F.col("transaction_date"))).alias("last_dep")]
+    for sfx, win in wins.items():
+        aggs += [F.count_if(win).alias(f"win_n{sfx}"),
+                 *_side_aggs(win & dep, f"dep{sfx}"),
+                 *_side_aggs(win & wd, f"wd{sfx}")]
+    return (rows
+            # rows that are neither deposits nor in a window add nothing
+            .filter(dep | any_win)
+            .groupBy(*keys)
+            .agg(*aggs, *extra))
+
+
 def _side_aggs(flag: Column, side: str) -> list[Column]:
     out = [F.count_if(flag).alias(f"{side}_n")]
     for cur, col in _MONEY:
@@ -40,53 +67,43 @@ def _side_aggs(flag: Column, side: str) -> list[Column]:
     return out
 
 
-def customer_rollup(rows: DataFrame, keys: list[str], window: Window,
-                    is_deposit: Column, is_withdrawal: Column,
-                    extra: list[Column] = ()) -> DataFrame:
-    """Level 1: one row per ``keys`` group over the full history."""
-    win = in_window(window)
-    dep = F.coalesce(is_deposit, F.lit(False))
-    wd = F.coalesce(is_withdrawal, F.lit(False))
-    return (rows
-            # rows that are neither deposits nor in the window add nothing
-            .filter(dep | win)
-            .groupBy(*keys)
-            .agg(F.min(F.when(dep, F.col("transaction_date"))).alias("first_dep"),
-                 F.max(F.when(dep, F.col("transaction_date"))).alias("last_dep"),
-                 F.count_if(win).alias("win_n"),
-                 *_side_aggs(win & dep, "dep"),
-                 *_side_aggs(win & wd, "wd"),
-                 *extra))
-
-
 def _dbl(c: Column) -> Column:
     return c.cast("double")
 
 
-def _totals(window: Window, lifetime_ok: Column | None = None) -> list[Column]:
-    """Level 2 measures over level-1 groups that have window rows."""
-    if lifetime_ok is None:
-        lifetime_ok = F.lit(True)
-    out = [F.coalesce(F.sum("dep_n"), F.lit(0)).cast("bigint").alias("deposit_count")]
+def _totals(window: Window, sfx: str = "", lifetime_ok: Column | None = None) -> list[Column]:
+    """Level 2 measures for one window, over level-1 groups.
+
+    Groups without rows in the window contribute nothing: their sums are
+    NULL and their counts 0, and the depositor counts test ``win_n > 0``.
+    """
+    in_group = F.col(f"win_n{sfx}") > 0
+    if lifetime_ok is not None:
+        in_group = in_group & lifetime_ok
+
+    def c(name: str) -> Column:
+        side, rest = name.split("_", 1)          # "dep_ghs_n" -> dep{sfx}_ghs_n
+        return F.col(f"{side}{sfx}_{rest}")
+
+    out = [F.coalesce(F.sum(c("dep_n")), F.lit(0)).cast("bigint").alias("deposit_count")]
     for cur, _ in _MONEY:
-        out.append(_dbl(F.sum(f"dep_{cur}")).alias(f"deposit_value_{cur}"))
-    out.append(F.coalesce(F.sum("wd_n"), F.lit(0)).cast("bigint").alias("withdrawal_count"))
+        out.append(_dbl(F.sum(c(f"dep_{cur}"))).alias(f"deposit_value_{cur}"))
+    out.append(F.coalesce(F.sum(c("wd_n")), F.lit(0)).cast("bigint").alias("withdrawal_count"))
     for cur, _ in _MONEY:
-        out.append(_dbl(F.sum(f"wd_{cur}")).alias(f"withdrawal_value_{cur}"))
+        out.append(_dbl(F.sum(c(f"wd_{cur}"))).alias(f"withdrawal_value_{cur}"))
     for cur, _ in _MONEY:
         # net flow: no deposits -> NULL; no withdrawals -> deposits
-        out.append(_dbl(F.sum(f"dep_{cur}") - F.coalesce(F.sum(f"wd_{cur}"), F.lit(0)))
+        out.append(_dbl(F.sum(c(f"dep_{cur}")) - F.coalesce(F.sum(c(f"wd_{cur}")), F.lit(0)))
                    .alias(f"aum_{cur}"))
-    out.append(F.count_if(F.col("dep_n") > 0).alias("total_depositors"))
-    out.append(F.count_if(F.col("wd_n") > 0).alias("total_withdrawers"))
-    one_instant = F.col("first_dep") == F.col("last_dep")
-    out.append(F.count_if(lifetime_ok & (F.col("first_dep") < F.col("last_dep")))
-               .alias("recurring_depositors"))
-    out.append(F.count_if(lifetime_ok & one_instant & window.day_between("first_dep"))
+    out.append(F.count_if(c("dep_n") > 0).alias("total_depositors"))
+    out.append(F.count_if(c("wd_n") > 0).alias("total_withdrawers"))
+    first, last = F.col("first_dep"), F.col("last_dep")
+    out.append(F.count_if(in_group & (first < last)).alias("recurring_depositors"))
+    out.append(F.count_if(in_group & (first == last) & window.day_between(first))
                .alias("new_depositors"))
     for side, name in (("dep", "deposit"), ("wd", "withdrawal")):
         for cur, _ in _MONEY:
-            out.append(F.try_divide(_dbl(F.sum(f"{side}_{cur}")), F.sum(f"{side}_{cur}_n"))
+            out.append(F.try_divide(_dbl(F.sum(c(f"{side}_{cur}"))), F.sum(c(f"{side}_{cur}_n")))
                        .alias(f"avg_{name}_value_{cur}"))
     return out
 
@@ -111,12 +128,37 @@ def general_metrics(t: LedgerTables, window: Window,
     rows = base_general(t)
     is_dep = F.col("transaction_type").isin(*deposit_types)
     is_wd = (F.col("transaction_type") == rd.WITHDRAWAL_TYPE) & provider_ok()
-    level1 = customer_rollup(rows, ["customer_id"], window, is_dep, is_wd)
+    level1 = customer_rollup(rows, ["customer_id"], {"": window}, is_dep, is_wd)
     return (level1.filter(F.col("win_n") > 0)
             .agg(*_totals(window))
             .select(*GENERAL_COLUMNS))
 
 
+def general_metrics_presets(t: LedgerTables, as_of,
+                            presets=PRESETS,
+                            deposit_types=rd.DEPOSIT_TYPES_PLATFORM) -> DataFrame:
+    """J1 for every date preset anchored on ``as_of``: one row per preset.
+
+    One pass over the ledger computes all windows side by side (a fixed,
+    small number of column sets), instead of one job per preset.
+    """
+    windows = {f"_{i}": preset_window(name, as_of) for i, name in enumerate(presets)}
+    rows = base_general(t)
+    is_dep = F.col("transaction_type").isin(*deposit_types)
+    is_wd = (F.col("transaction_type") == rd.WITHDRAWAL_TYPE) & provider_ok()
+    level1 = customer_rollup(rows, ["customer_id"], windows, is_dep, is_wd)
+    per_window = [
+        F.struct(F.lit(i).alias("preset_order"), F.lit(name).alias("preset"),
+                 F.lit(windows[f"_{i}"].start).alias("start_date"),
+                 F.lit(windows[f"_{i}"].end).alias("end_date"),
+                 *_totals(windows[f"_{i}"], f"_{i}"))
+        for i, name in enumerate(presets)]
+    # one global row holding every window's totals, then one row per window
+    out = level1.agg(F.array(*per_window).alias("p")).select(F.explode("p").alias("p"))
+    return out.select("p.preset_order", "p.preset", "p.start_date", "p.end_date",
+                      *[f"p.{c}" for c in GENERAL_COLUMNS])
+
+
 ASSET_COLUMNS = [
     "asset_type", "deposit_count", "deposit_value_ghs", "deposit_value_usd",
     "withdrawal_count", "withdrawal_value_ghs", "withdrawal_value_usd",
@@ -149,7 +191,7 @@ def asset_metrics(t: LedgerTables, window: Window, fees: DataFrame | None = None
         F.sum(F.when(win & (F.col("transaction_type") == rd.EARLY_WITHDRAWAL_TYPE),
                      F.col("usd_amount"))).alias("early_usd"),
     ]
-    level1 = customer_rollup(rows, ["customer_id", "asset_type"], window, is_dep, is_wd, extra)
+    level1 = customer_rollup(rows, ["customer_id", "asset_type"], {"": window}, is_dep, is_wd, extra)
     level2 = (level1.filter(F.col("win_n") > 0)
               .groupBy("asset_type")
               .agg(*_totals(window, lifetime_ok=F.col("asset_type").isNotNull()),

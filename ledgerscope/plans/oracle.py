@@ -3,21 +3,34 @@ the same fixture tables.
 
 The Spark jobs use the two-level plan; these statements are written in the
 direct shape (a lifetime summary joined back to the windowed rows, DISTINCT
-aggregates with FILTER), so a match checks the rewrite, not just the
-arithmetic.  Money is summed as DECIMAL and cast to DOUBLE at the end, and
-averages are sum / non-null count, on both sides (see SURVEY T11/T12).
+aggregates with FILTER, UNION of activity sources, a bin table joined by
+range), so a match checks the rewrite, not just the arithmetic.  Money is
+summed as DECIMAL and cast to DOUBLE at the end, and averages are sum /
+non-null count, on both sides (see SURVEY T11/T12).
 """
 
 from __future__ import annotations
 
+from ledgerscope import reference_data as rd
 from ledgerscope.plans import params as P
 from ledgerscope.sources.fixtures import duckdb_prelude
 
 _LEDGER_VIEWS = ["fx_transactions", "fx_plans", "fx_investment_plans", "fx_users", "fx_assets"]
+_USER_VIEWS = _LEDGER_VIEWS + ["fx_profiles", "fx_budgets", "fx_external_transactions",
+                               "fx_messages"]
+
+LO, HI = f"DATE '{P.START.isoformat()}'", f"DATE '{P.END.isoformat()}'"
+AS_OF = f"DATE '{P.AS_OF.isoformat()}'"
+
+
+def ts_win(lo: str = LO, hi: str = HI) -> str:
+    return f"BETWEEN CAST({lo} AS TIMESTAMP) AND CAST({hi} AS TIMESTAMP)"
+
+
+def day_win(lo: str = LO, hi: str = HI) -> str:
+    return f"BETWEEN {lo} AND {hi}"
+
 
-TS_WIN = (f"BETWEEN TIMESTAMP '{P.START.isoformat()} 00:00:00' "
-          f"AND TIMESTAMP '{P.END.isoformat()} 00:00:00'")
-DAY_WIN = f"BETWEEN DATE '{P.START.isoformat()}' AND DATE '{P.END.isoformat()}'"
 FEE_CASE = ("CASE WHEN t.metadata ILIKE '%Monthly maintenance fee deduction%' "
             "THEN 'maintenance_fee' ELSE t.tx_type END")
 ASSET_CASE = ("CASE WHEN t.investment_plan_id IS NOT NULL THEN a.name "
@@ -27,34 +40,56 @@ JOINS = """FROM fx_transactions t
   LEFT JOIN fx_plans p ON p.id = t.plan_id
   LEFT JOIN fx_users u ON u.id = COALESCE(p.user_id, ip.user_id)
   LEFT JOIN fx_assets a ON a.id = ip.asset_id"""
+ELIGIBLE = "t.status = 'success' AND u.restricted = false"
+NO_FLEX = "t.provider_number <> 'Flex Dollar'"
 
 
 def _with(views, *ctes: str) -> str:
-    head = duckdb_prelude(views)
-    return head + "".join(",\n" + c for c in ctes)
+    return duckdb_prelude(views) + "".join(",\n" + c for c in ctes)
 
 
+# --------------------------------------------------------------------------
+# J2 / J3
 def _trend(gran: str) -> str:
     return _with(_LEDGER_VIEWS) + f"""
 SELECT CAST(DATE_TRUNC('{gran}', t.updated_at) AS DATE) AS period, t.tx_type,
        CAST(SUM(t.amount) AS DOUBLE) AS total_amount
 {JOINS}
-WHERE t.status = 'success' AND u.restricted = false AND t.provider_number <> 'Flex Dollar'
-  AND t.updated_at {TS_WIN}
+WHERE {ELIGIBLE} AND {NO_FLEX} AND t.updated_at {ts_win()}
 GROUP BY 1, 2"""
 
 
-def _general() -> str:
-    dep = "ttype IN ('deposit', 'direct_debit')"
-    wd = "ttype = 'withdrawal' AND pn <> 'Flex Dollar'"
-    return _with(_LEDGER_VIEWS, f"""led AS (
-  SELECT u.id AS customer_id, {FEE_CASE} AS ttype, t.updated_at AS ts,
+def _trend_pivot(gran: str) -> str:
+    def col(tx_type: str, name: str) -> str:
+        return (f"COALESCE(CAST(SUM(t.amount) FILTER (WHERE t.tx_type = '{tx_type}') AS DOUBLE), 0.0)"
+                f' AS "{name}"')
+    cols = ",\n  ".join(col(x, rd.TREND_RENAMES.get(x, x)) for x in rd.TREND_TYPES)
+    return _with(_LEDGER_VIEWS) + f"""
+SELECT CAST(DATE_TRUNC('{gran}', t.updated_at) AS DATE) AS period,
+  {cols}
+{JOINS}
+WHERE {ELIGIBLE} AND {NO_FLEX} AND t.updated_at {ts_win()}
+GROUP BY 1"""
+
+
+# --------------------------------------------------------------------------
+# J1 (and J13: J1 per preset window)
+_GEN_LED = f"""led AS (
+  SELECT u.id AS customer_id, u.first_name || ' ' || u.last_name AS customer_name,
+         t.id AS transaction_id, {FEE_CASE} AS ttype, t.updated_at AS ts,
          t.amount AS ghs, t.usd_amount AS usd, t.provider_number AS pn
   {JOINS}
-  WHERE t.status = 'success' AND u.restricted = false)""", f"""hist AS (
-  SELECT customer_id, MIN(ts) AS first_ts, COUNT(DISTINCT ts) AS n_ts
-  FROM led WHERE {dep} GROUP BY customer_id)""") + f"""
-SELECT
+  WHERE {ELIGIBLE})"""
+_GEN_DEP = "ttype IN ('deposit', 'direct_debit')"
+_GEN_HIST = f"""hist AS (
+  SELECT customer_id, COUNT(*) AS deposit_count, MIN(ts) AS first_ts, COUNT(DISTINCT ts) AS n_ts
+  FROM led WHERE {_GEN_DEP} GROUP BY customer_id)"""
+
+
+def _general_select(lo: str = LO, hi: str = HI) -> str:
+    dep = _GEN_DEP
+    wd = "ttype = 'withdrawal' AND pn <> 'Flex Dollar'"
+    return f"""SELECT
   COUNT(*) FILTER (WHERE {dep}) AS deposit_count,
   CAST(SUM(ghs) FILTER (WHERE {dep}) AS DOUBLE) AS deposit_value_ghs,
   CAST(SUM(usd) FILTER (WHERE {dep}) AS DOUBLE) AS deposit_value_usd,
@@ -66,26 +101,72 @@ SELECT
   COUNT(DISTINCT led.customer_id) FILTER (WHERE {dep}) AS total_depositors,
   COUNT(DISTINCT led.customer_id) FILTER (WHERE {wd}) AS total_withdrawers,
   COUNT(DISTINCT h.customer_id) FILTER (WHERE h.n_ts > 1) AS recurring_depositors,
-  COUNT(DISTINCT h.customer_id) FILTER (WHERE h.n_ts = 1 AND CAST(h.first_ts AS DATE) {DAY_WIN}) AS new_depositors,
+  COUNT(DISTINCT h.customer_id) FILTER (WHERE h.n_ts = 1 AND CAST(h.first_ts AS DATE) {day_win(lo, hi)}) AS new_depositors,
   CAST(SUM(ghs) FILTER (WHERE {dep}) AS DOUBLE) / COUNT(ghs) FILTER (WHERE {dep}) AS avg_deposit_value_ghs,
   CAST(SUM(usd) FILTER (WHERE {dep}) AS DOUBLE) / COUNT(usd) FILTER (WHERE {dep}) AS avg_deposit_value_usd,
   CAST(SUM(ghs) FILTER (WHERE {wd}) AS DOUBLE) / COUNT(ghs) FILTER (WHERE {wd}) AS avg_withdrawal_value_ghs,
   CAST(SUM(usd) FILTER (WHERE {wd}) AS DOUBLE) / COUNT(usd) FILTER (WHERE {wd}) AS avg_withdrawal_value_usd
 FROM led LEFT JOIN hist h USING (customer_id)
-WHERE led.ts {TS_WIN}"""
+WHERE led.ts {ts_win(lo, hi)}"""
 
 
-def _asset_agg() -> str:
-    """CTE chain ending in ``agg``: the per-asset aggregates, direct form."""
-    dep, wd = "ttype = 'deposit'", "ttype = 'withdrawal'"
-    return _with(_LEDGER_VIEWS, f"""led AS (
-  SELECT u.id AS customer_id, {FEE_CASE} AS ttype, {ASSET_CASE} AS asset_type,
-         t.updated_at AS ts, t.amount AS ghs, t.usd_amount AS usd
+def _general() -> str:
+    return _with(_LEDGER_VIEWS, _GEN_LED, _GEN_HIST) + "\n" + _general_select()
+
+
+def _dow_back(d: str) -> str:
+    """Days back to the Sunday that starts the week of ``d`` (0 on Sunday)."""
+    return f"CAST(dayofweek({d}) AS INTEGER)"
+
+
+def preset_bounds_sql(d: str = AS_OF) -> list[tuple[str, str, str]]:
+    """(name, start, end) SQL date expressions per preset, in menu order."""
+    def minus(days: str) -> str:
+        return f"CAST({d} - CAST({days} AS INTEGER) AS DATE)"
+    last_sunday = minus(f"CASE WHEN dayofweek({d}) = 0 THEN 7 ELSE dayofweek({d}) END")
+    month1 = f"CAST(DATE_TRUNC('month', {d}) AS DATE)"
+    return [
+        ("Today", d, d),
+        ("Past 7 Days", minus("6"), d),
+        ("Last 14 Days", minus("13"), d),
+        ("This Week", minus(_dow_back(d)), d),
+        ("Last Week", f"CAST({last_sunday} - 6 AS DATE)", last_sunday),
+        ("Last 30 Days", minus("29"), d),
+        ("Last Month", f"CAST({month1} - INTERVAL 1 MONTH AS DATE)", f"CAST({month1} - 1 AS DATE)"),
+        ("All Time", "DATE '2022-01-01'", d),
+    ]
+
+
+def _date_presets() -> str:
+    parts = []
+    for i, (name, lo, hi) in enumerate(preset_bounds_sql()):
+        parts.append(f"""SELECT {i} AS preset_order, '{name}' AS preset, {lo} AS start_date,
+  {hi} AS end_date, g.* FROM ({_general_select(lo, hi)}) g""")
+    return _with(_LEDGER_VIEWS, _GEN_LED, _GEN_HIST) + "\n" + "\nUNION ALL\n".join(parts)
+
+
+# --------------------------------------------------------------------------
+# J4 family
+_ASSET_LED = f"""aled AS (
+  SELECT u.id AS customer_id, u.first_name || ' ' || u.last_name AS customer_name,
+         t.id AS transaction_id, {FEE_CASE} AS ttype, {ASSET_CASE} AS asset_type,
+         t.updated_at AS ts, t.amount AS ghs, t.usd_amount AS usd, t.exchange_rate,
+         u.created_at AS sign_up_date,
+         CASE WHEN t.investment_plan_id IS NOT NULL THEN ip.plan_option
+              WHEN t.plan_id IS NOT NULL THEN p.plan_option END AS investment_type,
+         a.name AS asset_name, a.maturity_date AS assets_maturity_date,
+         ip.maturity_date AS investment_maturity_date
   {JOINS}
-  WHERE t.status = 'success' AND u.restricted = false AND t.provider_number <> 'Flex Dollar')""",
-                 f"""hist AS (
-  SELECT customer_id, asset_type, MIN(ts) AS first_ts, COUNT(DISTINCT ts) AS n_ts
-  FROM led WHERE {dep} GROUP BY customer_id, asset_type)""", f"""agg AS (
+  WHERE {ELIGIBLE} AND {NO_FLEX})"""
+_ASSET_HIST = """ahist AS (
+  SELECT customer_id, asset_type, COUNT(*) AS deposit_count, MIN(ts) AS first_ts,
+         COUNT(DISTINCT ts) AS n_ts
+  FROM aled WHERE ttype = 'deposit' GROUP BY customer_id, asset_type)"""
+
+
+def _asset_agg_cte() -> str:
+    dep, wd = "ttype = 'deposit'", "ttype = 'withdrawal'"
+    return f"""agg AS (
   SELECT l.asset_type,
     COUNT(*) FILTER (WHERE {dep}) AS deposit_count,
     SUM(ghs) FILTER (WHERE {dep}) AS dep_ghs, SUM(usd) FILTER (WHERE {dep}) AS dep_usd,
@@ -95,14 +176,20 @@ def _asset_agg() -> str:
     COUNT(ghs) FILTER (WHERE {wd}) AS wd_ghs_n, COUNT(usd) FILTER (WHERE {wd}) AS wd_usd_n,
     COUNT(DISTINCT l.customer_id) FILTER (WHERE {dep}) AS total_depositors,
     COUNT(DISTINCT h.customer_id) FILTER (WHERE h.n_ts > 1) AS recurring_depositors,
-    COUNT(DISTINCT h.customer_id) FILTER (WHERE h.n_ts = 1 AND CAST(h.first_ts AS DATE) {DAY_WIN}) AS new_depositors,
+    COUNT(DISTINCT h.customer_id) FILTER (WHERE h.n_ts = 1 AND CAST(h.first_ts AS DATE) {day_win()}) AS new_depositors,
     SUM(ghs) FILTER (WHERE ttype = 'maintenance_fee') AS fee_ghs,
     SUM(usd) FILTER (WHERE ttype = 'early_withdrawal') AS early_usd
-  FROM led l LEFT JOIN hist h ON h.customer_id = l.customer_id AND h.asset_type = l.asset_type
-  WHERE l.ts {TS_WIN}
-  GROUP BY l.asset_type)""")
+  FROM aled l LEFT JOIN ahist h ON h.customer_id = l.customer_id AND h.asset_type = l.asset_type
+  WHERE l.ts {ts_win()}
+  GROUP BY l.asset_type)"""
 
 
+_USERS_BY_ASSET = f"""ub AS (
+  SELECT {ASSET_CASE} AS asset_type, COUNT(DISTINCT u.id) AS total_users
+  {JOINS}
+  WHERE {ELIGIBLE} AND {NO_FLEX} AND t.updated_at {ts_win()} AND {ASSET_CASE} IS NOT NULL
+  GROUP BY 1)"""
+
 REVENUE_CASE = """CASE
     WHEN asset_type = 'spread_trade' THEN 0.01 * CAST(COALESCE(dep_ghs, 0) + COALESCE(wd_ghs, 0) AS DOUBLE)
     WHEN asset_type = 'savings_usd_a' THEN (0.0475 / 12.0) * CAST(COALESCE(dep_usd, 0) AS DOUBLE)
@@ -113,24 +200,247 @@ REVENUE_CASE = """CASE
     WHEN asset_type = 'etf' THEN 0.02 * CAST(COALESCE(dep_usd, 0) AS DOUBLE)
     ELSE 0.0 END"""
 
-ASSET_SELECT = f"""asset_type, deposit_count,
-  CAST(dep_ghs AS DOUBLE) AS deposit_value_ghs, CAST(dep_usd AS DOUBLE) AS deposit_value_usd,
-  withdrawal_count,
-  CAST(wd_ghs AS DOUBLE) AS withdrawal_value_ghs, CAST(wd_usd AS DOUBLE) AS withdrawal_value_usd,
-  CAST(dep_ghs - COALESCE(wd_ghs, 0) AS DOUBLE) AS aum_ghs,
-  CAST(dep_usd - COALESCE(wd_usd, 0) AS DOUBLE) AS aum_usd,
-  total_depositors, recurring_depositors, new_depositors,
-  CAST(dep_ghs AS DOUBLE) / dep_ghs_n AS avg_deposit_value_ghs,
-  CAST(dep_usd AS DOUBLE) / dep_usd_n AS avg_deposit_value_usd,
-  CAST(wd_ghs AS DOUBLE) / wd_ghs_n AS avg_withdrawal_value_ghs,
-  CAST(wd_usd AS DOUBLE) / wd_usd_n AS avg_withdrawal_value_usd,
-  {REVENUE_CASE} AS estimated_revenue,
-  CAST(fee_ghs AS DOUBLE) AS maintenance_fees_ghs,
-  CAST(CAST(early_usd AS DECIMAL(38,2)) * CAST(0.025 AS DECIMAL(4,3)) AS DOUBLE) AS early_withdrawal_fees_usd"""
+ASSET_VALUES = {
+    "deposit_count": "deposit_count",
+    "deposit_value_ghs": "CAST(dep_ghs AS DOUBLE)",
+    "deposit_value_usd": "CAST(dep_usd AS DOUBLE)",
+    "withdrawal_count": "withdrawal_count",
+    "withdrawal_value_ghs": "CAST(wd_ghs AS DOUBLE)",
+    "withdrawal_value_usd": "CAST(wd_usd AS DOUBLE)",
+    "aum_ghs": "CAST(dep_ghs - COALESCE(wd_ghs, 0) AS DOUBLE)",
+    "aum_usd": "CAST(dep_usd - COALESCE(wd_usd, 0) AS DOUBLE)",
+    "total_depositors": "total_depositors",
+    "recurring_depositors": "recurring_depositors",
+    "new_depositors": "new_depositors",
+    "avg_deposit_value_ghs": "CAST(dep_ghs AS DOUBLE) / dep_ghs_n",
+    "avg_deposit_value_usd": "CAST(dep_usd AS DOUBLE) / dep_usd_n",
+    "avg_withdrawal_value_ghs": "CAST(wd_ghs AS DOUBLE) / wd_ghs_n",
+    "avg_withdrawal_value_usd": "CAST(wd_usd AS DOUBLE) / wd_usd_n",
+    "estimated_revenue": REVENUE_CASE,
+    "maintenance_fees_ghs": "CAST(fee_ghs AS DOUBLE)",
+    "early_withdrawal_fees_usd": "CAST(CAST(early_usd AS DECIMAL(38,2)) * CAST(0.025 AS DECIMAL(4,3)) AS DOUBLE)",
+}
+ASSET_SELECT = "asset_type, " + ",\n  ".join(f"{v} AS {k}" for k, v in ASSET_VALUES.items())
+
+
+def _asset(select: str, *more_ctes: str, tail: str = "FROM agg") -> str:
+    return (_with(_LEDGER_VIEWS, _ASSET_LED, _ASSET_HIST, _asset_agg_cte(), *more_ctes)
+            + f"\nSELECT {select}\n{tail}")
+
+
+def _asset_types_cte() -> str:
+    return f"""types AS (
+  SELECT DISTINCT {ASSET_CASE} AS asset_type
+  FROM fx_transactions t
+    LEFT JOIN fx_investment_plans ip ON ip.id = t.investment_plan_id
+    LEFT JOIN fx_plans p ON p.id = t.plan_id
+    LEFT JOIN fx_assets a ON a.id = ip.asset_id
+  WHERE t.status = 'success' AND t.updated_at {ts_win()} AND {ASSET_CASE} IS NOT NULL)"""
+
+
+# --------------------------------------------------------------------------
+# J5
+def _user_counts() -> str:
+    return _with(["fx_users"]) + "\n" + USER_COUNTS_SELECT
+
+
+USER_COUNTS_SELECT = f"""SELECT COUNT(*) FILTER (WHERE CAST(created_at AS DATE) {day_win()}) AS registered_users,
+       COUNT(*) FILTER (WHERE metadata ILIKE '%kyc_completed%'
+                          AND CAST(updated_at AS DATE) {day_win()}) AS kyc_users
+FROM fx_users"""
+
+
+# --------------------------------------------------------------------------
+# J8 family
+_ACTIVE = f"""active AS (
+  SELECT DISTINCT CAST(user_id AS VARCHAR) AS user_id FROM fx_budgets WHERE created_at {ts_win()}
+  UNION
+  SELECT DISTINCT CAST(user_id AS VARCHAR) FROM fx_external_transactions WHERE created_at {ts_win()}
+  UNION
+  SELECT DISTINCT CAST(ip.user_id AS VARCHAR) FROM fx_transactions t
+    JOIN fx_investment_plans ip ON ip.id = t.investment_plan_id
+  WHERE t.status = 'success' AND t.updated_at {ts_win()}
+  UNION
+  SELECT DISTINCT CAST(p.user_id AS VARCHAR) FROM fx_transactions t
+    JOIN fx_plans p ON p.id = t.plan_id
+  WHERE t.status = 'success' AND t.updated_at {ts_win()}
+  UNION
+  SELECT DISTINCT CAST(user_ref AS VARCHAR) FROM fx_messages WHERE created_at {ts_win()})"""
+_RECENT = f"""recent AS (
+  SELECT CAST(id AS VARCHAR) AS user_id FROM fx_users
+  WHERE CAST(most_recent_activity AS DATE) {day_win()})"""
+_INSIGHTS = f"""insights AS (
+  SELECT CAST(u.id AS VARCHAR) AS user_id, u.gender, u.country, u.dob, u.status, u.use_option,
+         pf.employment_status, u.created_at,
+         ra.user_id IS NOT NULL AS is_recent, au.user_id IS NOT NULL AS is_active
+  FROM fx_users u
+    LEFT JOIN fx_profiles pf ON pf.user_id = u.id
+    LEFT JOIN recent ra ON ra.user_id = CAST(u.id AS VARCHAR)
+    LEFT JOIN active au ON au.user_id = CAST(u.id AS VARCHAR)
+  WHERE u.created_at {ts_win()})"""
+
+# the characters Python's str.strip() removes, in RE2 syntax
+_WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _strip(c: str) -> str:
+    return f"regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+_CLEAN = f"""stripped AS (
+  SELECT *, lower({_strip('gender')}) AS g, lower({_strip('status')}) AS s,
+         lower({_strip('use_option')}) AS o, TRY_CAST(dob AS DATE) AS dob_d
+  FROM insights),
+clean AS (
+  SELECT user_id,
+    CASE g WHEN 'non binary' THEN 'non-binary' ELSE g END AS gender,
+    {_strip('country')} AS country,
+    dob_d AS dob,
+    CASE s WHEN 'kyc_verifeid' THEN 'kyc_verified' ELSE s END AS status,
+    CASE o WHEN 'investment' THEN 'investments' ELSE o END AS use_option,
+    employment_status, created_at, is_recent, is_active,
+    CAST(year({AS_OF}) - year(dob_d) AS INTEGER) AS age
+  FROM stripped),
+clean_binned AS (
+  SELECT *, CASE WHEN age >= 18 AND age < 78
+                 THEN '[' || CAST(18 + 5 * ((age - 18) // 5) AS VARCHAR) || ', '
+                      || CAST(23 + 5 * ((age - 18) // 5) AS VARCHAR) || ')' END AS age_group
+  FROM clean)"""
+
+
+def _users(select: str, *ctes: str) -> str:
+    return _with(_USER_VIEWS, _ACTIVE, _RECENT, _INSIGHTS, *ctes) + "\n" + select
+
+
+def _dist(col: str) -> str:
+    return _users(f"SELECT {col}, COUNT(*) AS count FROM clean_binned "
+                  f"WHERE {col} IS NOT NULL GROUP BY {col}", _CLEAN)
+
+
+_AGE_DIST = """SELECT b.age_group, COUNT(c.age) AS count
+FROM (SELECT i, '[' || CAST(18 + 5 * i AS VARCHAR) || ', ' || CAST(23 + 5 * i AS VARCHAR) || ')' AS age_group
+      FROM range(12) r(i)) b
+  LEFT JOIN clean_binned c ON c.age >= 18 + 5 * b.i AND c.age < 23 + 5 * b.i
+GROUP BY b.age_group"""
+
+
+# --------------------------------------------------------------------------
+# J14
+def _money_sql(v: str) -> str:
+    return f"COALESCE(format('{{:,.2f}}', CAST({v} AS DOUBLE)), '0.00')"
+
+
+def _int_sql(v: str) -> str:
+    return f"COALESCE(format('{{:,}}', CAST(TRUNC(CAST({v} AS DOUBLE)) AS BIGINT)), '0')"
+
+
+def _card_rows(cards, value_of, source: str, ids: str = "", where: str = "") -> str:
+    parts = []
+    for i, (metric, label, fmt, prefix) in enumerate(cards, start=1):
+        if metric not in value_of:
+            continue
+        v = value_of[metric]
+        shown = _int_sql(v) if fmt == "int" else _money_sql(v)
+        expl = rd.METRIC_EXPLANATIONS[metric].replace("'", "''")
+        cond = where.format(v=v) if where and metric == "total_users" else ""
+        parts.append(
+            f"SELECT {ids}{i} AS card_order, '{metric}' AS metric, '{label}' AS label, "
+            f"CAST({v} AS DOUBLE) AS value, '{prefix}' || {shown} AS display_value, "
+            f"'{expl}' AS explanation FROM {source}" + (f" WHERE {cond}" if cond else ""))
+    return "\nUNION ALL\n".join(parts)
+
+
+def _kpi_general() -> str:
+    gen_vals = {m: f"g.{m}" for m, *_ in rd.GENERAL_CARDS}
+    gen_vals["registered_users"] = "uc.registered_users"
+    gen_vals["kyc_users"] = "uc.kyc_users"
+    return (_with(_LEDGER_VIEWS, _GEN_LED, _GEN_HIST,
+                  f"g AS ({_general_select()})", f"uc AS ({USER_COUNTS_SELECT})")
+            + "\n" + _card_rows(rd.GENERAL_CARDS, gen_vals, "g, uc"))
+
+
+def _kpi_asset() -> str:
+    vals = {m: f"x.{m}" for m, *_ in rd.ASSET_CARDS}
+    x_rows = (f"x_rows AS (SELECT {ASSET_SELECT}, ub.total_users "
+              "FROM agg LEFT JOIN ub USING (asset_type) WHERE agg.asset_type IS NOT NULL)")
+    body = _card_rows(rd.ASSET_CARDS, vals, "x_rows x", ids="x.asset_type, ",
+                      where="{v} IS NOT NULL")
+    return (_with(_LEDGER_VIEWS, _ASSET_LED, _ASSET_HIST, _asset_agg_cte(), _USERS_BY_ASSET, x_rows)
+            + "\n" + body)
+
+
+# --------------------------------------------------------------------------
+def _ledger_base() -> str:
+    return _with(_LEDGER_VIEWS, _GEN_LED) + """
+SELECT customer_id, customer_name, transaction_id, ttype AS transaction_type,
+       ts AS transaction_date, ghs AS ghs_amount, usd AS usd_amount, pn
+FROM led"""
+
+
+def _first_tx_cte() -> str:
+    return """ft AS (
+  SELECT COALESCE(p.user_id, ip.user_id) AS user_id, MIN(t.updated_at) AS first_transaction_date
+  FROM fx_transactions t
+    LEFT JOIN fx_investment_plans ip ON ip.id = t.investment_plan_id
+    LEFT JOIN fx_plans p ON p.id = t.plan_id
+  WHERE t.status = 'success'
+  GROUP BY COALESCE(p.user_id, ip.user_id))"""
+
+
+def _ledger_cohorts() -> str:
+    return _with(_LEDGER_VIEWS, _ASSET_LED, _first_tx_cte()) + """
+SELECT l.transaction_id, l.ttype AS transaction_type, l.asset_type, l.customer_id,
+       l.customer_name, ft.first_transaction_date,
+       strftime(l.ts, '%Y-%m') AS transaction_cohort,
+       strftime(l.sign_up_date, '%Y-%m') AS sign_up_cohort,
+       CAST(week(l.ts) AS INTEGER) AS week_number,
+       l.ts AS transaction_date, l.ghs AS ghs_amount, l.usd AS usd_amount, l.exchange_rate,
+       l.sign_up_date, l.investment_type, l.asset_name, l.assets_maturity_date,
+       l.investment_maturity_date
+FROM aled l LEFT JOIN ft ON ft.user_id = l.customer_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    q = {f"trend_{g}": _trend(g) for g in ("day", "week", "month")}
+    q: dict[str, str] = {}
     q["general_metrics"] = _general()
-    q["asset_metrics"] = _asset_agg() + f"\nSELECT {ASSET_SELECT} FROM agg"
+    q["date_presets"] = _date_presets()
+    for g in ("day", "week", "month"):
+        q[f"trend_{g}"] = _trend(g)
+    q["trend_pivot"] = _trend_pivot("day")
+    q["asset_metrics"] = _asset(ASSET_SELECT)
+    q["asset_revenue"] = _asset(f"asset_type, {REVENUE_CASE} AS estimated_revenue")
+    q["asset_fees"] = _asset("asset_type, " + ", ".join(
+        f"{ASSET_VALUES[k]} AS {k}" for k in ("maintenance_fees_ghs", "early_withdrawal_fees_usd")))
+    q["asset_detail"] = _asset(
+        f"{ASSET_SELECT.replace('asset_type, ', 'agg.asset_type, ', 1)}, ub.total_users",
+        _USERS_BY_ASSET,
+        tail=f"FROM agg LEFT JOIN ub USING (asset_type) WHERE agg.asset_type = '{P.SELECTED_ASSET}'")
+    q["user_counts"] = _user_counts()
+    q["users_by_asset_type"] = _with(_LEDGER_VIEWS, _USERS_BY_ASSET) + "\nSELECT * FROM ub"
+    q["asset_types"] = _with(_LEDGER_VIEWS, _asset_types_cte()) + "\nSELECT asset_type FROM types"
+    q["asset_type_count"] = (_with(_LEDGER_VIEWS, _asset_types_cte())
+                             + "\nSELECT COUNT(*) AS asset_type_count FROM types")
+    q["user_insights"] = _users("SELECT * FROM insights")
+    q["active_users"] = _users("SELECT user_id FROM active")
+    q["recent_users"] = _users("SELECT user_id FROM recent")
+    q["user_kpis"] = _users("""SELECT COUNT(*) AS registered_users,
+  COUNT(*) FILTER (WHERE is_active) AS active_users,
+  COUNT(*) FILTER (WHERE is_recent) AS users_with_most_recent_activity
+FROM insights""")
+    q["user_clean"] = _users("SELECT * FROM clean_binned", _CLEAN)
+    for key, col in (("dist_gender", "gender"), ("dist_country", "country"),
+                     ("dist_use_option", "use_option"), ("dist_status", "status"),
+                     ("dist_employment", "employment_status")):
+        q[key] = _dist(col)
+    q["dist_age_group"] = _users(_AGE_DIST, _CLEAN)
+    q["kpi_general"] = _kpi_general()
+    q["kpi_asset"] = _kpi_asset()
+    q["ledger_base"] = _ledger_base()
+    q["depositors_summary"] = _with(_LEDGER_VIEWS, _GEN_LED, _GEN_HIST) + """
+SELECT customer_id, deposit_count, first_ts AS first_deposit_date, n_ts AS tx_days FROM hist"""
+    q["depositors_by_asset"] = _with(_LEDGER_VIEWS, _ASSET_LED, _ASSET_HIST) + """
+SELECT customer_id, asset_type, deposit_count, first_ts AS first_deposit_date, n_ts AS tx_days
+FROM ahist"""
+    q["first_transactions"] = _with(_LEDGER_VIEWS, _first_tx_cte()) + "\nSELECT * FROM ft"
+    q["ledger_cohorts"] = _ledger_cohorts()
     return q
