@@ -1,14 +1,20 @@
-"""Join helpers that keep the fact table's shuffles balanced.
-
-* ``checked_broadcast`` broadcasts a dimension only after counting that it is
-  below a row bound; above it the join is left to the planner (sort-merge,
-  with AQE's skew splitting).
-* ``left_lookup`` is a left equi-join on a nullable foreign key.  In a
-  shuffled join every row whose key is NULL hashes to the same reducer; in
-  this ledger a large share of transactions carry no savings plan or no
-  investment plan.  Such rows get a spread salt (they can match nothing
-  anyway), while matched keys keep salt 0 on both sides, so the result is
-  the plain left join.
+"""Join helpers that keep the fact table's shuffles few and balanced.
+
+``dimension_join`` is how the ledger meets a dimension (plans, investment
+plans, users, assets): a left equi-join on a nullable foreign key against a
+unique dimension key.
+
+* If the dimension's source table has at most ``max_rows`` rows (counted
+  once per table; on Parquet the count is answered from file footers), the
+  dimension is broadcast and the fact table is not shuffled at all.
+* Otherwise the planner's sort-merge join is used, and fact rows whose key
+  is NULL - in this ledger a large share of transactions carry no savings
+  plan or no investment plan - are scattered over ``NULL_KEY_SPREAD`` salt
+  values instead of all hashing to one reducer.  Matched keys have salt 0 on
+  both sides, so the result is the plain left join.  (The dimension's salt is
+  written as ``key - key`` so the optimizer keeps it as a join key instead of
+  folding a literal 0 into a post-join filter.)  A hot non-NULL key is left
+  to AQE's skew-join splitting, which the session enables.
 """
 
 from __future__ import annotations
@@ -17,29 +23,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NULL_KEY_SPREAD = 1024
-BROADCAST_ROW_LIMIT = 1_000_000
+BROADCAST_ROWS_CONF = "ledgerscope.broadcast.maxRows"
+DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df``.
+def broadcast_row_limit(spark) -> int:
+    return int(spark.conf.get(BROADCAST_ROWS_CONF, str(DEFAULT_BROADCAST_ROWS)))
 
-    Runs one bounded count (it stops reading after ``max_rows + 1`` rows), so
-    use it for dimension tables only.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+
+def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
+    """True if ``df`` has at most ``max_rows`` rows (stops counting past it)."""
+    return df.limit(max_rows + 1).count() <= max_rows
 
 
-def left_lookup(fact: DataFrame, fact_key: str, dim: DataFrame, dim_key: str,
-                spread_by: str, spread: int = NULL_KEY_SPREAD) -> DataFrame:
+def dimension_join(fact: DataFrame, fact_key: str, dim: DataFrame, dim_key: str,
+                   small: bool, spread_by: str, spread: int = NULL_KEY_SPREAD) -> DataFrame:
     """``fact LEFT JOIN dim ON fact.fact_key = dim.dim_key`` (``dim_key`` unique).
 
-    ``spread_by`` is a fact column (the row id) used to scatter NULL-key rows.
+    ``small`` says the dimension passed the row-bound check; ``spread_by`` is
+    a fact column (the row id) used to scatter NULL-key rows otherwise.
     """
+    if small:
+        return fact.join(F.broadcast(dim), F.col(fact_key) == F.col(dim_key), "left")
     salt = F.when(F.col(fact_key).isNull(),
-                  F.pmod(F.xxhash64(F.col(spread_by)), F.lit(spread)) + 1).otherwise(0)
-    f = fact.withColumn("_nk", salt)
-    d = dim.withColumn("_nk_d", F.lit(0).cast("bigint"))
+                  F.pmod(F.xxhash64(F.col(spread_by)), F.lit(spread)) + 1).otherwise(F.lit(0))
+    f = fact.withColumn("_nk", salt.cast("bigint"))
+    d = dim.withColumn("_nk_d", (F.col(dim_key) - F.col(dim_key)).cast("bigint"))
     cond = (f[fact_key] == d[dim_key]) & (f["_nk"] == d["_nk_d"])
     return f.join(d, cond, "left").drop("_nk", "_nk_d")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ledgerscope import reference_data as rd
 from ledgerscope.functions.periods import Window
-from ledgerscope.operators.joins import checked_broadcast, left_lookup
+from ledgerscope.operators.joins import dimension_join
 from ledgerscope.sources.tables import LedgerTables
 
 _USER_ATTRS = ("restricted", "sign_up_date", "first_name", "last_name")
@@ -41,7 +41,8 @@ def savings_dimension(t: LedgerTables, users: bool = True) -> DataFrame:
     dim = t.plans.select(F.col("id").alias("p_id"), F.col("user_id").alias("p_user_id"),
                          F.col("plan_option").alias("p_option"))
     if users:
-        dim = dim.join(_user_attrs(t, "p_"), F.col("p_user_id") == F.col("p_u_id"), "left")
+        dim = dimension_join(dim, "p_user_id", _user_attrs(t, "p_"), "p_u_id",
+                             small=t.is_small("users"), spread_by="p_id")
     return dim
 
 
@@ -52,12 +53,13 @@ def investment_dimension(t: LedgerTables, users: bool = True,
         F.col("asset_id"), F.col("plan_option").alias("ip_option"),
         F.col("maturity_date").alias("investment_maturity_date"))
     if assets:
-        a = checked_broadcast(t.assets.select(
-            F.col("id").alias("a_id"), F.col("name").alias("asset_name"),
-            F.col("maturity_date").alias("assets_maturity_date")))
-        dim = dim.join(a, F.col("asset_id") == F.col("a_id"), "left").drop("a_id")
+        a = t.assets.select(F.col("id").alias("a_id"), F.col("name").alias("asset_name"),
+                            F.col("maturity_date").alias("assets_maturity_date"))
+        dim = dimension_join(dim, "asset_id", a, "a_id", small=t.is_small("assets"),
+                             spread_by="ip_id").drop("a_id")
     if users:
-        dim = dim.join(_user_attrs(t, "ip_"), F.col("ip_user_id") == F.col("ip_u_id"), "left")
+        dim = dimension_join(dim, "ip_user_id", _user_attrs(t, "ip_"), "ip_u_id",
+                             small=t.is_small("users"), spread_by="ip_id")
     return dim
 
 
@@ -90,8 +92,11 @@ def ledger(t: LedgerTables, *, users: bool = True, assets: bool = True,
 
     inv = investment_dimension(t, users=users, assets=assets)
     sav = savings_dimension(t, users=users)
-    j = left_lookup(fact, "investment_plan_id", inv, "ip_id", spread_by="transaction_id")
-    j = left_lookup(j, "plan_id", sav, "p_id", spread_by="transaction_id")
+    # the dimensions have as many rows as their plan tables (unique-key joins)
+    j = dimension_join(fact, "investment_plan_id", inv, "ip_id",
+                       small=t.is_small("investment_plans"), spread_by="transaction_id")
+    j = dimension_join(j, "plan_id", sav, "p_id",
+                       small=t.is_small("plans"), spread_by="transaction_id")
 
     has_inv = F.col("investment_plan_id").isNotNull()
     has_sav = F.col("plan_id").isNotNull()

@@ -11,10 +11,11 @@ becomes ``use_option`` (pass ``renames`` for other spellings).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerscope.operators.joins import broadcast_row_limit, row_count_at_most
 from ledgerscope.sources import fixtures
 
 # logical name -> fixture view
@@ -55,11 +56,20 @@ class LedgerTables:
     budgets: DataFrame
     external_transactions: DataFrame
     messages: DataFrame
+    _bounds: dict = field(default_factory=dict, compare=False, repr=False)
 
     @property
     def spark(self) -> SparkSession:
         return self.transactions.sparkSession
 
+    def is_small(self, name: str) -> bool:
+        """Whether table ``name`` is within the broadcast row bound (counted
+        once per object; a Parquet count reads only file footers)."""
+        limit = broadcast_row_limit(self.spark)
+        if (name, limit) not in self._bounds:
+            self._bounds[(name, limit)] = row_count_at_most(getattr(self, name), limit)
+        return self._bounds[(name, limit)]
+
 
 def fixture_tables(spark: SparkSession, sf_dir: str) -> LedgerTables:
     views = fixtures.spark_views(spark, sf_dir)
