@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 
 def money(x: Column) -> Column:
-    """Two decimals with thousands separators; NULL shows as ``0.00``."""
+    """Two decimals with thousands separators; NULL shows as ``0.00``.
+
+    Rounds the binary value as Python's ``format`` does, for magnitudes below
+    1e15 (Java keeps 17 significant digits).
+    """
     return F.coalesce(F.format_number(x.cast("double"), 2), F.lit("0.00"))
 
 
