@@ -55,6 +55,16 @@ class Window:
         c = F.col(col) if isinstance(col, str) else col
         return c.between(self.ts_lo, self.ts_hi)
 
+    def ts_between_sql(self, col: str) -> str:
+        """SQL text of ``ts_between`` for expression strings."""
+        return (f"({col} BETWEEN TIMESTAMP_NTZ'{self.start.isoformat()} 00:00:00' "
+                f"AND TIMESTAMP_NTZ'{self.end.isoformat()} 00:00:00')")
+
+    def day_between_sql(self, col: str) -> str:
+        """SQL text of ``day_between`` for expression strings."""
+        return (f"(to_date({col}) BETWEEN DATE'{self.start.isoformat()}' "
+                f"AND DATE'{self.end.isoformat()}')")
+
     def day_between(self, col) -> Column:
         """``DATE(col) BETWEEN start AND end``: whole days, end day included."""
         c = F.col(col) if isinstance(col, str) else col

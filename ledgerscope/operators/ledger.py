@@ -24,25 +24,26 @@ from ledgerscope.functions.periods import Window
 from ledgerscope.operators.joins import dimension_join
 from ledgerscope.sources.tables import LedgerTables
 
-_USER_ATTRS = ("restricted", "sign_up_date", "first_name", "last_name")
-
-
-def _user_attrs(t: LedgerTables, prefix: str) -> DataFrame:
-    return t.users.select(
-        F.col("id").alias(f"{prefix}u_id"),
-        F.col("restricted").alias(f"{prefix}restricted"),
-        F.col("created_at").alias(f"{prefix}sign_up_date"),
-        F.col("first_name").alias(f"{prefix}first_name"),
-        F.col("last_name").alias(f"{prefix}last_name"),
-    )
+def _with_user_attrs(t: LedgerTables, dim: DataFrame, key: str, prefix: str,
+                     spread_by: str) -> DataFrame:
+    """Left-join the user attributes onto a plan dimension.  Both plan kinds
+    join the *same* users projection (renamed afterwards), so Spark builds
+    and broadcasts it once for both."""
+    users = t.users.select(F.col("id").alias("u_id"), "restricted",
+                           F.col("created_at").alias("sign_up_date"),
+                           "first_name", "last_name")
+    joined = dimension_join(dim, key, users, "u_id", small=t.is_small("users"),
+                            spread_by=spread_by)
+    return joined.withColumnsRenamed({c: f"{prefix}{c}" for c in
+                                      ("u_id", "restricted", "sign_up_date",
+                                       "first_name", "last_name")})
 
 
 def savings_dimension(t: LedgerTables, users: bool = True) -> DataFrame:
     dim = t.plans.select(F.col("id").alias("p_id"), F.col("user_id").alias("p_user_id"),
                          F.col("plan_option").alias("p_option"))
     if users:
-        dim = dimension_join(dim, "p_user_id", _user_attrs(t, "p_"), "p_u_id",
-                             small=t.is_small("users"), spread_by="p_id")
+        dim = _with_user_attrs(t, dim, "p_user_id", "p_", spread_by="p_id")
     return dim
 
 
@@ -58,8 +59,7 @@ def investment_dimension(t: LedgerTables, users: bool = True,
         dim = dimension_join(dim, "asset_id", a, "a_id", small=t.is_small("assets"),
                              spread_by="ip_id").drop("a_id")
     if users:
-        dim = dimension_join(dim, "ip_user_id", _user_attrs(t, "ip_"), "ip_u_id",
-                             small=t.is_small("users"), spread_by="ip_id")
+        dim = _with_user_attrs(t, dim, "ip_user_id", "ip_", spread_by="ip_id")
     return dim
 
 
@@ -70,6 +70,15 @@ def transaction_type(metadata: Column, tx_type: Column) -> Column:
 
 def ledger(t: LedgerTables, *, users: bool = True, assets: bool = True,
            success_only: bool = True) -> DataFrame:
+    """One row per transaction with owner, class and asset attributes (see
+    ``build_ledger``); staged once per table registry."""
+    return t.staged(("ledger", users, assets, success_only),
+                    lambda: build_ledger(t, users=users, assets=assets,
+                                         success_only=success_only))
+
+
+def build_ledger(t: LedgerTables, *, users: bool = True, assets: bool = True,
+                 success_only: bool = True) -> DataFrame:
     """One row per transaction with owner, class and asset attributes.
 
     Columns: transaction_id, plan_id, investment_plan_id, tx_type (raw),
@@ -141,12 +150,12 @@ def provider_ok() -> Column:
 
 def base_general(t: LedgerTables) -> DataFrame:
     """Rows behind the platform metrics (success, unrestricted owner)."""
-    return ledger(t, assets=False).filter(eligible())
+    return t.staged("base_general", lambda: ledger(t, assets=False).filter(eligible()))
 
 
 def base_asset(t: LedgerTables) -> DataFrame:
     """Rows behind the per-asset metrics: also drops the excluded provider."""
-    return ledger(t).filter(eligible() & provider_ok())
+    return t.staged("base_asset", lambda: ledger(t).filter(eligible() & provider_ok()))
 
 
 def ledger_base(t: LedgerTables) -> DataFrame:

@@ -33,79 +33,62 @@ _MONEY = (("ghs", "ghs_amount"), ("usd", "usd_amount"))
 
 def customer_rollup(rows: DataFrame, keys: list[str], windows: dict[str, Window],
                     is_deposit: Column, is_withdrawal: Column,
-                    extra: list[Column] = ()) -> DataFrame:
+                    extra: list[str] = ()) -> DataFrame:
     """Level 1: one row per ``keys`` group over the full history.
 
     ``windows`` maps a column suffix to a window; each window gets its own
     set of counts and sums, all from the same single pass over the rows.
+    ``extra`` holds more aggregate expressions (SQL text) over the same rows;
+    they may use the flags ``_dep``, ``_wd`` and ``_win{suffix}``.
     """
-    dep = F.coalesce(is_deposit, F.lit(False))
-    wd = F.coalesce(is_withdrawal, F.lit(False))
-    wins = {sfx: in_window(w) for sfx, w in windows.items()}
-    any_win = F.lit(False)
-    for win in wins.values():
-        any_win = any_win | win
-    aggs = [F.min(F.when(dep, F.col("transaction_date"))).alias("first_dep"),
-            F.max(F.when(dep, F.col("transaction_date"))).alias("last_dep")]
-    for sfx, win in wins.items():
-        aggs += [F.count_if(win).alias(f"win_n{sfx}"),
-                 *_side_aggs(win & dep, f"dep{sfx}"),
-                 *_side_aggs(win & wd, f"wd{sfx}")]
-    return (rows
+    flags = {"_dep": F.coalesce(is_deposit, F.lit(False)),
+             "_wd": F.coalesce(is_withdrawal, F.lit(False))}
+    for sfx, w in windows.items():
+        flags[f"_win{sfx}"] = F.expr(f"coalesce({w.ts_between_sql('transaction_date')}, false)")
+    any_win = " OR ".join(f"_win{sfx}" for sfx in windows)
+    aggs = ["min(CASE WHEN _dep THEN transaction_date END) AS first_dep",
+            "max(CASE WHEN _dep THEN transaction_date END) AS last_dep"]
+    for sfx in windows:
+        aggs.append(f"count_if(_win{sfx}) AS win_n{sfx}")
+        for side, flag in (("dep", "_dep"), ("wd", "_wd")):
+            cond = f"_win{sfx} AND {flag}"
+            aggs.append(f"count_if({cond}) AS {side}{sfx}_n")
+            for cur, col in _MONEY:
+                aggs.append(f"sum(CASE WHEN {cond} THEN {col} END) AS {side}{sfx}_{cur}")
+                aggs.append(f"count(CASE WHEN {cond} THEN {col} END) AS {side}{sfx}_{cur}_n")
+    return (rows.withColumns(flags)
             # rows that are neither deposits nor in a window add nothing
-            .filter(dep | any_win)
+            .filter(f"_dep OR {any_win}")
             .groupBy(*keys)
-            .agg(*aggs, *extra))
+            .agg(*[F.expr(e) for e in (*aggs, *extra)]))
 
 
-def _side_aggs(flag: Column, side: str) -> list[Column]:
-    out = [F.count_if(flag).alias(f"{side}_n")]
-    for cur, col in _MONEY:
-        picked = F.when(flag, F.col(col))
-        out += [F.sum(picked).alias(f"{side}_{cur}"),
-                F.count(picked).alias(f"{side}_{cur}_n")]
-    return out
-
-
-def _dbl(c: Column) -> Column:
-    return c.cast("double")
-
-
-def _totals(window: Window, sfx: str = "", lifetime_ok: Column | None = None) -> list[Column]:
+def _totals(window: Window, sfx: str = "", lifetime_ok: str = "true") -> list[Column]:
     """Level 2 measures for one window, over level-1 groups.
 
     Groups without rows in the window contribute nothing: their sums are
     NULL and their counts 0, and the depositor counts test ``win_n > 0``.
     """
-    in_group = F.col(f"win_n{sfx}") > 0
-    if lifetime_ok is not None:
-        in_group = in_group & lifetime_ok
-
-    def c(name: str) -> Column:
-        side, rest = name.split("_", 1)          # "dep_ghs_n" -> dep{sfx}_ghs_n
-        return F.col(f"{side}{sfx}_{rest}")
-
-    out = [F.coalesce(F.sum(c("dep_n")), F.lit(0)).cast("bigint").alias("deposit_count")]
-    for cur, _ in _MONEY:
-        out.append(_dbl(F.sum(c(f"dep_{cur}"))).alias(f"deposit_value_{cur}"))
-    out.append(F.coalesce(F.sum(c("wd_n")), F.lit(0)).cast("bigint").alias("withdrawal_count"))
-    for cur, _ in _MONEY:
-        out.append(_dbl(F.sum(c(f"wd_{cur}"))).alias(f"withdrawal_value_{cur}"))
+    in_group = f"win_n{sfx} > 0 AND {lifetime_ok}"
+    out = []
+    for side, name in (("dep", "deposit"), ("wd", "withdrawal")):
+        out.append(f"CAST(coalesce(sum({side}{sfx}_n), 0) AS BIGINT) AS {name}_count")
+        for cur, _ in _MONEY:
+            out.append(f"CAST(sum({side}{sfx}_{cur}) AS DOUBLE) AS {name}_value_{cur}")
     for cur, _ in _MONEY:
         # net flow: no deposits -> NULL; no withdrawals -> deposits
-        out.append(_dbl(F.sum(c(f"dep_{cur}")) - F.coalesce(F.sum(c(f"wd_{cur}")), F.lit(0)))
-                   .alias(f"aum_{cur}"))
-    out.append(F.count_if(c("dep_n") > 0).alias("total_depositors"))
-    out.append(F.count_if(c("wd_n") > 0).alias("total_withdrawers"))
-    first, last = F.col("first_dep"), F.col("last_dep")
-    out.append(F.count_if(in_group & (first < last)).alias("recurring_depositors"))
-    out.append(F.count_if(in_group & (first == last) & window.day_between(first))
-               .alias("new_depositors"))
+        out.append(f"CAST(sum(dep{sfx}_{cur}) - coalesce(sum(wd{sfx}_{cur}), 0) AS DOUBLE)"
+                   f" AS aum_{cur}")
+    out += [f"count_if(dep{sfx}_n > 0) AS total_depositors",
+            f"count_if(wd{sfx}_n > 0) AS total_withdrawers",
+            f"count_if({in_group} AND first_dep < last_dep) AS recurring_depositors",
+            f"count_if({in_group} AND first_dep = last_dep AND "
+            f"{window.day_between_sql('first_dep')}) AS new_depositors"]
     for side, name in (("dep", "deposit"), ("wd", "withdrawal")):
         for cur, _ in _MONEY:
-            out.append(F.try_divide(_dbl(F.sum(c(f"{side}_{cur}"))), F.sum(c(f"{side}_{cur}_n")))
-                       .alias(f"avg_{name}_value_{cur}"))
-    return out
+            out.append(f"try_divide(CAST(sum({side}{sfx}_{cur}) AS DOUBLE), "
+                       f"sum({side}{sfx}_{cur}_n)) AS avg_{name}_value_{cur}")
+    return [F.expr(e) for e in out]
 
 
 GENERAL_COLUMNS = [
@@ -184,22 +167,21 @@ def asset_metrics(t: LedgerTables, window: Window, fees: DataFrame | None = None
     rows = base_asset(t)
     is_dep = F.col("transaction_type").isin(*deposit_types)
     is_wd = F.col("transaction_type") == rd.WITHDRAWAL_TYPE
-    win = in_window(window)
     extra = [
-        F.sum(F.when(win & (F.col("transaction_type") == rd.FEE_TYPE), F.col("ghs_amount")))
-         .alias("fee_ghs"),
-        F.sum(F.when(win & (F.col("transaction_type") == rd.EARLY_WITHDRAWAL_TYPE),
-                     F.col("usd_amount"))).alias("early_usd"),
+        f"sum(CASE WHEN _win AND transaction_type = '{rd.FEE_TYPE}' THEN ghs_amount END) AS fee_ghs",
+        f"sum(CASE WHEN _win AND transaction_type = '{rd.EARLY_WITHDRAWAL_TYPE}' "
+        f"THEN usd_amount END) AS early_usd",
     ]
     level1 = customer_rollup(rows, ["customer_id", "asset_type"], {"": window}, is_dep, is_wd, extra)
     level2 = (level1.filter(F.col("win_n") > 0)
               .groupBy("asset_type")
-              .agg(*_totals(window, lifetime_ok=F.col("asset_type").isNotNull()),
-                   F.sum("dep_ghs").alias("_dep_ghs"), F.sum("dep_usd").alias("_dep_usd"),
-                   F.sum("wd_ghs").alias("_wd_ghs"), F.sum("wd_usd").alias("_wd_usd"),
-                   _dbl(F.sum("fee_ghs")).alias("maintenance_fees_ghs"),
-                   _dbl(F.sum("early_usd") * F.lit(rd.EARLY_WITHDRAWAL_FEE_RATE).cast("decimal(4,3)"))
-                   .alias("early_withdrawal_fees_usd")))
+              .agg(*_totals(window, lifetime_ok="asset_type IS NOT NULL"),
+                   *[F.expr(e) for e in (
+                       "sum(dep_ghs) AS _dep_ghs", "sum(dep_usd) AS _dep_usd",
+                       "sum(wd_ghs) AS _wd_ghs", "sum(wd_usd) AS _wd_usd",
+                       "CAST(sum(fee_ghs) AS DOUBLE) AS maintenance_fees_ghs",
+                       f"CAST(sum(early_usd) * CAST({rd.EARLY_WITHDRAWAL_FEE_RATE} AS DECIMAL(4,3))"
+                       " AS DOUBLE) AS early_withdrawal_fees_usd")]))
     with_fees = level2.join(F.broadcast(fees), "asset_type", "left")
     return (with_fees
             .withColumn("estimated_revenue", estimated_revenue())
@@ -216,7 +198,7 @@ def estimated_revenue() -> Column:
 
     base = F.coalesce(money("dep"), zero) + F.when(
         F.col("include_withdrawals"), F.coalesce(money("wd"), zero)).otherwise(zero)
-    return F.coalesce(F.col("rate") * _dbl(base), F.lit(0.0))
+    return F.coalesce(F.col("rate") * base.cast("double"), F.lit(0.0))
 
 
 def asset_revenue(t: LedgerTables, window: Window, fees: DataFrame | None = None) -> DataFrame:

@@ -57,6 +57,7 @@ class LedgerTables:
     external_transactions: DataFrame
     messages: DataFrame
     _bounds: dict = field(default_factory=dict, compare=False, repr=False)
+    _staged: dict = field(default_factory=dict, compare=False, repr=False)
 
     @property
     def spark(self) -> SparkSession:
@@ -70,10 +71,26 @@ class LedgerTables:
             self._bounds[(name, limit)] = row_count_at_most(getattr(self, name), limit)
         return self._bounds[(name, limit)]
 
+    def staged(self, key, build):
+        """A derived relation (e.g. the enriched ledger) built once per
+        registry and shared, lazily, by every query that reads it."""
+        key = (key, broadcast_row_limit(self.spark))
+        if key not in self._staged:
+            self._staged[key] = build()
+        return self._staged[key]
+
+
+_REGISTRY: dict = {}
+
 
 def fixture_tables(spark: SparkSession, sf_dir: str) -> LedgerTables:
-    views = fixtures.spark_views(spark, sf_dir)
-    return LedgerTables(**{k: views[v] for k, v in FIXTURE_VIEWS.items()})
+    """The fixture ledger over ``sf_dir``; built once per session and folder,
+    so its lazy plans and dimension size checks are shared by all queries."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
+    if key not in _REGISTRY:
+        views = fixtures.spark_views(spark, sf_dir)
+        _REGISTRY[key] = LedgerTables(**{k: views[v] for k, v in FIXTURE_VIEWS.items()})
+    return _REGISTRY[key]
 
 
 def _renamed(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
