@@ -62,6 +62,21 @@ def kpi_asset(t: LedgerTables, window: Window, fees: DataFrame | None = None) ->
     return _cards(long, rd.ASSET_CARDS, ["asset_type"]).orderBy("asset_type", "card_order")
 
 
+def kpi_user(t: LedgerTables, window: Window) -> DataFrame:
+    """J14, user page: three cards from J9, shown as plain integers."""
+    from ledgerscope.operators import users
+    k = users.user_kpis(t, window)
+    names = [m for m, _ in rd.USER_CARDS]
+    long = _long(k, [], names)
+    cards = [(m, label, "plain", "") for m, label in rd.USER_CARDS]
+    table = F.broadcast(rd.card_table(t.spark, cards))
+    return (long.join(table, "metric")
+            .select("card_order", "metric", "label", "value",
+                    F.col("value").cast("bigint").cast("string").alias("display_value"),
+                    "explanation")
+            .orderBy("card_order"))
+
+
 MART_TABLES = ("general_metrics", "trend_month", "asset_metrics", "users_by_asset_type")
 
 

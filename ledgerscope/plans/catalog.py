@@ -54,6 +54,7 @@ def registry() -> dict[str, Builder]:
         # J14, J15
         "kpi_general": lambda t: report.kpi_general(t, w),
         "kpi_asset": lambda t: report.kpi_asset(t, w),
+        "kpi_user": lambda t: report.kpi_user(t, w),
         "report_mart": lambda t: report.report_mart(t, w),
         # J17-J20
         "ledger_base": lambda t: ledger.ledger_base(t),

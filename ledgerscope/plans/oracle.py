@@ -369,6 +369,20 @@ def _kpi_asset() -> str:
             + "\n" + body)
 
 
+def _kpi_user_select() -> str:
+    values = {"registered_users": "COUNT(*)",
+              "active_users": "COUNT(*) FILTER (WHERE is_active)",
+              "users_with_most_recent_activity": "COUNT(*) FILTER (WHERE is_recent)"}
+    parts = []
+    for i, (metric, label) in enumerate(rd.USER_CARDS, start=1):
+        v = values[metric]
+        expl = rd.METRIC_EXPLANATIONS[metric].replace("'", "''")
+        parts.append(f"SELECT {i} AS card_order, '{metric}' AS metric, '{label}' AS label, "
+                     f"CAST({v} AS DOUBLE) AS value, CAST({v} AS VARCHAR) AS display_value, "
+                     f"'{expl}' AS explanation FROM insights")
+    return "\nUNION ALL\n".join(parts)
+
+
 # --------------------------------------------------------------------------
 def _ledger_base() -> str:
     return _with(_LEDGER_VIEWS, _GEN_LED) + """
@@ -435,6 +449,7 @@ FROM insights""")
     q["dist_age_group"] = _users(_AGE_DIST, _CLEAN)
     q["kpi_general"] = _kpi_general()
     q["kpi_asset"] = _kpi_asset()
+    q["kpi_user"] = _users(_kpi_user_select())
     q["ledger_base"] = _ledger_base()
     q["depositors_summary"] = _with(_LEDGER_VIEWS, _GEN_LED, _GEN_HIST) + """
 SELECT customer_id, deposit_count, first_ts AS first_deposit_date, n_ts AS tx_days FROM hist"""
