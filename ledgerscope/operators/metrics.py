@@ -63,12 +63,17 @@ def customer_rollup(rows: DataFrame, keys: list[str], windows: dict[str, Window]
             .agg(*[F.expr(e) for e in (*aggs, *extra)]))
 
 
-def _totals(window: Window, sfx: str = "", lifetime_ok: str = "true") -> list[Column]:
+def _totals(window: Window | None, sfx: str = "", lifetime_ok: str = "true",
+            day_test: str | None = None) -> list[Column]:
     """Level 2 measures for one window, over level-1 groups.
 
     Groups without rows in the window contribute nothing: their sums are
     NULL and their counts 0, and the depositor counts test ``win_n > 0``.
+    ``day_test`` replaces the window's whole-day test of the first deposit
+    (used when the window bounds are columns).
     """
+    if day_test is None:
+        day_test = window.day_between_sql("first_dep")
     in_group = f"win_n{sfx} > 0 AND {lifetime_ok}"
     out = []
     for side, name in (("dep", "deposit"), ("wd", "withdrawal")):
@@ -82,8 +87,7 @@ def _totals(window: Window, sfx: str = "", lifetime_ok: str = "true") -> list[Co
     out += [f"count_if(dep{sfx}_n > 0) AS total_depositors",
             f"count_if(wd{sfx}_n > 0) AS total_withdrawers",
             f"count_if({in_group} AND first_dep < last_dep) AS recurring_depositors",
-            f"count_if({in_group} AND first_dep = last_dep AND "
-            f"{window.day_between_sql('first_dep')}) AS new_depositors"]
+            f"count_if({in_group} AND first_dep = last_dep AND {day_test}) AS new_depositors"]
     for side, name in (("dep", "deposit"), ("wd", "withdrawal")):
         for cur, _ in _MONEY:
             out.append(f"try_divide(CAST(sum({side}{sfx}_{cur}) AS DOUBLE), "
@@ -122,24 +126,47 @@ def general_metrics_presets(t: LedgerTables, as_of,
                             deposit_types=rd.DEPOSIT_TYPES_PLATFORM) -> DataFrame:
     """J1 for every date preset anchored on ``as_of``: one row per preset.
 
-    One pass over the ledger computes all windows side by side (a fixed,
-    small number of column sets), instead of one job per preset.
+    One pass over the ledger serves all windows.  Each row is tagged with
+    the presets whose window holds it (at most ``len(presets)`` tags) and
+    exploded, so the per-(customer, preset) aggregate stays as narrow as the
+    single-window one and keeps whole-stage code generation; the lifetime
+    deposit bounds are aggregated per customer once and joined back on the
+    pre-aggregated rows.  Presets with no rows still get their row.
     """
-    windows = {f"_{i}": preset_window(name, as_of) for i, name in enumerate(presets)}
-    rows = base_general(t)
-    is_dep = F.col("transaction_type").isin(*deposit_types)
-    is_wd = (F.col("transaction_type") == rd.WITHDRAWAL_TYPE) & provider_ok()
-    level1 = customer_rollup(rows, ["customer_id"], windows, is_dep, is_wd)
-    per_window = [
-        F.struct(F.lit(i).alias("preset_order"), F.lit(name).alias("preset"),
-                 F.lit(windows[f"_{i}"].start).alias("start_date"),
-                 F.lit(windows[f"_{i}"].end).alias("end_date"),
-                 *_totals(windows[f"_{i}"], f"_{i}"))
-        for i, name in enumerate(presets)]
-    # one global row holding every window's totals, then one row per window
-    out = level1.agg(F.array(*per_window).alias("p")).select(F.explode("p").alias("p"))
-    return out.select("p.preset_order", "p.preset", "p.start_date", "p.end_date",
-                      *[f"p.{c}" for c in GENERAL_COLUMNS])
+    windows = [preset_window(name, as_of) for name in presets]
+    rows = base_general(t).withColumns({
+        "_dep": F.coalesce(F.col("transaction_type").isin(*deposit_types), F.lit(False)),
+        "_wd": F.coalesce((F.col("transaction_type") == rd.WITHDRAWAL_TYPE) & provider_ok(),
+                          F.lit(False))})
+    life = (rows.filter("_dep").groupBy("customer_id")
+            .agg(F.min("transaction_date").alias("first_dep"),
+                 F.max("transaction_date").alias("last_dep")))
+    holding = F.filter(F.array(*[F.when(F.expr(w.ts_between_sql("transaction_date")), F.lit(i))
+                                 for i, w in enumerate(windows)]), lambda x: x.isNotNull())
+    aggs = ["count(1) AS win_n"]
+    for side, flag in (("dep", "_dep"), ("wd", "_wd")):
+        aggs.append(f"count_if({flag}) AS {side}_n")
+        for cur, col in _MONEY:
+            aggs.append(f"sum(CASE WHEN {flag} THEN {col} END) AS {side}_{cur}")
+            aggs.append(f"count(CASE WHEN {flag} THEN {col} END) AS {side}_{cur}_n")
+    per = (rows.select("customer_id", F.explode(holding).alias("preset_order"),
+                       "_dep", "_wd", "ghs_amount", "usd_amount")
+           .groupBy("customer_id", "preset_order")
+           .agg(*[F.expr(e) for e in aggs]))
+    # one row per preset: bounded by construction
+    dims = t.spark.createDataFrame(
+        [(i, name, w.start, w.end) for i, (name, w) in enumerate(zip(presets, windows))],
+        "preset_order int, preset string, start_date date, end_date date")
+    level2 = (per.join(life, "customer_id", "left")
+              .join(F.broadcast(dims), "preset_order")
+              .groupBy("preset_order")
+              .agg(*_totals(None, day_test="to_date(first_dep) BETWEEN start_date AND end_date")))
+    counts = ["deposit_count", "withdrawal_count", "total_depositors", "total_withdrawers",
+              "recurring_depositors", "new_depositors"]
+    return (F.broadcast(dims).join(level2, "preset_order", "left")
+            .select("preset_order", "preset", "start_date", "end_date",
+                    *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) if c in counts
+                      else F.col(c) for c in GENERAL_COLUMNS]))
 
 
 ASSET_COLUMNS = [
