@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ledgerscope import reference_data as rd
 from ledgerscope.functions import formatting
 from ledgerscope.functions.periods import Window
-from ledgerscope.operators import metrics, trend
+from ledgerscope.operators import metrics, trend, users
 from ledgerscope.session import shared_dir
 from ledgerscope.sources.tables import LedgerTables
 
@@ -64,7 +64,6 @@ def kpi_asset(t: LedgerTables, window: Window, fees: DataFrame | None = None) ->
 
 def kpi_user(t: LedgerTables, window: Window) -> DataFrame:
     """J14, user page: three cards from J9, shown as plain integers."""
-    from ledgerscope.operators import users
     k = users.user_kpis(t, window)
     names = [m for m, _ in rd.USER_CARDS]
     long = _long(k, [], names)
@@ -77,45 +76,67 @@ def kpi_user(t: LedgerTables, window: Window) -> DataFrame:
             .orderBy("card_order"))
 
 
-MART_TABLES = ("general_metrics", "trend_month", "asset_metrics", "users_by_asset_type")
+MART_TABLES = ("general_metrics", "trend_month", "asset_metrics", "users_by_asset_type",
+               "user_clean", "user_kpis", "dist_gender", "dist_country", "dist_use_option",
+               "dist_status", "dist_employment", "dist_age_group")
 
+_DIST_TABLES = {"dist_gender": "gender", "dist_country": "country",
+                "dist_use_option": "use_option", "dist_status": "status",
+                "dist_employment": "employment_status"}
 
-def mart_frames(t: LedgerTables, window: Window) -> dict[str, DataFrame]:
-    return {
-        "general_metrics": metrics.general_metrics(t, window),
-        "trend_month": trend.transaction_trend(t, window, "month"),
-        "asset_metrics": metrics.asset_metrics(t, window),
-        "users_by_asset_type": metrics.users_by_asset_type(t, window),
-    }
 
-
-def write_report_mart(t: LedgerTables, window: Window, root: str | None = None) -> str:
-    """Write the window's four results; returns the mart folder."""
-    root = root or f"{shared_dir(t.spark)}/report_mart"
-    for name, df in mart_frames(t, window).items():
-        (df.withColumn("window_start", F.lit(window.start))
-           .withColumn("window_end", F.lit(window.end))
-           .write.mode("overwrite")
-           .option("partitionOverwriteMode", "dynamic")
-           .partitionBy("window_start", "window_end")
-           .parquet(f"{root}/{name}"))
-    return root
+def _write(df: DataFrame, root: str, name: str, window: Window) -> None:
+    (df.withColumn("window_start", F.lit(window.start))
+       .withColumn("window_end", F.lit(window.end))
+       .write.mode("overwrite")
+       .option("partitionOverwriteMode", "dynamic")
+       .partitionBy("window_start", "window_end")
+       .parquet(f"{root}/{name}"))
 
 
 def read_report_mart(spark, root: str, name: str, window: Window) -> DataFrame:
     """One mart table for one window (partition-pruned read)."""
     return (spark.read.parquet(f"{root}/{name}")
             .filter((F.col("window_start") == F.lit(window.start))
-                    & (F.col("window_end") == F.lit(window.end))))
+                    & (F.col("window_end") == F.lit(window.end)))
+            .drop("window_start", "window_end"))
+
+
+def write_report_mart(t: LedgerTables, window: Window, as_of, root: str | None = None) -> str:
+    """Write one window's report tables under the shared folder; returns it.
+
+    The money tables are written straight from their jobs.  The user page is
+    one cleaned user table (J10) written once; its KPIs and the six
+    distributions are then computed from the stored table, so the cohort
+    joins run once and a lost executor costs a re-read, not a recomputation.
+    """
+    root = root or f"{shared_dir(t.spark)}/report_mart"
+    money = {
+        "general_metrics": metrics.general_metrics(t, window),
+        "trend_month": trend.transaction_trend(t, window, "month"),
+        "asset_metrics": metrics.asset_metrics(t, window),
+        "users_by_asset_type": metrics.users_by_asset_type(t, window),
+    }
+    for name, df in money.items():
+        _write(df, root, name, window)
+    _write(users.user_clean(t, window, as_of), root, "user_clean", window)
+    clean = read_report_mart(t.spark, root, "user_clean", window)
+    derived = {"user_kpis": users.kpis_of(clean),
+               "dist_age_group": users.age_distribution_of(clean)}
+    derived.update({name: users.distribution_of(clean, col) for name, col in _DIST_TABLES.items()})
+    for name, df in derived.items():
+        _write(df, root, name, window)
+    return root
 
 
-def report_mart(t: LedgerTables, window: Window, root: str | None = None) -> DataFrame:
+def report_mart(t: LedgerTables, window: Window, as_of, root: str | None = None) -> DataFrame:
     """Write the mart, then list what it holds for the window:
     ``table_name, window_start, window_end, row_count``."""
-    root = write_report_mart(t, window, root)
+    root = write_report_mart(t, window, as_of, root)
     parts = [read_report_mart(t.spark, root, name, window)
-             .groupBy("window_start", "window_end").agg(F.count(F.lit(1)).alias("row_count"))
-             .select(F.lit(name).alias("table_name"), "window_start", "window_end", "row_count")
+             .agg(F.count(F.lit(1)).alias("row_count"))
+             .select(F.lit(name).alias("table_name"), F.lit(window.start).alias("window_start"),
+                     F.lit(window.end).alias("window_end"), "row_count")
              for name in MART_TABLES]
     out = parts[0]
     for p in parts[1:]:

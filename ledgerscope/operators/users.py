@@ -82,7 +82,12 @@ def user_insights(t: LedgerTables, window: Window) -> DataFrame:
 
 def user_kpis(t: LedgerTables, window: Window) -> DataFrame:
     """Rows of J8, and how many of them are active / recent."""
-    return user_insights(t, window).agg(
+    return kpis_of(user_insights(t, window))
+
+
+def kpis_of(insights: DataFrame) -> DataFrame:
+    """J9 over an already computed (or stored) J8 / J10 frame."""
+    return insights.agg(
         F.count(F.lit(1)).alias("registered_users"),
         F.count_if("is_active").alias("active_users"),
         F.count_if("is_recent").alias("users_with_most_recent_activity"))
@@ -109,9 +114,14 @@ DISTRIBUTIONS = ("gender", "country", "use_option", "status", "employment_status
 
 def distribution(t: LedgerTables, window: Window, as_of: dt.date, column: str) -> DataFrame:
     """``column, count`` over non-NULL values, most frequent first."""
+    return distribution_of(user_clean(t, window, as_of), column)
+
+
+def distribution_of(clean: DataFrame, column: str) -> DataFrame:
+    """J11 over an already computed (or stored) J10 frame."""
     if column not in DISTRIBUTIONS:
         raise ValueError(f"no distribution for {column!r}")
-    return (user_clean(t, window, as_of)
+    return (clean
             .filter(F.col(column).isNotNull())
             .groupBy(column).agg(F.count(F.lit(1)).alias("count"))
             .orderBy(F.col("count").desc(), F.col(column)))
@@ -119,11 +129,16 @@ def distribution(t: LedgerTables, window: Window, as_of: dt.date, column: str) -
 
 def age_distribution(t: LedgerTables, window: Window, as_of: dt.date) -> DataFrame:
     """All twelve age bins in order, empty ones with count 0."""
-    counts = (user_clean(t, window, as_of)
+    return age_distribution_of(user_clean(t, window, as_of))
+
+
+def age_distribution_of(clean: DataFrame) -> DataFrame:
+    """J12 over an already computed (or stored) J10 frame."""
+    counts = (clean
               .select(text.age_bin(F.col("age")).alias("age_bin"))
               .filter(F.col("age_bin").isNotNull())
               .groupBy("age_bin").agg(F.count(F.lit(1)).alias("count")))
-    bins = F.broadcast(rd.age_bins(t.spark))   # twelve rows by construction
+    bins = F.broadcast(rd.age_bins(clean.sparkSession))   # twelve rows by construction
     return (bins.join(counts, "age_bin", "left")
             .orderBy("age_bin")
             .select("age_group", F.coalesce(F.col("count"), F.lit(0)).alias("count")))

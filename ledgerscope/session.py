@@ -19,9 +19,29 @@ CORE_CONF = {
 }
 
 
-def build_session(master: str = "local[*]", app: str = "ledgerscope",
+# Starting point for a large cluster reading the full ledger (~100 TB of
+# transactions).  Scans split into 512 MB partitions (about 200k map tasks
+# for 100 TB); every money job aggregates map-side before its one shuffle,
+# so the shuffle carries per-customer partials, not transactions.  The
+# initial shuffle width is high and AQE coalesces it to ~256 MB partitions;
+# skewed join partitions (a hot plan or customer) are split by AQE.
+# Dimensions (plans, users) are broadcast up to 2M rows; above that they
+# are sort-merge joined with NULL-key spreading (operators.joins).
+CLUSTER_CONF = {
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.autoBroadcastJoinThreshold": "256m",
+    "spark.sql.broadcastTimeout": "900",
+    "ledgerscope.broadcast.maxRows": "2000000",
+}
+
+
+def build_session(master: str | None = "local[*]", app: str = "ledgerscope",
                   shuffle_partitions: int | None = None,
-                  extra: dict[str, str] | None = None) -> SparkSession:
+                  extra: dict[str, str] | None = None,
+                  cluster: bool = False) -> SparkSession:
     """Create (or reuse) a session with ``CORE_CONF`` applied.
 
     On a cluster, leave ``master`` to spark-submit (pass ``None``) and size
@@ -32,6 +52,8 @@ def build_session(master: str = "local[*]", app: str = "ledgerscope",
     if master:
         builder = builder.master(master)
     conf = dict(CORE_CONF)
+    if cluster:
+        conf.update(CLUSTER_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

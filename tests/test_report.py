@@ -51,13 +51,24 @@ def test_kpi_asset_cards(t):
 def test_report_mart_is_idempotent_per_window(t, tmp_path):
     root = str(tmp_path / "mart")
     w2 = Window.of("2024-01-10", "2024-01-25")
-    first = {r["table_name"]: r["row_count"] for r in report.report_mart(t, P.WINDOW, root).collect()}
-    report.report_mart(t, w2, root).collect()
-    again = {r["table_name"]: r["row_count"] for r in report.report_mart(t, P.WINDOW, root).collect()}
+    first = {r["table_name"]: r["row_count"]
+             for r in report.report_mart(t, P.WINDOW, P.AS_OF, root).collect()}
+    report.report_mart(t, w2, P.AS_OF, root).collect()
+    again = {r["table_name"]: r["row_count"]
+             for r in report.report_mart(t, P.WINDOW, P.AS_OF, root).collect()}
     assert first == again and set(first) == set(report.MART_TABLES)
     assert first["general_metrics"] == 1
     both = t.spark.read.parquet(f"{root}/general_metrics")
     assert both.count() == 2      # one row per window, the rerun replaced its own
-    back = report.read_report_mart(t.spark, root, "asset_metrics", P.WINDOW).drop(
-        "window_start", "window_end")
+    back = report.read_report_mart(t.spark, root, "asset_metrics", P.WINDOW)
     assert back.count() == metrics.asset_metrics(t, P.WINDOW).count()
+    # the user page derived from the stored J10 equals the direct jobs
+    for name, col in (("dist_gender", "gender"), ("dist_employment", "employment_status")):
+        stored = {tuple(r) for r in report.read_report_mart(t.spark, root, name, P.WINDOW)
+                  .select(col, "count").collect()}
+        direct = {tuple(r) for r in users.distribution(t, P.WINDOW, P.AS_OF, col).collect()}
+        assert stored == direct
+    ages = [tuple(r) for r in report.read_report_mart(t.spark, root, "dist_age_group", P.WINDOW)
+            .select("age_group", "count").collect()]
+    assert sorted(ages) == sorted(tuple(r) for r in users.age_distribution(t, P.WINDOW, P.AS_OF).collect())
+    assert first["user_kpis"] == 1 and first["dist_age_group"] == 12
