@@ -194,7 +194,11 @@ def ledger_cohorts(t: LedgerTables) -> DataFrame:
     """Per-row cohort attributes of the asset ledger."""
     rows = base_asset(t)
     ft = first_transactions(t).withColumnRenamed("user_id", "ft_user_id")
-    return (rows.join(ft, rows["customer_id"] == ft["ft_user_id"], "left")
+    # one row per plan owner: at most as many as both plan tables hold, so
+    # it is broadcast when both passed their size check
+    small = t.is_small("plans") and t.is_small("investment_plans")
+    return (dimension_join(rows, "customer_id", ft, "ft_user_id", small=small,
+                           spread_by="transaction_id")
             .select("transaction_id", "transaction_type", "asset_type", "customer_id",
                     "customer_name", "first_transaction_date",
                     F.date_format("transaction_date", "yyyy-MM").alias("transaction_cohort"),

@@ -26,6 +26,7 @@ from ledgerscope import reference_data as rd
 from ledgerscope.functions.periods import PRESETS, Window, preset_window
 from ledgerscope.operators.ledger import (base_asset, base_general, eligible,
                                           in_window, ledger, provider_ok)
+from ledgerscope.operators.joins import broadcast_row_limit, row_count_at_most
 from ledgerscope.sources.tables import LedgerTables
 
 _MONEY = (("ghs", "ghs_amount"), ("usd", "usd_amount"))
@@ -189,8 +190,20 @@ def asset_metrics(t: LedgerTables, window: Window, fees: DataFrame | None = None
     customer *and* asset type, and never matches the NULL type, so that row
     has no new or recurring depositors.
     """
-    if fees is None:
-        fees = rd.fee_table(t.spark)
+    return (asset_rollup(t, window, fees, deposit_types)
+            .select(*ASSET_COLUMNS)
+            .orderBy(F.col("deposit_value_usd").desc_nulls_last(),
+                     F.col("asset_type").asc_nulls_last()))
+
+
+def asset_rollup(t: LedgerTables, window: Window, fees: DataFrame | None = None,
+                 deposit_types=rd.DEPOSIT_TYPES_ASSET) -> DataFrame:
+    """J4's columns plus ``total_users`` (J6) from the same single pass.
+
+    Level-1 groups are (customer, asset type) over exactly J6's rows
+    (successful, unrestricted owner, provider kept), so the distinct users of
+    a type in the window are its groups with window rows.
+    """
     rows = base_asset(t)
     is_dep = F.col("transaction_type").isin(*deposit_types)
     is_wd = F.col("transaction_type") == rd.WITHDRAWAL_TYPE
@@ -204,16 +217,22 @@ def asset_metrics(t: LedgerTables, window: Window, fees: DataFrame | None = None
               .groupBy("asset_type")
               .agg(*_totals(window, lifetime_ok="asset_type IS NOT NULL"),
                    *[F.expr(e) for e in (
+                       "count(1) AS total_users",
                        "sum(dep_ghs) AS _dep_ghs", "sum(dep_usd) AS _dep_usd",
                        "sum(wd_ghs) AS _wd_ghs", "sum(wd_usd) AS _wd_usd",
                        "CAST(sum(fee_ghs) AS DOUBLE) AS maintenance_fees_ghs",
                        f"CAST(sum(early_usd) * CAST({rd.EARLY_WITHDRAWAL_FEE_RATE} AS DECIMAL(4,3))"
                        " AS DOUBLE) AS early_withdrawal_fees_usd")]))
-    with_fees = level2.join(F.broadcast(fees), "asset_type", "left")
-    return (with_fees
-            .withColumn("estimated_revenue", estimated_revenue())
-            .select(*ASSET_COLUMNS)
-            .orderBy(F.col("deposit_value_usd").desc_nulls_last(), F.col("asset_type").asc_nulls_last()))
+    return (level2.join(_fee_side(t, fees), "asset_type", "left")
+            .withColumn("estimated_revenue", estimated_revenue()))
+
+
+def _fee_side(t: LedgerTables, fees: DataFrame | None) -> DataFrame:
+    """The rate table, broadcast: the built-in one is a literal; a supplied
+    one is counted first (the per-type side is then joined without hint)."""
+    if fees is None:
+        return F.broadcast(rd.fee_table(t.spark))
+    return F.broadcast(fees) if row_count_at_most(fees, broadcast_row_limit(t.spark)) else fees
 
 
 def estimated_revenue() -> Column:
@@ -271,9 +290,9 @@ def asset_type_count(t: LedgerTables, window: Window) -> DataFrame:
 def asset_detail(t: LedgerTables, window: Window, selected: str,
                  fees: DataFrame | None = None) -> DataFrame:
     """The asset page for one type: its J4 row plus its J6 user count."""
-    metrics = asset_metrics(t, window, fees).filter(F.col("asset_type") == selected)
-    users = users_by_asset_type(t, window).filter(F.col("asset_type") == selected)
-    return metrics.join(users, "asset_type", "left")
+    return (asset_rollup(t, window, fees)
+            .filter(F.col("asset_type") == selected)
+            .select(*ASSET_COLUMNS, "total_users"))
 
 
 def user_counts(t: LedgerTables, window: Window) -> DataFrame:

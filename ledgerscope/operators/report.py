@@ -54,9 +54,8 @@ def kpi_asset(t: LedgerTables, window: Window, fees: DataFrame | None = None) ->
     """J14, asset page: per asset type, sixteen cards from J4 plus the J6
     user count (that card only when J6 has the type)."""
     names = [m for m, *_ in rd.ASSET_CARDS]
-    a = metrics.asset_metrics(t, window, fees).filter(F.col("asset_type").isNotNull())
-    u = metrics.users_by_asset_type(t, window)
-    wide = a.join(u, "asset_type", "left")
+    # J4 and J6 from one pass over the ledger
+    wide = metrics.asset_rollup(t, window, fees).filter(F.col("asset_type").isNotNull())
     long = (_long(wide, ["asset_type"], names)
             .filter((F.col("metric") != "total_users") | F.col("value").isNotNull()))
     return _cards(long, rd.ASSET_CARDS, ["asset_type"]).orderBy("asset_type", "card_order")
