@@ -20,9 +20,11 @@ GRANULARITIES = ("day", "week", "month")
 def _period(granularity: str):
     if granularity not in GRANULARITIES:
         raise ValueError(f"granularity must be one of {GRANULARITIES}, got {granularity!r}")
-    # date_trunc yields a zoned timestamp; the date of it is the period start
-    # (weeks start on Monday)
-    return F.to_date(F.date_trunc(granularity, F.col("transaction_date"))).alias("period")
+    # pure date arithmetic on the calendar day (no session time zone is
+    # involved, unlike date_trunc, which returns a zoned timestamp); weeks
+    # start on Monday
+    day = F.to_date(F.col("transaction_date"))
+    return (day if granularity == "day" else F.trunc(day, granularity)).alias("period")
 
 
 def _trend_rows(t: LedgerTables, window: Window) -> DataFrame:
