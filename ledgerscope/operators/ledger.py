@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope import reference_data as rd
-from ledgerscope.functions.periods import Window
 from ledgerscope.operators.joins import dimension_join
 from ledgerscope.sources.tables import LedgerTables
 
@@ -183,6 +182,38 @@ def depositors_by_asset(t: LedgerTables) -> DataFrame:
     return _deposit_summary(base_asset(t), ["customer_id", "asset_type"], rd.DEPOSIT_TYPES_ASSET)
 
 
+def deposit_bounds(rows: DataFrame, keys: list[str], deposit_types) -> DataFrame:
+    """Lifetime first and last deposit instant per ``keys`` group.
+
+    This is all the two-level metrics need of the lifetime history ("one
+    deposit instant" is first = last, "several" is first < last), and it is
+    mergeable: bounds of old rows and bounds of newly appended rows combine
+    by min / max (``merge_deposit_bounds``).  Stored once in the shared
+    folder, it lets every window query read only the window's rows.
+    """
+    if deposit_types is not None:
+        rows = rows.filter(F.col("transaction_type").isin(*deposit_types))
+    return (rows.groupBy(*keys)
+            .agg(F.min("transaction_date").alias("first_dep"),
+                 F.max("transaction_date").alias("last_dep")))
+
+
+def general_deposit_bounds(t: LedgerTables) -> DataFrame:
+    """Bounds for the platform metrics (J1): per customer, deposit + direct debit."""
+    return deposit_bounds(base_general(t), ["customer_id"], rd.DEPOSIT_TYPES_PLATFORM)
+
+
+def asset_deposit_bounds(t: LedgerTables) -> DataFrame:
+    """Bounds for the per-asset metrics (J4): per customer and asset type."""
+    return deposit_bounds(base_asset(t), ["customer_id", "asset_type"], rd.DEPOSIT_TYPES_ASSET)
+
+
+def merge_deposit_bounds(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Bounds over old + appended rows, from the two bounds tables alone."""
+    return (old.unionByName(new).groupBy(*keys)
+            .agg(F.min("first_dep").alias("first_dep"), F.max("last_dep").alias("last_dep")))
+
+
 def first_transactions(t: LedgerTables) -> DataFrame:
     """Earliest successful transaction per owner (NULL owner is a group)."""
     return (ledger(t, users=False, assets=False)
@@ -209,5 +240,3 @@ def ledger_cohorts(t: LedgerTables) -> DataFrame:
                     "assets_maturity_date", "investment_maturity_date"))
 
 
-def in_window(window: Window) -> Column:
-    return F.coalesce(window.ts_between("transaction_date"), F.lit(False))

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from ledgerscope import reference_data as rd
 from ledgerscope.functions.periods import PRESETS, Window, preset_window
-from ledgerscope.operators.ledger import (base_asset, base_general, eligible,
-                                          in_window, ledger, provider_ok)
+from ledgerscope.operators.ledger import (base_asset, base_general, deposit_bounds,
+                                          eligible, ledger, provider_ok)
 from ledgerscope.operators.joins import broadcast_row_limit, row_count_at_most
 from ledgerscope.sources.tables import LedgerTables
 
@@ -34,21 +34,28 @@ _MONEY = (("ghs", "ghs_amount"), ("usd", "usd_amount"))
 
 def customer_rollup(rows: DataFrame, keys: list[str], windows: dict[str, Window],
                     is_deposit: Column, is_withdrawal: Column,
-                    extra: list[str] = ()) -> DataFrame:
-    """Level 1: one row per ``keys`` group over the full history.
+                    extra: list[str] = (), bounds: DataFrame | None = None) -> DataFrame:
+    """Level 1: one row per ``keys`` group.
 
     ``windows`` maps a column suffix to a window; each window gets its own
     set of counts and sums, all from the same single pass over the rows.
     ``extra`` holds more aggregate expressions (SQL text) over the same rows;
     they may use the flags ``_dep``, ``_wd`` and ``_win{suffix}``.
+
+    Without ``bounds`` the pass covers the full history and also yields the
+    lifetime ``first_dep`` / ``last_dep``.  With ``bounds`` (a stored
+    ``ledger.deposit_bounds`` table for the same rows and keys) only window
+    rows are read - the date filter reaches the scan - and the lifetime
+    bounds are joined on the keys instead.
     """
     flags = {"_dep": F.coalesce(is_deposit, F.lit(False)),
              "_wd": F.coalesce(is_withdrawal, F.lit(False))}
     for sfx, w in windows.items():
         flags[f"_win{sfx}"] = F.expr(f"coalesce({w.ts_between_sql('transaction_date')}, false)")
     any_win = " OR ".join(f"_win{sfx}" for sfx in windows)
-    aggs = ["min(CASE WHEN _dep THEN transaction_date END) AS first_dep",
-            "max(CASE WHEN _dep THEN transaction_date END) AS last_dep"]
+    aggs = [] if bounds is not None else [
+        "min(CASE WHEN _dep THEN transaction_date END) AS first_dep",
+        "max(CASE WHEN _dep THEN transaction_date END) AS last_dep"]
     for sfx in windows:
         aggs.append(f"count_if(_win{sfx}) AS win_n{sfx}")
         for side, flag in (("dep", "_dep"), ("wd", "_wd")):
@@ -57,6 +64,12 @@ def customer_rollup(rows: DataFrame, keys: list[str], windows: dict[str, Window]
             for cur, col in _MONEY:
                 aggs.append(f"sum(CASE WHEN {cond} THEN {col} END) AS {side}{sfx}_{cur}")
                 aggs.append(f"count(CASE WHEN {cond} THEN {col} END) AS {side}{sfx}_{cur}_n")
+    if bounds is not None:
+        windowed = " OR ".join(w.ts_between_sql("transaction_date") for w in windows.values())
+        level1 = (rows.filter(windowed).withColumns(flags)
+                  .groupBy(*keys).agg(*[F.expr(e) for e in (*aggs, *extra)]))
+        # keys are compared with '=': a NULL asset type gets no lifetime bounds
+        return level1.join(bounds.select(*keys, "first_dep", "last_dep"), list(keys), "left")
     return (rows.withColumns(flags)
             # rows that are neither deposits nor in a window add nothing
             .filter(f"_dep OR {any_win}")
@@ -107,16 +120,19 @@ GENERAL_COLUMNS = [
 
 
 def general_metrics(t: LedgerTables, window: Window,
-                    deposit_types=rd.DEPOSIT_TYPES_PLATFORM) -> DataFrame:
+                    deposit_types=rd.DEPOSIT_TYPES_PLATFORM,
+                    bounds: DataFrame | None = None) -> DataFrame:
     """One row of platform deposit/withdrawal metrics for ``window``.
 
     Deposits ignore the provider; withdrawals exclude the excluded provider
-    (and, by NULL comparison, a missing one).
+    (and, by NULL comparison, a missing one).  ``bounds``: an optional stored
+    ``ledger.general_deposit_bounds`` table, which lets the job read only the
+    window's rows.
     """
     rows = base_general(t)
     is_dep = F.col("transaction_type").isin(*deposit_types)
     is_wd = (F.col("transaction_type") == rd.WITHDRAWAL_TYPE) & provider_ok()
-    level1 = customer_rollup(rows, ["customer_id"], {"": window}, is_dep, is_wd)
+    level1 = customer_rollup(rows, ["customer_id"], {"": window}, is_dep, is_wd, bounds=bounds)
     return (level1.filter(F.col("win_n") > 0)
             .agg(*_totals(window))
             .select(*GENERAL_COLUMNS))
@@ -124,7 +140,8 @@ def general_metrics(t: LedgerTables, window: Window,
 
 def general_metrics_presets(t: LedgerTables, as_of,
                             presets=PRESETS,
-                            deposit_types=rd.DEPOSIT_TYPES_PLATFORM) -> DataFrame:
+                            deposit_types=rd.DEPOSIT_TYPES_PLATFORM,
+                            bounds: DataFrame | None = None) -> DataFrame:
     """J1 for every date preset anchored on ``as_of``: one row per preset.
 
     One pass over the ledger serves all windows.  Each row is tagged with
@@ -139,9 +156,8 @@ def general_metrics_presets(t: LedgerTables, as_of,
         "_dep": F.coalesce(F.col("transaction_type").isin(*deposit_types), F.lit(False)),
         "_wd": F.coalesce((F.col("transaction_type") == rd.WITHDRAWAL_TYPE) & provider_ok(),
                           F.lit(False))})
-    life = (rows.filter("_dep").groupBy("customer_id")
-            .agg(F.min("transaction_date").alias("first_dep"),
-                 F.max("transaction_date").alias("last_dep")))
+    life = (bounds.select("customer_id", "first_dep", "last_dep") if bounds is not None
+            else deposit_bounds(rows.filter("_dep"), ["customer_id"], None))
     holding = F.filter(F.array(*[F.when(F.expr(w.ts_between_sql("transaction_date")), F.lit(i))
                                  for i, w in enumerate(windows)]), lambda x: x.isNotNull())
     aggs = ["count(1) AS win_n"]
@@ -181,7 +197,8 @@ ASSET_COLUMNS = [
 
 
 def asset_metrics(t: LedgerTables, window: Window, fees: DataFrame | None = None,
-                  deposit_types=rd.DEPOSIT_TYPES_ASSET) -> DataFrame:
+                  deposit_types=rd.DEPOSIT_TYPES_ASSET,
+                  bounds: DataFrame | None = None) -> DataFrame:
     """One row per asset type (a NULL type is a row too), ordered by USD
     deposits, largest first.
 
@@ -190,14 +207,15 @@ def asset_metrics(t: LedgerTables, window: Window, fees: DataFrame | None = None
     customer *and* asset type, and never matches the NULL type, so that row
     has no new or recurring depositors.
     """
-    return (asset_rollup(t, window, fees, deposit_types)
+    return (asset_rollup(t, window, fees, deposit_types, bounds)
             .select(*ASSET_COLUMNS)
             .orderBy(F.col("deposit_value_usd").desc_nulls_last(),
                      F.col("asset_type").asc_nulls_last()))
 
 
 def asset_rollup(t: LedgerTables, window: Window, fees: DataFrame | None = None,
-                 deposit_types=rd.DEPOSIT_TYPES_ASSET) -> DataFrame:
+                 deposit_types=rd.DEPOSIT_TYPES_ASSET,
+                 bounds: DataFrame | None = None) -> DataFrame:
     """J4's columns plus ``total_users`` (J6) from the same single pass.
 
     Level-1 groups are (customer, asset type) over exactly J6's rows
@@ -212,7 +230,8 @@ def asset_rollup(t: LedgerTables, window: Window, fees: DataFrame | None = None,
         f"sum(CASE WHEN _win AND transaction_type = '{rd.EARLY_WITHDRAWAL_TYPE}' "
         f"THEN usd_amount END) AS early_usd",
     ]
-    level1 = customer_rollup(rows, ["customer_id", "asset_type"], {"": window}, is_dep, is_wd, extra)
+    level1 = customer_rollup(rows, ["customer_id", "asset_type"], {"": window}, is_dep, is_wd,
+                             extra, bounds=bounds)
     level2 = (level1.filter(F.col("win_n") > 0)
               .groupBy("asset_type")
               .agg(*_totals(window, lifetime_ok="asset_type IS NOT NULL"),

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ledgerscope import reference_data as rd
 from ledgerscope.functions import formatting
 from ledgerscope.functions.periods import Window
-from ledgerscope.operators import metrics, trend, users
+from ledgerscope.operators import ledger, metrics, trend, users
 from ledgerscope.session import shared_dir
 from ledgerscope.sources.tables import LedgerTables
 
@@ -101,6 +101,17 @@ def read_report_mart(spark, root: str, name: str, window: Window) -> DataFrame:
             .drop("window_start", "window_end"))
 
 
+def write_deposit_bounds(t: LedgerTables, root: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Store the lifetime deposit bounds (platform; per asset type) under the
+    shared folder and return them read back.  Window jobs given these read
+    only their window's rows; refresh after loading new transactions
+    (``ledger.merge_deposit_bounds`` folds in an appended batch)."""
+    root = root or f"{shared_dir(t.spark)}/deposit_bounds"
+    ledger.general_deposit_bounds(t).write.mode("overwrite").parquet(f"{root}/general")
+    ledger.asset_deposit_bounds(t).write.mode("overwrite").parquet(f"{root}/asset")
+    return (t.spark.read.parquet(f"{root}/general"), t.spark.read.parquet(f"{root}/asset"))
+
+
 def write_report_mart(t: LedgerTables, window: Window, as_of, root: str | None = None) -> str:
     """Write one window's report tables under the shared folder; returns it.
 
