@@ -171,9 +171,10 @@ def general_metrics_presets(t: LedgerTables, as_of,
            .groupBy("customer_id", "preset_order")
            .agg(*[F.expr(e) for e in aggs]))
     # one row per preset: bounded by construction
-    dims = t.spark.createDataFrame(
+    dims = rd.small_table(t.spark, ("presets", tuple(presets), tuple(windows)),
+                          lambda: t.spark.createDataFrame(
         [(i, name, w.start, w.end) for i, (name, w) in enumerate(zip(presets, windows))],
-        "preset_order int, preset string, start_date date, end_date date")
+        "preset_order int, preset string, start_date date, end_date date"))
     level2 = (per.join(life, "customer_id", "left")
               .join(F.broadcast(dims), "preset_order")
               .groupBy("preset_order")

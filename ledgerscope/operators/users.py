@@ -25,6 +25,10 @@ from ledgerscope.sources.tables import LedgerTables
 
 def active_users(t: LedgerTables, window: Window) -> DataFrame:
     """Distinct ``user_id`` (text) active in the window."""
+    return t.staged(("active_users", window), lambda: _active_users(t, window))
+
+
+def _active_users(t: LedgerTables, window: Window) -> DataFrame:
     tx = (ledger(t, users=False, assets=False)
           .filter(window.ts_between("transaction_date")))
     branches = [
@@ -64,6 +68,10 @@ INSIGHT_COLUMNS = ["user_id", "gender", "country", "dob", "status", "use_option"
 def user_insights(t: LedgerTables, window: Window) -> DataFrame:
     """Users created in the window, one row per profile (a user with two
     profiles appears twice), flagged ``is_recent`` and ``is_active``."""
+    return t.staged(("user_insights", window), lambda: _user_insights(t, window))
+
+
+def _user_insights(t: LedgerTables, window: Window) -> DataFrame:
     cohort = (t.users.filter(window.ts_between("created_at"))
               .select(F.col("id"), F.col("id").cast("string").alias("user_id"),
                       "gender", "country", "dob", "status", "use_option", "created_at",
@@ -95,6 +103,10 @@ def kpis_of(insights: DataFrame) -> DataFrame:
 
 def user_clean(t: LedgerTables, window: Window, as_of: dt.date) -> DataFrame:
     """J8 with labels normalised, birth date parsed, age and age group."""
+    return t.staged(("user_clean", window, as_of), lambda: _user_clean(t, window, as_of))
+
+
+def _user_clean(t: LedgerTables, window: Window, as_of: dt.date) -> DataFrame:
     dob = text.birth_date(F.col("dob"))
     age = text.age_on(dob, as_of)
     return user_insights(t, window).select(

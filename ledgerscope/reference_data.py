@@ -128,20 +128,37 @@ AGE_BIN_FIRST, AGE_BIN_WIDTH, AGE_BIN_COUNT = 18, 5, 12
 
 
 # ---------------------------------------------------------------------------
+_SMALL: dict = {}
+
+
+def small_table(spark: SparkSession, key, build) -> DataFrame:
+    """A constant table, created once per Spark application."""
+    k = (spark.sparkContext.applicationId, key)
+    if k not in _SMALL:
+        _SMALL[k] = build()
+    return _SMALL[k]
+
+
 def fee_table(spark: SparkSession, rows=FIXTURE_FEES) -> DataFrame:
-    return spark.createDataFrame(list(rows), FEE_SCHEMA)
+    rows = tuple(rows)
+    return small_table(spark, ("fees", rows),
+                       lambda: spark.createDataFrame(list(rows), FEE_SCHEMA))
 
 
 def card_table(spark: SparkSession, cards) -> DataFrame:
     rows = [(i, metric, label, fmt, prefix, METRIC_EXPLANATIONS[metric])
             for i, (metric, label, fmt, prefix) in enumerate(cards, start=1)]
-    return spark.createDataFrame(
+    return small_table(spark, ("cards", tuple(cards)), lambda: spark.createDataFrame(
         rows, "card_order int, metric string, label string, value_format string, "
-              "prefix string, explanation string")
+              "prefix string, explanation string"))
 
 
 def age_bins(spark: SparkSession) -> DataFrame:
     """The twelve age bins ``[lo, hi)`` with their text labels, generated."""
+    return small_table(spark, ("age_bins",), lambda: _age_bins(spark))
+
+
+def _age_bins(spark: SparkSession) -> DataFrame:
     lo = F.lit(AGE_BIN_FIRST) + F.col("id").cast("int") * AGE_BIN_WIDTH
     hi = lo + AGE_BIN_WIDTH
     return (spark.range(AGE_BIN_COUNT)
