@@ -25,6 +25,11 @@ def long_date(d: Column) -> Column:
     return F.date_format(d, "MMMM dd, yyyy")
 
 
+def period_label(start, end) -> Column:
+    """``January 05, 2024 → January 20, 2024`` for a window's dates."""
+    return F.concat(long_date(F.lit(start)), F.lit(" → "), long_date(F.lit(end)))
+
+
 def card_value(value: Column, value_format: Column, prefix: Column) -> Column:
     shown = F.when(value_format == "int", integer(value)).otherwise(money(value))
     return F.concat(prefix, shown)

@@ -23,7 +23,8 @@ from ledgerscope.operators import ledger, metrics, trend, users
 from ledgerscope.session import shared_dir
 from ledgerscope.sources.tables import LedgerTables
 
-CARD_COLUMNS = ["card_order", "metric", "label", "value", "display_value", "explanation"]
+CARD_COLUMNS = ["card_order", "metric", "label", "value", "display_value", "explanation",
+                "period_label"]
 
 
 def _long(wide: DataFrame, ids: list[str], metric_names: list[str]) -> DataFrame:
@@ -47,7 +48,9 @@ def kpi_general(t: LedgerTables, window: Window) -> DataFrame:
     u = metrics.user_counts(t, window)
     long = (_long(g, [], [m for m in names if m in g.columns])
             .unionByName(_long(u, [], [m for m in names if m in u.columns])))
-    return _cards(long, rd.GENERAL_CARDS, []).orderBy("card_order")
+    return (_cards(long, rd.GENERAL_CARDS, [])
+            .withColumn("period_label", formatting.period_label(window.start, window.end))
+            .orderBy("card_order"))
 
 
 def kpi_asset(t: LedgerTables, window: Window, fees: DataFrame | None = None) -> DataFrame:
@@ -58,7 +61,9 @@ def kpi_asset(t: LedgerTables, window: Window, fees: DataFrame | None = None) ->
     wide = metrics.asset_rollup(t, window, fees).filter(F.col("asset_type").isNotNull())
     long = (_long(wide, ["asset_type"], names)
             .filter((F.col("metric") != "total_users") | F.col("value").isNotNull()))
-    return _cards(long, rd.ASSET_CARDS, ["asset_type"]).orderBy("asset_type", "card_order")
+    return (_cards(long, rd.ASSET_CARDS, ["asset_type"])
+            .withColumn("period_label", formatting.period_label(window.start, window.end))
+            .orderBy("asset_type", "card_order"))
 
 
 def kpi_user(t: LedgerTables, window: Window) -> DataFrame:
@@ -71,7 +76,8 @@ def kpi_user(t: LedgerTables, window: Window) -> DataFrame:
     return (long.join(table, "metric")
             .select("card_order", "metric", "label", "value",
                     F.col("value").cast("bigint").cast("string").alias("display_value"),
-                    "explanation")
+                    "explanation",
+                    formatting.period_label(window.start, window.end).alias("period_label"))
             .orderBy("card_order"))
 
 

@@ -334,6 +334,9 @@ def _int_sql(v: str) -> str:
     return f"COALESCE(format('{{:,}}', CAST(TRUNC(CAST({v} AS DOUBLE)) AS BIGINT)), '0')"
 
 
+PERIOD_LABEL = (f"strftime({LO}, '%B %d, %Y') || ' → ' || strftime({HI}, '%B %d, %Y')")
+
+
 def _card_rows(cards, value_of, source: str, ids: str = "", where: str = "") -> str:
     parts = []
     for i, (metric, label, fmt, prefix) in enumerate(cards, start=1):
@@ -346,7 +349,8 @@ def _card_rows(cards, value_of, source: str, ids: str = "", where: str = "") ->
         parts.append(
             f"SELECT {ids}{i} AS card_order, '{metric}' AS metric, '{label}' AS label, "
             f"CAST({v} AS DOUBLE) AS value, '{prefix}' || {shown} AS display_value, "
-            f"'{expl}' AS explanation FROM {source}" + (f" WHERE {cond}" if cond else ""))
+            f"'{expl}' AS explanation, {PERIOD_LABEL} AS period_label FROM {source}"
+            + (f" WHERE {cond}" if cond else ""))
     return "\nUNION ALL\n".join(parts)
 
 
@@ -379,7 +383,7 @@ def _kpi_user_select() -> str:
         expl = rd.METRIC_EXPLANATIONS[metric].replace("'", "''")
         parts.append(f"SELECT {i} AS card_order, '{metric}' AS metric, '{label}' AS label, "
                      f"CAST({v} AS DOUBLE) AS value, CAST({v} AS VARCHAR) AS display_value, "
-                     f"'{expl}' AS explanation FROM insights")
+                     f"'{expl}' AS explanation, {PERIOD_LABEL} AS period_label FROM insights")
     return "\nUNION ALL\n".join(parts)
 
 
