@@ -44,8 +44,16 @@ ELIGIBLE = "t.status = 'success' AND u.restricted = false"
 NO_FLEX = "t.provider_number <> 'Flex Dollar'"
 
 
+# When False, the fx_* relations are expected to exist as tables (used by the
+# randomised differential tests); otherwise they are inlined as CTEs over the
+# driver's tables.
+INLINE_FIXTURES = True
+
+
 def _with(views, *ctes: str) -> str:
-    return duckdb_prelude(views) + "".join(",\n" + c for c in ctes)
+    if INLINE_FIXTURES:
+        return duckdb_prelude(views) + "".join(",\n" + c for c in ctes)
+    return ("WITH " + ",\n".join(ctes)) if ctes else ""
 
 
 # --------------------------------------------------------------------------
@@ -418,7 +426,18 @@ SELECT l.transaction_id, l.ttype AS transaction_type, l.asset_type, l.customer_i
 FROM aled l LEFT JOIN ft ON ft.user_id = l.customer_id"""
 
 
-def oracle_sql() -> dict[str, str]:
+def oracle_sql(inline_fixtures: bool = True) -> dict[str, str]:
+    """Oracle SQL per key; with ``inline_fixtures=False`` the statements read
+    tables named fx_transactions, fx_users, ... directly."""
+    global INLINE_FIXTURES
+    INLINE_FIXTURES = inline_fixtures
+    try:
+        return _oracle_sql()
+    finally:
+        INLINE_FIXTURES = True
+
+
+def _oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["general_metrics"] = _general()
     q["date_presets"] = _date_presets()
