@@ -118,19 +118,23 @@ def write_deposit_bounds(t: LedgerTables, root: str | None = None) -> tuple[Data
     return (t.spark.read.parquet(f"{root}/general"), t.spark.read.parquet(f"{root}/asset"))
 
 
-def write_report_mart(t: LedgerTables, window: Window, as_of, root: str | None = None) -> str:
+def write_report_mart(t: LedgerTables, window: Window, as_of, root: str | None = None,
+                      bounds: tuple[DataFrame, DataFrame] | None = None) -> str:
     """Write one window's report tables under the shared folder; returns it.
 
     The money tables are written straight from their jobs.  The user page is
     one cleaned user table (J10) written once; its KPIs and the six
     distributions are then computed from the stored table, so the cohort
     joins run once and a lost executor costs a re-read, not a recomputation.
+    ``bounds`` (from ``write_deposit_bounds``) lets the platform and asset
+    metrics read only the window's rows.
     """
+    gen_bounds, asset_bounds = bounds or (None, None)
     root = root or f"{shared_dir(t.spark)}/report_mart"
     money = {
-        "general_metrics": metrics.general_metrics(t, window),
+        "general_metrics": metrics.general_metrics(t, window, bounds=gen_bounds),
         "trend_month": trend.transaction_trend(t, window, "month"),
-        "asset_metrics": metrics.asset_metrics(t, window),
+        "asset_metrics": metrics.asset_metrics(t, window, bounds=asset_bounds),
         "users_by_asset_type": metrics.users_by_asset_type(t, window),
     }
     for name, df in money.items():
@@ -145,10 +149,11 @@ def write_report_mart(t: LedgerTables, window: Window, as_of, root: str | None =
     return root
 
 
-def report_mart(t: LedgerTables, window: Window, as_of, root: str | None = None) -> DataFrame:
+def report_mart(t: LedgerTables, window: Window, as_of, root: str | None = None,
+                bounds: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Write the mart, then list what it holds for the window:
     ``table_name, window_start, window_end, row_count``."""
-    root = write_report_mart(t, window, as_of, root)
+    root = write_report_mart(t, window, as_of, root, bounds)
     parts = [read_report_mart(t.spark, root, name, window)
              .agg(F.count(F.lit(1)).alias("row_count"))
              .select(F.lit(name).alias("table_name"), F.lit(window.start).alias("window_start"),
