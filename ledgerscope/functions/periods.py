@@ -60,15 +60,25 @@ class Window:
         return (f"({col} BETWEEN TIMESTAMP_NTZ'{self.start.isoformat()} 00:00:00' "
                 f"AND TIMESTAMP_NTZ'{self.end.isoformat()} 00:00:00')")
 
+    @property
+    def _day_after_end(self) -> dt.date:
+        return self.end + dt.timedelta(days=1)
+
     def day_between_sql(self, col: str) -> str:
         """SQL text of ``day_between`` for expression strings."""
-        return (f"(to_date({col}) BETWEEN DATE'{self.start.isoformat()}' "
-                f"AND DATE'{self.end.isoformat()}')")
+        return (f"({col} >= TIMESTAMP_NTZ'{self.start.isoformat()} 00:00:00' "
+                f"AND {col} < TIMESTAMP_NTZ'{self._day_after_end.isoformat()} 00:00:00')")
 
     def day_between(self, col) -> Column:
-        """``DATE(col) BETWEEN start AND end``: whole days, end day included."""
+        """``DATE(col) BETWEEN start AND end``: whole days, end day included.
+
+        Written as the equal half-open range ``start <= col < end + 1 day``
+        (both at midnight) so that, unlike ``to_date(col)``, it can be pushed
+        to the Parquet scan.
+        """
         c = F.col(col) if isinstance(col, str) else col
-        return F.to_date(c).between(F.lit(self.start), F.lit(self.end))
+        return ((c >= F.lit(self.start).cast("timestamp_ntz"))
+                & (c < F.lit(self._day_after_end).cast("timestamp_ntz")))
 
 
 def preset_window(option: str, as_of) -> Window:

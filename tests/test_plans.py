@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
-from ledgerscope.operators import metrics
+from ledgerscope.operators import metrics, users
 from ledgerscope.plans import params as P
 from ledgerscope.sources.tables import SOURCE_NAMES, fixture_tables, parquet_tables
 
@@ -69,7 +69,15 @@ def test_parquet_source_round_trip(spark, tmp_path):
         df.write.parquet(f"{root}/{name}")
     p = parquet_tables(spark, root)
     assert "user_ref" in p.messages.columns
-    for fn in (metrics.general_metrics, metrics.asset_metrics):
+    for fn in (metrics.general_metrics, metrics.asset_metrics, metrics.user_counts,
+               users.recent_users, users.user_insights):
         a = sorted(map(tuple, fn(t, P.WINDOW).collect()), key=repr)
         b = sorted(map(tuple, fn(p, P.WINDOW).collect()), key=repr)
         assert a == b
+    # whole-day bounds are ranges on the raw column, so they reach the scan
+    for df, col in ((users.recent_users(p, P.WINDOW), "most_recent_activity"),
+                    (metrics.user_counts(p, P.WINDOW), "created_at")):
+        plan = _plan(df)
+        scan = [x for x in plan.splitlines()
+                if "FileScan" in x and f"{col}:timestamp_ntz" in x][0]
+        assert f"GreaterThanOrEqual({col}," in scan.split("PushedFilters")[1]
