@@ -23,15 +23,17 @@ from ledgerscope import reference_data as rd
 from ledgerscope.operators.joins import dimension_join
 from ledgerscope.sources.tables import LedgerTables
 
+def _user_columns(t: LedgerTables) -> DataFrame:
+    return t.users.select(F.col("id").alias("u_id"), "restricted",
+                          F.col("created_at").alias("sign_up_date"),
+                          "first_name", "last_name")
+
+
 def _with_user_attrs(t: LedgerTables, dim: DataFrame, key: str, prefix: str,
                      spread_by: str) -> DataFrame:
-    """Left-join the user attributes onto a plan dimension.  Both plan kinds
-    join the *same* users projection (renamed afterwards), so Spark builds
-    and broadcasts it once for both."""
-    users = t.users.select(F.col("id").alias("u_id"), "restricted",
-                           F.col("created_at").alias("sign_up_date"),
-                           "first_name", "last_name")
-    joined = dimension_join(dim, key, users, "u_id", small=t.is_small("users"),
+    """Left-join the user attributes onto a plan dimension (large user base:
+    a sort-merge join of two dimension-sized tables)."""
+    joined = dimension_join(dim, key, _user_columns(t), "u_id", small=t.is_small("users"),
                             spread_by=spread_by)
     return joined.withColumnsRenamed({c: f"{prefix}{c}" for c in
                                       ("u_id", "restricted", "sign_up_date",
@@ -98,13 +100,22 @@ def build_ledger(t: LedgerTables, *, users: bool = True, assets: bool = True,
         F.col("amount").alias("ghs_amount"), "usd_amount", "exchange_rate",
         F.col("provider_number").alias("provider"))
 
-    inv = investment_dimension(t, users=users, assets=assets)
-    sav = savings_dimension(t, users=users)
+    # Users within the broadcast bound are joined once, on the owner, after
+    # both plan joins (no shuffle either way).  Larger user bases are joined
+    # onto the plan dimensions first, which spares the fact table a third
+    # shuffle.
+    users_once = users and t.is_small("users")
+    pre_join = users and not users_once
+    inv = investment_dimension(t, users=pre_join, assets=assets)
+    sav = savings_dimension(t, users=pre_join)
     # the dimensions have as many rows as their plan tables (unique-key joins)
     j = dimension_join(fact, "investment_plan_id", inv, "ip_id",
                        small=t.is_small("investment_plans"), spread_by="transaction_id")
     j = dimension_join(j, "plan_id", sav, "p_id",
                        small=t.is_small("plans"), spread_by="transaction_id")
+    if users_once:
+        j = j.join(F.broadcast(_user_columns(t)),
+                   F.coalesce("p_user_id", "ip_user_id") == F.col("u_id"), "left")
 
     has_inv = F.col("investment_plan_id").isNotNull()
     has_sav = F.col("plan_id").isNotNull()
@@ -121,7 +132,10 @@ def build_ledger(t: LedgerTables, *, users: bool = True, assets: bool = True,
     ]
     if assets:
         cols += ["asset_name", "assets_maturity_date", "investment_maturity_date"]
-    if users:
+    if users_once:
+        cols += [F.col("u_id").alias("customer_id"), "restricted", "sign_up_date",
+                 F.concat("first_name", F.lit(" "), "last_name").alias("customer_name")]
+    elif users:
         # the owner is the savings plan's user when that plan names one
         by_savings = F.col("p_user_id").isNotNull()
 

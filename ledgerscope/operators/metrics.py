@@ -181,7 +181,9 @@ def general_metrics_presets(t: LedgerTables, as_of,
               .agg(*_totals(None, day_test="to_date(first_dep) BETWEEN start_date AND end_date")))
     counts = ["deposit_count", "withdrawal_count", "total_depositors", "total_withdrawers",
               "recurring_depositors", "new_depositors"]
-    return (F.broadcast(dims).join(level2, "preset_order", "left")
+    # level2 has at most one row per preset, so it is the broadcast side of
+    # a right join that keeps every preset
+    return (F.broadcast(level2).join(dims, "preset_order", "right")
             .select("preset_order", "preset", "start_date", "end_date",
                     *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) if c in counts
                       else F.col(c) for c in GENERAL_COLUMNS]))
