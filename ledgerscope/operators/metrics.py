@@ -20,16 +20,18 @@ the window.  Averages are carried as sum and non-null count.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerscope import reference_data as rd
 from ledgerscope.functions.periods import PRESETS, Window, preset_window
-from ledgerscope.operators.ledger import (base_asset, base_general, deposit_bounds,
-                                          eligible, ledger, provider_ok)
+from ledgerscope.operators.ledger import (base_asset, base_general, eligible, ledger,
+                                          provider_ok)
 from ledgerscope.operators.joins import broadcast_row_limit, row_count_at_most
 from ledgerscope.sources.tables import LedgerTables
 
 _MONEY = (("ghs", "ghs_amount"), ("usd", "usd_amount"))
+LIFETIME = -1        # preset tag of a customer's lifetime deposit rows
 
 
 def customer_rollup(rows: DataFrame, keys: list[str], windows: dict[str, Window],
@@ -145,38 +147,56 @@ def general_metrics_presets(t: LedgerTables, as_of,
     """J1 for every date preset anchored on ``as_of``: one row per preset.
 
     One pass over the ledger serves all windows.  Each row is tagged with
-    the presets whose window holds it (at most ``len(presets)`` tags) and
-    exploded, so the per-(customer, preset) aggregate stays as narrow as the
-    single-window one and keeps whole-stage code generation; the lifetime
-    deposit bounds are aggregated per customer once and joined back on the
-    pre-aggregated rows.  Presets with no rows still get their row.
+    the presets whose window holds it (at most ``len(presets)`` tags; a
+    deposit also with the lifetime tag) and exploded, so the per-(customer,
+    tag) aggregate stays as narrow as the single-window one and keeps
+    whole-stage code generation.  The lifetime bounds reach the window rows
+    through a window function over each customer's few aggregated rows - no
+    second scan, no join.  Presets with no rows still get their row.
     """
     windows = [preset_window(name, as_of) for name in presets]
     rows = base_general(t).withColumns({
         "_dep": F.coalesce(F.col("transaction_type").isin(*deposit_types), F.lit(False)),
         "_wd": F.coalesce((F.col("transaction_type") == rd.WITHDRAWAL_TYPE) & provider_ok(),
                           F.lit(False))})
-    life = (bounds.select("customer_id", "first_dep", "last_dep") if bounds is not None
-            else deposit_bounds(rows.filter("_dep"), ["customer_id"], None))
-    holding = F.filter(F.array(*[F.when(F.expr(w.ts_between_sql("transaction_date")), F.lit(i))
-                                 for i, w in enumerate(windows)]), lambda x: x.isNotNull())
     aggs = ["count(1) AS win_n"]
     for side, flag in (("dep", "_dep"), ("wd", "_wd")):
         aggs.append(f"count_if({flag}) AS {side}_n")
         for cur, col in _MONEY:
             aggs.append(f"sum(CASE WHEN {flag} THEN {col} END) AS {side}_{cur}")
             aggs.append(f"count(CASE WHEN {flag} THEN {col} END) AS {side}_{cur}_n")
-    per = (rows.select("customer_id", F.explode(holding).alias("preset_order"),
-                       "_dep", "_wd", "ghs_amount", "usd_amount")
-           .groupBy("customer_id", "preset_order")
-           .agg(*[F.expr(e) for e in aggs]))
+    tags = [F.when(F.expr(w.ts_between_sql("transaction_date")), F.lit(i))
+            for i, w in enumerate(windows)]
+    if bounds is None:
+        # deposits also carry the lifetime tag -1, so one pass over the ledger
+        # yields both the window aggregates and the lifetime bounds
+        tags.append(F.when(F.col("_dep"), F.lit(LIFETIME)))
+        aggs += ["min(CASE WHEN _dep THEN transaction_date END) AS first_dep",
+                 "max(CASE WHEN _dep THEN transaction_date END) AS last_dep"]
+    else:
+        rows = rows.filter(" OR ".join(w.ts_between_sql("transaction_date") for w in windows))
+    tagged = rows.select("customer_id", "_dep", "_wd", "ghs_amount", "usd_amount",
+                         "transaction_date",
+                         F.explode(F.filter(F.array(*tags), lambda x: x.isNotNull()))
+                         .alias("preset_order"))
+    grouped = tagged.groupBy("customer_id", "preset_order").agg(*[F.expr(e) for e in aggs])
+    if bounds is None:
+        # hand each customer's lifetime bounds to its window rows: a window
+        # over at most len(presets) + 1 aggregated rows per customer
+        per_customer = W.partitionBy("customer_id")
+        lifetime = F.col("preset_order") == LIFETIME
+        per = (grouped
+               .withColumn("first_dep", F.max(F.when(lifetime, F.col("first_dep"))).over(per_customer))
+               .withColumn("last_dep", F.max(F.when(lifetime, F.col("last_dep"))).over(per_customer))
+               .filter(~lifetime))
+    else:
+        per = grouped.join(bounds.select("customer_id", "first_dep", "last_dep"), "customer_id", "left")
     # one row per preset: bounded by construction
     dims = rd.small_table(t.spark, ("presets", tuple(presets), tuple(windows)),
                           lambda: t.spark.createDataFrame(
         [(i, name, w.start, w.end) for i, (name, w) in enumerate(zip(presets, windows))],
         "preset_order int, preset string, start_date date, end_date date"))
-    level2 = (per.join(life, "customer_id", "left")
-              .join(F.broadcast(dims), "preset_order")
+    level2 = (per.join(F.broadcast(dims), "preset_order")
               .groupBy("preset_order")
               .agg(*_totals(None, day_test="to_date(first_dep) BETWEEN start_date AND end_date")))
     counts = ["deposit_count", "withdrawal_count", "total_depositors", "total_withdrawers",
