@@ -150,7 +150,9 @@ def age_distribution_of(clean: DataFrame) -> DataFrame:
               .select(text.age_bin(F.col("age")).alias("age_bin"))
               .filter(F.col("age_bin").isNotNull())
               .groupBy("age_bin").agg(F.count(F.lit(1)).alias("count")))
-    bins = F.broadcast(rd.age_bins(clean.sparkSession))   # twelve rows by construction
-    return (bins.join(counts, "age_bin", "left")
+    # both sides have at most twelve rows by construction; the counts are the
+    # broadcast side of a right join that keeps every bin
+    bins = rd.age_bins(clean.sparkSession)
+    return (F.broadcast(counts).join(bins, "age_bin", "right")
             .orderBy("age_bin")
             .select("age_group", F.coalesce(F.col("count"), F.lit(0)).alias("count")))
