@@ -1,0 +1,21 @@
+"""Session helpers: the shared folder comes from the session."""
+
+from ledgerscope.session import CLUSTER_CONF, CORE_CONF, shared_dir
+
+
+def test_shared_dir_uses_the_sessions_checkpoint_dir(spark):
+    sc = spark.sparkContext
+    before = sc.getCheckpointDir()
+    d = shared_dir(spark)
+    assert d
+    if before:                       # set by the cluster / spark-defaults: reused as is
+        assert d == before.rstrip("/")
+    assert shared_dir(spark) == d    # stable
+
+
+def test_core_settings_cover_time_zone_ansi_and_aqe():
+    assert CORE_CONF["spark.sql.session.timeZone"] == "UTC"
+    assert CORE_CONF["spark.sql.adaptive.enabled"] == "true"
+    assert CORE_CONF["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    assert CORE_CONF["spark.ui.enabled"] == "false"
+    assert int(CLUSTER_CONF["ledgerscope.broadcast.maxRows"]) > 0
