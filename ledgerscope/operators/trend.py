@@ -45,15 +45,15 @@ def trend_pivot(t: LedgerTables, window: Window, granularity: str = "month",
     """One row per period, one amount column per type in ``types``.
 
     Deposits and withdrawals are renamed ``Deposits`` / ``Withdrawals`` and
-    are always present; a type with no rows in a period reads 0.  The value
-    list is explicit, so Spark plans a single aggregation and the columns do
-    not depend on the data.
+    are always present; a type with no rows in a period reads 0.  With the
+    value list fixed, the wide form is one aggregation of conditional sums
+    (one shuffle; ``pivot`` would aggregate twice), and the columns do not
+    depend on the data.
     """
     types = list(dict.fromkeys(["deposit", "withdrawal", *types]))
-    wide = (_trend_rows(t, window)
+    sums = [F.coalesce(F.sum(F.when(F.col("tx_type") == v, F.col("ghs_amount"))).cast("double"),
+                       F.lit(0.0)).alias(rd.TREND_RENAMES.get(v, v)) for v in types]
+    return (_trend_rows(t, window)
             .groupBy(_period(granularity))
-            .pivot("tx_type", types)
-            .agg(F.sum("ghs_amount").cast("double")))
-    return (wide.na.fill(0.0, subset=types)
-            .withColumnsRenamed(rd.TREND_RENAMES)
+            .agg(*sums)
             .orderBy("period"))
