@@ -72,3 +72,16 @@ def test_report_mart_is_idempotent_per_window(t, tmp_path):
             .select("age_group", "count").collect()]
     assert sorted(ages) == sorted(tuple(r) for r in users.age_distribution(t, P.WINDOW, P.AS_OF).collect())
     assert first["user_kpis"] == 1 and first["dist_age_group"] == 12
+
+
+def test_batch_job_writes_the_mart(spark, tmp_path, capsys):
+    from ledgerscope.__main__ import main
+    out, bounds = str(tmp_path / "mart"), str(tmp_path / "bounds")
+    main(["--fixture", SF, "--preset", "Last 30 Days", "--as-of", "2024-01-31",
+          "--out", out, "--bounds", bounds, "--local"])
+    printed = capsys.readouterr().out
+    assert all(name in printed for name in report.MART_TABLES)
+    stored = report.read_report_mart(spark, out, "general_metrics",
+                                     Window.of("2024-01-02", "2024-01-31"))
+    direct = metrics.general_metrics(fixture_tables(spark, SF), Window.of("2024-01-02", "2024-01-31"))
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, direct.collect()))
