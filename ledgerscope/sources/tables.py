@@ -3,10 +3,11 @@
 Every job takes a ``LedgerTables``; where the rows come from (fixture views,
 Parquet folders, a JDBC database) is decided here and nowhere else.
 
-Column names follow the ledger schema (FIXTURES.md "Target schemas").  Two
-source columns are renamed on the way in: the message table's quoted
-``"user"`` column becomes ``user_ref`` and the users' use-option column
-becomes ``use_option`` (pass ``renames`` for other spellings).
+Column names follow the ledger schema (FIXTURES.md "Target schemas").  The
+message table's quoted ``"user"`` column is renamed to ``user_ref`` on the
+way in.  A source that spells another column differently (for example the
+users' use-option column) is mapped with ``renames={"users": {"<source
+name>": "use_option"}}``.
 """
 
 from __future__ import annotations
