@@ -5,13 +5,16 @@ Join plan
 ---------
 A transaction points to a savings plan, an investment plan, or both.  Its
 owner is the savings plan's user if there is one, else the investment plan's
-(``COALESCE``), and its asset type prefers the investment plan's asset.  The
-user attributes (restriction flag, sign-up date, name) are joined onto each
-plan dimension *before* the dimensions meet the fact table, so the fact
-table takes part in two joins (one per plan kind) instead of three; the owner's
-attributes are then picked per row.  Dimensions are never larger than the
-user base; the transaction table is the only relation that grows with
-activity.
+(``COALESCE``), and its asset type prefers the investment plan's asset.
+Every dimension is broadcast when its table passed the row-bound check, and
+then users are joined once, on the resolved owner: the transactions stream
+through the joins without a shuffle.  When users are too many to broadcast,
+their attributes (restriction flag, sign-up date, name) are joined onto each
+plan dimension *before* the dimensions meet the fact table, and the owner's
+attributes are picked per row, so the fact table takes part in two shuffled
+joins (one per plan kind) instead of three.  Dimensions are never larger
+than the user base; the transaction table is the only relation that grows
+with activity.
 """
 
 from __future__ import annotations
