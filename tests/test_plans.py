@@ -81,3 +81,13 @@ def test_parquet_source_round_trip(spark, tmp_path):
         scan = [x for x in plan.splitlines()
                 if "FileScan" in x and f"{col}:timestamp_ntz" in x][0]
         assert f"GreaterThanOrEqual({col}," in scan.split("PushedFilters")[1]
+
+
+def test_partial_aggregation_before_the_customer_shuffle(spark):
+    """Map-side combine: a customer with a third of all rows sends one
+    partial row per task through the shuffle."""
+    plan = _plan(E.queries()["general_metrics"](spark, SF)).splitlines()
+    at = [i for i, x in enumerate(plan) if "Exchange hashpartitioning(customer_id" in x]
+    assert at
+    child = plan[at[0] + 1]
+    assert "HashAggregate" in child and "partial_" in child
