@@ -6,14 +6,52 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerscope.llm.decontamination import op4_decontamination
+from ledgerscope.llm.language_id import op9_language_id
 from ledgerscope.llm.token_counts import op7_token_counts
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+DECONTAMINATION_SQL = rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+item AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+         regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+item_window AS (
+  SELECT DISTINCT item, n, words[i:i + n - 1] AS win
+  FROM (SELECT *, unnest(range(1, len(words) - n + 2)) AS i
+        FROM (SELECT *, least(10, len(words)) AS n FROM item WHERE len(words) > 0))),
+doc_window AS (
+  SELECT r, n, i, words[i:i + n - 1] AS win
+  FROM (SELECT d.r, d.words, s.n, unnest(range(1, len(d.words) - s.n + 2)) AS i
+        FROM doc d, (SELECT DISTINCT n FROM item_window) s WHERE len(d.words) >= s.n)),
+hit AS (SELECT r, item, n, i FROM doc_window JOIN item_window USING (n, win)),
+hit_words AS (
+  SELECT r, count(DISTINCT pos) AS n_hit
+  FROM (SELECT r, unnest(range(i, i + n)) AS pos FROM (SELECT DISTINCT r, n, i FROM hit)) GROUP BY r),
+hit_items AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+       coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_decontamination": op4_decontamination,
         "op7_token_counts": op7_token_counts,
+        "op9_language_id": op9_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_decontamination": DECONTAMINATION_SQL,
+    }
