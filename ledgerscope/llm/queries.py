@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerscope.llm.decontamination import op4_decontamination
+from ledgerscope.llm.jaccard_join import op10_jaccard_join
 from ledgerscope.llm.language_id import op9_language_id
 from ledgerscope.llm.token_counts import op7_token_counts
 
@@ -42,16 +43,42 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM doc LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
 """
 
+JACCARD_SQL = rf"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS words FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(words) < 5 THEN words ELSE words[i:i + 4] END AS s
+  FROM (SELECT *, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM doc WHERE len(words) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+shared AS (
+  SELECT s, min(doc_id) AS d FROM shingle GROUP BY s HAVING count(*) > 1),
+paired AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
+  FROM shared JOIN shingle a USING (s) JOIN shingle b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+link AS (
+  SELECT x, y FROM paired JOIN size a ON a.doc_id = x JOIN size b ON b.doc_id = y
+  WHERE 100 * common >= 80 * (a.n + b.n - common)),
+way AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (
+  SELECT doc_id, doc_id AS at FROM size
+  UNION SELECT reach.doc_id, way.y FROM reach JOIN way ON reach.at = way.x)
+SELECT doc.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c.least, doc.doc_id) AS component_id
+FROM doc LEFT JOIN size USING (doc_id)
+LEFT JOIN (SELECT doc_id, min(at) AS least FROM reach GROUP BY doc_id) c USING (doc_id)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_decontamination": op4_decontamination,
         "op7_token_counts": op7_token_counts,
         "op9_language_id": op9_language_id,
+        "op10_jaccard_join": op10_jaccard_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_decontamination": DECONTAMINATION_SQL,
+        "op10_jaccard_join": JACCARD_SQL,
     }
