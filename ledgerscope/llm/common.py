@@ -75,3 +75,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its file system's scheme, as tasks outside the JVM open it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    return f"file://{uri[5:]}" if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
+def file_system(uri: str):
+    """``(file system, path in it)`` of a qualified path, for tasks."""
+    from pyarrow import fs
+    return fs.FileSystem.from_uri(uri)

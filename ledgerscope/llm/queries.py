@@ -10,6 +10,7 @@ from ledgerscope.llm.decontamination import op4_decontamination
 from ledgerscope.llm.jaccard_join import op10_jaccard_join
 from ledgerscope.llm.language_id import op9_language_id
 from ledgerscope.llm.token_counts import op7_token_counts
+from ledgerscope.llm.token_files import op3_token_files
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -60,16 +61,17 @@ link AS (
   WHERE 100 * common >= 80 * (a.n + b.n - common)),
 way AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
 reach AS (
-  SELECT doc_id, doc_id AS at FROM size
-  UNION SELECT reach.doc_id, way.y FROM reach JOIN way ON reach.at = way.x)
+  SELECT doc_id, doc_id AS node FROM size
+  UNION SELECT reach.doc_id, way.y FROM reach JOIN way ON reach.node = way.x)
 SELECT doc.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c.least, doc.doc_id) AS component_id
 FROM doc LEFT JOIN size USING (doc_id)
-LEFT JOIN (SELECT doc_id, min(at) AS least FROM reach GROUP BY doc_id) c USING (doc_id)
+LEFT JOIN (SELECT doc_id, min(node) AS least FROM reach GROUP BY doc_id) c USING (doc_id)
 """
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_token_files": op3_token_files,
         "op4_decontamination": op4_decontamination,
         "op7_token_counts": op7_token_counts,
         "op9_language_id": op9_language_id,
