@@ -11,9 +11,25 @@ from ledgerscope.llm.jaccard_join import op10_jaccard_join
 from ledgerscope.llm.language_id import op9_language_id
 from ledgerscope.llm.token_counts import op7_token_counts
 from ledgerscope.llm.token_files import op3_token_files
+from ledgerscope.llm.topk_search import op1_topk_search
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS w
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum([x[1] * x[2] FOR x IN list_zip(q.w, c.w, true)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 20
+"""
+
 DECONTAMINATION_SQL = rf"""
 WITH doc AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -71,6 +87,7 @@ LEFT JOIN (SELECT doc_id, min(node) AS least FROM reach GROUP BY doc_id) c USING
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_topk_search": op1_topk_search,
         "op3_token_files": op3_token_files,
         "op4_decontamination": op4_decontamination,
         "op7_token_counts": op7_token_counts,
@@ -81,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_topk_search": TOPK_SQL,
         "op4_decontamination": DECONTAMINATION_SQL,
         "op10_jaccard_join": JACCARD_SQL,
     }
