@@ -12,6 +12,7 @@ from ledgerscope.llm.language_id import op9_language_id
 from ledgerscope.llm.token_counts import op7_token_counts
 from ledgerscope.llm.token_files import op3_token_files
 from ledgerscope.llm.topk_search import op1_topk_search
+from ledgerscope.llm.warc_zip import op5_warc_zip
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -60,6 +61,22 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM doc LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
 """
 
+WARC_SQL = """
+WITH page AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS sha
+  FROM pages),
+coded AS (
+  SELECT *, max(page_id) OVER (PARTITION BY sha) AS leader,
+         array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                                 1 + CAST(CAST(lpad(substr(bits, 5 * i + 1, 5), 32, '0') AS BIT) AS INTEGER), 1)
+                          FOR i IN range(32)], '') AS payload_digest
+  FROM (SELECT *, CAST(unhex(sha) AS BIT)::VARCHAR AS bits FROM page))
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = leader THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> leader THEN leader END AS refers_to
+FROM coded
+"""
+
 JACCARD_SQL = rf"""
 WITH RECURSIVE doc AS (
   SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS words FROM documents),
@@ -90,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_topk_search": op1_topk_search,
         "op3_token_files": op3_token_files,
         "op4_decontamination": op4_decontamination,
+        "op5_warc_zip": op5_warc_zip,
         "op7_token_counts": op7_token_counts,
         "op9_language_id": op9_language_id,
         "op10_jaccard_join": op10_jaccard_join,
@@ -100,5 +118,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_topk_search": TOPK_SQL,
         "op4_decontamination": DECONTAMINATION_SQL,
+        "op5_warc_zip": WARC_SQL,
         "op10_jaccard_join": JACCARD_SQL,
     }
