@@ -12,6 +12,7 @@ from ledgerscope.llm.language_id import op9_language_id
 from ledgerscope.llm.token_counts import op7_token_counts
 from ledgerscope.llm.token_files import op3_token_files
 from ledgerscope.llm.topk_search import op1_topk_search
+from ledgerscope.llm.toxicity import op2_toxicity
 from ledgerscope.llm.warc_zip import op5_warc_zip
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -105,6 +106,7 @@ LEFT JOIN (SELECT doc_id, min(node) AS least FROM reach GROUP BY doc_id) c USING
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk_search": op1_topk_search,
+        "op2_toxicity": op2_toxicity,
         "op3_token_files": op3_token_files,
         "op4_decontamination": op4_decontamination,
         "op5_warc_zip": op5_warc_zip,
