@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerscope.llm.decontamination import op4_decontamination
 from ledgerscope.llm.jaccard_join import op10_jaccard_join
 from ledgerscope.llm.language_id import op9_language_id
+from ledgerscope.llm.secret_scan import op6_secret_scan
 from ledgerscope.llm.sp_sampling import op8_sentencepiece
 from ledgerscope.llm.token_counts import op7_token_counts
 from ledgerscope.llm.token_files import op3_token_files
@@ -111,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_files": op3_token_files,
         "op4_decontamination": op4_decontamination,
         "op5_warc_zip": op5_warc_zip,
+        "op6_secret_scan": op6_secret_scan,
         "op7_token_counts": op7_token_counts,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_language_id": op9_language_id,
