@@ -31,7 +31,7 @@ from ledgerscope.llm.decontamination import decontaminate
 from ledgerscope.llm.jaccard_join import BROADCAST_IDS, jaccard_classes
 from ledgerscope.llm.language_id import fit, fold_of, identify
 from ledgerscope.llm.secret_scan import scan_secrets
-from ledgerscope.llm.sp_sampling import decode_pieces, sample_pieces
+from ledgerscope.llm.sp_sampling import sample_pieces
 
 #: No SQL: compression, forests and sampling can't be expressed; tests hold stages against brute force.
 ORACLE_SQL = None
@@ -81,9 +81,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    out = decode_pieces(sample_pieces(docs.select("doc_id", "lang", "text"), model), model)
-    return out.select("doc_id", "lang", F.size("pieces").cast("long").alias("n_pieces"), "pieces",
-                      (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+    return sample_pieces(docs.select("doc_id", "lang", "text"), model, verify=True).select(
+        "doc_id", "lang", F.size("pieces").cast("long").alias("n_pieces"), "pieces", "lossless")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

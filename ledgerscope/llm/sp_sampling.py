@@ -39,9 +39,9 @@ from pyspark.sql import functions as F
 from ledgerscope.llm.common import mix64, row_runs, text_buffer
 
 #: Segments whose forward pass one Python worker keeps (some 400 bytes each), and the longest of them.
-SEGMENTS_KEPT, LONGEST_KEPT = 300_000, 48
-#: Text bytes that are sampled at a time.
-RUN_BYTES = 2 << 20
+SEGMENTS_KEPT, LONGEST_KEPT = 250_000, 48
+#: Text bytes that are sampled, and rows that are decoded at a time.
+RUN_BYTES, DECODED_ROWS = 1 << 20, 512
 ALPHA = 1.0
 
 _MARK, _LITERAL = "▁", "\ud800"  # a lone surrogate stands for a mark that the text holds itself
@@ -49,7 +49,7 @@ _SEGMENT = re.compile(f"{_MARK}+[^{_MARK}]*")
 _TINY = 1e-100
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Longest segments that are filtered as columns, and how many at a time.
-_COLUMNS, _TOGETHER = 32, 4096
+_COLUMNS, _TOGETHER = 32, 2048
 
 
 class Lattices:
@@ -291,24 +291,37 @@ def _schema(df: DataFrame, without: list[str], added: str) -> tuple[list[str], s
     return [f.name for f in kept], ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [added])
 
 
+def spell(ids: np.ndarray, ends: np.ndarray, spelled: np.ndarray) -> Iterator[bytes]:
+    """The text of each run of piece ids, without the mark that encoding put first."""
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        yield b"".join(spelled[ids[a:b]])[1:]
+
+
 def sample_pieces(docs: DataFrame, model_file: str, seed: int = 0, key: str = "doc_id", text: str = "text",
-                  alpha: float = ALPHA, by_rank: bool = True) -> DataFrame:
-    """``docs`` with ``pieces array<int>``, a sampled segmentation; a map job, no shuffle."""
+                  alpha: float = ALPHA, by_rank: bool = True, verify: bool = False) -> DataFrame:
+    """``docs`` with ``pieces array<int>``, a sampled segmentation; a map job, no shuffle.
+
+    ``verify`` decodes every row again and adds ``lossless``: whether that gave its text.
+    """
     keyed = docs.withColumn("_key", F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.col(text))))
-    columns, schema = _schema(docs, ["pieces"], "pieces array<int>")
+    added = ["pieces", "lossless"] if verify else ["pieces"]
+    columns, schema = _schema(docs, added, "pieces array<int>" + ", lossless boolean" * verify)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = lattices(model_file, alpha, by_rank)
+        spelled = np.array(tool.spelled, object)
         for batch in batches:
             _, offsets = text_buffer(batch.column(text))
-            texts = [t.as_py() or "" for t in batch.column(text)]
             keys = np.asarray(batch.column("_key")).astype(np.int64).view(np.uint64)
             for lo, hi in row_runs(offsets, RUN_BYTES):
-                ids, counts = tool.sample(texts[lo:hi], keys[lo:hi])
+                texts = [t or "" for t in batch.column(text).slice(lo, hi - lo).to_pylist()]
+                ids, counts = tool.sample(texts, keys[lo:hi])
                 ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+                made = [pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))]
+                if verify:
+                    made.append(pa.array([t.encode() == d for t, d in zip(texts, spell(ids, ends, spelled))]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(c).slice(lo, hi - lo) for c in columns]
-                    + [pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=columns + ["pieces"])
+                    [batch.column(c).slice(lo, hi - lo) for c in columns] + made, names=columns + added)
 
     return keyed.mapInArrow(run, schema)
 
@@ -320,12 +333,14 @@ def decode_pieces(rows: DataFrame, model_file: str, pieces: str = "pieces") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelled = np.array(lattices(model_file, ALPHA, True).spelled, object)
         for batch in batches:
-            lists = batch.column(pieces).fill_null([]) if batch.column(pieces).null_count else batch.column(pieces)
-            ends = np.asarray(lists.offsets)
-            flat = np.asarray(lists.values)
-            texts = [b"".join(spelled[flat[a:b]])[1:].decode() for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [pa.array(texts, pa.string())],
-                                             names=columns + ["decoded"])
+            for lo in range(0, batch.num_rows, DECODED_ROWS):
+                part = batch.slice(lo, DECODED_ROWS)
+                lists = part.column(pieces)
+                lists = lists.fill_null([]) if lists.null_count else lists
+                flat, ends = np.asarray(lists.values), np.asarray(lists.offsets)
+                texts = [t.decode() for t in spell(flat, ends, spelled)]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in columns] + [pa.array(texts, pa.string())],
+                                                 names=columns + ["decoded"])
 
     return rows.mapInArrow(run, schema)
 
@@ -333,6 +348,5 @@ def decode_pieces(rows: DataFrame, model_file: str, pieces: str = "pieces") -> D
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = decode_pieces(sample_pieces(docs, model), model)
-    return out.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces",
-                      (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+    return sample_pieces(docs, model, verify=True).select(
+        "doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces", "lossless")

@@ -53,13 +53,15 @@ class PieceCounter:
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
         self.opens = np.array([p.startswith(_MARK) for p in pieces])
-        self.splits = (not any(_MARK in p.lstrip(_MARK) for p in pieces)
+        self.splits = (_MARK in pieces and not any(_MARK in p.lstrip(_MARK) for p in pieces)
                        and self.sp.normalize(" a  \n ﬁ①") == f"{_MARK}{_MARK}a{_MARK}{_MARK}\n{_MARK}ﬁ①")
         self.known: dict[str, int] = {}
 
     def _encode(self, segments: list[str]) -> dict[str, int]:
         plain = [s for s in segments if s[1:2] != _MARK and len(s) > 1]
-        out = {s: len(self.sp.encode(s[1:])) for s in segments if s[1:2] == _MARK or len(s) == 1}
+        out = {s: len(self.sp.encode(s[1:])) for s in segments if s[1:2] == _MARK}
+        if _MARK in segments:  # the library would put another mark before a lone one
+            out[_MARK] = 1
         if plain:
             ids = np.array(self.sp.encode("".join(plain)[1:]))
             first = np.flatnonzero(self.opens[ids])
