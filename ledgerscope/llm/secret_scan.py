@@ -1,11 +1,12 @@
 """Secret scanning with a random forest that removes false positives.
 
 Everything runs as DataFrame and SQL functions.  A pattern finds candidates: runs
-of token characters with a digit.  Each gets its neighbourhood (text before and
+of token characters with a digit, or of capitals.  Each gets its neighbourhood (text before and
 after, the document's path) and features: length, changes between character
-classes, shares of classes and of different characters, how much of it
-dictionary words cover, words of secrecy, of example or of assignment nearby,
-and signs of a test path.  A random forest fitted on labelled findings gives the
+classes, letter pairs that the dictionary's words have too, shares of classes and
+of different characters, how much of it dictionary words cover, an issuer's
+format, words of secrecy, of example or of assignment nearby, and signs of a
+test path.  A random forest fitted on labelled findings gives the
 probability that a candidate is a secret; its trees become one SQL expression, so a
 document is scanned and redacted within its own row: no shuffle, no key.
 
@@ -24,6 +25,8 @@ pass through, except ones named like a result column.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,18 +41,23 @@ THRESHOLD = 0.5
 NEAR = 48
 MASK = "[SECRET]"
 
-#: Token characters, 12 at least, with a digit among them, not part of a longer token or address.
-CANDIDATE = r"(?<![A-Za-z0-9+/_@.\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{12,}={0,2}"
+#: Token characters, 12 at least with a digit among them or 16 capitals, not part of a longer token or address.
+CANDIDATE = (r"(?<![A-Za-z0-9+/_@.\-])(?:(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{12,}={0,2}"
+             r"|[A-Z]{16,}(?![A-Za-z0-9+/_\-]))")
 _OPEN, _CLOSE = "\x01", "\x02"  # marks around candidates; taken out of the text first
 
-SECRECY = "(?i)(pass(word|wd|phrase)?|pwd|secret|token|api.?key|access.?key|private.?key|credential|auth|bearer)"
-EXAMPLE = "(?i)(example|sample|dummy|placeholder|changeme|xxxx|redacted|commit|sha1|sha256|md5|checksum|digest|uuid)"
+_LAST = r"\w*\W+(\w+\W+){0,2}$"  # as one of the last three words before the candidate
+SECRECY = f"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api.?key|access.?key|private.?key|credential|auth|bearer){_LAST}"
+EXAMPLE = f"(?i)(example|sample|dummy|placeholder|commit|sha1|sha256|md5|checksum|digest|uuid){_LAST}"
+SAYS_EXAMPLE = "(?i)example|sample|dummy|placeholder|changeme|xxxx"
 ASSIGNED = r"[:=]\s*[\"']?$"
 TEST_PATH = r"(?i)(^|[/_.\-])(tests?|examples?|samples?|docs?|fixtures?|mocks?|vendor)([/_.\-]|$)"
 ISSUED = "^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[0-9A-Za-z]{36,}$|^xox[abprs]-|^sk_live_|^AIza[0-9A-Za-z_\\-]{35}$"
 
-FEATURES = ["length", "changes", "digits", "uppers", "hexes", "distinct", "covered", "secrecy", "example",
-            "assigned", "quoted", "address", "test_path"]
+FEATURES = ["length", "changes", "pairs", "digits", "uppers", "hexes", "distinct", "covered", "issued", "secrecy",
+            "example", "assigned", "quoted", "address", "test_path"]
+#: Letter pairs of the dictionary that count as common.
+PAIRS = 150
 
 
 def candidates(text: Column) -> Column:
@@ -79,25 +87,27 @@ def features(x: Column, path: Column, words: list[str]) -> dict[str, Column]:
     flag = lambda test: F.coalesce(test, F.lit(False)).cast("double")
     share = lambda pattern: F.regexp_count(c, F.lit(pattern)) / n
     rest = F.regexp_replace(F.lower(c), f"({'|'.join(words)})", "") if words else c
+    counted = Counter(w[i:i + 2] for w in words for i in range(len(w) - 1))
+    common = sorted(sorted(counted), key=lambda pair: -counted[pair])[:PAIRS]
     return {
         "length": n,
         "changes": F.regexp_count(c, F.lit("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])"
                                            "|(?<=[A-Z])(?=[a-z])")) / n,
+        "pairs": F.regexp_count(F.lower(c), F.lit(f"(?={'|'.join(common)})")) / n if common else F.lit(0.0),
         "digits": share("[0-9]"), "uppers": share("[A-Z]"), "hexes": share("[0-9a-f]"),
         "distinct": F.size(F.array_distinct(F.split(c, ""))) / n,
         "covered": 1 - F.length(rest) / n,
-        "secrecy": flag(before.rlike(SECRECY)), "example": flag(before.rlike(EXAMPLE) | after.rlike(EXAMPLE)),
+        "issued": flag(c.rlike(ISSUED)), "secrecy": flag(before.rlike(SECRECY)), "example": flag(before.rlike(EXAMPLE) | c.rlike(SAYS_EXAMPLE)),
         "assigned": flag(before.rlike(ASSIGNED)), "quoted": flag(before.rlike("[\"']$") & after.rlike("^[\"']")),
         "address": flag(before.rlike(r"(://\S*|[/@])$") | after.rlike("^(@|[.][A-Za-z]|/)")),
         "test_path": flag(path.rlike(TEST_PATH)),
     }
 
 
-def rule_label(f: dict[str, Column], x: Column) -> Column:
+def rule_label(f: dict[str, Column]) -> Column:
     """1 or 0 where the format or the neighbourhood settles it, else null."""
-    issued = x["candidate"].rlike(ISSUED)
     return (F.when((f["example"] > 0) | (f["test_path"] > 0), 0.0)
-            .when(issued | ((f["secrecy"] > 0) & (f["assigned"] > 0) & (f["covered"] < 0.5)), 1.0)
+            .when((f["issued"] > 0) | ((f["secrecy"] > 0) & (f["assigned"] > 0) & (f["covered"] < 0.5)), 1.0)
             .when((f["digits"] >= 0.999) | (f["address"] > 0) | (f["covered"] >= 0.6), 0.0)
             .when((f["secrecy"] == 0) & (f["changes"] < 0.15), 0.0))
 
@@ -118,7 +128,7 @@ def labelled_findings(docs: DataFrame, words: list[str], text: str = "text", pat
     where = F.col(path) if path else F.lit(None).cast("string")
     each = found(docs, text).select(where.alias("path"), F.explode("_found").alias("x"))
     f = features(F.col("x"), F.col("path"), words)
-    rows = durable(each.select(*[c.alias(n) for n, c in f.items()], rule_label(f, F.col("x")).alias("label"),
+    rows = durable(each.select(*[c.alias(n) for n, c in f.items()], rule_label(f).alias("label"),
                                F.xxhash64("x").alias("h")).where("label IS NOT NULL"), "findings")
     rate = min(1.0, most / max(1, rows.count()))
     return rows.where(F.pmod("h", F.lit(1 << 20)) < rate * (1 << 20)).drop("h")
@@ -153,7 +163,7 @@ def scan(docs: DataFrame, words: list[str], forest: str | None, text: str = "tex
     def scored(x: Column) -> Column:
         f = features(x, where, words)
         made = [c.alias(n) for n, c in f.items()]
-        rule = F.coalesce(rule_label(f, x), F.lit(0.0)).alias("rule")
+        rule = F.coalesce(rule_label(f), F.lit(0.0)).alias("rule")
         return F.struct(x["candidate"].alias("candidate"), x["before"].alias("before"), rule, *made)
 
     result = ["n_candidates", "secrets", "redacted"]

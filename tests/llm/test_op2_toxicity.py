@@ -1,0 +1,108 @@
+import random
+
+import numpy as np
+import pytest
+from llm_cases import TEXTS, documents, empty, prose
+
+from ledgerscope.llm.toxicity import FuzzyLexicon, Scorer, context, fit, logistic, score_frame
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_automaton_equals_edit_distance(seed):
+    rng = random.Random(seed)
+    word = lambda lo, hi: "".join(rng.choice("abc") for _ in range(rng.randint(lo, hi)))
+    terms = {word(3, 11): (1.0, False) for _ in range(12)}
+    lexicon = FuzzyLexicon(terms)
+    for _ in range(600):
+        w = word(1, 13)
+        near = [distance(w, t) for t in terms if distance(w, t) <= lexicon.allowed(t)]
+        found = lexicon.match(w)
+        assert (found is None) == (not near), w
+        if found:
+            assert found[1] == min(near) == distance(w, found[0])
+
+
+def test_stems_lookalikes_and_plain_words():
+    lexicon = FuzzyLexicon({"vequ": (2.0, True), "moron": (3.0, False), "disgusting": (3.0, False)}, {"oron"})
+    assert lexicon.match("vequtée") == ("vequ", 0) and lexicon.match("veq") is None
+    assert lexicon.match("morron") == ("moron", 1) and lexicon.match("oron") is None
+    assert lexicon.match("disgstng") == ("disgusting", 2) and lexicon.match("morons") == ("moron", 1)
+    scorer = Scorer({"terms": {"moron": (3.0, False)}, "plain": set(), "weights": [0, 1, 0, 0]})
+    assert [h[2:4] for h in scorer.hits("a M0R0N, a mor*n! a maron")] == [("moron", 0), ("moron", 1), ("moron", 1)]
+
+
+def test_quotation_counts_less_and_address_more():
+    plain = context("what a moron here", 7, 12)
+    quoted = context('he has "a moron" there', 10, 15)
+    reported = context('he wrote "a moron" there', 12, 17)
+    addressed = context("you are a moron here", 10, 15)
+    assert reported < quoted < plain < addressed
+
+
+def test_regression_separates():
+    x = np.array([[0, 0, 0]] * 50 + [[1, .9, .7]] * 10)
+    w = logistic(x, np.array([0] * 50 + [1] * 10))
+    assert w[0] < -2 and w[0] + w[1:] @ x[-1] > 2
+
+
+def corpus(spark, n=240, seed=4):
+    rng, bad = random.Random(seed), ["scumbag", "idiotic", "worthless"]
+    docs, labels = [], []
+    for i in range(n):
+        words = prose(rng, rng.randint(20, 80), size=3000).split()
+        toxic = i % 5 == 0
+        if toxic:
+            for _ in range(3):
+                words.insert(rng.randint(0, len(words)), rng.choice(bad))
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(
+        labels, "doc_id long, toxic int"), dict(labels)
+
+
+def test_held_out_documents_and_misspellings(spark):
+    docs, labels, truth = corpus(spark)
+    model = fit(docs.where("doc_id % 4 <> 2"), labels.where("doc_id % 4 <> 2"))
+    assert {"scumbag", "idiotic", "worthless"} == set(model["terms"])
+    got = {r["doc_id"]: r["score"] for r in score_frame(docs, model).where("doc_id % 4 = 2").collect()}
+    assert all((got[i] >= 0.3) == (truth[i] == 1) for i in got)
+    score = Scorer(model).score
+    assert score("x scumbagg y wortless z idioticc") > 0.3 > score('he wrote "idiotic" once')
+    assert score("worthless idiotic") > score('"worthless idiotic" she said')
+
+
+def test_awkward_documents(spark):
+    docs, labels, _ = corpus(spark)
+    model = fit(docs, labels)
+    mine = documents(spark, extra=True)
+    out = score_frame(mine, model).collect()
+    assert len(out) == len(TEXTS) + 1 and all(0 <= r["score"] < 0.3 and r["hits"] == [] for r in out)
+    assert score_frame(empty(spark), model).count() == 0
+
+
+def test_labels_missing_or_of_one_kind(spark):
+    docs, labels, _ = corpus(spark, 30)
+    for some, share in ((labels.where("toxic = 0"), 0.0), (labels.where("toxic = 1"), 1.0), (labels.where("false"), 0.0)):
+        model = fit(docs, some)
+        got = {round(r["score"], 6) for r in score_frame(docs, model).collect()}
+        assert model["terms"] == {} and got == {share}
+    assert fit(empty(spark).select("doc_id", "text"), labels)["terms"] == {}
+
+
+def test_query(spark):
+    from ledgerscope.llm.queries import queries
+    got = queries()["op2_toxicity"](spark, "/root/testdata/sf0.01")
+    rows = got.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where(
+        "held_out").select("toxic", "predicted").collect()
+    right = sum(r["toxic"] == r["predicted"] for r in rows)
+    assert got.count() == 1000 and right / len(rows) > 0.9
+    assert sum(r["predicted"] for r in rows if r["toxic"] == 0) <= 0.03 * len(rows)
