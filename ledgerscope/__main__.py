@@ -1,12 +1,15 @@
 """Batch job: write the report mart for one window.
 
     spark-submit --py-files ledgerscope.zip -m ledgerscope \\
-        --tables s3a://bucket/ledger --preset "Last 30 Days" --as-of 2024-01-31
+        --tables s3a://bucket/ledger --fees s3a://bucket/fees.parquet \\
+        --preset "Last 30 Days" --as-of 2024-01-31
 
-Reads the ledger (one Parquet folder per table), optionally refreshes the
-stored lifetime deposit bounds, and writes the window's report tables under
-``--out`` (default: ``<spark.checkpoint.dir>/report_mart``), replacing only
-that window's partitions.  Prints the mart's manifest.
+Reads the ledger (one Parquet folder per table) and its fee schedule
+(``asset_type, rate, money, include_withdrawals``), reuses the stored lifetime
+deposit bounds in ``--bounds`` (built when missing or with ``--refresh-bounds``,
+refused when stale), and writes the window's report tables under ``--out``
+(default: ``<spark.checkpoint.dir>/report_mart``), replacing only that window's
+partitions.  Prints the mart's manifest.
 """
 
 from __future__ import annotations
@@ -30,11 +33,15 @@ def main(argv=None) -> None:
     ap.add_argument("--end")
     ap.add_argument("--as-of", default=None, help="anchor day for presets and ages (default: today)")
     ap.add_argument("--out", default=None)
+    ap.add_argument("--fees", default=None, help="Parquet fee schedule; required with --tables")
     ap.add_argument("--bounds", default=None,
-                    help="folder for the stored lifetime deposit bounds; refreshed when given")
+                    help="folder of the stored lifetime deposit bounds; built when missing")
+    ap.add_argument("--refresh-bounds", action="store_true", help="build the bounds again")
     ap.add_argument("--local", action="store_true", help="run on local[*] instead of the cluster")
     args = ap.parse_args(argv)
 
+    if args.tables and not args.fees:
+        ap.error("--tables needs --fees")
     as_of = dt.date.fromisoformat(args.as_of) if args.as_of else dt.date.today()
     if args.preset:
         window = preset_window(args.preset, as_of)
@@ -44,8 +51,14 @@ def main(argv=None) -> None:
         ap.error("give --preset or both --start and --end")
 
     spark = build_session("local[*]" if args.local else None, cluster=not args.local)
-    t = parquet_tables(spark, args.tables) if args.tables else fixture_tables(spark, args.fixture)
-    bounds = report.write_deposit_bounds(t, args.bounds) if args.bounds else None
+    if args.tables:
+        t = parquet_tables(spark, args.tables, fees=spark.read.parquet(args.fees))
+    else:
+        t = fixture_tables(spark, args.fixture)
+    bounds = None
+    if args.bounds:
+        bounds = None if args.refresh_bounds else report.read_deposit_bounds(t, args.bounds)
+        bounds = bounds or report.write_deposit_bounds(t, args.bounds)
     root = args.out or f"{shared_dir(spark)}/report_mart"
     for row in report.report_mart(t, window, as_of, root, bounds).collect():   # one row per table
         print(f"{row['table_name']:22s} {row['window_start']} .. {row['window_end']} "

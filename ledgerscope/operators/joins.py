@@ -4,9 +4,10 @@
 plans, users, assets): a left equi-join on a nullable foreign key against a
 unique dimension key.
 
-* If the dimension's source table has at most ``max_rows`` rows (counted
-  once per table; on Parquet the count is answered from file footers), the
-  dimension is broadcast and the fact table is not shuffled at all.
+* If the dimension is within the broadcast bounds (rows of the table, and
+  bytes over all that one job broadcasts; each table is counted once, on
+  Parquet from file footers), it is broadcast and the fact table is not
+  shuffled at all.
 * Otherwise the planner's sort-merge join is used, and fact rows whose key
   is NULL - in this ledger a large share of transactions carry no savings
   plan or no investment plan - are scattered over ``NULL_KEY_SPREAD`` salt
@@ -25,15 +26,30 @@ from pyspark.sql import functions as F
 NULL_KEY_SPREAD = 1024
 BROADCAST_ROWS_CONF = "ledgerscope.broadcast.maxRows"
 DEFAULT_BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES_CONF = "ledgerscope.broadcast.maxBytes"
+DEFAULT_BROADCAST_BYTES = 256 << 20
 
 
 def broadcast_row_limit(spark) -> int:
     return int(spark.conf.get(BROADCAST_ROWS_CONF, str(DEFAULT_BROADCAST_ROWS)))
 
 
+def broadcast_byte_limit(spark) -> int:
+    return int(spark.conf.get(BROADCAST_BYTES_CONF, str(DEFAULT_BROADCAST_BYTES)))
+
+
+def row_bytes(df: DataFrame) -> int:
+    """Bytes that a row of ``df`` takes by its types (Spark's own default widths)."""
+    return int(df._jdf.schema().defaultSize())
+
+
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows (stops counting past it)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True if ``df`` has at most ``max_rows`` rows.
+
+    A plain count: every task sends one number.  (A limit in front of it would
+    send up to the limit's rows of every task to one.)
+    """
+    return df.count() <= max_rows
 
 
 def dimension_join(fact: DataFrame, fact_key: str, dim: DataFrame, dim_key: str,

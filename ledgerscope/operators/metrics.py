@@ -270,10 +270,11 @@ def asset_rollup(t: LedgerTables, window: Window, fees: DataFrame | None = None,
 
 
 def _fee_side(t: LedgerTables, fees: DataFrame | None) -> DataFrame:
-    """The rate table, broadcast: the built-in one is a literal; a supplied
-    one is counted first (the per-type side is then joined without hint)."""
+    """The rate table (the job's or the source's own; there is no default), broadcast
+    within the row bound, else joined without a hint."""
+    fees = t.fees if fees is None else fees
     if fees is None:
-        return F.broadcast(rd.fee_table(t.spark))
+        raise ValueError("no fee schedule: give the tables or the job one (asset_type, rate, money, include_withdrawals)")
     return F.broadcast(fees) if row_count_at_most(fees, broadcast_row_limit(t.spark)) else fees
 
 

@@ -5,17 +5,23 @@ KPI cards are data, not HTML: each metric of a result row becomes one row
 result is unpivoted and joined to the card table, which is a fixed literal
 and therefore broadcast.
 
-The mart writes a window's platform metrics, monthly trend, asset metrics
-and users per asset type to Parquet under the shared folder, partitioned by
-window, with dynamic partition overwrite: re-running a window (or a retried
-task) replaces exactly that window's files.
+The mart writes a window's platform metrics, monthly trend, asset metrics,
+users per asset type and user page to Parquet, partitioned by window, with
+dynamic partition overwrite: re-running a window (or a retried task) replaces
+exactly that window's files.  Without a given root every run has a folder of
+its own under the shared folder, so two inputs, or two runs, never meet.  The
+manifest (tables and row counts) is written last; what has none is unfinished.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import DateType, StructField, StructType
+
 from ledgerscope import reference_data as rd
 from ledgerscope.functions import formatting
 from ledgerscope.functions.periods import Window
@@ -85,6 +91,8 @@ MART_TABLES = ("general_metrics", "trend_month", "asset_metrics", "users_by_asse
                "user_clean", "user_kpis", "dist_gender", "dist_country", "dist_use_option",
                "dist_status", "dist_employment", "dist_age_group")
 
+MANIFEST = "manifest"
+
 _DIST_TABLES = {"dist_gender": "gender", "dist_country": "country",
                 "dist_use_option": "use_option", "dist_status": "status",
                 "dist_employment": "employment_status"}
@@ -99,9 +107,14 @@ def _write(df: DataFrame, root: str, name: str, window: Window) -> None:
        .parquet(f"{root}/{name}"))
 
 
-def read_report_mart(spark, root: str, name: str, window: Window) -> DataFrame:
-    """One mart table for one window (partition-pruned read)."""
-    return (spark.read.parquet(f"{root}/{name}")
+def read_report_mart(spark, root: str, name: str, window: Window, schema=None) -> DataFrame:
+    """One mart table for one window (partition-pruned read); with its ``schema`` also
+    one of no rows, which has no file to tell it."""
+    reader = spark.read
+    if schema is not None:
+        reader = reader.schema(StructType([*schema.fields, StructField("window_start", DateType()),
+                                           StructField("window_end", DateType())]))
+    return (reader.parquet(f"{root}/{name}")
             .filter((F.col("window_start") == F.lit(window.start))
                     & (F.col("window_end") == F.lit(window.end)))
             .drop("window_start", "window_end"))
@@ -109,57 +122,94 @@ def read_report_mart(spark, root: str, name: str, window: Window) -> DataFrame:
 
 def write_deposit_bounds(t: LedgerTables, root: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Store the lifetime deposit bounds (platform; per asset type) under the
-    shared folder and return them read back.  Window jobs given these read
-    only their window's rows; refresh after loading new transactions
-    (``ledger.merge_deposit_bounds`` folds in an appended batch)."""
+    shared folder, with the state of the source they were built from, and
+    return them read back.  Window jobs given these read only their window's
+    rows; ``ledger.merge_deposit_bounds`` folds in an appended batch."""
     root = root or f"{shared_dir(t.spark)}/deposit_bounds"
+    state = source_state(t)
     ledger.general_deposit_bounds(t).write.mode("overwrite").parquet(f"{root}/general")
     ledger.asset_deposit_bounds(t).write.mode("overwrite").parquet(f"{root}/asset")
+    t.spark.createDataFrame([state], _STATE).write.mode("overwrite").parquet(f"{root}/state")
+    return (t.spark.read.parquet(f"{root}/general"), t.spark.read.parquet(f"{root}/asset"))
+
+
+_STATE = "transactions long, latest timestamp_ntz, standing decimal(38,0), users decimal(38,0)"
+
+
+def source_state(t: LedgerTables) -> tuple:
+    """What stored bounds depend on: number and last instant of the
+    transactions, a sum over their ids, statuses and instants, and one over
+    users' restriction flags.  Two aggregates of one row each; the columns
+    read are four of the transactions' and two of the users'."""
+    whole = lambda *cols: F.sum(F.xxhash64(*cols).cast("decimal(38,0)"))
+    tx = t.transactions.agg(F.count(F.lit(1)), F.max("updated_at"), whole("id", "status", "updated_at")).first()
+    people = t.users.agg(whole("id", "restricted")).first()
+    return (tx[0], tx[1], tx[2], people[0])
+
+
+def read_deposit_bounds(t: LedgerTables, root: str) -> tuple[DataFrame, DataFrame] | None:
+    """The stored bounds under ``root``; None if there are none.
+
+    Raises when the source's state has changed since they were built: a
+    bound can't be taken back, so a changed status, instant or restriction
+    needs them rebuilt (for appended rows, merged)."""
+    path = t.spark._jvm.org.apache.hadoop.fs.Path(f"{root}/state")
+    if not path.getFileSystem(t.spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    if tuple(t.spark.read.parquet(f"{root}/state").first()) != source_state(t):
+        raise ValueError(f"the deposit bounds in {root} are stale: the ledger has changed; rebuild them")
     return (t.spark.read.parquet(f"{root}/general"), t.spark.read.parquet(f"{root}/asset"))
 
 
 def write_report_mart(t: LedgerTables, window: Window, as_of, root: str | None = None,
-                      bounds: tuple[DataFrame, DataFrame] | None = None) -> str:
-    """Write one window's report tables under the shared folder; returns it.
+                      bounds: tuple[DataFrame, DataFrame] | None = None,
+                      fees: DataFrame | None = None) -> str:
+    """Write one window's report tables and then their manifest; returns the root.
 
-    The money tables are written straight from their jobs.  The user page is
-    one cleaned user table (J10) written once; its KPIs and the six
+    J4 and J6 come from one pass over the ledger, stored once
+    (``asset_rollup``) and split from there.  The user page is one cleaned user table (J10) written once; its KPIs and the six
     distributions are then computed from the stored table, so the cohort
     joins run once and a lost executor costs a re-read, not a recomputation.
     ``bounds`` (from ``write_deposit_bounds``) lets the platform and asset
     metrics read only the window's rows.
     """
     gen_bounds, asset_bounds = bounds or (None, None)
-    root = root or f"{shared_dir(t.spark)}/report_mart"
-    money = {
+    root = root or f"{shared_dir(t.spark)}/report_mart/{uuid.uuid4().hex}"
+    rollup = metrics.asset_rollup(t, window, fees, bounds=asset_bounds)
+    stored = {
         "general_metrics": metrics.general_metrics(t, window, bounds=gen_bounds),
         "trend_month": trend.transaction_trend(t, window, "month"),
-        "asset_metrics": metrics.asset_metrics(t, window, bounds=asset_bounds),
-        "users_by_asset_type": metrics.users_by_asset_type(t, window),
+        "asset_rollup": rollup.select(*metrics.ASSET_COLUMNS, "total_users"),
+        "user_clean": users.user_clean(t, window, as_of),
     }
-    for name, df in money.items():
+    for name, df in stored.items():
         _write(df, root, name, window)
-    _write(users.user_clean(t, window, as_of), root, "user_clean", window)
-    clean = read_report_mart(t.spark, root, "user_clean", window)
-    derived = {"user_kpis": users.kpis_of(clean),
+    assets = read_report_mart(t.spark, root, "asset_rollup", window, stored["asset_rollup"].schema)
+    clean = read_report_mart(t.spark, root, "user_clean", window, stored["user_clean"].schema)
+    derived = {"asset_metrics": assets.select(*metrics.ASSET_COLUMNS),
+               "users_by_asset_type": assets.filter("asset_type IS NOT NULL").select("asset_type", "total_users"),
+               "user_kpis": users.kpis_of(clean),
                "dist_age_group": users.age_distribution_of(clean)}
     derived.update({name: users.distribution_of(clean, col) for name, col in _DIST_TABLES.items()})
     for name, df in derived.items():
         _write(df, root, name, window)
+    schemas = {name: df.schema for name, df in (stored | derived).items()}
+    counts = [read_report_mart(t.spark, root, name, window, schemas[name])
+              .agg(F.count(F.lit(1)).alias("row_count"))
+              .select(F.lit(name).alias("table_name"), "row_count") for name in MART_TABLES]
+    listed = counts[0]
+    for one in counts[1:]:
+        listed = listed.unionByName(one)
+    _write(listed, root, MANIFEST, window)
     return root
 
 
 def report_mart(t: LedgerTables, window: Window, as_of, root: str | None = None,
-                bounds: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """Write the mart, then list what it holds for the window:
+                bounds: tuple[DataFrame, DataFrame] | None = None,
+                fees: DataFrame | None = None) -> DataFrame:
+    """Write the mart, then its manifest for the window:
     ``table_name, window_start, window_end, row_count``."""
-    root = write_report_mart(t, window, as_of, root, bounds)
-    parts = [read_report_mart(t.spark, root, name, window)
-             .agg(F.count(F.lit(1)).alias("row_count"))
-             .select(F.lit(name).alias("table_name"), F.lit(window.start).alias("window_start"),
-                     F.lit(window.end).alias("window_end"), "row_count")
-             for name in MART_TABLES]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    root = write_report_mart(t, window, as_of, root, bounds, fees)
+    return (read_report_mart(t.spark, root, MANIFEST, window)
+            .select("table_name", F.lit(window.start).alias("window_start"),
+                    F.lit(window.end).alias("window_end"), "row_count"))

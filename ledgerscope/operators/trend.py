@@ -45,15 +45,18 @@ def trend_pivot(t: LedgerTables, window: Window, granularity: str = "month",
     """One row per period, one amount column per type in ``types``.
 
     Deposits and withdrawals are renamed ``Deposits`` / ``Withdrawals`` and
-    are always present; a type with no rows in a period reads 0.  With the
-    value list fixed, the wide form is one aggregation of conditional sums
-    (one shuffle; ``pivot`` would aggregate twice), and the columns do not
-    depend on the data.
+    are always present; a type with no rows in a period reads 0.  Types that
+    are not listed, and a missing one, add up in ``Other``, so a row's columns
+    add up to the period's total.  With the value list fixed, the wide form is
+    one aggregation of conditional sums (one shuffle; ``pivot`` would
+    aggregate twice), and the columns do not depend on the data.
     """
     types = list(dict.fromkeys(["deposit", "withdrawal", *types]))
+    listed = F.coalesce(F.col("tx_type").isin(*types), F.lit(False))
+    other = F.coalesce(F.sum(F.when(~listed, F.col("ghs_amount"))).cast("double"), F.lit(0.0))
     sums = [F.coalesce(F.sum(F.when(F.col("tx_type") == v, F.col("ghs_amount"))).cast("double"),
                        F.lit(0.0)).alias(rd.TREND_RENAMES.get(v, v)) for v in types]
     return (_trend_rows(t, window)
             .groupBy(_period(granularity))
-            .agg(*sums)
+            .agg(*sums, other.alias(rd.TREND_OTHER))
             .orderBy("period"))

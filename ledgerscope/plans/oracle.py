@@ -1,484 +1,358 @@
-"""DuckDB oracle: for each registered key, an independent SQL statement over
-the same fixture tables.
-
-The Spark jobs use the two-level plan; these statements are written in the
-direct shape (a lifetime summary joined back to the windowed rows, DISTINCT
-aggregates with FILTER, UNION of activity sources, a bin table joined by
-range), so a match checks the rewrite, not just the arithmetic.  Money is
-summed as DECIMAL and cast to DOUBLE at the end, and averages are sum /
-non-null count, on both sides (see SURVEY T11/T12).
+"""DuckDB oracle: for each registered key an independent statement over the
+fixture tables.
+
+The Spark jobs aggregate partial results; these statements keep every row.
+Owner, asset and instrument are settled once per pair of plan ids (``pair``);
+each ledger row carries its depositor's first and last deposit instant from a
+window function (``life``); flags are ``EXISTS`` tests on one activity list;
+rates are a ``VALUES`` table; cards are an ``UNPIVOT`` joined to the expected
+labels.  Expected names, dates and rates are written out here, not taken from
+the engine.  Money is summed as DECIMAL and cast at the end on both sides.
 """
 
 from __future__ import annotations
 
 from ledgerscope import reference_data as rd
-from ledgerscope.plans import params as P
 from ledgerscope.sources.fixtures import duckdb_prelude
 
 _LEDGER_VIEWS = ["fx_transactions", "fx_plans", "fx_investment_plans", "fx_users", "fx_assets"]
-_USER_VIEWS = _LEDGER_VIEWS + ["fx_profiles", "fx_budgets", "fx_external_transactions",
-                               "fx_messages"]
-
-LO, HI = f"DATE '{P.START.isoformat()}'", f"DATE '{P.END.isoformat()}'"
-AS_OF = f"DATE '{P.AS_OF.isoformat()}'"
-
-
-def ts_win(lo: str = LO, hi: str = HI) -> str:
-    return f"BETWEEN CAST({lo} AS TIMESTAMP) AND CAST({hi} AS TIMESTAMP)"
-
-
-def day_win(lo: str = LO, hi: str = HI) -> str:
-    return f"BETWEEN {lo} AND {hi}"
-
-
-FEE_CASE = ("CASE WHEN t.metadata ILIKE '%Monthly maintenance fee deduction%' "
-            "THEN 'maintenance_fee' ELSE t.tx_type END")
-ASSET_CASE = ("CASE WHEN t.investment_plan_id IS NOT NULL THEN a.name "
-              "WHEN t.plan_id IS NOT NULL THEN p.plan_option END")
-JOINS = """FROM fx_transactions t
-  LEFT JOIN fx_investment_plans ip ON ip.id = t.investment_plan_id
-  LEFT JOIN fx_plans p ON p.id = t.plan_id
-  LEFT JOIN fx_users u ON u.id = COALESCE(p.user_id, ip.user_id)
-  LEFT JOIN fx_assets a ON a.id = ip.asset_id"""
-ELIGIBLE = "t.status = 'success' AND u.restricted = false"
-NO_FLEX = "t.provider_number <> 'Flex Dollar'"
-
-
-# When False, the fx_* relations are expected to exist as tables (used by the
-# randomised differential tests); otherwise they are inlined as CTEs over the
-# driver's tables.
-INLINE_FIXTURES = True
-
-
-def _with(views, *ctes: str) -> str:
-    if INLINE_FIXTURES:
-        return duckdb_prelude(views) + "".join(",\n" + c for c in ctes)
-    return ("WITH " + ",\n".join(ctes)) if ctes else ""
-
-
-# --------------------------------------------------------------------------
-# J2 / J3
-def _trend(gran: str) -> str:
-    return _with(_LEDGER_VIEWS) + f"""
-SELECT CAST(DATE_TRUNC('{gran}', t.updated_at) AS DATE) AS period, t.tx_type,
-       CAST(SUM(t.amount) AS DOUBLE) AS total_amount
-{JOINS}
-WHERE {ELIGIBLE} AND {NO_FLEX} AND t.updated_at {ts_win()}
-GROUP BY 1, 2"""
-
-
-def _trend_pivot(gran: str) -> str:
-    def col(tx_type: str, name: str) -> str:
-        return (f"COALESCE(CAST(SUM(t.amount) FILTER (WHERE t.tx_type = '{tx_type}') AS DOUBLE), 0.0)"
-                f' AS "{name}"')
-    cols = ",\n  ".join(col(x, rd.TREND_RENAMES.get(x, x)) for x in rd.TREND_TYPES)
-    return _with(_LEDGER_VIEWS) + f"""
-SELECT CAST(DATE_TRUNC('{gran}', t.updated_at) AS DATE) AS period,
-  {cols}
-{JOINS}
-WHERE {ELIGIBLE} AND {NO_FLEX} AND t.updated_at {ts_win()}
-GROUP BY 1"""
-
-
-# --------------------------------------------------------------------------
-# J1 (and J13: J1 per preset window)
-_GEN_LED = f"""led AS (
-  SELECT u.id AS customer_id, u.first_name || ' ' || u.last_name AS customer_name,
-         t.id AS transaction_id, {FEE_CASE} AS ttype, t.updated_at AS ts,
-         t.amount AS ghs, t.usd_amount AS usd, t.provider_number AS pn
-  {JOINS}
-  WHERE {ELIGIBLE})"""
-_GEN_DEP = "ttype IN ('deposit', 'direct_debit')"
-_GEN_HIST = f"""hist AS (
-  SELECT customer_id, COUNT(*) AS deposit_count, MIN(ts) AS first_ts, COUNT(DISTINCT ts) AS n_ts
-  FROM led WHERE {_GEN_DEP} GROUP BY customer_id)"""
-
-
-def _general_select(lo: str = LO, hi: str = HI) -> str:
-    dep = _GEN_DEP
-    wd = "ttype = 'withdrawal' AND pn <> 'Flex Dollar'"
-    return f"""SELECT
-  COUNT(*) FILTER (WHERE {dep}) AS deposit_count,
-  CAST(SUM(ghs) FILTER (WHERE {dep}) AS DOUBLE) AS deposit_value_ghs,
-  CAST(SUM(usd) FILTER (WHERE {dep}) AS DOUBLE) AS deposit_value_usd,
-  COUNT(*) FILTER (WHERE {wd}) AS withdrawal_count,
-  CAST(SUM(ghs) FILTER (WHERE {wd}) AS DOUBLE) AS withdrawal_value_ghs,
-  CAST(SUM(usd) FILTER (WHERE {wd}) AS DOUBLE) AS withdrawal_value_usd,
-  CAST(SUM(ghs) FILTER (WHERE {dep}) - COALESCE(SUM(ghs) FILTER (WHERE {wd}), 0) AS DOUBLE) AS aum_ghs,
-  CAST(SUM(usd) FILTER (WHERE {dep}) - COALESCE(SUM(usd) FILTER (WHERE {wd}), 0) AS DOUBLE) AS aum_usd,
-  COUNT(DISTINCT led.customer_id) FILTER (WHERE {dep}) AS total_depositors,
-  COUNT(DISTINCT led.customer_id) FILTER (WHERE {wd}) AS total_withdrawers,
-  COUNT(DISTINCT h.customer_id) FILTER (WHERE h.n_ts > 1) AS recurring_depositors,
-  COUNT(DISTINCT h.customer_id) FILTER (WHERE h.n_ts = 1 AND CAST(h.first_ts AS DATE) {day_win(lo, hi)}) AS new_depositors,
-  CAST(SUM(ghs) FILTER (WHERE {dep}) AS DOUBLE) / COUNT(ghs) FILTER (WHERE {dep}) AS avg_deposit_value_ghs,
-  CAST(SUM(usd) FILTER (WHERE {dep}) AS DOUBLE) / COUNT(usd) FILTER (WHERE {dep}) AS avg_deposit_value_usd,
-  CAST(SUM(ghs) FILTER (WHERE {wd}) AS DOUBLE) / COUNT(ghs) FILTER (WHERE {wd}) AS avg_withdrawal_value_ghs,
-  CAST(SUM(usd) FILTER (WHERE {wd}) AS DOUBLE) / COUNT(usd) FILTER (WHERE {wd}) AS avg_withdrawal_value_usd
-FROM led LEFT JOIN hist h USING (customer_id)
-WHERE led.ts {ts_win(lo, hi)}"""
-
-
-def _general() -> str:
-    return _with(_LEDGER_VIEWS, _GEN_LED, _GEN_HIST) + "\n" + _general_select()
-
-
-def _dow_back(d: str) -> str:
-    """Days back to the Sunday that starts the week of ``d`` (0 on Sunday)."""
-    return f"CAST(dayofweek({d}) AS INTEGER)"
-
-
-def preset_bounds_sql(d: str = AS_OF) -> list[tuple[str, str, str]]:
-    """(name, start, end) SQL date expressions per preset, in menu order."""
-    def minus(days: str) -> str:
-        return f"CAST({d} - CAST({days} AS INTEGER) AS DATE)"
-    last_sunday = minus(f"CASE WHEN dayofweek({d}) = 0 THEN 7 ELSE dayofweek({d}) END")
-    month1 = f"CAST(DATE_TRUNC('month', {d}) AS DATE)"
-    return [
-        ("Today", d, d),
-        ("Past 7 Days", minus("6"), d),
-        ("Last 14 Days", minus("13"), d),
-        ("This Week", minus(_dow_back(d)), d),
-        ("Last Week", f"CAST({last_sunday} - 6 AS DATE)", last_sunday),
-        ("Last 30 Days", minus("29"), d),
-        ("Last Month", f"CAST({month1} - INTERVAL 1 MONTH AS DATE)", f"CAST({month1} - 1 AS DATE)"),
-        ("All Time", "DATE '2022-01-01'", d),
-    ]
-
-
-def _date_presets() -> str:
-    parts = []
-    for i, (name, lo, hi) in enumerate(preset_bounds_sql()):
-        parts.append(f"""SELECT {i} AS preset_order, '{name}' AS preset, {lo} AS start_date,
-  {hi} AS end_date, g.* FROM ({_general_select(lo, hi)}) g""")
-    return _with(_LEDGER_VIEWS, _GEN_LED, _GEN_HIST) + "\n" + "\nUNION ALL\n".join(parts)
-
-
-# --------------------------------------------------------------------------
-# J4 family
-_ASSET_LED = f"""aled AS (
-  SELECT u.id AS customer_id, u.first_name || ' ' || u.last_name AS customer_name,
-         t.id AS transaction_id, {FEE_CASE} AS ttype, {ASSET_CASE} AS asset_type,
-         t.updated_at AS ts, t.amount AS ghs, t.usd_amount AS usd, t.exchange_rate,
-         u.created_at AS sign_up_date,
-         CASE WHEN t.investment_plan_id IS NOT NULL THEN ip.plan_option
-              WHEN t.plan_id IS NOT NULL THEN p.plan_option END AS investment_type,
-         a.name AS asset_name, a.maturity_date AS assets_maturity_date,
-         ip.maturity_date AS investment_maturity_date
-  {JOINS}
-  WHERE {ELIGIBLE} AND {NO_FLEX})"""
-_ASSET_HIST = """ahist AS (
-  SELECT customer_id, asset_type, COUNT(*) AS deposit_count, MIN(ts) AS first_ts,
-         COUNT(DISTINCT ts) AS n_ts
-  FROM aled WHERE ttype = 'deposit' GROUP BY customer_id, asset_type)"""
-
-
-def _asset_agg_cte() -> str:
-    dep, wd = "ttype = 'deposit'", "ttype = 'withdrawal'"
-    return f"""agg AS (
-  SELECT l.asset_type,
-    COUNT(*) FILTER (WHERE {dep}) AS deposit_count,
-    SUM(ghs) FILTER (WHERE {dep}) AS dep_ghs, SUM(usd) FILTER (WHERE {dep}) AS dep_usd,
-    COUNT(ghs) FILTER (WHERE {dep}) AS dep_ghs_n, COUNT(usd) FILTER (WHERE {dep}) AS dep_usd_n,
-    COUNT(*) FILTER (WHERE {wd}) AS withdrawal_count,
-    SUM(ghs) FILTER (WHERE {wd}) AS wd_ghs, SUM(usd) FILTER (WHERE {wd}) AS wd_usd,
-    COUNT(ghs) FILTER (WHERE {wd}) AS wd_ghs_n, COUNT(usd) FILTER (WHERE {wd}) AS wd_usd_n,
-    COUNT(DISTINCT l.customer_id) FILTER (WHERE {dep}) AS total_depositors,
-    COUNT(DISTINCT h.customer_id) FILTER (WHERE h.n_ts > 1) AS recurring_depositors,
-    COUNT(DISTINCT h.customer_id) FILTER (WHERE h.n_ts = 1 AND CAST(h.first_ts AS DATE) {day_win()}) AS new_depositors,
-    SUM(ghs) FILTER (WHERE ttype = 'maintenance_fee') AS fee_ghs,
-    SUM(usd) FILTER (WHERE ttype = 'early_withdrawal') AS early_usd
-  FROM aled l LEFT JOIN ahist h ON h.customer_id = l.customer_id AND h.asset_type = l.asset_type
-  WHERE l.ts {ts_win()}
-  GROUP BY l.asset_type)"""
-
-
-_USERS_BY_ASSET = f"""ub AS (
-  SELECT {ASSET_CASE} AS asset_type, COUNT(DISTINCT u.id) AS total_users
-  {JOINS}
-  WHERE {ELIGIBLE} AND {NO_FLEX} AND t.updated_at {ts_win()} AND {ASSET_CASE} IS NOT NULL
-  GROUP BY 1)"""
-
-REVENUE_CASE = """CASE
-    WHEN asset_type = 'spread_trade' THEN 0.01 * CAST(COALESCE(dep_ghs, 0) + COALESCE(wd_ghs, 0) AS DOUBLE)
-    WHEN asset_type = 'savings_usd_a' THEN (0.0475 / 12.0) * CAST(COALESCE(dep_usd, 0) AS DOUBLE)
-    WHEN asset_type = 'savings_usd_b' THEN (0.06 / 12.0) * CAST(COALESCE(dep_usd, 0) AS DOUBLE)
-    WHEN asset_type = 'fixed_income' THEN (0.02 / 12.0) * CAST(COALESCE(dep_usd, 0) AS DOUBLE)
-    WHEN asset_type = 'equity' THEN 0.02 * CAST(COALESCE(dep_ghs, 0) AS DOUBLE)
-    WHEN asset_type = 'fund' THEN 0.02 * CAST(COALESCE(dep_ghs, 0) AS DOUBLE)
-    WHEN asset_type = 'etf' THEN 0.02 * CAST(COALESCE(dep_usd, 0) AS DOUBLE)
-    ELSE 0.0 END"""
-
-ASSET_VALUES = {
-    "deposit_count": "deposit_count",
-    "deposit_value_ghs": "CAST(dep_ghs AS DOUBLE)",
-    "deposit_value_usd": "CAST(dep_usd AS DOUBLE)",
-    "withdrawal_count": "withdrawal_count",
-    "withdrawal_value_ghs": "CAST(wd_ghs AS DOUBLE)",
-    "withdrawal_value_usd": "CAST(wd_usd AS DOUBLE)",
-    "aum_ghs": "CAST(dep_ghs - COALESCE(wd_ghs, 0) AS DOUBLE)",
-    "aum_usd": "CAST(dep_usd - COALESCE(wd_usd, 0) AS DOUBLE)",
-    "total_depositors": "total_depositors",
-    "recurring_depositors": "recurring_depositors",
-    "new_depositors": "new_depositors",
-    "avg_deposit_value_ghs": "CAST(dep_ghs AS DOUBLE) / dep_ghs_n",
-    "avg_deposit_value_usd": "CAST(dep_usd AS DOUBLE) / dep_usd_n",
-    "avg_withdrawal_value_ghs": "CAST(wd_ghs AS DOUBLE) / wd_ghs_n",
-    "avg_withdrawal_value_usd": "CAST(wd_usd AS DOUBLE) / wd_usd_n",
-    "estimated_revenue": REVENUE_CASE,
-    "maintenance_fees_ghs": "CAST(fee_ghs AS DOUBLE)",
-    "early_withdrawal_fees_usd": "CAST(CAST(early_usd AS DECIMAL(38,2)) * CAST(0.025 AS DECIMAL(4,3)) AS DOUBLE)",
+_USER_VIEWS = [*_LEDGER_VIEWS, "fx_profiles", "fx_budgets", "fx_external_transactions", "fx_messages"]
+
+# The registered window, 2024-01-05 to 2024-01-20: instants up to the last midnight; whole days.
+_MOMENT = "BETWEEN CAST(DATE '2024-01-05' AS TIMESTAMP) AND CAST(DATE '2024-01-20' AS TIMESTAMP)"
+_DAY = "BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'"
+_LABEL = "'January 05, 2024 → January 20, 2024'"
+
+# Presets as of Wednesday 2024-01-31.
+_PRESETS = """preset AS (
+  SELECT * FROM (VALUES
+    (0, 'Today', DATE '2024-01-31', DATE '2024-01-31'),
+    (1, 'Past 7 Days', DATE '2024-01-25', DATE '2024-01-31'),
+    (2, 'Last 14 Days', DATE '2024-01-18', DATE '2024-01-31'),
+    (3, 'This Week', DATE '2024-01-28', DATE '2024-01-31'),
+    (4, 'Last Week', DATE '2024-01-22', DATE '2024-01-28'),
+    (5, 'Last 30 Days', DATE '2024-01-02', DATE '2024-01-31'),
+    (6, 'Last Month', DATE '2023-12-01', DATE '2023-12-31'),
+    (7, 'All Time', DATE '2022-01-01', DATE '2024-01-31')
+  ) AS v (preset_order, preset, start_date, end_date))"""
+
+# ---- rows ----------------------------------------------------------------------------------------
+
+_PAIR = """pair AS (
+  SELECT k.plan_id, k.investment_plan_id,
+    CASE WHEN s.id IS NOT NULL THEN TRUE ELSE FALSE END AS saves, s.user_id AS saver,
+    CASE WHEN i.id IS NOT NULL THEN TRUE ELSE FALSE END AS invests, i.user_id AS investor,
+    COALESCE(s.user_id, i.user_id) AS owner_id,
+    CASE WHEN k.investment_plan_id IS NULL THEN s.plan_option ELSE a.name END AS asset,
+    CASE WHEN k.investment_plan_id IS NULL THEN s.plan_option ELSE i.plan_option END AS instrument,
+    a.name AS asset_name, a.maturity_date AS asset_matures, i.maturity_date AS plan_matures
+  FROM (SELECT plan_id, investment_plan_id FROM fx_transactions GROUP BY plan_id, investment_plan_id) k
+  LEFT JOIN fx_plans s ON s.id = k.plan_id
+  LEFT JOIN fx_investment_plans i ON i.id = k.investment_plan_id
+  LEFT JOIN fx_assets a ON a.id = i.asset_id)"""
+
+_ENTRY = """entry AS (
+  SELECT x.id AS entry_id, x.tx_type AS raw_kind, x.updated_at AS moment, x.provider_number AS provider,
+    CASE WHEN contains(lower(x.metadata), 'monthly maintenance fee deduction') THEN 'maintenance_fee'
+         ELSE x.tx_type END AS kind,
+    x.amount AS ghs, x.usd_amount AS usd, x.exchange_rate, pair.owner_id, pair.asset, pair.instrument,
+    pair.saves, pair.saver, pair.invests, pair.investor, pair.asset_name, pair.asset_matures, pair.plan_matures,
+    w.id AS customer, w.first_name || ' ' || w.last_name AS customer_name, w.created_at AS joined,
+    CASE WHEN w.restricted THEN FALSE WHEN NOT w.restricted THEN TRUE END AS free
+  FROM (SELECT * FROM fx_transactions WHERE status = 'success') x
+  JOIN pair ON x.plan_id IS NOT DISTINCT FROM pair.plan_id
+    AND x.investment_plan_id IS NOT DISTINCT FROM pair.investment_plan_id
+  LEFT JOIN fx_users w ON w.id = pair.owner_id)"""
+
+
+def _life(name: str, deposits: str, per: str, rows: str, withdrawal: str = "kind = 'withdrawal'") -> str:
+    """Rows with their side and their depositor's first and last deposit, ever."""
+    side = f"CASE WHEN kind IN ({deposits}) THEN 'in' WHEN {withdrawal} THEN 'out' END"
+    return f"""{name}_sides AS (SELECT *, {side} AS side FROM entry WHERE {rows}),
+{name} AS (
+  SELECT *, MIN(CASE WHEN side = 'in' THEN moment END) OVER (PARTITION BY {per}) AS opened,
+    MAX(CASE WHEN side = 'in' THEN moment END) OVER (PARTITION BY {per}) AS latest
+  FROM {name}_sides)"""
+
+
+_PLATFORM = _life("platform", "'deposit', 'direct_debit'", "customer", "free",
+                  "kind = 'withdrawal' AND provider <> 'Flex Dollar'")
+_HOLDING = _life("holding", "'deposit'", "customer, asset", "free AND provider <> 'Flex Dollar'")
+
+
+def _flows(source: str, keys: str, day: str, where: str, known: str = "TRUE") -> str:
+    """Sums and heads of ``source`` per ``keys``."""
+    lead = f"{keys}, " if keys else ""
+    group = f"GROUP BY {keys}" if keys else ""
+
+    def of(side: str, what: str) -> str:
+        return f"CASE WHEN side = '{side}' THEN {what} END"
+
+    sums = ", ".join(f"SUM({of(s, c)}) AS {c}_{s}, COUNT({of(s, c)}) AS {c}_{s}_n, COUNT({of(s, '1')}) AS {s}_n"
+                     if c == "ghs" else f"SUM({of(s, c)}) AS {c}_{s}, COUNT({of(s, c)}) AS {c}_{s}_n"
+                     for s in ("in", "out") for c in ("ghs", "usd"))
+    return f"""SELECT {lead}{sums},
+    COUNT(DISTINCT {of('in', 'customer')}) AS payers, COUNT(DISTINCT {of('out', 'customer')}) AS takers,
+    COUNT(DISTINCT CASE WHEN {known} AND opened < latest THEN customer END) AS returning_n,
+    COUNT(DISTINCT CASE WHEN {known} AND opened = latest AND CAST(opened AS DATE) {day} THEN customer END) AS fresh_n,
+    COUNT(DISTINCT customer) AS heads,
+    SUM(CASE WHEN kind = 'maintenance_fee' THEN ghs END) AS upkeep,
+    SUM(CASE WHEN kind = 'early_withdrawal' THEN usd END) AS early
+  FROM {source} {where} {group}"""
+
+
+# Result column -> expression over a row of ``_flows``.
+_MEASURES = {
+    "total_depositors": "payers",
+    "total_withdrawers": "takers",
+    "new_depositors": "fresh_n",
+    "recurring_depositors": "returning_n",
+    "deposit_count": "in_n",
+    "withdrawal_count": "out_n",
 }
-ASSET_SELECT = "asset_type, " + ",\n  ".join(f"{v} AS {k}" for k, v in ASSET_VALUES.items())
-
-
-def _asset(select: str, *more_ctes: str, tail: str = "FROM agg") -> str:
-    return (_with(_LEDGER_VIEWS, _ASSET_LED, _ASSET_HIST, _asset_agg_cte(), *more_ctes)
-            + f"\nSELECT {select}\n{tail}")
-
-
-def _asset_types_cte() -> str:
-    return f"""types AS (
-  SELECT DISTINCT {ASSET_CASE} AS asset_type
-  FROM fx_transactions t
-    LEFT JOIN fx_investment_plans ip ON ip.id = t.investment_plan_id
-    LEFT JOIN fx_plans p ON p.id = t.plan_id
-    LEFT JOIN fx_assets a ON a.id = ip.asset_id
-  WHERE t.status = 'success' AND t.updated_at {ts_win()} AND {ASSET_CASE} IS NOT NULL)"""
-
-
-# --------------------------------------------------------------------------
-# J5
-def _user_counts() -> str:
-    return _with(["fx_users"]) + "\n" + USER_COUNTS_SELECT
-
-
-USER_COUNTS_SELECT = f"""SELECT COUNT(*) FILTER (WHERE CAST(created_at AS DATE) {day_win()}) AS registered_users,
-       COUNT(*) FILTER (WHERE metadata ILIKE '%kyc_completed%'
-                          AND CAST(updated_at AS DATE) {day_win()}) AS kyc_users
+for _cur in ("ghs", "usd"):
+    _MEASURES |= {
+        f"aum_{_cur}": f"CAST({_cur}_in - COALESCE({_cur}_out, 0) AS DOUBLE)",
+        f"deposit_value_{_cur}": f"CAST({_cur}_in AS DOUBLE)",
+        f"withdrawal_value_{_cur}": f"CAST({_cur}_out AS DOUBLE)",
+        f"avg_deposit_value_{_cur}": f"CAST({_cur}_in AS DOUBLE) / NULLIF({_cur}_in_n, 0)",
+        f"avg_withdrawal_value_{_cur}": f"CAST({_cur}_out AS DOUBLE) / NULLIF({_cur}_out_n, 0)",
+    }
+_MEASURE_LIST = ", ".join(f"{v} AS {k}" for k, v in sorted(_MEASURES.items()))
+
+_RATES = """rates AS (
+  SELECT * FROM (VALUES
+    ('equity', 2e-2, 'ghs', FALSE), ('fund', 2e-2, 'ghs', FALSE), ('etf', 2e-2, 'usd', FALSE),
+    ('spread_trade', 1e-2, 'ghs', TRUE), ('credit_fund', 4e-2 / 12, 'usd', FALSE),
+    ('fixed_income', 2e-2 / 12, 'usd', FALSE), ('savings_usd_a', 4.75e-2 / 12, 'usd', FALSE),
+    ('savings_usd_b', 6e-2 / 12, 'usd', FALSE), ('savings_usd_c', 6e-2 / 12, 'usd', FALSE)
+  ) AS v (priced, rate, money, both_ways))"""
+
+_ASSET_ROWS = f"""asset_flow AS (
+  {_flows('holding', 'asset', _DAY, f'WHERE moment {_MOMENT}', 'asset IS NOT NULL')}),
+asset_row AS (
+  SELECT asset AS asset_type, {", ".join(f"{v} AS {k}" for k, v in sorted(_MEASURES.items()) if k != "total_withdrawers")},
+    COALESCE(rate * CAST(CASE WHEN money = 'ghs' THEN COALESCE(ghs_in, 0) ELSE COALESCE(usd_in, 0) END
+      + CASE WHEN both_ways THEN CASE WHEN money = 'ghs' THEN COALESCE(ghs_out, 0) ELSE COALESCE(usd_out, 0) END
+             ELSE 0 END AS DOUBLE), CAST(0 AS DOUBLE)) AS estimated_revenue,
+    CAST(upkeep AS DOUBLE) AS maintenance_fees_ghs,
+    CAST(CAST(early AS DECIMAL(38,2)) * CAST(0.025 AS DECIMAL(4,3)) AS DOUBLE) AS early_withdrawal_fees_usd,
+    heads AS total_users
+  FROM asset_flow LEFT JOIN rates ON priced = asset)"""
+
+_ASSET_COLUMNS = ["asset_type", *sorted(k for k in _MEASURES if k != "total_withdrawers"), "estimated_revenue",
+                  "maintenance_fees_ghs", "early_withdrawal_fees_usd"]
+
+# ---- users ---------------------------------------------------------------------------------------
+
+_SIGNED_UP = f"""SELECT
+  SUM(CASE WHEN CAST(created_at AS DATE) {_DAY} THEN 1 ELSE 0 END)::BIGINT AS registered_users,
+  SUM(CASE WHEN contains(lower(metadata), 'kyc_completed') AND CAST(updated_at AS DATE) {_DAY} THEN 1
+           ELSE 0 END)::BIGINT AS kyc_users
 FROM fx_users"""
 
-
-# --------------------------------------------------------------------------
-# J8 family
-_ACTIVE = f"""active AS (
-  SELECT DISTINCT CAST(user_id AS VARCHAR) AS user_id FROM fx_budgets WHERE created_at {ts_win()}
-  UNION
-  SELECT DISTINCT CAST(user_id AS VARCHAR) FROM fx_external_transactions WHERE created_at {ts_win()}
-  UNION
-  SELECT DISTINCT CAST(ip.user_id AS VARCHAR) FROM fx_transactions t
-    JOIN fx_investment_plans ip ON ip.id = t.investment_plan_id
-  WHERE t.status = 'success' AND t.updated_at {ts_win()}
-  UNION
-  SELECT DISTINCT CAST(p.user_id AS VARCHAR) FROM fx_transactions t
-    JOIN fx_plans p ON p.id = t.plan_id
-  WHERE t.status = 'success' AND t.updated_at {ts_win()}
-  UNION
-  SELECT DISTINCT CAST(user_ref AS VARCHAR) FROM fx_messages WHERE created_at {ts_win()})"""
-_RECENT = f"""recent AS (
-  SELECT CAST(id AS VARCHAR) AS user_id FROM fx_users
-  WHERE CAST(most_recent_activity AS DATE) {day_win()})"""
-_INSIGHTS = f"""insights AS (
-  SELECT CAST(u.id AS VARCHAR) AS user_id, u.gender, u.country, u.dob, u.status, u.use_option,
-         pf.employment_status, u.created_at,
-         ra.user_id IS NOT NULL AS is_recent, au.user_id IS NOT NULL AS is_active
-  FROM fx_users u
-    LEFT JOIN fx_profiles pf ON pf.user_id = u.id
-    LEFT JOIN recent ra ON ra.user_id = CAST(u.id AS VARCHAR)
-    LEFT JOIN active au ON au.user_id = CAST(u.id AS VARCHAR)
-  WHERE u.created_at {ts_win()})"""
+_SEEN = f"""seen AS (
+  SELECT who FROM (
+    SELECT CAST(saver AS VARCHAR) AS who, moment FROM entry WHERE saves
+    UNION ALL SELECT CAST(investor AS VARCHAR), moment FROM entry WHERE invests
+    UNION ALL SELECT CAST(user_ref AS VARCHAR), created_at FROM fx_messages
+    UNION ALL SELECT CAST(user_id AS VARCHAR), created_at FROM fx_external_transactions
+    UNION ALL SELECT CAST(user_id AS VARCHAR), created_at FROM fx_budgets) every_act
+  WHERE moment {_MOMENT})"""
+
+_COHORT = f"""cohort AS (
+  SELECT CAST(w.id AS VARCHAR) AS user_id, w.gender, w.country, w.dob, w.status, w.use_option,
+    q.employment_status, w.created_at,
+    COALESCE(CAST(w.most_recent_activity AS DATE) {_DAY}, FALSE) AS is_recent,
+    EXISTS (SELECT 1 FROM seen WHERE who = CAST(w.id AS VARCHAR)) AS is_active
+  FROM (SELECT * FROM fx_users WHERE created_at {_MOMENT}) w
+  LEFT JOIN fx_profiles q ON q.user_id = w.id)"""
 
 # the characters Python's str.strip() removes, in RE2 syntax
 _WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
-def _strip(c: str) -> str:
-    return f"regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g')"
+def _bare(column: str) -> str:
+    return f"regexp_replace({column}, '^{_WS}+|{_WS}+$', '', 'g')"
 
 
-_CLEAN = f"""stripped AS (
-  SELECT *, lower({_strip('gender')}) AS g, lower({_strip('status')}) AS s,
-         lower({_strip('use_option')}) AS o, TRY_CAST(dob AS DATE) AS dob_d
-  FROM insights),
-clean AS (
-  SELECT user_id,
-    CASE g WHEN 'non binary' THEN 'non-binary' ELSE g END AS gender,
-    {_strip('country')} AS country,
-    dob_d AS dob,
-    CASE s WHEN 'kyc_verifeid' THEN 'kyc_verified' ELSE s END AS status,
-    CASE o WHEN 'investment' THEN 'investments' ELSE o END AS use_option,
+_TIDY = f"""tidy AS (
+  SELECT user_id, replace(lower({_bare('gender')}), 'non binary', 'non-binary') AS gender,
+    {_bare('country')} AS country, TRY_CAST(dob AS DATE) AS dob,
+    replace(lower({_bare('status')}), 'kyc_verifeid', 'kyc_verified') AS status,
+    regexp_replace(lower({_bare('use_option')}), '^investment$', 'investments') AS use_option,
     employment_status, created_at, is_recent, is_active,
-    CAST(year({AS_OF}) - year(dob_d) AS INTEGER) AS age
-  FROM stripped),
-clean_binned AS (
-  SELECT *, CASE WHEN age >= 18 AND age < 78
-                 THEN '[' || CAST(18 + 5 * ((age - 18) // 5) AS VARCHAR) || ', '
-                      || CAST(23 + 5 * ((age - 18) // 5) AS VARCHAR) || ')' END AS age_group
-  FROM clean)"""
-
-
-def _users(select: str, *ctes: str) -> str:
-    return _with(_USER_VIEWS, _ACTIVE, _RECENT, _INSIGHTS, *ctes) + "\n" + select
-
-
-def _dist(col: str) -> str:
-    return _users(f"SELECT {col}, COUNT(*) AS count FROM clean_binned "
-                  f"WHERE {col} IS NOT NULL GROUP BY {col}", _CLEAN)
-
-
-_AGE_DIST = """SELECT b.age_group, COUNT(c.age) AS count
-FROM (SELECT i, '[' || CAST(18 + 5 * i AS VARCHAR) || ', ' || CAST(23 + 5 * i AS VARCHAR) || ')' AS age_group
-      FROM range(12) r(i)) b
-  LEFT JOIN clean_binned c ON c.age >= 18 + 5 * b.i AND c.age < 23 + 5 * b.i
-GROUP BY b.age_group"""
-
-
-# --------------------------------------------------------------------------
-# J14
-def _money_sql(v: str) -> str:
-    return f"COALESCE(format('{{:,.2f}}', CAST({v} AS DOUBLE)), '0.00')"
-
-
-def _int_sql(v: str) -> str:
-    return f"COALESCE(format('{{:,}}', CAST(TRUNC(CAST({v} AS DOUBLE)) AS BIGINT)), '0')"
-
-
-PERIOD_LABEL = (f"strftime({LO}, '%B %d, %Y') || ' → ' || strftime({HI}, '%B %d, %Y')")
-
-
-def _card_rows(cards, value_of, source: str, ids: str = "", where: str = "") -> str:
-    parts = []
-    for i, (metric, label, fmt, prefix) in enumerate(cards, start=1):
-        if metric not in value_of:
-            continue
-        v = value_of[metric]
-        shown = _int_sql(v) if fmt == "int" else _money_sql(v)
-        expl = rd.METRIC_EXPLANATIONS[metric].replace("'", "''")
-        cond = where.format(v=v) if where and metric == "total_users" else ""
-        parts.append(
-            f"SELECT {ids}{i} AS card_order, '{metric}' AS metric, '{label}' AS label, "
-            f"CAST({v} AS DOUBLE) AS value, '{prefix}' || {shown} AS display_value, "
-            f"'{expl}' AS explanation, {PERIOD_LABEL} AS period_label FROM {source}"
-            + (f" WHERE {cond}" if cond else ""))
-    return "\nUNION ALL\n".join(parts)
-
-
-def _kpi_general() -> str:
-    gen_vals = {m: f"g.{m}" for m, *_ in rd.GENERAL_CARDS}
-    gen_vals["registered_users"] = "uc.registered_users"
-    gen_vals["kyc_users"] = "uc.kyc_users"
-    return (_with(_LEDGER_VIEWS, _GEN_LED, _GEN_HIST,
-                  f"g AS ({_general_select()})", f"uc AS ({USER_COUNTS_SELECT})")
-            + "\n" + _card_rows(rd.GENERAL_CARDS, gen_vals, "g, uc"))
-
-
-def _kpi_asset() -> str:
-    vals = {m: f"x.{m}" for m, *_ in rd.ASSET_CARDS}
-    x_rows = (f"x_rows AS (SELECT {ASSET_SELECT}, ub.total_users "
-              "FROM agg LEFT JOIN ub USING (asset_type) WHERE agg.asset_type IS NOT NULL)")
-    body = _card_rows(rd.ASSET_CARDS, vals, "x_rows x", ids="x.asset_type, ",
-                      where="{v} IS NOT NULL")
-    return (_with(_LEDGER_VIEWS, _ASSET_LED, _ASSET_HIST, _asset_agg_cte(), _USERS_BY_ASSET, x_rows)
-            + "\n" + body)
-
-
-def _kpi_user_select() -> str:
-    values = {"registered_users": "COUNT(*)",
-              "active_users": "COUNT(*) FILTER (WHERE is_active)",
-              "users_with_most_recent_activity": "COUNT(*) FILTER (WHERE is_recent)"}
-    parts = []
-    for i, (metric, label) in enumerate(rd.USER_CARDS, start=1):
-        v = values[metric]
-        expl = rd.METRIC_EXPLANATIONS[metric].replace("'", "''")
-        parts.append(f"SELECT {i} AS card_order, '{metric}' AS metric, '{label}' AS label, "
-                     f"CAST({v} AS DOUBLE) AS value, CAST({v} AS VARCHAR) AS display_value, "
-                     f"'{expl}' AS explanation, {PERIOD_LABEL} AS period_label FROM insights")
-    return "\nUNION ALL\n".join(parts)
-
-
-# --------------------------------------------------------------------------
-def _ledger_base() -> str:
-    return _with(_LEDGER_VIEWS, _GEN_LED) + """
-SELECT customer_id, customer_name, transaction_id, ttype AS transaction_type,
-       ts AS transaction_date, ghs AS ghs_amount, usd AS usd_amount, pn
-FROM led"""
-
-
-def _first_tx_cte() -> str:
-    return """ft AS (
-  SELECT COALESCE(p.user_id, ip.user_id) AS user_id, MIN(t.updated_at) AS first_transaction_date
-  FROM fx_transactions t
-    LEFT JOIN fx_investment_plans ip ON ip.id = t.investment_plan_id
-    LEFT JOIN fx_plans p ON p.id = t.plan_id
-  WHERE t.status = 'success'
-  GROUP BY COALESCE(p.user_id, ip.user_id))"""
-
-
-def _ledger_cohorts() -> str:
-    return _with(_LEDGER_VIEWS, _ASSET_LED, _first_tx_cte()) + """
-SELECT l.transaction_id, l.ttype AS transaction_type, l.asset_type, l.customer_id,
-       l.customer_name, ft.first_transaction_date,
-       strftime(l.ts, '%Y-%m') AS transaction_cohort,
-       strftime(l.sign_up_date, '%Y-%m') AS sign_up_cohort,
-       CAST(week(l.ts) AS INTEGER) AS week_number,
-       l.ts AS transaction_date, l.ghs AS ghs_amount, l.usd AS usd_amount, l.exchange_rate,
-       l.sign_up_date, l.investment_type, l.asset_name, l.assets_maturity_date,
-       l.investment_maturity_date
-FROM aled l LEFT JOIN ft ON ft.user_id = l.customer_id"""
+    CAST(2024 - year(TRY_CAST(dob AS DATE)) AS INTEGER) AS age
+  FROM cohort),
+bins AS (
+  SELECT 18 + 5 * n AS lo, format('[{{}}, {{}})', 18 + 5 * n, 23 + 5 * n) AS age_group FROM range(12) r(n)),
+grouped AS (SELECT tidy.*, age_group FROM tidy LEFT JOIN bins ON age BETWEEN lo AND lo + 4)"""
+
+# ---- cards: (metric, label, shown as, prefix) ----------------------------------------------------
+
+_GENERAL_CARDS = [
+    ("deposit_value_ghs", "Total Deposits (GHS)", "money", "₵"), ("deposit_value_usd", "Total Deposits (USD)", "money", "$"),
+    ("deposit_count", "Total Deposits Count", "int", ""), ("withdrawal_value_ghs", "Total Withdrawals (GHS)", "money", "₵"),
+    ("withdrawal_value_usd", "Total Withdrawals (USD)", "money", "$"), ("withdrawal_count", "Total Withdrawals Count", "int", ""),
+    ("aum_ghs", "Assets Under Management (AUM) GHS", "money", "₵"), ("aum_usd", "Assets Under Management (AUM) USD", "money", "$"),
+    ("new_depositors", "New Depositors", "int", ""), ("recurring_depositors", "Recurring Depositors", "int", ""),
+    ("registered_users", "Registered Users", "int", ""), ("kyc_users", "KYC Verified Users", "int", ""),
+]
+_ASSET_CARDS = [
+    ("deposit_value_ghs", "Total Deposits (GHS)", "money", "₵"), ("deposit_value_usd", "Total Deposits (USD)", "money", "$"),
+    ("deposit_count", "📥 Deposit Count", "int", ""), ("withdrawal_value_ghs", "💸 Withdrawal (GHS)", "money", "₵"),
+    ("withdrawal_value_usd", "Withdrawal (USD)", "money", "$"), ("withdrawal_count", "📥 Total Withdrawals Count", "int", ""),
+    ("aum_ghs", "📊 AUM (GHS)", "money", ""), ("aum_usd", "📊 AUM (USD)", "money", ""),
+    ("total_depositors", "👥 Total Depositors", "int", ""), ("new_depositors", "🆕 New Depositors", "int", ""),
+    ("recurring_depositors", "🔁 Recurring Depositors", "int", ""), ("avg_deposit_value_ghs", "💰 Avg Deposit (GHS)", "money", ""),
+    ("avg_deposit_value_usd", "💰 Avg Deposit (USD)", "money", ""), ("avg_withdrawal_value_ghs", "💸 Avg Withdrawal (GHS)", "money", ""),
+    ("avg_withdrawal_value_usd", "💸 Avg Withdrawal (USD)", "money", ""), ("estimated_revenue", "💰 Estimated Revenue", "money", ""),
+    ("total_users", "👥 Total Users", "int", ""),
+]
+_USER_CARDS = [("registered_users", "🧍 Total Registered Users", "plain", ""), ("active_users", "🟢 Active Users", "plain", ""),
+               ("users_with_most_recent_activity", "👤 Users With Recent Activity", "plain", "")]
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _cards(cards: list, wide: str, ids: str = "") -> str:
+    """Cards of the wide rows ``wide`` (a relation), with ``ids`` kept."""
+    table = ",\n    ".join(
+        f"({i}, {_quoted(m)}, {_quoted(label)}, {_quoted(shown)}, {_quoted(prefix)}, {_quoted(rd.METRIC_EXPLANATIONS[m])})"
+        for i, (m, label, shown, prefix) in enumerate(cards, 1))
+    columns = ", ".join(f"CAST({m} AS DOUBLE) AS {m}" for m, *_ in cards)
+    keep = f"{ids}, " if ids else ""
+    return f"""card AS (SELECT * FROM (VALUES
+    {table}) AS v (card_order, metric, label, shown, prefix, explanation)),
+long AS (
+  FROM (SELECT {keep}{columns} FROM {wide}) UNPIVOT INCLUDE NULLS (value FOR metric IN ({", ".join(m for m, *_ in cards)})))
+SELECT {keep}card_order, metric, label, value,
+  CASE shown WHEN 'plain' THEN CAST(CAST(value AS BIGINT) AS VARCHAR)
+    WHEN 'int' THEN prefix || COALESCE(format('{{:,}}', CAST(TRUNC(value) AS BIGINT)), '0')
+    ELSE prefix || COALESCE(format('{{:,.2f}}', value), '0.00') END AS display_value,
+  explanation, {_LABEL} AS period_label
+FROM long JOIN card USING (metric)"""
+
+
+# ---- statements ----------------------------------------------------------------------------------
+
+_TREND_ROWS = f"FROM entry WHERE free AND provider <> 'Flex Dollar' AND moment {_MOMENT}"
+
+
+def _trend(grain: str) -> str:
+    return (f"SELECT CAST(date_trunc('{grain}', moment) AS DATE) AS period, raw_kind AS tx_type, "
+            f"CAST(SUM(ghs) AS DOUBLE) AS total_amount {_TREND_ROWS} GROUP BY ALL")
+
+
+_PIVOT = f"""SELECT CAST(moment AS DATE) AS period,
+  CAST(SUM(CASE WHEN raw_kind = 'deposit' THEN COALESCE(ghs, 0) ELSE 0 END) AS DOUBLE) AS "Deposits",
+  CAST(SUM(CASE WHEN raw_kind = 'withdrawal' THEN COALESCE(ghs, 0) ELSE 0 END) AS DOUBLE) AS "Withdrawals",
+  CAST(SUM(CASE WHEN raw_kind = 'direct_debit' THEN COALESCE(ghs, 0) ELSE 0 END) AS DOUBLE) AS direct_debit,
+  CAST(SUM(CASE WHEN raw_kind = 'early_withdrawal' THEN COALESCE(ghs, 0) ELSE 0 END) AS DOUBLE) AS early_withdrawal,
+  CAST(SUM(CASE WHEN COALESCE(raw_kind, 'none') IN ('deposit', 'withdrawal', 'direct_debit', 'early_withdrawal') THEN 0
+                ELSE COALESCE(ghs, 0) END) AS DOUBLE) AS "Other"
+{_TREND_ROWS} GROUP BY 1"""
+
+_GENERAL = f"SELECT {_MEASURE_LIST} FROM ({_flows('platform', '', _DAY, f'WHERE moment {_MOMENT}')}) f"
+
+_PRESET_ROWS = f"""within AS (
+  SELECT preset_order, preset, start_date, end_date, platform.*
+  FROM preset LEFT JOIN platform ON moment BETWEEN CAST(start_date AS TIMESTAMP) AND CAST(end_date AS TIMESTAMP))
+SELECT preset_order, preset, start_date, end_date, {_MEASURE_LIST}
+FROM ({_flows('within', 'preset_order, preset, start_date, end_date', 'BETWEEN start_date AND end_date', '')}) f"""
+
+
+def _deposits(source: str, keys: str) -> str:
+    return (f"SELECT {keys}, COUNT(*) AS deposit_count, MIN(moment) AS first_deposit_date, "
+            f"COUNT(DISTINCT moment) AS tx_days FROM {source} WHERE side = 'in' GROUP BY ALL")
+
+
+_FIRST = "SELECT owner_id AS user_id, MIN(moment) AS first_transaction_date FROM entry GROUP BY ALL"
+
+_COHORTS = """SELECT entry_id AS transaction_id, kind AS transaction_type, asset AS asset_type, customer AS customer_id,
+  customer_name, first_moment AS first_transaction_date, strftime(moment, '%Y-%m') AS transaction_cohort,
+  strftime(joined, '%Y-%m') AS sign_up_cohort, CAST(week(moment) AS INTEGER) AS week_number, moment AS transaction_date,
+  ghs AS ghs_amount, usd AS usd_amount, exchange_rate, joined AS sign_up_date, instrument AS investment_type, asset_name,
+  asset_matures AS assets_maturity_date, plan_matures AS investment_maturity_date
+FROM (SELECT *, MIN(moment) OVER (PARTITION BY owner_id) AS first_moment FROM entry) e
+WHERE free AND provider <> 'Flex Dollar'"""
+
+_TYPES = f"SELECT asset AS asset_type FROM entry WHERE asset IS NOT NULL AND moment {_MOMENT} GROUP BY asset"
+_HEADS = "SELECT asset_type, total_users FROM asset_row WHERE asset_type IS NOT NULL"
+_KPIS = """SELECT COUNT(*) AS registered_users, COUNT(CASE WHEN is_active THEN 1 END) AS active_users,
+  COUNT(CASE WHEN is_recent THEN 1 END) AS users_with_most_recent_activity FROM cohort"""
+_AGES = "SELECT bins.age_group, COUNT(age) AS count FROM bins LEFT JOIN tidy ON age BETWEEN lo AND lo + 4 GROUP BY bins.age_group"
+
+
+def _counted(column: str) -> str:
+    return f"SELECT {column}, COUNT(*) AS count FROM tidy WHERE {column} IS NOT NULL GROUP BY {column}"
 
 
 def oracle_sql(inline_fixtures: bool = True) -> dict[str, str]:
-    """Oracle SQL per key; with ``inline_fixtures=False`` the statements read
-    tables named fx_transactions, fx_users, ... directly."""
-    global INLINE_FIXTURES
-    INLINE_FIXTURES = inline_fixtures
-    try:
-        return _oracle_sql()
-    finally:
-        INLINE_FIXTURES = True
-
-
-def _oracle_sql() -> dict[str, str]:
-    q: dict[str, str] = {}
-    q["general_metrics"] = _general()
-    q["date_presets"] = _date_presets()
-    for g in ("day", "week", "month"):
-        q[f"trend_{g}"] = _trend(g)
-    q["trend_pivot"] = _trend_pivot("day")
-    q["asset_metrics"] = _asset(ASSET_SELECT)
-    q["asset_revenue"] = _asset(f"asset_type, {REVENUE_CASE} AS estimated_revenue")
-    q["asset_fees"] = _asset("asset_type, " + ", ".join(
-        f"{ASSET_VALUES[k]} AS {k}" for k in ("maintenance_fees_ghs", "early_withdrawal_fees_usd")))
-    q["asset_detail"] = _asset(
-        f"{ASSET_SELECT.replace('asset_type, ', 'agg.asset_type, ', 1)}, ub.total_users",
-        _USERS_BY_ASSET,
-        tail=f"FROM agg LEFT JOIN ub USING (asset_type) WHERE agg.asset_type = '{P.SELECTED_ASSET}'")
-    q["user_counts"] = _user_counts()
-    q["users_by_asset_type"] = _with(_LEDGER_VIEWS, _USERS_BY_ASSET) + "\nSELECT * FROM ub"
-    q["asset_types"] = _with(_LEDGER_VIEWS, _asset_types_cte()) + "\nSELECT asset_type FROM types"
-    q["asset_type_count"] = (_with(_LEDGER_VIEWS, _asset_types_cte())
-                             + "\nSELECT COUNT(*) AS asset_type_count FROM types")
-    q["user_insights"] = _users("SELECT * FROM insights")
-    q["active_users"] = _users("SELECT user_id FROM active")
-    q["recent_users"] = _users("SELECT user_id FROM recent")
-    q["user_kpis"] = _users("""SELECT COUNT(*) AS registered_users,
-  COUNT(*) FILTER (WHERE is_active) AS active_users,
-  COUNT(*) FILTER (WHERE is_recent) AS users_with_most_recent_activity
-FROM insights""")
-    q["user_clean"] = _users("SELECT * FROM clean_binned", _CLEAN)
-    for key, col in (("dist_gender", "gender"), ("dist_country", "country"),
-                     ("dist_use_option", "use_option"), ("dist_status", "status"),
-                     ("dist_employment", "employment_status")):
-        q[key] = _dist(col)
-    q["dist_age_group"] = _users(_AGE_DIST, _CLEAN)
-    q["kpi_general"] = _kpi_general()
-    q["kpi_asset"] = _kpi_asset()
-    q["kpi_user"] = _users(_kpi_user_select())
-    q["ledger_base"] = _ledger_base()
-    q["depositors_summary"] = _with(_LEDGER_VIEWS, _GEN_LED, _GEN_HIST) + """
-SELECT customer_id, deposit_count, first_ts AS first_deposit_date, n_ts AS tx_days FROM hist"""
-    q["depositors_by_asset"] = _with(_LEDGER_VIEWS, _ASSET_LED, _ASSET_HIST) + """
-SELECT customer_id, asset_type, deposit_count, first_ts AS first_deposit_date, n_ts AS tx_days
-FROM ahist"""
-    q["first_transactions"] = _with(_LEDGER_VIEWS, _first_tx_cte()) + "\nSELECT * FROM ft"
-    q["ledger_cohorts"] = _ledger_cohorts()
+    """Oracle SQL per key; with ``inline_fixtures=False`` the statements read tables named
+    fx_transactions, fx_users, ... directly."""
+    def over(views: list[str], ctes: list[str], select: str) -> str:
+        parts = [duckdb_prelude(views)] if inline_fixtures else []
+        text = ",\n".join([*parts, *ctes])
+        lead = "" if inline_fixtures or not ctes else "WITH "
+        # A select that opens with more relations of its own continues the list.
+        more = select.lstrip().startswith(("within AS", "card AS"))
+        return f"{lead}{text}{',' if more and text else ''}\n{select}"
+
+    def rows(select: str, *ctes: str) -> str:
+        return over(_LEDGER_VIEWS, [_PAIR, _ENTRY, *ctes], select)
+
+    def assets(select: str) -> str:
+        return rows(select, _HOLDING, _RATES, _ASSET_ROWS)
+
+    def people(select: str, *ctes: str) -> str:
+        return over(_USER_VIEWS, [_PAIR, _ENTRY, _SEEN, _COHORT, *ctes], select)
+
+    columns = ", ".join(_ASSET_COLUMNS)
+    q = {
+        "general_metrics": rows(_GENERAL, _PLATFORM),
+        "date_presets": rows(_PRESET_ROWS, _PLATFORM, _PRESETS),
+        "trend_pivot": rows(_PIVOT),
+        "asset_metrics": assets(f"SELECT {columns} FROM asset_row"),
+        "asset_revenue": assets("SELECT asset_type, estimated_revenue FROM asset_row"),
+        "asset_fees": assets("SELECT asset_type, maintenance_fees_ghs, early_withdrawal_fees_usd FROM asset_row"),
+        "asset_detail": assets(f"SELECT {columns}, total_users FROM asset_row WHERE asset_type = 'equity'"),
+        "users_by_asset_type": assets(_HEADS),
+        "user_counts": over(["fx_users"], [], _SIGNED_UP),
+        "asset_types": rows(_TYPES),
+        "asset_type_count": rows(f"SELECT COUNT(*) AS asset_type_count FROM ({_TYPES}) x"),
+        "user_insights": people("SELECT * FROM cohort"),
+        "active_users": people("SELECT DISTINCT who AS user_id FROM seen"),
+        "recent_users": over(["fx_users"], [], "SELECT CAST(id AS VARCHAR) AS user_id FROM fx_users "
+                                               f"WHERE CAST(most_recent_activity AS DATE) {_DAY}"),
+        "user_kpis": people(_KPIS),
+        "user_clean": people("SELECT * FROM grouped", _TIDY),
+        "dist_age_group": people(_AGES, _TIDY),
+        "kpi_general": rows(_cards(_GENERAL_CARDS, "general_row CROSS JOIN sign_ups"), _PLATFORM,
+                            f"general_row AS ({_GENERAL})", f"sign_ups AS ({_SIGNED_UP})"),
+        "kpi_asset": assets(_cards(_ASSET_CARDS, "asset_row WHERE asset_type IS NOT NULL", "asset_type")),
+        "kpi_user": people(_cards(_USER_CARDS, "user_row"), f"user_row AS ({_KPIS})"),
+        "ledger_base": rows("SELECT customer AS customer_id, customer_name, entry_id AS transaction_id, "
+                            "kind AS transaction_type, moment AS transaction_date, ghs AS ghs_amount, "
+                            "usd AS usd_amount, provider AS pn FROM entry WHERE free"),
+        "depositors_summary": rows(_deposits("platform", "customer AS customer_id"), _PLATFORM),
+        "depositors_by_asset": rows(_deposits("holding", "customer AS customer_id, asset AS asset_type"), _HOLDING),
+        "first_transactions": rows(_FIRST),
+        "ledger_cohorts": rows(_COHORTS),
+    }
+    for grain in ("day", "week", "month"):
+        q[f"trend_{grain}"] = rows(_trend(grain))
+    dists = {"dist_gender": "gender", "dist_country": "country", "dist_use_option": "use_option",
+             "dist_status": "status", "dist_employment": "employment_status"}
+    for key, column in dists.items():
+        q[key] = people(_counted(column), _TIDY)
+    stored = {"general_metrics": _GENERAL, "trend_month": _trend("month"), "asset_metrics": "SELECT * FROM asset_row",
+              "users_by_asset_type": _HEADS, "user_clean": "SELECT * FROM grouped", "user_kpis": _KPIS,
+              "dist_age_group": _AGES, **{key: _counted(column) for key, column in dists.items()}}
+    q["report_mart"] = people("\nUNION ALL ".join(
+        f"SELECT '{name}' AS table_name, DATE '2024-01-05' AS window_start, DATE '2024-01-20' AS window_end, "
+        f"COUNT(*) AS row_count FROM ({select}) x" for name, select in stored.items()),
+        _TIDY, _PLATFORM, _HOLDING, _RATES, _ASSET_ROWS)
     return q

@@ -23,6 +23,7 @@ KYC_TEXT_PATTERN = "%kyc_completed%"                       # matched case-insens
 EARLY_WITHDRAWAL_FEE_RATE = "0.025"                        # exact decimal
 TREND_TYPES = ("deposit", "withdrawal", "direct_debit", "early_withdrawal")
 TREND_RENAMES = {"deposit": "Deposits", "withdrawal": "Withdrawals"}
+TREND_OTHER = "Other"                                      # every other type, and a missing one
 
 # ---------------------------------------------------------------------------
 # Fee schedule for the fixture's asset types (FIXTURES.md).
@@ -32,6 +33,8 @@ FIXTURE_FEES = (
     ("spread_trade", 0.01, "ghs", True),
     ("savings_usd_a", 0.0475 / 12, "usd", False),
     ("savings_usd_b", 0.06 / 12, "usd", False),
+    ("savings_usd_c", 0.06 / 12, "usd", False),
+    ("credit_fund", 0.04 / 12, "usd", False),
     ("fixed_income", 0.02 / 12, "usd", False),
     ("equity", 0.02, "ghs", False),
     ("fund", 0.02, "ghs", False),

@@ -25,8 +25,9 @@ CORE_CONF = {
 # so the shuffle carries per-customer partials, not transactions.  The
 # initial shuffle width is high and AQE coalesces it to ~256 MB partitions;
 # skewed join partitions (a hot plan or customer) are split by AQE.
-# Dimensions (plans, users) are broadcast up to 2M rows; above that they
-# are sort-merge joined with NULL-key spreading (operators.joins).
+# Dimensions (plans, users) are broadcast while one job's broadcasts stay
+# within maxBytes (and each within maxRows); the others are sort-merge
+# joined with NULL-key spreading (operators.joins).
 CLUSTER_CONF = {
     "spark.sql.files.maxPartitionBytes": "512m",
     "spark.sql.shuffle.partitions": "20000",
@@ -35,6 +36,7 @@ CLUSTER_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": "256m",
     "spark.sql.broadcastTimeout": "900",
     "ledgerscope.broadcast.maxRows": "2000000",
+    "ledgerscope.broadcast.maxBytes": "268435456",
 }
 
 
@@ -70,7 +72,8 @@ def shared_dir(spark: SparkSession) -> str:
 
     The cluster names it in ``spark.checkpoint.dir``; that setting is read from
     the session.  Only when it is unset (local tests) is a fresh temporary
-    folder created and registered.
+    folder created and registered; on a cluster that folder would be one
+    machine's own, so there an unset folder is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -78,6 +81,8 @@ def shared_dir(spark: SparkSession) -> str:
         return current.rstrip("/")
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="ledgerscope-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir().rstrip("/")

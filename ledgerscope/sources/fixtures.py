@@ -27,21 +27,22 @@ SELECT event_id AS id,
   CASE WHEN event_id % 41 = 0 THEN NULL WHEN event_id % 4 = 2 THEN 1000000 + user_key
        WHEN event_id % 4 = 3 THEN 1000001 + user_key END AS investment_plan_id,
   CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status,
-  CASE event_type WHEN 'click' THEN 'deposit' WHEN 'purchase' THEN 'withdrawal'
+  CASE WHEN event_id % 53 = 0 THEN NULL WHEN event_id % 59 = 0 THEN 'refund' ELSE
+       CASE event_type WHEN 'click' THEN 'deposit' WHEN 'purchase' THEN 'withdrawal'
        WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN 'direct_debit' ELSE 'deposit' END
-       ELSE CASE WHEN event_id % 3 = 0 THEN 'early_withdrawal' ELSE 'deposit' END END AS tx_type,
+       ELSE CASE WHEN event_id % 3 = 0 THEN 'early_withdrawal' ELSE 'deposit' END END END AS tx_type,
   CASE WHEN event_id % 13 = 0 THEN 'Flex Dollar' WHEN event_id % 13 = 5 THEN NULL ELSE 'provider_a' END AS provider_number,
   CASE WHEN event_id % 37 = 0 THEN '{{"note": "MONTHLY maintenance FEE deduction"}}' ELSE props END AS metadata,
   ts AS updated_at, CAST(value AS DECIMAL(18,2)) AS amount, CAST(value * 2 AS DECIMAL(18,2)) AS usd_amount,
-  CAST(12.5 AS DECIMAL(18,6)) AS exchange_rate
+  CAST(10 + event_id % 7 AS DECIMAL(18,6)) AS exchange_rate
 FROM {fx_activity}
 """,
     "fx_users": """
-SELECT c.c_custkey AS id, 'Customer' AS first_name,
+SELECT c.c_custkey AS id, 'Customer' || CAST(c.c_custkey % 5 AS VARCHAR(10)) AS first_name,
   CASE WHEN c.c_custkey % 50 = 7 THEN NULL ELSE SUBSTR(c.c_name, 10) END AS last_name,
   (c.c_custkey % 11 = 3) AS restricted, e.created_at, e.updated_at, e.most_recent_activity,
   CASE WHEN c.c_custkey % 3 = 0 THEN '{{"kyc":"KYC_Completed"}}' ELSE '{{}}' END AS metadata,
-  CASE c.c_custkey % 6 WHEN 0 THEN ' Male ' WHEN 1 THEN 'FEMALE' WHEN 2 THEN 'non binary'
+  CASE c.c_custkey % 6 WHEN 0 THEN CHR(9) || ' Male' || CHR(10) WHEN 1 THEN 'FEMALE' WHEN 2 THEN 'non binary'
        WHEN 3 THEN 'Non-Binary' WHEN 4 THEN 'male' END AS gender,
   CASE WHEN c.c_custkey % 2 = 0 THEN ' Country_' ELSE 'Country_' END || CAST(c.c_nationkey AS VARCHAR(10)) || ' ' AS country,
   CASE WHEN c.c_custkey % 17 = 0 THEN 'n/a' WHEN c.c_custkey % 19 = 0 THEN NULL
@@ -60,28 +61,29 @@ SELECT c_custkey AS id, c_custkey AS user_id,
 FROM {customer}
 """,
     "fx_investment_plans": """
-SELECT 1000000 + c_custkey AS id, c_custkey AS user_id, c_custkey % 7 AS asset_id,
-  CASE WHEN c_custkey % 2 = 0 THEN 'fixed' ELSE 'flexible' END AS plan_option, DATE '2024-06-30' AS maturity_date
+SELECT 1000000 + c_custkey AS id, c_custkey AS user_id, c_custkey % 27 AS asset_id,
+  CASE WHEN c_custkey % 2 = 0 THEN 'fixed' ELSE 'flexible' END AS plan_option, DATE '2024-06-30' + CAST(c_custkey % 90 AS INT) AS maturity_date
 FROM {customer}
 """,
     "fx_assets": """
 SELECT CAST(n_nationkey AS BIGINT) AS id,
   CASE n_nationkey WHEN 0 THEN 'spread_trade' WHEN 1 THEN 'equity' WHEN 2 THEN 'fund' WHEN 3 THEN 'etf'
-       WHEN 4 THEN 'fixed_income' ELSE 'unpriced' END AS name, DATE '2024-12-31' AS maturity_date
-FROM {nation} WHERE n_nationkey < 6
+       WHEN 4 THEN 'fixed_income' WHEN 5 THEN 'savings_usd_c' WHEN 6 THEN 'credit_fund'
+       ELSE 'unpriced' END AS name, DATE '2024-12-31' + CAST(n_nationkey AS INT) AS maturity_date
+FROM {nation}
 """,
     "fx_profiles": """
-SELECT c_custkey AS user_id, c_mktsegment AS employment_status FROM {customer} WHERE c_custkey % 5 <> 4
+SELECT c_custkey AS user_id, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_mktsegment END AS employment_status FROM {customer}
 UNION ALL SELECT c_custkey, 'Second job' FROM {customer} WHERE c_custkey % 23 = 1
 """,
     "fx_budgets": """
-SELECT user_key AS user_id, ts AS created_at FROM {fx_activity} WHERE event_type = 'signup' AND event_id % 7 = 0
+SELECT user_key AS user_id, ts AS created_at FROM {fx_activity} WHERE event_type = 'signup'
 """,
     "fx_external_transactions": """
-SELECT user_key AS user_id, ts AS created_at FROM {fx_activity} WHERE event_type = 'error' AND event_id % 7 = 1
+SELECT user_key AS user_id, ts AS created_at FROM {fx_activity} WHERE event_type = 'purchase'
 """,
     "fx_messages": """
-SELECT CAST(user_key AS VARCHAR(20)) AS user_ref, ts AS created_at FROM {fx_activity} WHERE event_type = 'view' AND event_id % 7 = 2
+SELECT CAST(user_key AS VARCHAR(20)) AS user_ref, ts AS created_at FROM {fx_activity} WHERE event_type = 'view'
 """,
 }
 

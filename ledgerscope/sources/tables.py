@@ -16,7 +16,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerscope.operators.joins import broadcast_row_limit, row_count_at_most
+from ledgerscope import reference_data as rd
+from ledgerscope.operators.joins import broadcast_byte_limit, broadcast_row_limit, row_bytes
 from ledgerscope.sources import fixtures
 
 # logical name -> fixture view
@@ -46,6 +47,10 @@ SOURCE_NAMES = {
 }
 
 
+#: Tables that the ledger may broadcast together.
+DIMENSIONS = ("assets", "plans", "investment_plans", "users")
+
+
 @dataclass(frozen=True)
 class LedgerTables:
     transactions: DataFrame
@@ -57,6 +62,8 @@ class LedgerTables:
     budgets: DataFrame
     external_transactions: DataFrame
     messages: DataFrame
+    #: Rate table of the asset metrics; without one a job must be given it.
+    fees: DataFrame | None = None
     _bounds: dict = field(default_factory=dict, compare=False, repr=False)
     _staged: dict = field(default_factory=dict, compare=False, repr=False)
 
@@ -65,17 +72,34 @@ class LedgerTables:
         return self.transactions.sparkSession
 
     def is_small(self, name: str) -> bool:
-        """Whether table ``name`` is within the broadcast row bound (counted
-        once per object; a Parquet count reads only file footers)."""
-        limit = broadcast_row_limit(self.spark)
-        if (name, limit) not in self._bounds:
-            self._bounds[(name, limit)] = row_count_at_most(getattr(self, name), limit)
-        return self._bounds[(name, limit)]
+        """Whether table ``name`` is broadcast.
+
+        Of the dimensions that one job may broadcast together, the smallest
+        are, as long as their bytes add up to the bound and each is within the
+        row bound.  Rows are counted once per object (a Parquet count reads
+        only file footers); bytes are rows times the row's width by type.
+        """
+        limits = broadcast_row_limit(self.spark), broadcast_byte_limit(self.spark)
+        if limits not in self._bounds:
+            rows = {n: self._rows(n) for n in DIMENSIONS}
+            sizes = sorted((rows[n] * row_bytes(getattr(self, n)), n) for n in DIMENSIONS)
+            chosen, total = set(), 0
+            for size, n in sizes:
+                total += size
+                if total <= limits[1] and rows[n] <= limits[0]:
+                    chosen.add(n)
+            self._bounds[limits] = chosen
+        return name in self._bounds[limits]
+
+    def _rows(self, name: str) -> int:
+        if name not in self._bounds:
+            self._bounds[name] = getattr(self, name).count()
+        return self._bounds[name]
 
     def staged(self, key, build):
         """A derived relation (e.g. the enriched ledger) built once per
         registry and shared, lazily, by every query that reads it."""
-        key = (key, broadcast_row_limit(self.spark))
+        key = (key, broadcast_row_limit(self.spark), broadcast_byte_limit(self.spark))
         if key not in self._staged:
             self._staged[key] = build()
         return self._staged[key]
@@ -90,7 +114,8 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> LedgerTables:
     key = (id(spark), spark.sparkContext.applicationId, sf_dir)
     if key not in _REGISTRY:
         views = fixtures.spark_views(spark, sf_dir)
-        _REGISTRY[key] = LedgerTables(**{k: views[v] for k, v in FIXTURE_VIEWS.items()})
+        _REGISTRY[key] = LedgerTables(**{k: views[v] for k, v in FIXTURE_VIEWS.items()},
+                                      fees=rd.fee_table(spark))
     return _REGISTRY[key]
 
 
@@ -100,8 +125,9 @@ def _renamed(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
 
 
 def parquet_tables(spark: SparkSession, root: str,
-                   renames: dict[str, dict[str, str]] | None = None) -> LedgerTables:
-    """Ledger stored as one Parquet folder per table under ``root``.
+                   renames: dict[str, dict[str, str]] | None = None,
+                   fees: DataFrame | None = None) -> LedgerTables:
+    """Ledger stored as one Parquet folder per table under ``root``, priced by ``fees``.
 
     Reads are lazy; each job's column pruning and date filters reach the scan.
     """
@@ -110,18 +136,22 @@ def parquet_tables(spark: SparkSession, root: str,
     for logical, name in SOURCE_NAMES.items():
         df = spark.read.parquet(f"{root}/{name}")
         frames[logical] = _renamed(df, renames.get(logical, {}))
-    return LedgerTables(**frames)
+    return LedgerTables(**frames, fees=fees)
 
 
 def jdbc_tables(spark: SparkSession, url: str, properties: dict[str, str],
                 partitioning: dict[str, dict] | None = None,
-                renames: dict[str, dict[str, str]] | None = None) -> LedgerTables:
+                renames: dict[str, dict[str, str]] | None = None,
+                fees: DataFrame | None = None) -> LedgerTables:
     """Ledger read straight from the operational database over JDBC.
 
     ``partitioning`` maps a logical table to ``column / lowerBound /
     upperBound / numPartitions`` so large tables are read by many tasks in
-    parallel instead of one.  Not exercised by the tests (no database here).
+    parallel instead of one; ``transactions`` must be among them.  The reads
+    themselves are not exercised by the tests (no database here).
     """
+    if "transactions" not in (partitioning or {}):
+        raise ValueError("give a partitioning for 'transactions': one task would read the whole table")
     renames = {"messages": {"user": "user_ref"}, **(renames or {})}
     partitioning = partitioning or {}
     frames = {}
@@ -132,4 +162,4 @@ def jdbc_tables(spark: SparkSession, url: str, properties: dict[str, str],
         else:
             df = spark.read.jdbc(url, name, properties=properties)
         frames[logical] = _renamed(df, renames.get(logical, {}))
-    return LedgerTables(**frames)
+    return LedgerTables(**frames, fees=fees)

@@ -3,6 +3,7 @@
 import datetime as dt
 from decimal import Decimal
 
+from ledgerscope import reference_data as rd
 from ledgerscope.sources.tables import LedgerTables
 
 SCHEMAS = {
@@ -48,4 +49,4 @@ def user(id, restricted=False, created_at=None, updated_at=None, recent=None,
 def ledger_tables(spark, **rows) -> LedgerTables:
     frames = {name: spark.createDataFrame(rows.get(name, []), schema)
               for name, schema in SCHEMAS.items()}
-    return LedgerTables(**frames)
+    return LedgerTables(**frames, fees=rd.fee_table(spark))

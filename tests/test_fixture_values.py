@@ -14,21 +14,22 @@ from ledgerscope.sources.tables import fixture_tables
 
 # FIXTURES.md "Values to expect" and "What the fixtures exercise".
 EXPECTED = {
-    "sf0.001": dict(dep_n=262, dep_sum=12519.14, wd_n=85, wd_sum=4677.73, depositors=51,
-                    recurring=45, new=8, j8_rows=38, j8_users=36, active=36, recent=13,
-                    failed=201, null_provider=77, excluded_provider=77, fee_text=28,
-                    no_plan=25, restricted=14, null_created=95, two_profiles=5,
-                    no_profile=28, bad_dob=9, null_dob=7),
-    "sf0.01": dict(dep_n=2252, dep_sum=112654.93, wd_n=726, wd_sum=33274.88, depositors=535,
-                   recurring=453, new=95, j8_rows=298, j8_users=289, active=275, recent=89,
-                   failed=2014, null_provider=769, excluded_provider=770, fee_text=271,
-                   no_plan=244, restricted=137, null_created=928, two_profiles=53,
-                   no_profile=287, bad_dob=89, null_dob=74),
-    "sf0.1": dict(dep_n=23066, dep_sum=1150864.95, wd_n=7375, wd_sum=363969.78, depositors=5363,
-                  recurring=4654, new=856, j8_rows=2882, j8_users=2758, active=2634, recent=784,
-                  failed=19810, null_provider=7692, excluded_provider=7693, fee_text=2703,
-                  no_plan=2440, restricted=1364, null_created=9505, two_profiles=522,
-                  no_profile=2869, bad_dob=883, null_dob=743),
+    "sf0.001": dict(dep_n=250, dep_sum=11913.13, wd_n=84, wd_sum=4618.89, depositors=51,
+                recurring=44, new=9, j8_rows=38, j8_users=36, active=36, recent=13,
+                failed=201, null_provider=77, excluded_provider=77, fee_text=28, no_plan=25,
+                restricted=14, null_created=95, two_profiles=7, no_profile=0, bad_dob=9,
+                null_dob=7, null_type=19, unlisted_type=16),
+    "sf0.01": dict(dep_n=2181, dep_sum=108942.89, wd_n=701, wd_sum=32245.32, depositors=529,
+                recurring=451, new=92, j8_rows=299, j8_users=289, active=270, recent=90,
+                failed=2014, null_provider=769, excluded_provider=770, fee_text=271,
+                no_plan=244, restricted=137, null_created=928, two_profiles=66,
+                no_profile=0, bad_dob=89, null_dob=74, null_type=189, unlisted_type=166),
+    "sf0.1": dict(dep_n=22264, dep_sum=1109679.3, wd_n=7107, wd_sum=351107.71,
+                depositors=5309, recurring=4605, new=857, j8_rows=2888, j8_users=2758,
+                active=2592, recent=785, failed=19810, null_provider=7692,
+                excluded_provider=7693, fee_text=2703, no_plan=2440, restricted=1364,
+                null_created=9505, two_profiles=653, no_profile=0, bad_dob=883,
+                null_dob=743, null_type=1887, unlisted_type=1663),
 }
 
 
@@ -55,8 +56,10 @@ def test_published_values(spark, sf):
         F.count_if(F.col("provider_number") == "Flex Dollar").alias("excluded_provider"),
         F.count_if(F.col("metadata").ilike("%monthly maintenance fee deduction%")).alias("fee_text"),
         F.count_if(F.col("plan_id").isNull() & F.col("investment_plan_id").isNull()).alias("no_plan"),
+        F.count_if(F.col("tx_type").isNull()).alias("null_type"),
+        F.count_if(F.col("tx_type") == "refund").alias("unlisted_type"),
     ).collect()[0]
-    for name in ("failed", "null_provider", "excluded_provider", "fee_text", "no_plan"):
+    for name in ("failed", "null_provider", "excluded_provider", "fee_text", "no_plan", "null_type", "unlisted_type"):
         assert tx[name] == e[name], name
     u = t.users.agg(
         F.count_if("restricted").alias("restricted"),

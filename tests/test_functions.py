@@ -7,11 +7,28 @@ from pyspark.sql import functions as F
 
 from ledgerscope.functions import formatting, text
 from ledgerscope.functions.periods import PRESETS, Window, date_presets, preset_window
-from ledgerscope.plans.oracle import preset_bounds_sql
 
 WED = dt.date(2024, 1, 31)
 
 
+def preset_bounds_sql(d: str) -> list[tuple[str, str, str]]:
+    """(name, start, end) SQL date expressions per preset, in menu order."""
+    def minus(days: str) -> str:
+        return f"CAST({d} - CAST({days} AS INTEGER) AS DATE)"
+    last_sunday = minus(f"CASE WHEN dayofweek({d}) = 0 THEN 7 ELSE dayofweek({d}) END")
+    month1 = f"CAST(DATE_TRUNC('month', {d}) AS DATE)"
+    return [
+        ("Today", d, d),
+        ("Past 7 Days", minus("6"), d),
+        ("Last 14 Days", minus("13"), d),
+        ("This Week", minus(f"CAST(dayofweek({d}) AS INTEGER)"), d),
+        ("Last Week", f"CAST({last_sunday} - 6 AS DATE)", last_sunday),
+        ("Last 30 Days", minus("29"), d),
+        ("Last Month", f"CAST({month1} - INTERVAL 1 MONTH AS DATE)", f"CAST({month1} - 1 AS DATE)"),
+        ("All Time", "DATE '2022-01-01'", d),
+    ]
+
+
 def test_presets_on_a_wednesday():
     want = {
         "Today": ("2024-01-31", "2024-01-31"),

@@ -115,7 +115,7 @@ def test_trend_week_starts_monday(t):
 
 def test_trend_pivot_columns(t):
     df = trend.trend_pivot(t, W, "month", types=("direct_debit",))
-    assert df.columns == ["period", "Deposits", "Withdrawals", "direct_debit"]
+    assert df.columns == ["period", "Deposits", "Withdrawals", "direct_debit", "Other"]
     r = df.collect()[0]
     assert (r["Deposits"], r["Withdrawals"], r["direct_debit"]) == (280.0, 19.0, 0.0)
 

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 from ledgerscope.operators import metrics, users
+from ledgerscope.plans import catalog
 from ledgerscope.plans import params as P
 from ledgerscope.sources.tables import SOURCE_NAMES, fixture_tables, parquet_tables
 
@@ -52,7 +53,7 @@ def test_window_filter_reaches_the_scan(spark):
 
 
 def test_no_python_evaluation_anywhere(spark):
-    for key, build in E.queries().items():
+    for key, build in catalog.queries().items():
         if key == "report_mart":
             continue
         plan = build(spark, SF)._jdf.queryExecution().executedPlan().toString()
@@ -67,7 +68,7 @@ def test_parquet_source_round_trip(spark, tmp_path):
         if logical == "messages":
             df = df.withColumnRenamed("user_ref", "user")      # the source's column name
         df.write.parquet(f"{root}/{name}")
-    p = parquet_tables(spark, root)
+    p = parquet_tables(spark, root, fees=t.fees)
     assert "user_ref" in p.messages.columns
     for fn in (metrics.general_metrics, metrics.asset_metrics, metrics.user_counts,
                users.recent_users, users.user_insights):

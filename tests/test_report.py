@@ -18,11 +18,11 @@ def t(spark):
 
 def test_fixture_values_sf0001(t):
     r = metrics.general_metrics(t, P.WINDOW).collect()[0]
-    assert (r["deposit_count"], r["withdrawal_count"]) == (262, 85)
-    assert r["deposit_value_ghs"] == pytest.approx(12519.14)
-    assert r["withdrawal_value_ghs"] == pytest.approx(4677.73)
+    assert (r["deposit_count"], r["withdrawal_count"]) == (250, 84)
+    assert r["deposit_value_ghs"] == pytest.approx(11913.13)
+    assert r["withdrawal_value_ghs"] == pytest.approx(4618.89)
     assert r["total_depositors"] == 51
-    assert (r["recurring_depositors"], r["new_depositors"]) == (45, 8)
+    assert (r["recurring_depositors"], r["new_depositors"]) == (44, 9)
     ins = users.user_insights(t, P.WINDOW)
     assert ins.count() == 38 and ins.select("user_id").distinct().count() == 36
     k = users.user_kpis(t, P.WINDOW).collect()[0]
@@ -33,8 +33,8 @@ def test_kpi_general_cards(t):
     rows = report.kpi_general(t, P.WINDOW).collect()
     assert [r["label"] for r in rows] == [c[1] for c in rd.GENERAL_CARDS]
     by = {r["metric"]: r for r in rows}
-    assert by["deposit_value_ghs"]["display_value"] == "₵12,519.14"
-    assert by["deposit_count"]["display_value"] == "262"
+    assert by["deposit_value_ghs"]["display_value"] == "₵11,913.13"
+    assert by["deposit_count"]["display_value"] == "250"
     assert by["deposit_value_usd"]["display_value"].startswith("$")
     assert by["kyc_users"]["explanation"] == rd.METRIC_EXPLANATIONS["kyc_users"]
 

@@ -1,0 +1,22 @@
+"""The pivot loses no type: its columns add up to the trend."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerscope.operators import trend
+from ledgerscope.plans import params as P
+from ledgerscope.sources.tables import fixture_tables
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_pivot_total_equals_trend_total(spark, sf):
+    t = fixture_tables(spark, f"/root/testdata/{sf}")
+    long = trend.transaction_trend(t, P.WINDOW, "day")
+    kinds = {r["tx_type"] for r in long.select("tx_type").distinct().collect()}
+    assert None in kinds and "refund" in kinds
+    want = {r["period"]: r["s"] for r in long.groupBy("period").agg(F.sum("total_amount").alias("s")).collect()}
+    wide = trend.trend_pivot(t, P.WINDOW, "day")
+    got = {r["period"]: sum(r[c] for c in wide.columns[1:]) for r in wide.collect()}
+    assert got.keys() == want.keys()
+    assert all(got[d] == pytest.approx(want[d]) for d in want)
+    assert sum(r["Other"] for r in wide.collect()) > 0
