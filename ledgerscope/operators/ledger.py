@@ -92,10 +92,15 @@ def build_ledger(t: LedgerTables, *, users: bool = True, assets: bool = True,
     owner is not a known user), restricted, sign_up_date, customer_name; with
     ``assets``: asset_name, assets_maturity_date, investment_maturity_date.
     """
+    return resolve(t, facts(t, success_only), "transaction_id", users=users, assets=assets)
+
+
+def facts(t: LedgerTables, success_only: bool = True) -> DataFrame:
+    """The transactions' own columns, classified; nothing joined."""
     tx = t.transactions
     if success_only:
         tx = tx.filter(F.col("status") == "success")
-    fact = tx.select(
+    return tx.select(
         F.col("id").alias("transaction_id"), "plan_id", "investment_plan_id",
         F.col("tx_type"),
         transaction_type(F.col("metadata").cast("string"), F.col("tx_type")).alias("transaction_type"),
@@ -103,6 +108,33 @@ def build_ledger(t: LedgerTables, *, users: bool = True, assets: bool = True,
         F.col("amount").alias("ghs_amount"), "usd_amount", "exchange_rate",
         F.col("provider_number").alias("provider"))
 
+
+PAIR = ["plan_id", "investment_plan_id"]
+
+
+def all_small(t: LedgerTables) -> bool:
+    """Whether every dimension of the ledger is broadcast."""
+    return all(t.is_small(n) for n in ("plans", "investment_plans", "users", "assets"))
+
+
+def by_pair(t: LedgerTables, partial: DataFrame, *, users: bool = True, assets: bool = True) -> DataFrame:
+    """Owner, class and asset attributes for ``partial``, aggregates per pair of plan ids.
+
+    Owner and asset depend on the pair alone, so where dimensions are too
+    large to broadcast the fact is aggregated by pair first (map-side
+    combined: a plan with a third of all rows is one row a task) and only the
+    partials meet the dimensions.
+    """
+    keyed = partial.withColumn("_pair", F.coalesce("investment_plan_id", "plan_id", F.lit(0)))
+    return resolve(t, keyed, "_pair", users=users, assets=assets).drop("_pair")
+
+
+def resolve(t: LedgerTables, fact: DataFrame, spread_by: str, *, users: bool = True,
+            assets: bool = True) -> DataFrame:
+    """``fact`` (any rows with the two plan ids) with the plans' and the owner's attributes.
+
+    ``spread_by``: a column that scatters rows without a plan id.
+    """
     # Users within the broadcast bound are joined once, on the owner, after
     # both plan joins (no shuffle either way).  Larger user bases are joined
     # onto the plan dimensions first, which spares the fact table a third
@@ -113,9 +145,9 @@ def build_ledger(t: LedgerTables, *, users: bool = True, assets: bool = True,
     sav = savings_dimension(t, users=pre_join)
     # the dimensions have as many rows as their plan tables (unique-key joins)
     j = dimension_join(fact, "investment_plan_id", inv, "ip_id",
-                       small=t.is_small("investment_plans"), spread_by="transaction_id")
+                       small=t.is_small("investment_plans"), spread_by=spread_by)
     j = dimension_join(j, "plan_id", sav, "p_id",
-                       small=t.is_small("plans"), spread_by="transaction_id")
+                       small=t.is_small("plans"), spread_by=spread_by)
     if users_once:
         j = j.join(F.broadcast(_user_columns(t)),
                    F.coalesce("p_user_id", "ip_user_id") == F.col("u_id"), "left")
@@ -123,9 +155,7 @@ def build_ledger(t: LedgerTables, *, users: bool = True, assets: bool = True,
     has_inv = F.col("investment_plan_id").isNotNull()
     has_sav = F.col("plan_id").isNotNull()
     cols = [
-        "transaction_id", "plan_id", "investment_plan_id", "tx_type", "transaction_type",
-        "transaction_date", "ghs_amount", "usd_amount", "exchange_rate", "provider",
-        "p_user_id", "ip_user_id",
+        *fact.columns, "p_user_id", "ip_user_id",
         F.col("ip_id").isNotNull().alias("has_investment_plan"),
         F.col("p_id").isNotNull().alias("has_savings_plan"),
         F.coalesce("p_user_id", "ip_user_id").alias("owner_id"),
@@ -233,8 +263,10 @@ def merge_deposit_bounds(old: DataFrame, new: DataFrame, keys: list[str]) -> Dat
 
 def first_transactions(t: LedgerTables) -> DataFrame:
     """Earliest successful transaction per owner (NULL owner is a group)."""
-    return (ledger(t, users=False, assets=False)
-            .groupBy(F.col("owner_id").alias("user_id"))
+    earliest = facts(t).groupBy(*PAIR).agg(F.min("transaction_date").alias("transaction_date"))
+    rows = ledger(t, users=False, assets=False) if all_small(t) else by_pair(
+        t, earliest, users=False, assets=False)
+    return (rows.groupBy(F.col("owner_id").alias("user_id"))
             .agg(F.min("transaction_date").alias("first_transaction_date")))
 
 

@@ -25,20 +25,25 @@ from pyspark.sql import functions as F
 
 from ledgerscope import reference_data as rd
 from ledgerscope.functions.periods import PRESETS, Window, preset_window
-from ledgerscope.operators.ledger import (base_asset, base_general, eligible, ledger,
-                                          provider_ok)
+from ledgerscope.operators.ledger import (PAIR, all_small, base_asset, base_general, by_pair, eligible, facts,
+                                          ledger, provider_ok)
 from ledgerscope.operators.joins import broadcast_row_limit, row_count_at_most
 from ledgerscope.sources.tables import LedgerTables
 
 _MONEY = (("ghs", "ghs_amount"), ("usd", "usd_amount"))
-LIFETIME = -1        # preset tag of a customer's lifetime deposit rows
 
 
 def customer_rollup(rows: DataFrame, keys: list[str], windows: dict[str, Window],
                     is_deposit: Column, is_withdrawal: Column,
-                    extra: list[str] = (), bounds: DataFrame | None = None) -> DataFrame:
+                    extra: list[str] = (), bounds: DataFrame | None = None,
+                    resolved=None) -> DataFrame:
     """Level 1: one row per ``keys`` group.
 
+    With ``resolved`` the rows are bare facts: they are aggregated per pair of
+    plan ids, ``resolved`` joins the partials to their owners, and partials
+    are merged per ``keys`` group (counts and sums add, first and last are
+    min and max).
+
     ``windows`` maps a column suffix to a window; each window gets its own
     set of counts and sums, all from the same single pass over the rows.
     ``extra`` holds more aggregate expressions (SQL text) over the same rows;
@@ -68,15 +73,22 @@ def customer_rollup(rows: DataFrame, keys: list[str], windows: dict[str, Window]
                 aggs.append(f"count(CASE WHEN {cond} THEN {col} END) AS {side}{sfx}_{cur}_n")
     if bounds is not None:
         windowed = " OR ".join(w.ts_between_sql("transaction_date") for w in windows.values())
-        level1 = (rows.filter(windowed).withColumns(flags)
-                  .groupBy(*keys).agg(*[F.expr(e) for e in (*aggs, *extra)]))
+        level1 = _grouped(rows.filter(windowed).withColumns(flags), keys, [*aggs, *extra], resolved)
         # keys are compared with '=': a NULL asset type gets no lifetime bounds
         return level1.join(bounds.select(*keys, "first_dep", "last_dep"), list(keys), "left")
-    return (rows.withColumns(flags)
-            # rows that are neither deposits nor in a window add nothing
-            .filter(f"_dep OR {any_win}")
-            .groupBy(*keys)
-            .agg(*[F.expr(e) for e in (*aggs, *extra)]))
+    # rows that are neither deposits nor in a window add nothing
+    return _grouped(rows.withColumns(flags).filter(f"_dep OR {any_win}"), keys, [*aggs, *extra], resolved)
+
+
+def _grouped(rows: DataFrame, keys: list[str], aggs: list[str], resolved,
+             pair_keys: list[str] = ()) -> DataFrame:
+    """``aggs`` per ``keys`` group; by way of pairs of plan ids if ``resolved`` joins those."""
+    if resolved is None:
+        return rows.groupBy(*keys).agg(*[F.expr(e) for e in aggs])
+    partial = rows.groupBy(*PAIR, *pair_keys).agg(*[F.expr(e) for e in aggs])
+    merge = {"first_dep": F.min, "last_dep": F.max}
+    names = [e.rsplit(" AS ", 1)[1] for e in aggs]
+    return resolved(partial).groupBy(*keys).agg(*[merge.get(n, F.sum)(n).alias(n) for n in names])
 
 
 def _totals(window: Window | None, sfx: str = "", lifetime_ok: str = "true",
@@ -131,10 +143,12 @@ def general_metrics(t: LedgerTables, window: Window,
     ``ledger.general_deposit_bounds`` table, which lets the job read only the
     window's rows.
     """
-    rows = base_general(t)
     is_dep = F.col("transaction_type").isin(*deposit_types)
     is_wd = (F.col("transaction_type") == rd.WITHDRAWAL_TYPE) & provider_ok()
-    level1 = customer_rollup(rows, ["customer_id"], {"": window}, is_dep, is_wd, bounds=bounds)
+    small = all_small(t)
+    level1 = customer_rollup(
+        base_general(t) if small else facts(t), ["customer_id"], {"": window}, is_dep, is_wd, bounds=bounds,
+        resolved=None if small else lambda p: by_pair(t, p, assets=False).filter(eligible()))
     return (level1.filter(F.col("win_n") > 0)
             .agg(*_totals(window))
             .select(*GENERAL_COLUMNS))
@@ -146,16 +160,24 @@ def general_metrics_presets(t: LedgerTables, as_of,
                             bounds: DataFrame | None = None) -> DataFrame:
     """J1 for every date preset anchored on ``as_of``: one row per preset.
 
-    One pass over the ledger serves all windows.  Each row is tagged with
-    the presets whose window holds it (at most ``len(presets)`` tags; a
-    deposit also with the lifetime tag) and exploded, so the per-(customer,
-    tag) aggregate stays as narrow as the single-window one and keeps
-    whole-stage code generation.  The lifetime bounds reach the window rows
-    through a window function over each customer's few aggregated rows - no
-    second scan, no join.  Presets with no rows still get their row.
+    One pass over the ledger serves all windows.  Their end points (two a
+    preset at most) cut time into cells, each a point or the open stretch
+    between two; a row lies in one cell, so rows are not multiplied.  They are
+    aggregated per customer and cell (where dimensions are large per pair of
+    plan ids first, ``_grouped``), and only those few rows are handed to the
+    presets whose window holds the cell.  A customer's first and last deposit
+    reach its rows by a window function over them, without a second scan.
+    Presets with no rows still get their row.
     """
     windows = [preset_window(name, as_of) for name in presets]
-    rows = base_general(t).withColumns({
+    points = sorted({d for w in windows for d in (w.start, w.end)})
+    stamp = lambda d: f"CAST(DATE '{d}' AS TIMESTAMP_NTZ)"
+    cell = " + ".join(f"CAST(transaction_date > {stamp(d)} AS INT) + CAST(transaction_date >= {stamp(d)} AS INT)"
+                      for d in points)
+    held = [(2 * i + at, n) for n, w in enumerate(windows) for i, d in enumerate(points) for at in (0, 1)
+            if (w.start < d <= w.end if at == 0 else w.start <= d <= w.end)]
+    small = all_small(t)
+    rows = (base_general(t) if small else facts(t)).withColumns({
         "_dep": F.coalesce(F.col("transaction_type").isin(*deposit_types), F.lit(False)),
         "_wd": F.coalesce((F.col("transaction_type") == rd.WITHDRAWAL_TYPE) & provider_ok(),
                           F.lit(False))})
@@ -165,32 +187,31 @@ def general_metrics_presets(t: LedgerTables, as_of,
         for cur, col in _MONEY:
             aggs.append(f"sum(CASE WHEN {flag} THEN {col} END) AS {side}_{cur}")
             aggs.append(f"count(CASE WHEN {flag} THEN {col} END) AS {side}_{cur}_n")
-    tags = [F.when(F.expr(w.ts_between_sql("transaction_date")), F.lit(i))
-            for i, w in enumerate(windows)]
+    sums = [e.rsplit(" AS ", 1)[1] for e in aggs]
+    in_any = " OR ".join(w.ts_between_sql("transaction_date") for w in windows)
     if bounds is None:
-        # deposits also carry the lifetime tag -1, so one pass over the ledger
-        # yields both the window aggregates and the lifetime bounds
-        tags.append(F.when(F.col("_dep"), F.lit(LIFETIME)))
         aggs += ["min(CASE WHEN _dep THEN transaction_date END) AS first_dep",
                  "max(CASE WHEN _dep THEN transaction_date END) AS last_dep"]
+        rows = rows.filter(f"_dep OR {in_any}")
     else:
-        rows = rows.filter(" OR ".join(w.ts_between_sql("transaction_date") for w in windows))
-    tagged = rows.select("customer_id", "_dep", "_wd", "ghs_amount", "usd_amount",
-                         "transaction_date",
-                         F.explode(F.filter(F.array(*tags), lambda x: x.isNotNull()))
-                         .alias("preset_order"))
-    grouped = tagged.groupBy("customer_id", "preset_order").agg(*[F.expr(e) for e in aggs])
+        rows = rows.filter(in_any)
+    rows = rows.withColumn("cell", F.expr(cell))
+    per_cell = _grouped(rows, ["customer_id", "cell"], aggs,
+                        None if small else lambda p: by_pair(t, p, assets=False).filter(eligible()),
+                        pair_keys=["cell"])
     if bounds is None:
-        # hand each customer's lifetime bounds to its window rows: a window
-        # over at most len(presets) + 1 aggregated rows per customer
         per_customer = W.partitionBy("customer_id")
-        lifetime = F.col("preset_order") == LIFETIME
-        per = (grouped
-               .withColumn("first_dep", F.max(F.when(lifetime, F.col("first_dep"))).over(per_customer))
-               .withColumn("last_dep", F.max(F.when(lifetime, F.col("last_dep"))).over(per_customer))
-               .filter(~lifetime))
-    else:
-        per = grouped.join(bounds.select("customer_id", "first_dep", "last_dep"), "customer_id", "left")
+        per_cell = (per_cell.withColumn("first_dep", F.min("first_dep").over(per_customer))
+                    .withColumn("last_dep", F.max("last_dep").over(per_customer)))
+    # a literal table of at most four rows a preset and end point
+    of_cell = rd.small_table(t.spark, ("cells", tuple(held)),
+                             lambda: t.spark.createDataFrame(held, "cell int, preset_order int"))
+    lifetime = [] if bounds is not None else [F.min("first_dep").alias("first_dep"),
+                                              F.max("last_dep").alias("last_dep")]
+    per = (per_cell.join(F.broadcast(of_cell), "cell").groupBy("customer_id", "preset_order")
+           .agg(*[F.sum(c).alias(c) for c in sums], *lifetime))
+    if bounds is not None:
+        per = per.join(bounds.select("customer_id", "first_dep", "last_dep"), "customer_id", "left")
     # one row per preset: bounded by construction
     dims = rd.small_table(t.spark, ("presets", tuple(presets), tuple(windows)),
                           lambda: t.spark.createDataFrame(
@@ -245,16 +266,18 @@ def asset_rollup(t: LedgerTables, window: Window, fees: DataFrame | None = None,
     (successful, unrestricted owner, provider kept), so the distinct users of
     a type in the window are its groups with window rows.
     """
-    rows = base_asset(t)
     is_dep = F.col("transaction_type").isin(*deposit_types)
     is_wd = F.col("transaction_type") == rd.WITHDRAWAL_TYPE
+    small = all_small(t)
+    rows = base_asset(t) if small else facts(t).filter(provider_ok())
     extra = [
         f"sum(CASE WHEN _win AND transaction_type = '{rd.FEE_TYPE}' THEN ghs_amount END) AS fee_ghs",
         f"sum(CASE WHEN _win AND transaction_type = '{rd.EARLY_WITHDRAWAL_TYPE}' "
         f"THEN usd_amount END) AS early_usd",
     ]
     level1 = customer_rollup(rows, ["customer_id", "asset_type"], {"": window}, is_dep, is_wd,
-                             extra, bounds=bounds)
+                             extra, bounds=bounds,
+                             resolved=None if small else lambda p: by_pair(t, p).filter(eligible()))
     level2 = (level1.filter(F.col("win_n") > 0)
               .groupBy("asset_type")
               .agg(*_totals(window, lifetime_ok="asset_type IS NOT NULL"),
@@ -302,11 +325,15 @@ def asset_fees(t: LedgerTables, window: Window) -> DataFrame:
 
 
 def _window_asset_rows(t: LedgerTables, window: Window, users: bool) -> DataFrame:
-    rows = ledger(t, users=users)
-    cond = window.ts_between("transaction_date") & F.col("asset_type").isNotNull()
-    if users:
-        cond = cond & eligible() & provider_ok()
-    return rows.filter(cond)
+    if all_small(t):
+        rows = ledger(t, users=users).filter(window.ts_between("transaction_date"))
+        rows = rows.filter(provider_ok()) if users else rows
+    else:  # which pairs of plan ids have rows, before any join
+        seen = facts(t).filter(window.ts_between("transaction_date"))
+        seen = seen.filter(provider_ok()) if users else seen
+        rows = by_pair(t, seen.select(*PAIR).distinct(), users=users)
+    rows = rows.filter(F.col("asset_type").isNotNull())
+    return rows.filter(eligible()) if users else rows
 
 
 def users_by_asset_type(t: LedgerTables, window: Window) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerscope import reference_data as rd
 from ledgerscope.functions.periods import Window
-from ledgerscope.operators.ledger import eligible, ledger, provider_ok
+from ledgerscope.operators.ledger import PAIR, all_small, by_pair, eligible, facts, ledger, provider_ok
 from ledgerscope.sources.tables import LedgerTables
 
 GRANULARITIES = ("day", "week", "month")
@@ -32,10 +32,20 @@ def _trend_rows(t: LedgerTables, window: Window) -> DataFrame:
             .filter(eligible() & provider_ok() & window.ts_between("transaction_date")))
 
 
+def _trend_sums(t: LedgerTables, window: Window, granularity: str) -> DataFrame:
+    """``period, tx_type, ghs_amount`` rows: the ledger's own, or where its dimensions are large
+    sums per pair of plan ids, taken before the joins."""
+    if all_small(t):
+        return _trend_rows(t, window).withColumn("period", _period(granularity))
+    partial = (facts(t).filter(provider_ok() & window.ts_between("transaction_date"))
+               .groupBy(*PAIR, _period(granularity), "tx_type").agg(F.sum("ghs_amount").alias("ghs_amount")))
+    return by_pair(t, partial, assets=False).filter(eligible())
+
+
 def transaction_trend(t: LedgerTables, window: Window, granularity: str = "month") -> DataFrame:
     """``period, tx_type, total_amount`` (first-currency sum), by period."""
-    return (_trend_rows(t, window)
-            .groupBy(_period(granularity), F.col("tx_type"))
+    return (_trend_sums(t, window, granularity)
+            .groupBy("period", "tx_type")
             .agg(F.sum("ghs_amount").cast("double").alias("total_amount"))
             .orderBy("period", "tx_type"))
 
@@ -56,7 +66,7 @@ def trend_pivot(t: LedgerTables, window: Window, granularity: str = "month",
     other = F.coalesce(F.sum(F.when(~listed, F.col("ghs_amount"))).cast("double"), F.lit(0.0))
     sums = [F.coalesce(F.sum(F.when(F.col("tx_type") == v, F.col("ghs_amount"))).cast("double"),
                        F.lit(0.0)).alias(rd.TREND_RENAMES.get(v, v)) for v in types]
-    return (_trend_rows(t, window)
-            .groupBy(_period(granularity))
+    return (_trend_sums(t, window, granularity)
+            .groupBy("period")
             .agg(*sums, other.alias(rd.TREND_OTHER))
             .orderBy("period"))

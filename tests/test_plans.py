@@ -28,9 +28,33 @@ def no_broadcast(spark):
 def test_null_key_salt_is_a_shuffle_key(spark, no_broadcast):
     df = E.queries()["general_metrics"](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(investment_plan_id" in plan
-    line = [x for x in plan.splitlines() if "hashpartitioning(investment_plan_id" in x][0]
-    assert "_nk" in line
+    lines = [x for x in plan.splitlines() if "hashpartitioning(investment_plan_id" in x]
+    assert lines and "_nk" in lines[0]
+
+
+@pytest.mark.parametrize("key", ["general_metrics", "asset_metrics", "trend_month", "trend_pivot", "users_by_asset_type",
+                                 "asset_types", "date_presets", "first_transactions"])
+def test_facts_are_aggregated_by_plan_pair_before_the_joins(spark, no_broadcast, key):
+    """The first exchange above the fact's scan carries partial aggregates."""
+    plan = E.queries()[key](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-|"))
+    at = next(i for i, x in enumerate(plan) if "events.parquet" in x)
+    level = depth(plan[at])
+    for line in reversed(plan[:at]):
+        if depth(line) >= level:
+            continue
+        level = depth(line)
+        if "Exchange" in line:
+            raise AssertionError(f"raw rows are shuffled: {line}")
+        if "HashAggregate" in line:
+            assert "plan_id" in line
+            return
+    raise AssertionError("no aggregate above the scan")
+
+
+def test_presets_do_not_multiply_ledger_rows(spark):
+    plan = E.queries()["date_presets"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Expand" not in plan
 
 
 def test_small_dimensions_are_broadcast(spark):
