@@ -36,6 +36,8 @@ WINDOW = 10
 GRAM = 5
 RUN = WINDOW - GRAM + 1
 BLOCK_BYTES = 32 << 20
+#: Rows that a task gives back at a time.
+ROWS = 1024
 RESULT = ("n_words long, n_hit long, items array<string>, spans array<struct<first:long,end:long>>, "
           "contaminated boolean")
 _FILTER_BITS = 20
@@ -153,7 +155,7 @@ def _pass(docs: DataFrame, items: list[tuple[str, str]], text: str, earlier: boo
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = index.value
-        for batch in batches:
+        for batch in (whole.slice(lo, ROWS) for whole in batches for lo in range(0, whole.num_rows, ROWS)):
             raw, offsets = text_buffer(batch.column(text))
             n = batch.num_rows
             n_words = np.zeros(n, np.int64)

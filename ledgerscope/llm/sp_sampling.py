@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from ledgerscope.llm.common import mix64, row_runs, text_buffer
 
 #: Segments whose forward pass one Python worker keeps (some 400 bytes each), and the longest of them.
-SEGMENTS_KEPT, LONGEST_KEPT = 250_000, 48
+SEGMENTS_KEPT, LONGEST_KEPT = 200_000, 48
 #: Text bytes that are sampled, and rows that are decoded at a time.
 RUN_BYTES, DECODED_ROWS = 1 << 20, 512
 ALPHA = 1.0
@@ -49,7 +49,8 @@ _SEGMENT = re.compile(f"{_MARK}+[^{_MARK}]*")
 _TINY = 1e-100
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Longest segments that are filtered as columns, and how many at a time.
-_COLUMNS, _TOGETHER = 32, 2048
+_COLUMNS, _TOGETHER = 32, 1024
+_MOST = (1 << 32) - 1
 
 
 class Lattices:
@@ -92,10 +93,10 @@ class Lattices:
         self.single = frozenset(p for p in self.pieces if len(p) == 1) | lone.keys()
         self.known: dict[str, int] = {}
         self.final = np.zeros(1 << 16, np.int64)      # last node of each segment
-        self.keys = np.zeros(1 << 20, np.uint64)      # node << 32 | upper threshold, of each edge
-        self.before = np.zeros(1 << 20, np.int32)     # nodes from the segment's first to the edge's start
-        self.piece = np.zeros(1 << 20, np.int32)
-        self.open = np.zeros(1 << 18, np.int64)       # first edge into each node
+        self.upto = np.zeros(1 << 18, np.uint32)      # largest draw that takes each edge or one before it
+        self.before = np.zeros(1 << 18, np.int32)     # nodes from the segment's first to the edge's start
+        self.piece = np.zeros(1 << 18, np.int32)
+        self.open = np.zeros(1 << 16, np.int64)       # first edge into each node
         self.n_segments = self.n_nodes = self.n_edges = 0
 
     def _units(self, segment: str) -> tuple[list, bool]:
@@ -108,18 +109,19 @@ class Lattices:
                 units.extend((_MARK if c == _LITERAL else c).encode())
         return units, plain
 
-    def _forward(self, segment: str, node: int, keys: list, before: list, piece: list) -> int:
-        """Append a segment's edges; the number of its nodes."""
+    def _forward(self, segment: str, upto: list, before: list, piece: list, into: list) -> int:
+        """Append a segment's edges and how many lead into each node; the number of its nodes."""
         units, plain = self._units(segment)
         pieces, longest = self.pieces, self.longest
         reached = [1.0]
+        into.append(0)
         for end in range(1, len(units) + 1):
-            at = (node + end) << 32
             if not plain and isinstance(units[end - 1], int):
                 reached.append(reached[end - 1])
-                keys.append(at + (1 << 32))
+                upto.append(_MOST)
                 before.append(end - 1)
                 piece.append(self.bytes[units[end - 1]])
+                into.append(1)
                 continue
             ways, total = [], 0.0
             for start in range(max(0, end - longest), end):
@@ -133,11 +135,12 @@ class Lattices:
                     reached[i] *= scale
                 ways, total = [(s, p, t * scale) for s, p, t in ways], total * scale
             reached.append(total)
-            for start, which, upto in ways:
-                keys.append(at + int(upto / total * 4294967296.0))
+            for start, which, sum_ in ways:
+                upto.append(max(0, int(sum_ / total * 4294967296.0) - 1))
                 before.append(start)
                 piece.append(which)
-            keys[-1] = at + (1 << 32)
+            upto[-1] = _MOST
+            into.append(len(ways))
         return len(units) + 1
 
     @staticmethod
@@ -152,7 +155,7 @@ class Lattices:
             h = h * _BASE + np.uint64(ord(c) + 1)
         return mix64(h ^ np.uint64(len(piece)))[0]
 
-    def _forward_many(self, segments: list[str], node: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _forward_many(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """``_forward`` for segments of one length whose every character is a piece or a byte."""
         n, length = len(segments), len(segments[0])
         codes = np.frombuffer("".join(segments).encode("utf-32-le"), "<u4").reshape(n, length).astype(np.uint64) + 1
@@ -182,17 +185,18 @@ class Lattices:
             reached[:, end] = weights[:, end, -1]
         there = ids >= 0
         upto = weights / np.where(reached > 0, reached, 1.0)[:, :, None]
-        base = (node + np.arange(n)[:, None] * (length + 1) + np.arange(length + 1)).astype(np.uint64)
-        keys = (base[:, :, None] << np.uint64(32)) + (upto * 4294967296.0).astype(np.uint64)
+        draws = np.maximum((upto * 4294967296.0).astype(np.int64) - 1, 0)
         last = width - 1 - np.argmax(there[:, :, ::-1], axis=2)
-        np.put_along_axis(keys, last[:, :, None], ((base + np.uint64(1)) << np.uint64(32))[:, :, None], axis=2)
+        np.put_along_axis(draws, last[:, :, None], _MOST, axis=2)
         starts = np.arange(length + 1)[:, None] - width + np.arange(width)
-        return keys[there], np.broadcast_to(starts, ids.shape)[there].astype(np.int32), ids[there]
+        return (draws[there], np.broadcast_to(starts, ids.shape)[there].astype(np.int32), ids[there],
+                there.sum(axis=2).ravel())
 
     def _room(self, name: str, n: int) -> None:
         array = getattr(self, name)
         if n > len(array):
-            setattr(self, name, np.concatenate([array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)]))
+            more = max(n, len(array) + len(array) // 4) - len(array)
+            setattr(self, name, np.concatenate([array, np.zeros(more, array.dtype)]))
 
     def add(self, segments: list[str]) -> dict[str, int]:
         """Numbers of new segments, whose forward passes go to the end of the arrays."""
@@ -205,25 +209,21 @@ class Lattices:
             for i in range(0, len(group), _TOGETHER):
                 some, node = group[i:i + _TOGETHER], self.n_nodes
                 if length:
-                    keys, before, piece = self._forward_many(some, node)
+                    upto, before, piece, into = self._forward_many(some)
                     final = node + length + np.arange(len(some)) * (length + 1)
                 else:
-                    keys, before, piece, final, at = [], [], [], [], node
+                    upto, before, piece, into, final, at = [], [], [], [], [], node
                     for s in some:
-                        at += self._forward(s, at, keys, before, piece)
+                        at += self._forward(s, upto, before, piece, into)
                         final.append(at - 1)
                 m = self.n_edges
-                for name, values, to in (("final", final, n + len(order)), ("keys", keys, m),
+                first = m + np.cumsum(into) - into
+                for name, values, to in (("final", final, n + len(order)), ("upto", upto, m), ("open", first, node),
                                          ("before", before, m), ("piece", piece, m)):
                     self._room(name, to + len(values))
                     getattr(self, name)[to:to + len(values)] = values
-                # An edge's key lies in (node << 32, node + 1 << 32].
-                into = ((self.keys[m:m + len(keys)] - np.uint64(1)) >> np.uint64(32)).astype(np.int64)
-                nodes = np.arange(node, int(final[-1]) + 1)
-                self._room("open", int(final[-1]) + 1)
-                self.open[nodes] = m + np.searchsorted(into, nodes)
                 order += some
-                self.n_segments, self.n_edges, self.n_nodes = n + len(order), m + len(keys), int(final[-1]) + 1
+                self.n_segments, self.n_edges, self.n_nodes = n + len(order), m + len(upto), int(final[-1]) + 1
         return dict(zip(order, range(n, n + len(order))))
 
     def sample(self, texts: list[str], row_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,7 +251,7 @@ class Lattices:
         row = np.repeat(np.arange(len(counts)), counts)
         number = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
         seeds = mix64(row_keys[row] + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        final, keys = self.final[:self.n_segments], self.keys[:self.n_edges]
+        final, upto = self.final[:self.n_segments], self.upto[:self.n_edges]
         node = final[segments]
         first = np.concatenate(([-1], final[:-1]))[segments] + 1
         alive, steps, lengths = np.arange(n), [], np.zeros(n, np.int64)
@@ -259,11 +259,11 @@ class Lattices:
             at = node[alive]
             own = (at - first[alive]).astype(np.uint64)
             draw = mix64(seeds[alive] ^ (own * np.uint64(0xD1342543DE82EF95))) >> np.uint64(32)
-            wanted, edge = (at.astype(np.uint64) << np.uint64(32)) + draw, self.open[at]
-            over = np.flatnonzero(keys[edge] <= wanted)
+            draw, edge = draw.astype(np.uint32), self.open[at]
+            over = np.flatnonzero(upto[edge] < draw)
             while len(over):
                 edge[over] += 1
-                over = over[keys[edge[over]] <= wanted[over]]
+                over = over[upto[edge[over]] < draw[over]]
             steps.append((alive, lengths[alive], self.piece[edge]))
             lengths[alive] += 1
             back = self.before[edge]
@@ -322,6 +322,7 @@ def sample_pieces(docs: DataFrame, model_file: str, seed: int = 0, key: str = "d
                     made.append(pa.array([t.encode() == d for t, d in zip(texts, spell(ids, ends, spelled))]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c).slice(lo, hi - lo) for c in columns] + made, names=columns + added)
+        pa.default_memory_pool().release_unused()
 
     return keyed.mapInArrow(run, schema)
 

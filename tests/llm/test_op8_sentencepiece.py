@@ -75,8 +75,9 @@ def test_columns_equal_one_by_one(tool, monkeypatch):
 
     def edges(x, i):
         lo, hi = x.open[x.final[i - 1] + 1 if i else 0], x.n_edges
-        hi = min(hi, int(np.searchsorted(x.keys[:x.n_edges], np.uint64(int(x.final[i]) + 1) << np.uint64(32), side="right")))
-        return x.before[lo:hi].tolist(), x.piece[lo:hi].tolist()
+        if i + 1 < x.n_segments:
+            hi = x.open[x.final[i] + 1]
+        return x.before[lo:hi].tolist(), x.piece[lo:hi].tolist(), x.upto[lo:hi].tolist()
 
     assert all(edges(fast, a[w]) == edges(slow, b[w]) for w in words)
 
