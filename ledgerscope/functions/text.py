@@ -35,9 +35,16 @@ def clean_label(c: Column, aliases: dict[str, str] | None = None) -> Column:
     return apply_aliases(out, aliases) if aliases else out
 
 
-def birth_date(c: Column) -> Column:
-    """Lenient date parse: text that is not a date becomes NULL, not an error."""
-    return c.cast("string").try_cast("date")
+#: Spellings of a date tried after ISO, in this order; a day over 12 settles day and month.
+DATE_FORMATS = ("yyyyMMdd", "yyyy/M/d", "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "d.M.yyyy",
+                "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy")
+
+
+def birth_date(c: Column, formats=DATE_FORMATS) -> Column:
+    """Lenient date parse: ISO, then ``formats``; text that is no date becomes NULL, not an error."""
+    bare = strip(c.cast("string"))
+    tried = [F.try_to_timestamp(bare, F.lit(f)).cast("date") for f in formats]
+    return F.coalesce(bare.try_cast("date"), *tried)
 
 
 def age_on(dob: Column, as_of) -> Column:

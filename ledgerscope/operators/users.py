@@ -121,6 +121,16 @@ def _user_clean(t: LedgerTables, window: Window, as_of: dt.date) -> DataFrame:
         text.age_group_label(age).alias("age_group"))
 
 
+def unparsed_birth_dates(t: LedgerTables, window: Window) -> DataFrame:
+    """One row: J8 rows with a birth date text, and how many of them no format reads.
+
+    A source in an unforeseen format shows here instead of as empty age bins."""
+    given = F.col("dob").isNotNull()
+    return user_insights(t, window).agg(
+        F.count_if(given).alias("given"),
+        F.count_if(given & text.birth_date(F.col("dob")).isNull()).alias("unparsed"))
+
+
 DISTRIBUTIONS = ("gender", "country", "use_option", "status", "employment_status")
 
 
