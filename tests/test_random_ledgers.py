@@ -94,7 +94,8 @@ def _arrow(rows, schema: str) -> pa.Table:
 
 
 @pytest.mark.parametrize("seed,broadcast,hot", [(1, True, False), (2, True, False),
-                                                (3, False, False), (4, True, True)])
+                                                (3, False, False), (4, True, True),
+                                                (5, False, True)])
 def test_random_ledger_matches_oracle(spark, seed, broadcast, hot):
     if not broadcast:        # sort-merge joins with NULL-key spreading
         spark.conf.set("ledgerscope.broadcast.maxRows", "0")
