@@ -333,7 +333,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE, lea
     plain = {r["word"] for r in words.where("clean > 0").select("word").mapInArrow(near, "word string").collect()}
     lexicon.unpersist()
     model = {"terms": terms, "plain": plain, "weights": [0.0] * 4}
-    features = score_frame(rows, model, features=True).collect()
+    features = score_frame(rows, model, features=True).select("toxic", "f_sum", "f_top", "f_terms").collect()
     x = np.array([[r["f_sum"], r["f_top"], r["f_terms"]] for r in features])
     model["weights"] = logistic(x, np.array([r["toxic"] for r in features])).tolist()
     return model
