@@ -26,7 +26,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import durable, table
+from ledgerscope.llm.common import durable, table, text_batches
 from ledgerscope.llm.decontamination import decontaminate
 from ledgerscope.llm.jaccard_join import BROADCAST_IDS, jaccard_classes
 from ledgerscope.llm.language_id import fit, fold_of, identify
@@ -49,11 +49,13 @@ def _columns(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     model = fit(docs.where(fold_of("doc_id", 5) != 0))
     return _columns(identify(_apart(docs), model).where("NOT rejected"), docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     classes = durable(jaccard_classes(docs.select("doc_id", "text")).where("doc_id IS NOT NULL"), "classes")
     gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
     few = gone.count() <= BROADCAST_IDS
@@ -67,6 +69,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     out = decontaminate(_apart(docs), table(spark, sf_dir, "benchmark"))
     return _columns(out.where("NOT contaminated"), docs)
 
@@ -80,6 +83,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     model = public_tokenizers.path("piece_bpe_32k.model")
     return sample_pieces(docs.select("doc_id", "lang", "text"), model, verify=True).select(
         "doc_id", "lang", F.size("pieces").cast("long").alias("n_pieces"), "pieces", "lossless")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -77,6 +78,27 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for rows that carry whole texts, unless the session has set its own.
+
+    The defaults (10,000 rows, 64 MB) suit narrow rows; a task's JVM and Python each hold a few
+    batches at a time.
+    """
+    for key, usual, mine in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"),
+                             ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")):
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, mine)
+
+
+def give_back() -> None:
+    """Return what a finished task has freed to the system; a Python worker lives on for the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """``path`` with its file system's scheme, as tasks outside the JVM open it."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

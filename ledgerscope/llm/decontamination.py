@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import durable, row_runs, text_buffer
+from ledgerscope.llm.common import durable, give_back, row_runs, text_buffer
 from ledgerscope.llm.words import ALNUM, grams, scan
 
 WINDOW = 10
@@ -187,6 +187,7 @@ def _pass(docs: DataFrame, items: list[tuple[str, str]], text: str, earlier: boo
                    pa.array([[{"first": a, "end": b} for a, b in merged.get(i, ())] for i in range(n)], spans_type),
                    pa.array(n_hit > 0)],
                 names=columns + ["n_words", "n_hit", "items", "spans", "contaminated"])
+        give_back()
 
     return docs.mapInArrow(mark, schema)
 

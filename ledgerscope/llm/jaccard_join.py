@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import durable, mix64, row_runs, signed, text_buffer
+from ledgerscope.llm.common import durable, give_back, mix64, row_runs, signed, text_buffer
 from ledgerscope.llm.components import components
 from ledgerscope.llm.words import SPACED, grams, scan
 
@@ -135,6 +135,7 @@ def _sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 [batch.column("doc"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()),
                  pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
                 names=["doc", "n", "set", "bits", "keys"])
+        give_back()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(
         sketch, "doc long, n long, set binary, bits binary, keys array<long>")

@@ -36,10 +36,10 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import mix64, row_runs, text_buffer
+from ledgerscope.llm.common import give_back, mix64, row_runs, text_buffer
 
 #: Segments whose forward pass one Python worker keeps (some 400 bytes each), and the longest of them.
-SEGMENTS_KEPT, LONGEST_KEPT = 200_000, 48
+SEGMENTS_KEPT, LONGEST_KEPT = 120_000, 48
 #: Text bytes that are sampled, and rows that are decoded at a time.
 RUN_BYTES, DECODED_ROWS = 1 << 20, 512
 ALPHA = 1.0
@@ -322,7 +322,7 @@ def sample_pieces(docs: DataFrame, model_file: str, seed: int = 0, key: str = "d
                     made.append(pa.array([t.encode() == d for t, d in zip(texts, spell(ids, ends, spelled))]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c).slice(lo, hi - lo) for c in columns] + made, names=columns + added)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return keyed.mapInArrow(run, schema)
 
