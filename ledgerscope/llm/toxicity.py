@@ -1,7 +1,7 @@
 """Toxicity scores from a learned lexicon, fuzzy matching and context windows.
 
 * **Lexicon.**  From a bounded labelled sample: words, and stems that open
-  several words, far more frequent in toxic texts and met after several different
+  several words, far and significantly more frequent in toxic texts and met after several different
   words there (a passage that copies repeat teaches nothing).
 * **Matching.**  The lexicon is a trie.  A Levenshtein automaton runs over it: a
   state is the set of (trie node, edits) that a word's letters can have reached,
@@ -39,9 +39,10 @@ SAMPLE = {1: 10_000, 0: 20_000}
 TERMS = 5_000
 #: Least toxic documents and least different words before it that a term needs.
 LEAST_DOCS, LEAST_CONTEXTS = 3, 3
-#: Least log odds of a term's share of toxic texts against its share of clean ones, and as a part
-#: of the best term's: what lies far below it is mostly accident.
-LEAST_ODDS, LEAST_PART = 3.0, 0.7
+#: Least log odds of a term's share of toxic texts against its share of clean ones, and least
+#: log-likelihood ratio of the two shares (one accident in 1,000): it asks of a term its own counts
+#: only, whatever the sample's size or another language's best term.
+LEAST_ODDS, LEAST_RATIO = 3.0, 10.83
 STEM = range(4, 9)
 #: Letters from which on a term may be matched with one and two edits.
 ONE_EDIT, TWO_EDITS = 5, 9
@@ -300,7 +301,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE, lea
         return nothing
     words = durable(_word_counts(rows), "words")
     odds = F.log((F.col("toxic") + 0.1) / toxic) - F.log((F.col("clean") + 0.5) / clean)
-    good = (F.col("toxic") >= least_docs) & (F.col("odds") >= LEAST_ODDS)
+    n, part = F.col("toxic") + F.col("clean"), lambda k, of: F.when(k > 0, k * F.log(k / of)).otherwise(0.0)
+    ratio = 2 * (part(F.col("toxic"), n * (toxic / (toxic + clean))) + part(F.col("clean"), n * (clean / (toxic + clean))))
+    good = (F.col("toxic") >= least_docs) & (F.col("odds") >= LEAST_ODDS) & (ratio >= LEAST_RATIO)
     single = words.where(F.length("word") >= 3).withColumn("odds", odds).where(good).select(
         F.col("word").alias("term"), "odds", "toxic", F.lit(False).alias("stem"))
     opened = (words.withColumn("n", F.explode(F.array(*[F.lit(i) for i in STEM]))).where(F.length("word") >= F.col("n"))
@@ -315,8 +318,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE, lea
         terms[r["term"]] = (r["odds"], r["stem"])
     contexts = _contexts(rows, terms)
     terms = {t: x for t, x in terms.items() if contexts.get(t, 0) >= LEAST_CONTEXTS}
-    floor = LEAST_PART * max([odds for odds, _ in terms.values()], default=0.0)
-    terms = {t: x for t, x in terms.items() if x[0] >= floor}
     # The shortest stem stands for the longer ones and the words that it opens, where it is as telling.
     terms = {t: x for t, x in terms.items() if not any(
         terms.get(t[:n], (0, False))[1] and terms[t[:n]][0] >= x[0] - 0.5 for n in STEM if n < len(t))}

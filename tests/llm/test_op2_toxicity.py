@@ -80,6 +80,39 @@ def test_held_out_documents_and_misspellings(spark):
     assert score("worthless idiotic") > score('"worthless idiotic" she said')
 
 
+def test_a_rarer_language_keeps_its_terms(spark):
+    """Terms that a few documents of one language hold, beside another language's far more frequent one."""
+    rng, docs, labels = random.Random(6), [], []
+    for i in range(3000):
+        toxic = i % 10 == 0
+        words = prose(rng, 20, size=3000).split()
+        if toxic:
+            bad = ["imbecil", "basura"] if i % 100 == 0 else ["scumbag"]
+            for b in bad:
+                words.insert(rng.randint(0, len(words)), b)
+        elif i % 500 == 1:
+            words.append("basura")
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    model = fit(spark.createDataFrame(docs, "doc_id long, text string"),
+                spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {"scumbag", "imbecil", "basura"} <= set(model["terms"])
+    score = Scorer(model).score
+    assert score("x imbecil y basura z") > 0.3 > score("x y z")
+
+
+def test_recall_of_each_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
+    model = fit(docs.where("doc_id % 4 <> 2"), labels.where("doc_id % 4 <> 2"))
+    rows = score_frame(docs.where("doc_id % 4 = 2"), model).join(labels, "doc_id").collect()
+    for lang in ("de", "en", "es", "fr"):
+        mine = [r for r in rows if r["lang"] == lang]
+        toxic = [r for r in mine if r["toxic"]]
+        assert len(toxic) > 3 and sum(bool(r["hits"]) for r in toxic) >= 0.8 * len(toxic), lang
+        assert sum(r["score"] >= 0.3 for r in mine if not r["toxic"]) <= 0.05 * len(mine), lang
+
+
 def test_awkward_documents(spark):
     docs, labels, _ = corpus(spark)
     model = fit(docs, labels)
