@@ -64,7 +64,8 @@ _ADDRESS = re.compile(r"\b(?:you|your|you're|du|dich|dein|ihr|tu|toi|vous|votre|
 class FuzzyLexicon:
     """Matches words against a trie of terms with a number of edits that a term's length allows.
 
-    ``terms``: text -> (weight, is a stem).  A stem matches every word that it opens.
+    ``terms``: text -> (weight, is a stem).  A stem matches every word that it opens, with
+    the edits that the opening takes.
     """
 
     def __init__(self, terms: dict[str, tuple[float, bool]], plain: set[str] = frozenset()):
@@ -93,7 +94,8 @@ class FuzzyLexicon:
         self.states, self.number, self.moves, self.accepts = [start], {start: 0}, [{}], [self._accepted(start)]
 
     def _closed(self, reached: dict[int, int]) -> frozenset:
-        """Add what skipping letters of terms reaches; keep the fewest edits of each node."""
+        """Add what skipping letters of terms reaches, and stems passed (as ``-node``, with their edits);
+        keep the fewest edits of each node."""
         waiting = list(reached.items())
         while waiting:
             node, edits = waiting.pop()
@@ -103,6 +105,10 @@ class FuzzyLexicon:
                 if edits + 1 <= self.depth_edits[child] and reached.get(child, 99) > edits + 1:
                     reached[child] = edits + 1
                     waiting.append((child, edits + 1))
+        for node, edits in list(reached.items()):
+            term = self.ends[node] if node > 0 else None
+            if term and self.terms[term][1] and edits <= min(self.allowed(term), reached.get(-node, 99) - 1):
+                reached[-node] = edits
         return frozenset(reached.items())
 
     def _accepted(self, state: frozenset) -> tuple[str, int] | None:
@@ -131,9 +137,6 @@ class FuzzyLexicon:
                 cost = edits + (wanted != letter)
                 if cost <= self.depth_edits[child]:
                     reach(child, cost)
-        for node, edits in list(reached.items()):
-            if node > 0 and self.ends[node] and self.terms[self.ends[node]][1] and edits == 0:
-                reach(-node, 0)
         state = self._closed(reached)
         if state not in self.number:
             self.number[state] = len(self.states)
@@ -265,10 +268,10 @@ def _word_counts(sample: DataFrame) -> DataFrame:
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _contexts(sample: DataFrame, terms: dict[str, tuple[float, bool]]) -> dict[str, int]:
-    """Different words before each term in toxic texts, counted up to distinct pairs."""
+def _contexts(sample: DataFrame, terms: set[tuple[str, bool]]) -> dict[tuple[str, bool], int]:
+    """Different words before each term (with whether it is a stem) in toxic texts, counted up to distinct pairs."""
     shared = sample.sparkSession.sparkContext.broadcast(terms)
-    stems = sorted({len(t) for t, (_, stem) in terms.items() if stem})
+    stems = sorted({len(t) for t, stem in terms if stem})
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, found = shared.value, set()
@@ -276,16 +279,17 @@ def _contexts(sample: DataFrame, terms: dict[str, tuple[float, bool]]) -> dict[s
             for text in batch.column("text").to_pylist():
                 before = ""
                 for word in _TOKEN.findall(text.lower()):
-                    for term in (word, *(word[:n] for n in stems)):
-                        if term in known and (term == word or known[term][1]):
-                            found.add((term, before))
+                    for term in ((word, False), *((word[:n], True) for n in stems if n <= len(word))):
+                        if term in known:
+                            found.add((*term, before))
                     before = word
-        term, before = zip(*found) if found else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(before, pa.string())],
-                                         names=["term", "before"])
+        term, stem, before = zip(*found) if found else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(stem, pa.bool_()),
+                                          pa.array(before, pa.string())], names=["term", "stem", "before"])
 
-    counted = sample.where("toxic = 1").select("text").mapInArrow(pairs, "term string, before string")
-    return {r["term"]: r["n"] for r in counted.distinct().groupBy("term").agg(F.count("*").alias("n")).collect()}
+    counted = sample.where("toxic = 1").select("text").mapInArrow(pairs, "term string, stem boolean, before string")
+    return {(r["term"], r["stem"]): r["n"] for r in
+            counted.distinct().groupBy("term", "stem").agg(F.count("*").alias("n")).collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE, least_docs: int = LEAST_DOCS) -> dict:
@@ -313,14 +317,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE, lea
               .withColumn("odds", odds).where(good & (F.col("words") >= 3))
               .select("term", "odds", "toxic", F.lit(True).alias("stem")))
     found = single.union(opened).orderBy(F.desc("toxic"), "term", "stem").limit(TERMS).collect()
-    terms: dict[str, tuple[float, bool]] = {}
-    for r in sorted(found, key=lambda r: (r["stem"], r["term"])):
-        terms[r["term"]] = (r["odds"], r["stem"])
-    contexts = _contexts(rows, terms)
-    terms = {t: x for t, x in terms.items() if contexts.get(t, 0) >= LEAST_CONTEXTS}
-    # The shortest stem stands for the longer ones and the words that it opens, where it is as telling.
-    terms = {t: x for t, x in terms.items() if not any(
-        terms.get(t[:n], (0, False))[1] and terms[t[:n]][0] >= x[0] - 0.5 for n in STEM if n < len(t))}
+    contexts = _contexts(rows, {(r["term"], r["stem"]) for r in found})
+    kept = [r for r in found if contexts.get((r["term"], r["stem"]), 0) >= LEAST_CONTEXTS]
+    stems = {r["term"]: r["odds"] for r in kept if r["stem"]}
+    # The shortest stem stands for the longer ones, where it is as telling.  Words stay beside it: they allow
+    # more edits than a short stem.
+    terms: dict[str, tuple[float, bool]] = {r["term"]: (r["odds"], False) for r in kept if not r["stem"]}
+    terms |= {t: (odds, True) for t, odds in stems.items() if not any(
+        t[:n] in stems and stems[t[:n]] >= odds - 0.5 for n in STEM if n < len(t))}
     if not terms:
         return nothing
     lexicon = rows.sparkSession.sparkContext.broadcast(FuzzyLexicon(terms))
@@ -331,10 +335,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE, lea
             close = [w for w in batch.column("word").to_pylist() if (m := match(w)) and m[1]]
             yield pa.RecordBatch.from_arrays([pa.array(close, pa.string())], names=["word"])
 
-    plain = {r["word"] for r in words.where("clean > 0").select("word").mapInArrow(near, "word string").collect()}
+    def plain(counted: DataFrame) -> set[str]:
+        return {r["word"] for r in counted.where("clean > 0").select("word").mapInArrow(near, "word string").collect()}
+
+    model = {"terms": terms, "plain": plain(words), "weights": [0.0] * 4}
+    # Each half is measured with the other half's clean words, so that the regression meets accidents like those
+    # of documents that it has not seen.
+    half = [rows.where(F.pmod(F.xxhash64("text"), F.lit(2)) == h) for h in (0, 1)]
+    features = [r for h in (0, 1) for r in score_frame(
+        half[h], {**model, "plain": plain(_word_counts(half[1 - h]))}, features=True).select(
+            "toxic", "f_sum", "f_top", "f_terms").collect()]
     lexicon.unpersist()
-    model = {"terms": terms, "plain": plain, "weights": [0.0] * 4}
-    features = score_frame(rows, model, features=True).select("toxic", "f_sum", "f_top", "f_terms").collect()
     x = np.array([[r["f_sum"], r["f_top"], r["f_terms"]] for r in features])
     model["weights"] = logistic(x, np.array([r["toxic"] for r in features])).tolist()
     return model

@@ -31,6 +31,39 @@ def test_automaton_equals_edit_distance(seed):
             assert found[1] == min(near) == distance(w, found[0])
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_stems_equal_prefix_edit_distance(seed):
+    rng = random.Random(seed)
+    word = lambda lo, hi: "".join(rng.choice("abc") for _ in range(rng.randint(lo, hi)))
+    terms = {word(4, 10): (1.0, rng.random() < 0.6) for _ in range(10)}
+    lexicon = FuzzyLexicon(terms)
+    for _ in range(600):
+        w = word(1, 14)
+        away = {t: min(distance(w[:n], t) for n in (range(len(w) + 1) if stem else [len(w)]))
+                for t, (_, stem) in terms.items()}
+        near = [d for t, d in away.items() if d <= lexicon.allowed(t)]
+        found = lexicon.match(w)
+        assert (found is None) == (not near), w
+        if found:
+            assert found[1] == min(near) == away[found[0]]
+
+
+def test_inflections_do_not_take_the_misspellings(spark):
+    rng, docs, labels = random.Random(11), [], []
+    for i in range(300):
+        words = prose(rng, 30, size=3000).split()
+        if i % 5 == 0:
+            for b in ("idiot", "idiots", "idiotic"):
+                words.insert(rng.randint(0, len(words)), b)
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(i % 5 == 0)))
+    model = fit(spark.createDataFrame(docs, "doc_id long, text string"),
+                spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model["terms"]["idio"][1] and {"idiots", "idiotic"} <= set(model["terms"])
+    for word in ("idjot", "ideot", "iddiot", "ideotic", "idiotism"):
+        assert Scorer(model).hits(f"x {word} y"), word
+
+
 def test_stems_lookalikes_and_plain_words():
     lexicon = FuzzyLexicon({"vequ": (2.0, True), "moron": (3.0, False), "disgusting": (3.0, False)}, {"oron"})
     assert lexicon.match("vequtée") == ("vequ", 0) and lexicon.match("veq") is None
