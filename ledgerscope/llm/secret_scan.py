@@ -10,9 +10,9 @@ test path.  A random forest fitted on labelled findings gives the
 probability that a candidate is a secret; its trees become one SQL expression, so a
 document is scanned and redacted within its own row: no shuffle, no key.
 
-The forest is fitted on at most about ``FINDINGS`` labelled findings, the
-dictionary on words of at most about ``DICTIONARY_DOCS`` documents.  Where no
-labelled findings are given, formats that speak for themselves label them
+The forest is fitted on at most about ``FINDINGS`` different labelled findings, half
+of them of each label, and both labels weigh the same; the dictionary counts the words
+of all documents.  Where no labelled findings are given, formats that speak for themselves label them
 (``rule_label``): issued key ids and assigned values on one side; plain numbers,
 parts of addresses and wordy names on the other; the rest is left to the forest.
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ledgerscope.llm.common import durable
 
 FINDINGS = 20_000
-DICTIONARY_DOCS, DICTIONARY_WORDS = 2_000, 300
+DICTIONARY_WORDS = 300
 TREES, DEPTH, SEED = 20, 5, 7
 THRESHOLD = 0.5
 NEAR = 48
@@ -113,25 +113,27 @@ def rule_label(f: dict[str, Column]) -> Column:
 
 
 def dictionary(docs: DataFrame, text: str = "text") -> list[str]:
-    """The most frequent words of four letters or more in a sample drawn by a hash of the text."""
-    n = docs.count()
-    rate = min(1.0, DICTIONARY_DOCS / max(1, n))
-    drawn = docs.where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < rate * (1 << 20)).select(
+    """The most frequent words of four letters or more in all documents, counted in each task first."""
+    each = docs.select(
         F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{4,}"), F.lit(0))).alias("word"))
-    rows = drawn.groupBy("word").count().orderBy(F.desc("count"), "word").limit(DICTIONARY_WORDS).collect()
+    rows = each.groupBy("word").count().orderBy(F.desc("count"), "word").limit(DICTIONARY_WORDS).collect()
     return sorted((r["word"] for r in rows), key=lambda w: (-len(w), w))
 
 
 def labelled_findings(docs: DataFrame, words: list[str], text: str = "text", path: str | None = "source",
                       most: int = FINDINGS) -> DataFrame:
-    """Features and ``label`` of findings that the rules label, at most about ``most``, drawn by a hash."""
+    """Features and ``label`` of different findings that the rules label, of each label at most about
+    half of ``most``, drawn by a hash."""
     where = F.col(path) if path else F.lit(None).cast("string")
     each = found(docs, text).select(where.alias("path"), F.explode("_found").alias("x"))
     f = features(F.col("x"), F.col("path"), words)
-    rows = durable(each.select(*[c.alias(n) for n, c in f.items()], rule_label(f).alias("label"),
-                               F.xxhash64("x").alias("h")).where("label IS NOT NULL"), "findings")
-    rate = min(1.0, most / max(1, rows.count()))
-    return rows.where(F.pmod("h", F.lit(1 << 20)) < rate * (1 << 20)).drop("h")
+    rows = each.select(*[c.alias(n) for n, c in f.items()], rule_label(f).alias("label"),
+                       F.xxhash64("x").alias("h")).where("label IS NOT NULL")
+    rows = durable(rows.dropDuplicates(["h", "label", "test_path"]), "findings")
+    rate = F.lit(1.0)
+    for r in rows.groupBy("label").count().collect():
+        rate = F.when(F.col("label") == r["label"], min(1.0, most / 2 / r["count"])).otherwise(rate)
+    return rows.where(F.pmod("h", F.lit(1 << 40)) < rate * (1 << 40)).drop("h")
 
 
 def _tree(node) -> str:
@@ -144,12 +146,18 @@ def _tree(node) -> str:
 
 
 def fit_forest(findings: DataFrame) -> str | None:
-    """The forest as a SQL expression over a struct ``x`` of features; None if a class is missing."""
-    kinds = {r["label"] for r in findings.select("label").distinct().collect()}
-    if not {0.0, 1.0} <= kinds:
+    """The forest as a SQL expression over a struct ``x`` of features; None if a class is missing.
+
+    Both classes weigh the same, so how rare one is decides nothing.
+    """
+    kinds = {r["label"]: r["count"] for r in findings.groupBy("label").count().collect()}
+    if not {0.0, 1.0} <= kinds.keys():
         return None
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="f").transform(findings).select("f", "label")
-    model = RandomForestClassifier(featuresCol="f", labelCol="label", numTrees=TREES, maxDepth=DEPTH,
+    weight = F.when(F.col("label") == 1, max(1.0, kinds[0.0] / kinds[1.0])).otherwise(
+        max(1.0, kinds[1.0] / kinds[0.0]))
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="f").transform(findings).select(
+        "f", "label", weight.alias("weight"))
+    model = RandomForestClassifier(featuresCol="f", labelCol="label", weightCol="weight", numTrees=TREES, maxDepth=DEPTH,
                                    featureSubsetStrategy="sqrt", seed=SEED).fit(rows)
     trees = [_tree(t._call_java("rootNode")) for t in model.trees]
     return f"({' + '.join(trees)}) / {len(trees)}.0D"

@@ -42,6 +42,28 @@ def test_held_out_findings(spark):
         assert r["redacted"] == want
 
 
+def test_a_few_secrets_among_many_numbers(spark):
+    """The rarer label comes whole, repeats count once, and its rareness doesn't keep it from being masked."""
+    rng = random.Random(3)
+    rows = [(i, f"no {rng.randint(10**15, 10**16)} and {rng.randint(10**15, 10**16)} or 1234567890123456", "s") for i in range(3000)]
+    real = [f"{rng.randrange(16**20):020x}7a" for _ in range(6)]
+    rows += [(3000 + i, f"db password={s} ok", "s") for i, s in enumerate(real)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    words = dictionary(docs)
+    findings = labelled_findings(docs, words, most=200)
+    counts = {r["label"]: r["count"] for r in findings.groupBy("label").count().collect()}
+    assert counts[1.0] == 6 and 50 < counts[0.0] < 150
+    out = scan(docs, words, fit_forest(findings)).where("doc_id >= 3000").collect()
+    assert sorted(s["candidate"] for r in out for s in r["secrets"]) == sorted(real)
+    assert scan(docs, words, fit_forest(findings)).where("doc_id < 3000 AND size(secrets) > 0").count() == 0
+
+
+def test_dictionary_counts_all_documents(spark):
+    rows = [(f"common word{'abcdefghij'[i % 10] * 3}",) for i in range(6000)] + [("seldom " * 3,)] * 100
+    got = dictionary(spark.createDataFrame(rows, "text string"))
+    assert {"common", "seldom", "wordaaa"} <= set(got)
+
+
 def test_given_labels_decide(spark):
     docs, truth = corpus(spark, 80)
     words = dictionary(docs)
