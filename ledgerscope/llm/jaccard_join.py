@@ -25,6 +25,9 @@ components then are compared with each other: in numpy blocks on the sketches,
 so that what becomes rows is what the Hamming bound leaves.  Copies within
 a group therefore never become pairs, and no link between different sets is lost.
 
+Buckets, pairs and the exact test know a document by a hash of its text; ids, null or
+repeated, are attached at the end.
+
 Defined results: null, empty or wordless text: empty set, linked with nothing,
 its own component; fewer than five words: the whole sequence is the one shingle;
 equal sets (repeated rows included) are one class; a null id takes its class's
@@ -114,7 +117,8 @@ def part_keys(tokens: np.ndarray) -> np.ndarray:
 
 
 def _sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc, n, set, bits, keys`` of every document; a task's repeats of a set have no keys."""
+    """``id, doc, n, set, bits, keys`` of every document, ``doc`` a hash of its text; a task's repeats of a set
+    have no keys."""
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
@@ -132,13 +136,14 @@ def _sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             flat = signed(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()),
+                [batch.column("id"), batch.column("doc"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()),
                  pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=["doc", "n", "set", "bits", "keys"])
+                names=["id", "doc", "n", "set", "bits", "keys"])
         give_back()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(
-        sketch, "doc long, n long, set binary, bits binary, keys array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("doc"),
+                       F.col(text).alias("text")).mapInArrow(
+        sketch, "id long, doc long, n long, set binary, bits binary, keys array<long>")
 
 
 def _near(bits_x, bits_y, n_x, n_y):
@@ -163,16 +168,23 @@ def _hamming(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(keep, "x long, y long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """Links ``a, b`` between the sets of the document pairs ``x, y`` that pass the exact test."""
     pairs = durable(pairs.distinct(), "pairs")
     ids = pairs.select(F.col("x").alias("doc")).union(pairs.select("y")).distinct()
     few = ids.count() <= BROADCAST_IDS
-    wanted = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).join(
+    wanted = docs.select(F.xxhash64(text).alias("doc"), F.col(text).alias("text")).join(
         F.broadcast(ids) if few else ids, "doc")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        seen: set[int] = set()
+        for batch in batches:  # one row of a text is enough
+            fresh = []
+            for doc in batch.column("doc").to_pylist():
+                fresh.append(doc not in seen)
+                if len(seen) < REMEMBERED:
+                    seen.add(doc)
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
             sets = list(token_sets(batch.column("text")))
             ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
             flat = signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64)
@@ -180,7 +192,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> Data
                 [batch.column("doc"), pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
                  pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc", "set", "tokens"])
 
-    sets = durable(wanted.mapInArrow(tokens, "doc long, set binary, tokens array<long>"), "sets")
+    sets = durable(wanted.mapInArrow(tokens, "doc long, set binary, tokens array<long>").dropDuplicates(
+        ["doc", "set"]), "sets")
     side = lambda end, name: sets.select(
         F.col("doc").alias(end), F.col("set").alias(name), F.col("tokens").alias(f"{name}_tokens"))
     common = F.size(F.array_intersect("a_tokens", "b_tokens"))
@@ -246,9 +259,9 @@ def _across(rows: DataFrame) -> DataFrame:
 def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the text, with ``n_shingles, component_id``."""
     sketched = durable(_sketched(docs, doc_id, text), "sketches")
-    about = sketched.where("doc IS NOT NULL AND n > 0").select("doc", "n", "set", "bits").dropDuplicates(
+    about = sketched.where("n > 0").select("doc", "n", "set", "bits").dropDuplicates(
         ["doc", "set"])
-    exploded = sketched.where("doc IS NOT NULL").select("doc", F.explode("keys").alias("key"))
+    exploded = sketched.select("doc", F.explode("keys").alias("key"))
     bucket = Window.partitionBy("key")
     buckets = durable(
         exploded.select("key", "doc", F.min("doc").over(bucket).alias("least"), F.max("doc").over(bucket).alias("most"))
@@ -261,7 +274,7 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     star = buckets.where("least < doc").select(F.col("least").alias("x"), F.col("doc").alias("y")).distinct()
     star = star.join(end("y"), "y").join(end("x"), "x").where("set_x <> set_y")
     links = durable(_verified(_hamming(star.select("x", "y", "n_x", "n_y", "bits_x", "bits_y")),
-                              docs, doc_id, text), "links")
+                              docs, text), "links")
     roots = components(links)
     rooted = durable(about.select("doc", "set").join(roots, F.col("set") == F.col("node"), "left").select(
         "doc", F.xxhash64(F.coalesce("root", "set")).alias("root")), "roots")
@@ -269,17 +282,17 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
              .withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket))
              .where("low < high").select("key", "doc", "root"))
     mixed = mixed.join(about.select("doc", "n", "bits"), "doc").select("key", "doc", "n", "bits", "root")
-    more = _verified(_across(mixed), docs, doc_id, text)
+    more = _verified(_across(mixed), docs, text)
     roots = components(links.union(more))
 
-    least = sketched.where("n > 0").groupBy("set").agg(F.min("doc").alias("doc"))
+    least = sketched.where("n > 0").groupBy("set").agg(F.min("id").alias("id"))
     of = least.join(roots, F.col("set") == F.col("node"), "left").select(
-        "set", "doc", F.coalesce("root", "set").alias("root"))
-    first = of.groupBy("root").agg(F.min("doc").alias("component"))
+        "set", "id", F.coalesce("root", "set").alias("root"))
+    first = of.groupBy("root").agg(F.min("id").alias("component"))
     classes = of.join(first, "root").select("set", "component")
-    return sketched.select("doc", "n", "set").join(classes, "set", "left").select(
-        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"),
-        F.coalesce("component", "doc").alias("component_id"))
+    return sketched.select("id", "n", "set").join(classes, "set", "left").select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
+        F.coalesce("component", "id").alias("component_id"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,6 +106,23 @@ def test_awkward_documents(spark):
     assert jaccard_classes(empty(spark)).count() == 0
 
 
+def test_null_and_repeated_ids_link_like_others(spark):
+    """Ids are attached at the end: a null or shared one neither hides a bucket nor breaks a chain."""
+    base = [f"w{i}" for i in range(60)]
+    near = lambda *at: " ".join(f"new{i}" if i in at else w for i, w in enumerate(base))
+    other = " ".join(f"x{i}" for i in range(30))
+    rows = [(None, near()), (5, near()), (6, near(59)),  # a set met first with a null id
+            (7, other), (7, other + " y"),  # near copies that share an id
+            (20, near(59, 58, 57, 56, 55)), (30, other + " y z")]
+    far = [f"v{i}" for i in range(100)]
+    rows += [(40, " ".join(far)), (None, " ".join(far[7:] + ["p"] * 1)), (41, " ".join(far[14:] + ["p"] * 1))]
+    got = jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    want = brute([(10**6 if d is None else d, t) for d, t in rows])
+    key = lambda r: (r[0], r[1], r[2])
+    assert sorted(((10**6 if r[0] is None else r[0], r[1], r[2]) for r in got), key=key) == want
+    assert {c for d, _, c in want if d in (5, 6)} == {5} and {c for d, _, c in want if d in (7, 30)} == {7}
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(1000, 1040)] + [(5, 5)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
