@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerscope.llm.decontamination import op4_decontamination
+from ledgerscope.llm.fill_middle import op11_fill_middle
 from ledgerscope.llm.jaccard_join import op10_jaccard_join
 from ledgerscope.llm.language_id import op9_language_id
 from ledgerscope.llm.secret_scan import op6_secret_scan
@@ -104,6 +105,29 @@ FROM doc LEFT JOIN size USING (doc_id)
 LEFT JOIN (SELECT doc_id, min(node) AS least FROM reach GROUP BY doc_id) c USING (doc_id)
 """
 
+FILL_MIDDLE_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest,
+         regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units
+  FROM documents),
+drawn AS (
+  SELECT *, len(units) AS n, [CAST('0x' || substr(digest, 8 * i + 1, 8) AS BIGINT) FOR i IN range(4)] AS h FROM doc),
+cut AS (
+  SELECT *, text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') AS plain,
+         least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b
+  FROM drawn),
+part AS (
+  SELECT *, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m,
+         array_to_string(units[b + 1:n], '') AS s
+  FROM cut)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+       CASE WHEN NOT plain THEN length(p) END AS prefix_chars, CASE WHEN NOT plain THEN length(m) END AS middle_chars,
+       sha256(CASE WHEN plain THEN text WHEN h[4] % 100 < 50 THEN '<S>' || s || '<P>' || p || '<M>' || m
+                   ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM part
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -117,6 +141,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_language_id": op9_language_id,
         "op10_jaccard_join": op10_jaccard_join,
+        "op11_fill_middle": op11_fill_middle,
     }
 
 
@@ -126,4 +151,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontamination": DECONTAMINATION_SQL,
         "op5_warc_zip": WARC_SQL,
         "op10_jaccard_join": JACCARD_SQL,
+        "op11_fill_middle": FILL_MIDDLE_SQL,
     }
