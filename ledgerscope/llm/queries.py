@@ -10,6 +10,7 @@ from ledgerscope.llm.decontamination import op4_decontamination
 from ledgerscope.llm.fill_middle import op11_fill_middle
 from ledgerscope.llm.jaccard_join import op10_jaccard_join
 from ledgerscope.llm.language_id import op9_language_id
+from ledgerscope.llm.resampling import op13_resampling
 from ledgerscope.llm.secret_scan import op6_secret_scan
 from ledgerscope.llm.sp_sampling import op8_sentencepiece
 from ledgerscope.llm.token_counts import op7_token_counts
@@ -128,6 +129,47 @@ SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' E
 FROM part
 """
 
+RESAMPLING_SQL = rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+item AS (
+  SELECT unnest(regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+doc_word AS (SELECT r, unnest(words) AS word FROM doc),
+crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k:
+                CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS i))),
+word AS (
+  SELECT word, xor(list_reduce([4294967295] || [CAST('0x' || substr(digits, 2 * j + 1, 2) AS BIGINT)
+                                                 FOR j IN range(CAST(length(digits) / 2 AS BIGINT))],
+                               lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 10000 AS bucket
+  FROM (SELECT word, hex(encode(word)) AS digits FROM (SELECT word FROM doc_word UNION SELECT word FROM item)), crc_table),
+s AS (SELECT bucket, count(*) AS s FROM doc_word JOIN word USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM item JOIN word USING (word) GROUP BY bucket),
+total AS (
+  SELECT (SELECT coalesce(sum(s), 0) FROM s) + 10000 AS sn, (SELECT coalesce(sum(t), 0) FROM t) + 10000 AS tn),
+gain AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) AS DOUBLE) * sn / (CAST((coalesce(s, 0) + 1) AS DOUBLE) * tn)))
+                      AS BIGINT) AS gain
+  FROM (SELECT DISTINCT bucket FROM word) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), total),
+weight AS (
+  SELECT r, CAST(sum(gain) AS BIGINT) AS weight FROM doc_word JOIN word USING (word) JOIN gain USING (bucket) GROUP BY r),
+scored AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256(
+           '2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM doc LEFT JOIN weight USING (r)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+         count(*) OVER (PARTITION BY n_features >= 20) AS able
+  FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= able * 10 // 100 THEN place END AS rank
+FROM placed
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -142,6 +184,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": op9_language_id,
         "op10_jaccard_join": op10_jaccard_join,
         "op11_fill_middle": op11_fill_middle,
+        "op13_resampling": op13_resampling,
     }
 
 
@@ -152,4 +195,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc_zip": WARC_SQL,
         "op10_jaccard_join": JACCARD_SQL,
         "op11_fill_middle": FILL_MIDDLE_SQL,
+        "op13_resampling": RESAMPLING_SQL,
     }
