@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerscope.llm.decontamination import op4_decontamination
+from ledgerscope.llm.disclosure import op12_pii_disclosure
 from ledgerscope.llm.fill_middle import op11_fill_middle
 from ledgerscope.llm.jaccard_join import op10_jaccard_join
 from ledgerscope.llm.language_id import op9_language_id
@@ -184,6 +185,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": op9_language_id,
         "op10_jaccard_join": op10_jaccard_join,
         "op11_fill_middle": op11_fill_middle,
+        "op12_pii_disclosure": op12_pii_disclosure,
         "op13_resampling": op13_resampling,
     }
 
