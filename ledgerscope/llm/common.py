@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,33 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_written: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[list[str]]:
+    """The folders that ``durable`` writes meanwhile; those still in the list are deleted at the end."""
+    _written.append(folders := [])
+    try:
+        yield folders
+    finally:
+        _written.pop()
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def settings_kept(spark: SparkSession) -> Iterator[None]:
+    """Puts back what ``text_batches`` sets."""
+    before = {key: spark.conf.get(key, None) for key, _, _ in _BATCHES}
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -34,6 +62,8 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = run_folder(spark, name)
+    if _written:
+        _written[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -78,14 +108,17 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+_BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"),
+            ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"))
+
+
 def text_batches(spark: SparkSession) -> None:
     """Smaller Arrow batches for rows that carry whole texts, unless the session has set its own.
 
     The defaults (10,000 rows, 64 MB) suit narrow rows; a task's JVM and Python each hold a few
     batches at a time.
     """
-    for key, usual, mine in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"),
-                             ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")):
+    for key, usual, mine in _BATCHES:
         if spark.conf.get(key, usual) == usual:
             spark.conf.set(key, mine)
 

@@ -41,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerscope.llm.common import durable, give_back, mix64, row_runs, signed, text_buffer
@@ -117,8 +117,8 @@ def part_keys(tokens: np.ndarray) -> np.ndarray:
 
 
 def _sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``id, doc, n, set, bits, keys`` of every document, ``doc`` a hash of its text; a task's repeats of a set
-    have no keys."""
+    """``id, doc, text_digest, n, set, bits, keys`` of every document, ``doc`` a hash of its text; a task's
+    repeats of a set have no keys."""
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
@@ -136,14 +136,20 @@ def _sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             flat = signed(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("doc"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=["id", "doc", "n", "set", "bits", "keys"])
+                [batch.column("id"), batch.column("doc"), batch.column("text_digest"), pa.array(n, pa.int64()),
+                 pa.array(digests, pa.binary()), pa.array(bits, pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                names=["id", "doc", "text_digest", "n", "set", "bits", "keys"])
         give_back()
 
     return docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("doc"),
-                       F.col(text).alias("text")).mapInArrow(
-        sketch, "id long, doc long, n long, set binary, bits binary, keys array<long>")
+                       text_digest(F.col(text)).alias("text_digest"), F.col(text).alias("text")).mapInArrow(
+        sketch, "id long, doc long, text_digest binary, n long, set binary, bits binary, keys array<long>")
+
+
+def text_digest(text: Column) -> Column:
+    """128 bits of the text; null for null."""
+    return F.unhex(F.md5(text))
 
 
 def _near(bits_x, bits_y, n_x, n_y):
@@ -173,17 +179,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     pairs = durable(pairs.distinct(), "pairs")
     ids = pairs.select(F.col("x").alias("doc")).union(pairs.select("y")).distinct()
     few = ids.count() <= BROADCAST_IDS
-    wanted = docs.select(F.xxhash64(text).alias("doc"), F.col(text).alias("text")).join(
-        F.broadcast(ids) if few else ids, "doc")
+    wanted = docs.select(F.xxhash64(text).alias("doc"), text_digest(F.col(text)).alias("text_digest"),
+                         F.col(text).alias("text")).join(F.broadcast(ids) if few else ids, "doc")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:  # one row of a text is enough
+        seen: set[bytes] = set()
+        for batch in batches:  # one row of a text is enough; texts whose hashes meet both count
             fresh = []
-            for doc in batch.column("doc").to_pylist():
-                fresh.append(doc not in seen)
+            for digest in batch.column("text_digest").to_pylist():
+                fresh.append(digest not in seen)
                 if len(seen) < REMEMBERED:
-                    seen.add(doc)
+                    seen.add(digest)
             batch = batch.filter(pa.array(fresh, pa.bool_()))
             sets = list(token_sets(batch.column("text")))
             ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
@@ -202,20 +208,39 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
             .where((F.col("a") != F.col("b")) & (100 * common >= PERCENT * whole)).select("a", "b"))
 
 
+def _meetings(rows: DataFrame) -> DataFrame:
+    """``rows`` once for each block of their bucket that they are compared with: ``i, j`` name the two blocks, ``own``
+    the row's.
+
+    A root with at least half of ``BLOCK`` members in a bucket has blocks of its own, which never meet each other; the
+    members of other roots share blocks, which meet all.  Members are dealt into blocks by hash, so no
+    task numbers a bucket.
+    """
+    sizes = durable(rows.groupBy("key", "root").agg(F.count("*").alias("size")), "bucket-roots")
+    large = F.col("size") >= F.lit(BLOCK / 2)
+    kinds = sizes.withColumn("kind", F.when(large, F.col("root"))).groupBy("key", "kind").agg(F.sum("size").alias("size"))
+    blocks = kinds.select("key", "kind", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    listed = blocks.groupBy("key").agg(F.collect_list(F.struct("kind", "blocks")).alias("all"))
+    own = sizes.select("key", "root", F.when(large, F.col("root")).alias("kind"))
+    placed = rows.join(own, ["key", "root"]).join(listed, "key")
+    mine = F.element_at(F.filter("all", lambda b: b["kind"].eqNullSafe(F.col("kind"))), 1)["blocks"]
+    block = lambda kind, number: F.xxhash64(F.lit("block"), kind, kind.isNull(), number)
+    others = F.flatten(F.transform(F.filter("all", lambda b: b["kind"].isNull() | ~b["kind"].eqNullSafe(F.col("kind"))),
+                                   lambda b: F.transform(F.sequence(F.lit(0), b["blocks"] - 1), lambda n: block(b["kind"], n))))
+    placed = placed.withColumn("own", block(F.col("kind"), F.pmod(F.xxhash64("doc"), mine).cast("int"))).withColumn(
+        "other", F.explode(others))
+    return placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "n",
+                         "root", "bits")
+
+
 def _across(rows: DataFrame) -> DataFrame:
     """Pairs of members of one bucket that are in different components and near by sketch.
 
-    ``rows``: ``key, doc, n, bits, root``.  A bucket of more than ``BLOCK`` members is cut
-    into blocks and each two blocks meet in a group of their own, so a group is bounded.
+    ``rows``: ``key, doc, n, bits, root``.  Each two blocks of a bucket that may hold such pairs
+    meet in a group of their own (``_meetings``), so a group is bounded.
     """
     spark = rows.sparkSession
-    whole = Window.partitionBy("key")
-    numbered = (rows.withColumn("at", F.row_number().over(whole.orderBy("doc", "root")) - 1)
-                .withColumn("blocks", F.floor((F.count("*").over(whole) - 1) / BLOCK).cast("int") + 1)
-                .withColumn("own", F.floor(F.col("at") / BLOCK).cast("int")))
-    met = (numbered.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-           .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-           .select("key", "i", "j", "own", "doc", "n", "root", "bits"))
+    met = _meetings(rows)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = met.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
@@ -256,16 +281,27 @@ def _across(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(compare, "x long, y long")
 
 
+def _mixed(rows: DataFrame, value: str) -> DataFrame:
+    """The rows of keys with more than one ``value``, with the smallest as ``least``.
+
+    An aggregate a key joined back: AQE splits a key that a large part of all rows share.
+    """
+    ends = rows.groupBy("key").agg(F.min(value).alias("least"), F.max(value).alias("most")).where("least < most")
+    return rows.join(ends.select("key", "least"), "key")
+
+
 def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the text, with ``n_shingles, component_id``."""
+    return jaccard_members(docs, doc_id, text).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_members(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, text_digest, n_shingles, component_id, root``; ``root`` names the component whatever ids its
+    documents have, null for an empty set."""
     sketched = durable(_sketched(docs, doc_id, text), "sketches")
     about = sketched.where("n > 0").select("doc", "n", "set", "bits").dropDuplicates(
         ["doc", "set"])
-    exploded = sketched.select("doc", F.explode("keys").alias("key"))
-    bucket = Window.partitionBy("key")
-    buckets = durable(
-        exploded.select("key", "doc", F.min("doc").over(bucket).alias("least"), F.max("doc").over(bucket).alias("most"))
-        .where("least < most").select("key", "doc", "least"), "buckets")
+    buckets = durable(_mixed(sketched.select("doc", F.explode("keys").alias("key")), "doc").select("key", "doc", "least"), "buckets")
 
     def end(name: str) -> DataFrame:
         return about.select(F.col("doc").alias(name), F.col("n").alias(f"n_{name}"),
@@ -278,9 +314,7 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     roots = components(links)
     rooted = durable(about.select("doc", "set").join(roots, F.col("set") == F.col("node"), "left").select(
         "doc", F.xxhash64(F.coalesce("root", "set")).alias("root")), "roots")
-    mixed = (buckets.select("key", "doc").join(rooted, "doc")
-             .withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket))
-             .where("low < high").select("key", "doc", "root"))
+    mixed = _mixed(durable(buckets.select("key", "doc").join(rooted, "doc"), "rooted"), "root").select("key", "doc", "root")
     mixed = mixed.join(about.select("doc", "n", "bits"), "doc").select("key", "doc", "n", "bits", "root")
     more = _verified(_across(mixed), docs, text)
     roots = components(links.union(more))
@@ -289,10 +323,10 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     of = least.join(roots, F.col("set") == F.col("node"), "left").select(
         "set", "id", F.coalesce("root", "set").alias("root"))
     first = of.groupBy("root").agg(F.min("id").alias("component"))
-    classes = of.join(first, "root").select("set", "component")
-    return sketched.select("id", "n", "set").join(classes, "set", "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
-        F.coalesce("component", "id").alias("component_id"))
+    classes = of.join(first, "root").select("set", "root", "component")
+    return sketched.select("id", "text_digest", "n", "set").join(classes, "set", "left").select(
+        F.col("id").alias("doc_id"), "text_digest", F.col("n").alias("n_shingles"),
+        F.coalesce("component", "id").alias("component_id"), "root")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import re
 
 import corpus_pipeline as pipeline
+from ledgerscope.llm import common
 import pytest
 from llm_cases import documents, empty
 from test_op4_decontamination import brute as windows
@@ -81,6 +82,12 @@ def test_awkward_documents_pass_every_stage(spark, extra):
     assert last.count() == docs.count() == last.where("lossless").count()
 
 
+def test_keys_joined_instead_of_broadcast(spark, stages, monkeypatch):
+    monkeypatch.setattr(pipeline, "BROADCAST_KEYS", 0)
+    before, after = stages[1]
+    assert sorted(rows(pipeline.jaccard_join(spark, before, DIR), "doc_id")) == sorted(rows(after, "doc_id"))
+
+
 def test_repeated_rows_and_null_ids_in_the_join(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     text = "one two three four five six seven eight nine ten"
@@ -91,6 +98,17 @@ def test_repeated_rows_and_null_ids_in_the_join(spark):
     assert sorted(rows(out, "doc_id"), key=str) == [(4,), (5,), (6,), (None,), (None,)]
 
 
+def test_different_texts_of_one_id_are_different_documents(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    one, two = "one two three four five six seven eight nine ten", "a b c d e f g h i j k l m n"
+    texts = [(4, one), (4, two), (9, one), (4, "other words stand in this third text of id four"), (2, two), (7, two), (4, ""),
+             (4, None), (4, one), (1, "x y z"), (1, "x y z"), (3, "x y z")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], schema)
+    out = pipeline.jaccard_join(spark, docs, DIR)
+    want = [(4, one), (4, "other words stand in this third text of id four"), (2, two), (4, ""), (4, None), (1, "x y z")]
+    assert sorted(rows(out, "doc_id", "text"), key=str) == sorted(want, key=str)
+
+
 def test_empty_table(spark):
     docs = empty(spark)
     for _, stage in pipeline.STAGES:
@@ -99,5 +117,14 @@ def test_empty_table(spark):
 
 
 def test_run(spark, stages):
+    import os
+    from ledgerscope.session import shared_dir
+    folder, keys = shared_dir(spark), [k for k, _, _ in common._BATCHES]
+    for key in keys:
+        spark.conf.unset(key)
+    before, conf = set(os.listdir(folder.removeprefix("file:"))), [spark.conf.get(k, None) for k in keys]
     got = pipeline.run(spark, DIR)
+    new = set(os.listdir(folder.removeprefix("file:"))) - before
+    assert len(new) == 1 and new.pop().startswith("pipeline-sentencepiece")
+    assert [spark.conf.get(k, None) for k in keys] == conf
     assert sorted(rows(got, "doc_id", "n_pieces")) == sorted(rows(stages[-1][1], "doc_id", "n_pieces"))
