@@ -302,8 +302,10 @@ def _filled(template: Column, seed: Column, words: list[str]) -> Column:
 
 def shipped_findings(spark: SparkSession, words: list[str], variants: int = VARIANTS) -> DataFrame:
     """Features and ``label`` of the candidates in ``FINDINGS_BY_HAND``; 1 for a line's own secret."""
-    lines = spark.createDataFrame([(i, *line) for i, line in enumerate(FINDINGS_BY_HAND)],
-                                  "line int, before string, secret string, after string, path string")
+    names = ("line", "before", "secret", "after", "path")
+    by_hand = F.array(*[F.struct(*[F.lit(v).cast("int" if n == "line" else "string").alias(n) for n, v in zip(names, (i, *line))])
+                        for i, line in enumerate(FINDINGS_BY_HAND)])
+    lines = spark.range(1).select(F.inline(by_hand))
     each = lines.select("*", F.explode(F.sequence(F.lit(1), F.lit(variants))).alias("variant"))
     seed = F.concat_ws("-", "line", "variant")
     each = each.select(*[_filled(F.col(c), F.concat(seed, F.lit(c)), words).alias(c) for c in ("before", "after", "path")],
