@@ -43,6 +43,17 @@ def row_bytes(df: DataFrame) -> int:
     return int(df._jdf.schema().defaultSize())
 
 
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of all rows: texts as long as they are, other columns by their type's width.
+
+    One aggregate over the text columns; every task sends one row.
+    """
+    texts = [f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    fixed = max(8, row_bytes(df.drop(*texts))) if len(texts) < len(df.columns) else 8
+    each = sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)).cast("long") + 8 for c in texts), F.lit(0).cast("long"))
+    return int(df.agg(F.sum(each + fixed)).first()[0] or 0)
+
+
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     """True if ``df`` has at most ``max_rows`` rows.
 

@@ -11,6 +11,9 @@ dynamic partition overwrite: re-running a window (or a retried task) replaces
 exactly that window's files.  Without a given root every run has a folder of
 its own under the shared folder, so two inputs, or two runs, never meet.  The
 manifest (tables and row counts) is written last; what has none is unfinished.
+
+``reused`` and ``mart_tables`` look a result up before computing it (``results.ResultStore``):
+asked again over unchanged files, they read what an earlier run stored.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from ledgerscope import reference_data as rd
 from ledgerscope.functions import formatting
 from ledgerscope.functions.periods import Window
 from ledgerscope.operators import ledger, metrics, trend, users
+from ledgerscope.operators.results import ResultStore, Save
 from ledgerscope.session import shared_dir
 from ledgerscope.sources.tables import LedgerTables
 
@@ -161,6 +165,22 @@ def read_deposit_bounds(t: LedgerTables, root: str) -> tuple[DataFrame, DataFram
     return (t.spark.read.parquet(f"{root}/general"), t.spark.read.parquet(f"{root}/asset"))
 
 
+def _mart(t: LedgerTables, window: Window, as_of, save: Save, bounds=None, fees: DataFrame | None = None) -> None:
+    """The mart's tables, each saved once; what derives from another is computed from the saved one."""
+    gen_bounds, asset_bounds = bounds or (None, None)
+    save("general_metrics", metrics.general_metrics(t, window, bounds=gen_bounds))
+    save("trend_month", trend.transaction_trend(t, window, "month"))
+    assets = save("asset_rollup", metrics.asset_rollup(t, window, fees, bounds=asset_bounds).select(
+        *metrics.ASSET_COLUMNS, "total_users"))
+    clean = save("user_clean", users.user_clean(t, window, as_of))
+    save("asset_metrics", assets.select(*metrics.ASSET_COLUMNS))
+    save("users_by_asset_type", assets.filter("asset_type IS NOT NULL").select("asset_type", "total_users"))
+    save("user_kpis", users.kpis_of(clean))
+    save("dist_age_group", users.age_distribution_of(clean))
+    for name, column in _DIST_TABLES.items():
+        save(name, users.distribution_of(clean, column))
+
+
 def write_report_mart(t: LedgerTables, window: Window, as_of, root: str | None = None,
                       bounds: tuple[DataFrame, DataFrame] | None = None,
                       fees: DataFrame | None = None) -> str:
@@ -173,27 +193,15 @@ def write_report_mart(t: LedgerTables, window: Window, as_of, root: str | None =
     ``bounds`` (from ``write_deposit_bounds``) lets the platform and asset
     metrics read only the window's rows.
     """
-    gen_bounds, asset_bounds = bounds or (None, None)
     root = root or f"{shared_dir(t.spark)}/report_mart/{uuid.uuid4().hex}"
-    rollup = metrics.asset_rollup(t, window, fees, bounds=asset_bounds)
-    stored = {
-        "general_metrics": metrics.general_metrics(t, window, bounds=gen_bounds),
-        "trend_month": trend.transaction_trend(t, window, "month"),
-        "asset_rollup": rollup.select(*metrics.ASSET_COLUMNS, "total_users"),
-        "user_clean": users.user_clean(t, window, as_of),
-    }
-    for name, df in stored.items():
-        _write(df, root, name, window)
-    assets = read_report_mart(t.spark, root, "asset_rollup", window, stored["asset_rollup"].schema)
-    clean = read_report_mart(t.spark, root, "user_clean", window, stored["user_clean"].schema)
-    derived = {"asset_metrics": assets.select(*metrics.ASSET_COLUMNS),
-               "users_by_asset_type": assets.filter("asset_type IS NOT NULL").select("asset_type", "total_users"),
-               "user_kpis": users.kpis_of(clean),
-               "dist_age_group": users.age_distribution_of(clean)}
-    derived.update({name: users.distribution_of(clean, col) for name, col in _DIST_TABLES.items()})
-    for name, df in derived.items():
+    schemas = {}
+
+    def save(name: str, df: DataFrame) -> DataFrame:
         _write(df, root, name, window)
-    schemas = {name: df.schema for name, df in (stored | derived).items()}
+        schemas[name] = df.schema
+        return read_report_mart(t.spark, root, name, window, df.schema)
+
+    _mart(t, window, as_of, save, bounds, fees)
     counts = [read_report_mart(t.spark, root, name, window, schemas[name])
               .agg(F.count(F.lit(1)).alias("row_count"))
               .select(F.lit(name).alias("table_name"), "row_count") for name in MART_TABLES]
@@ -213,3 +221,72 @@ def report_mart(t: LedgerTables, window: Window, as_of, root: str | None = None,
     return (read_report_mart(t.spark, root, MANIFEST, window)
             .select("table_name", F.lit(window.start).alias("window_start"),
                     F.lit(window.end).alias("window_end"), "row_count"))
+
+
+_LEDGER = ("transactions", "plans", "investment_plans", "users")
+_PEOPLE = (*_LEDGER, "profiles", "budgets", "external_transactions", "messages")
+
+#: Job -> the logical tables that it reads, and the job over tables and arguments.
+REUSABLE = {
+    "general_metrics": (_LEDGER, metrics.general_metrics),
+    "asset_metrics": ((*_LEDGER, "assets"), metrics.asset_metrics),
+    "transaction_trend": (_LEDGER, trend.transaction_trend),
+    "user_counts": (("users",), metrics.user_counts),
+    "users_by_asset_type": ((*_LEDGER, "assets"), metrics.users_by_asset_type),
+    "asset_types": ((*_LEDGER, "assets"), metrics.asset_types),
+    "user_insights": (_PEOPLE, users.user_insights),
+    "user_clean": (_PEOPLE, users.user_clean),
+}
+
+
+def reused(job: str, t: LedgerTables, *, store: ResultStore | None = None, **args) -> DataFrame:
+    """The result of a job of ``REUSABLE``: an earlier one over the same files and arguments, else a new one, stored."""
+    tables, compute = REUSABLE[job]
+    store = store or ResultStore(t.spark)
+    return store.reuse(job, args, t, lambda now, save: save(job, compute(now, **args)), tables)[job]
+
+
+def mart_tables(t: LedgerTables, window: Window, as_of, store: ResultStore | None = None,
+                fees: DataFrame | None = None) -> dict[str, DataFrame]:
+    """J15's tables for a window, looked up or computed and stored."""
+    found = (store or ResultStore(t.spark)).reuse(
+        "report_mart", {"window": window, "as_of": as_of}, t,
+        lambda now, save: _mart(now, window, as_of, save, fees=fees), fees=fees)
+    return {name: found[name] for name in MART_TABLES}
+
+
+def _cells(name: str, df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a cell of ``df``: numbers in ``value``, other values as text in ``value_text``."""
+    row_key = F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]) if keys else F.lit("")
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields if f.name not in keys}
+    texts = [c for c, k in kinds.items() if k in ("string", "boolean", "date", "timestamp_ntz")]
+    numbers = [c for c in kinds if c not in texts]
+
+    def shown(c: str):
+        return (F.date_format(c, "yyyy-MM-dd HH:mm:ss") if kinds[c] == "timestamp_ntz" else F.col(c).cast("string")).alias(c)
+
+    wide = df.select(row_key.alias("row_key"), *[F.col(c).cast("double").alias(c) for c in numbers], *[shown(c) for c in texts])
+    parts = []
+    if numbers:
+        parts.append(wide.unpivot("row_key", numbers, "metric", "value").withColumn("value_text", F.lit(None).cast("string")))
+    if texts:
+        parts.append(wide.unpivot("row_key", texts, "metric", "value_text").withColumn("value", F.lit(None).cast("double")))
+    long = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return long.select(F.lit(name).alias("table_name"), "row_key", "metric", "value", "value_text")
+
+
+#: Key columns of the mart's tables; a cell is known by table, key and column.
+MART_KEYS = {"general_metrics": [], "trend_month": ["period", "tx_type"], "asset_metrics": ["asset_type"],
+             "users_by_asset_type": ["asset_type"], "user_clean": ["user_id", "employment_status"], "user_kpis": [],
+             "dist_age_group": ["age_group"], **{name: [column] for name, column in _DIST_TABLES.items()}}
+
+
+def mart_contents(t: LedgerTables, window: Window, as_of, store: ResultStore | None = None,
+                  fees: DataFrame | None = None) -> DataFrame:
+    """Every cell of J15's tables, as stored: ``table_name, row_key, metric, value, value_text``."""
+    found = mart_tables(t, window, as_of, store, fees)
+    out = None
+    for name in MART_TABLES:
+        cells = _cells(name, found[name], MART_KEYS[name])
+        out = cells if out is None else out.unionByName(cells)
+    return out

@@ -56,6 +56,7 @@ def registry() -> dict[str, Builder]:
         "kpi_asset": lambda t: report.kpi_asset(t, w),
         "kpi_user": lambda t: report.kpi_user(t, w),
         "report_mart": lambda t: report.report_mart(t, w, as_of),
+        "mart_contents": lambda t: report.mart_contents(t, w, as_of),
         # J17-J20
         "ledger_base": lambda t: ledger.ledger_base(t),
         "depositors_summary": lambda t: ledger.depositors_summary(t),

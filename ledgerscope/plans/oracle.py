@@ -290,6 +290,29 @@ def _counted(column: str) -> str:
     return f"SELECT {column}, COUNT(*) AS count FROM tidy WHERE {column} IS NOT NULL GROUP BY {column}"
 
 
+def _mart_cells(dists: dict[str, str]) -> list[str]:
+    """One select a table and column of the mart: ``table_name, row_key, metric, value, value_text``."""
+    def cell(table: str, source: str, key: str, metric: str, number: str = "NULL", text: str = "NULL") -> str:
+        return (f"SELECT '{table}' AS table_name, {key} AS row_key, '{metric}' AS metric, CAST({number} AS DOUBLE) AS value, "
+                f"CAST({text} AS VARCHAR) AS value_text FROM ({source}) x")
+
+    asset = "COALESCE(asset_type, '')"
+    out = [cell("general_metrics", _GENERAL, "''", m, m) for m in _MEASURES]
+    out.append(cell("trend_month", _trend("month"), "CAST(period AS VARCHAR) || '/' || COALESCE(tx_type, '')", "total_amount",
+                    "total_amount"))
+    out += [cell("asset_metrics", "SELECT * FROM asset_row", asset, m, m) for m in _ASSET_COLUMNS if m != "asset_type"]
+    out.append(cell("users_by_asset_type", _HEADS, asset, "total_users", "total_users"))
+    person = "COALESCE(user_id, '') || '/' || COALESCE(employment_status, '')"
+    out.append(cell("user_clean", "SELECT * FROM grouped", person, "age", "age"))
+    shown = {c: c for c in ("gender", "country", "dob", "status", "use_option", "is_recent", "is_active", "age_group")}
+    shown["created_at"] = "strftime(created_at, '%Y-%m-%d %H:%M:%S')"
+    out += [cell("user_clean", "SELECT * FROM grouped", person, m, text=e) for m, e in shown.items()]
+    out += [cell("user_kpis", _KPIS, "''", m, m) for m in ("registered_users", "active_users", "users_with_most_recent_activity")]
+    out.append(cell("dist_age_group", _AGES, "age_group", "count", "count"))
+    out += [cell(key, _counted(column), column, "count", "count") for key, column in dists.items()]
+    return out
+
+
 def oracle_sql(inline_fixtures: bool = True) -> dict[str, str]:
     """Oracle SQL per key; with ``inline_fixtures=False`` the statements read tables named
     fx_transactions, fx_users, ... directly."""
@@ -355,4 +378,5 @@ def oracle_sql(inline_fixtures: bool = True) -> dict[str, str]:
         f"SELECT '{name}' AS table_name, DATE '2024-01-05' AS window_start, DATE '2024-01-20' AS window_end, "
         f"COUNT(*) AS row_count FROM ({select}) x" for name, select in stored.items()),
         _TIDY, _PLATFORM, _HOLDING, _RATES, _ASSET_ROWS)
+    q["mart_contents"] = people("\nUNION ALL ".join(_mart_cells(dists)), _TIDY, _PLATFORM, _HOLDING, _RATES, _ASSET_ROWS)
     return q

@@ -107,6 +107,11 @@ def view_closure(names) -> list[str]:
     return [n for n in VIEW_SQL if n in wanted]
 
 
+def view_sources(name: str) -> list[str]:
+    """The source tables that a fixture view reads, itself or through others."""
+    return [n for n in SOURCE_TABLES if any(n in _inputs(v) for v in view_closure([name]))]
+
+
 def duckdb_prelude(names) -> str:
     """``WITH`` clause defining the fixture views ``names`` for DuckDB."""
     parts = []

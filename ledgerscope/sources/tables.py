@@ -12,13 +12,14 @@ name>": "use_option"}}``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerscope import reference_data as rd
-from ledgerscope.operators.joins import broadcast_byte_limit, broadcast_row_limit, row_bytes
-from ledgerscope.sources import fixtures
+from ledgerscope.operators.joins import broadcast_byte_limit, broadcast_row_limit, measured_bytes
+from ledgerscope.sources import files, fixtures
 
 # logical name -> fixture view
 FIXTURE_VIEWS = {
@@ -64,6 +65,10 @@ class LedgerTables:
     messages: DataFrame
     #: Rate table of the asset metrics; without one a job must be given it.
     fees: DataFrame | None = None
+    #: Where the rows lie: the Parquet paths by logical table. None for frames that are no files.
+    paths: dict[str, tuple[str, ...]] | None = field(default=None, compare=False)
+    #: Opens the same tables anew, as their files are then.
+    reopen: Callable[[], LedgerTables] | None = field(default=None, compare=False, repr=False)
     _bounds: dict = field(default_factory=dict, compare=False, repr=False)
     _staged: dict = field(default_factory=dict, compare=False, repr=False)
 
@@ -77,16 +82,16 @@ class LedgerTables:
         Of the dimensions that one job may broadcast together, the smallest
         are, as long as their bytes add up to the bound and each is within the
         row bound.  Rows are counted once per object (a Parquet count reads
-        only file footers); bytes are rows times the row's width by type.
+        only file footers); the bytes of tables within the row bound are
+        measured, texts included (``joins.measured_bytes``).
         """
         limits = broadcast_row_limit(self.spark), broadcast_byte_limit(self.spark)
         if limits not in self._bounds:
-            rows = {n: self._rows(n) for n in DIMENSIONS}
-            sizes = sorted((rows[n] * row_bytes(getattr(self, n)), n) for n in DIMENSIONS)
+            within = [n for n in DIMENSIONS if self._rows(n) <= limits[0]]
             chosen, total = set(), 0
-            for size, n in sizes:
+            for size, n in sorted((self._bytes(n), n) for n in within):
                 total += size
-                if total <= limits[1] and rows[n] <= limits[0]:
+                if total <= limits[1]:
                     chosen.add(n)
             self._bounds[limits] = chosen
         return name in self._bounds[limits]
@@ -96,6 +101,11 @@ class LedgerTables:
             self._bounds[name] = getattr(self, name).count()
         return self._bounds[name]
 
+    def _bytes(self, name: str) -> int:
+        if (name, "bytes") not in self._bounds:
+            self._bounds[name, "bytes"] = measured_bytes(getattr(self, name))
+        return self._bounds[name, "bytes"]
+
     def staged(self, key, build):
         """A derived relation (e.g. the enriched ledger) built once per
         registry and shared, lazily, by every query that reads it."""
@@ -109,14 +119,17 @@ _REGISTRY: dict = {}
 
 
 def fixture_tables(spark: SparkSession, sf_dir: str) -> LedgerTables:
-    """The fixture ledger over ``sf_dir``; built once per session and folder,
+    """The fixture ledger over ``sf_dir``; built once per session and state of its files,
     so its lazy plans and dimension size checks are shared by all queries."""
+    sources = {n: f"{sf_dir}/{n}.parquet" for n in fixtures.SOURCE_TABLES}
     key = (id(spark), spark.sparkContext.applicationId, sf_dir)
-    if key not in _REGISTRY:
+    state = tuple(files.path_state(spark, p) for p in sources.values())
+    if _REGISTRY.get(key, (None,))[0] != state:
         views = fixtures.spark_views(spark, sf_dir)
-        _REGISTRY[key] = LedgerTables(**{k: views[v] for k, v in FIXTURE_VIEWS.items()},
-                                      fees=rd.fee_table(spark))
-    return _REGISTRY[key]
+        paths = {k: tuple(sources[n] for n in fixtures.view_sources(v)) for k, v in FIXTURE_VIEWS.items()}
+        _REGISTRY[key] = state, LedgerTables(**{k: views[v] for k, v in FIXTURE_VIEWS.items()}, fees=rd.fee_table(spark),
+                                             paths=paths, reopen=lambda: fixture_tables(spark, sf_dir))
+    return _REGISTRY[key][1]
 
 
 def _renamed(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
@@ -136,7 +149,8 @@ def parquet_tables(spark: SparkSession, root: str,
     for logical, name in SOURCE_NAMES.items():
         df = spark.read.parquet(f"{root}/{name}")
         frames[logical] = _renamed(df, renames.get(logical, {}))
-    return LedgerTables(**frames, fees=fees)
+    return LedgerTables(**frames, fees=fees, paths={k: (f"{root}/{v}",) for k, v in SOURCE_NAMES.items()},
+                        reopen=lambda: parquet_tables(spark, root, renames, fees))
 
 
 def jdbc_tables(spark: SparkSession, url: str, properties: dict[str, str],
