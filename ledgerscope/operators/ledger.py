@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope import reference_data as rd
+from ledgerscope.operators.instants import blocks_of, distinct_instants, merged_blocks
 from ledgerscope.operators.joins import dimension_join
 from ledgerscope.sources.tables import LedgerTables
 
@@ -211,22 +212,32 @@ def ledger_base(t: LedgerTables) -> DataFrame:
         "transaction_date", "ghs_amount", "usd_amount", F.col("provider").alias("pn"))
 
 
-def _deposit_summary(rows: DataFrame, keys: list[str], deposit_types) -> DataFrame:
-    return (rows.filter(F.col("transaction_type").isin(*deposit_types))
-            .groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("deposit_count"),
-                 F.min("transaction_date").alias("first_deposit_date"),
-                 F.count_distinct("transaction_date").alias("tx_days")))
+def _deposit_summary(rows: DataFrame, keys: list[str], deposit_types, resolved) -> DataFrame:
+    """Rows, first and number of different instants of the deposits per ``keys``.
+
+    The instants are counted as sets per half hour (``instants.blocks_of``), united per ``keys``
+    and half hour: sets are collected in each task first, and a depositor's blocks lie in many
+    tasks.  Where dimensions are large the blocks are made per pair of plan ids, before the joins.
+    """
+    deposits = rows.filter(F.col("transaction_type").isin(*deposit_types))
+    if resolved is None:
+        return distinct_instants(blocks_of(deposits, keys), keys)
+    owned = resolved(blocks_of(deposits, PAIR))
+    return distinct_instants(merged_blocks(owned, keys), keys)
 
 
 def depositors_summary(t: LedgerTables) -> DataFrame:
     """Lifetime deposit history per customer (platform deposit classes)."""
-    return _deposit_summary(base_general(t), ["customer_id"], rd.DEPOSIT_TYPES_PLATFORM)
+    small = all_small(t)
+    return _deposit_summary(base_general(t) if small else facts(t), ["customer_id"], rd.DEPOSIT_TYPES_PLATFORM,
+                            None if small else lambda p: by_pair(t, p, assets=False).filter(eligible()))
 
 
 def depositors_by_asset(t: LedgerTables) -> DataFrame:
     """Lifetime deposit history per customer and asset type."""
-    return _deposit_summary(base_asset(t), ["customer_id", "asset_type"], rd.DEPOSIT_TYPES_ASSET)
+    small = all_small(t)
+    return _deposit_summary(base_asset(t) if small else facts(t).filter(provider_ok()), ["customer_id", "asset_type"],
+                            rd.DEPOSIT_TYPES_ASSET, None if small else lambda p: by_pair(t, p).filter(eligible()))
 
 
 def deposit_bounds(rows: DataFrame, keys: list[str], deposit_types) -> DataFrame:

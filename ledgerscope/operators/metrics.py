@@ -91,7 +91,7 @@ def _grouped(rows: DataFrame, keys: list[str], aggs: list[str], resolved,
     return resolved(partial).groupBy(*keys).agg(*[merge.get(n, F.sum)(n).alias(n) for n in names])
 
 
-def _totals(window: Window | None, sfx: str = "", lifetime_ok: str = "true",
+def level2_totals(window: Window | None, sfx: str = "", lifetime_ok: str = "true",
             day_test: str | None = None) -> list[Column]:
     """Level 2 measures for one window, over level-1 groups.
 
@@ -150,7 +150,7 @@ def general_metrics(t: LedgerTables, window: Window,
         base_general(t) if small else facts(t), ["customer_id"], {"": window}, is_dep, is_wd, bounds=bounds,
         resolved=None if small else lambda p: by_pair(t, p, assets=False).filter(eligible()))
     return (level1.filter(F.col("win_n") > 0)
-            .agg(*_totals(window))
+            .agg(*level2_totals(window))
             .select(*GENERAL_COLUMNS))
 
 
@@ -219,7 +219,7 @@ def general_metrics_presets(t: LedgerTables, as_of,
         "preset_order int, preset string, start_date date, end_date date"))
     level2 = (per.join(F.broadcast(dims), "preset_order")
               .groupBy("preset_order")
-              .agg(*_totals(None, day_test="to_date(first_dep) BETWEEN start_date AND end_date")))
+              .agg(*level2_totals(None, day_test="to_date(first_dep) BETWEEN start_date AND end_date")))
     counts = ["deposit_count", "withdrawal_count", "total_depositors", "total_withdrawers",
               "recurring_depositors", "new_depositors"]
     # level2 has at most one row per preset, so it is the broadcast side of
@@ -280,7 +280,7 @@ def asset_rollup(t: LedgerTables, window: Window, fees: DataFrame | None = None,
                              resolved=None if small else lambda p: by_pair(t, p).filter(eligible()))
     level2 = (level1.filter(F.col("win_n") > 0)
               .groupBy("asset_type")
-              .agg(*_totals(window, lifetime_ok="asset_type IS NOT NULL"),
+              .agg(*level2_totals(window, lifetime_ok="asset_type IS NOT NULL"),
                    *[F.expr(e) for e in (
                        "count(1) AS total_users",
                        "sum(dep_ghs) AS _dep_ghs", "sum(dep_usd) AS _dep_usd",

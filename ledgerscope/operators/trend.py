@@ -6,7 +6,7 @@ reclassified here, and direct debits are their own series.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope import reference_data as rd
@@ -17,14 +17,17 @@ from ledgerscope.sources.tables import LedgerTables
 GRANULARITIES = ("day", "week", "month")
 
 
-def _period(granularity: str):
+def period_of(day: Column, granularity: str) -> Column:
+    """The period that holds a calendar day."""
     if granularity not in GRANULARITIES:
         raise ValueError(f"granularity must be one of {GRANULARITIES}, got {granularity!r}")
-    # pure date arithmetic on the calendar day (no session time zone is
-    # involved, unlike date_trunc, which returns a zoned timestamp); weeks
-    # start on Monday
-    day = F.to_date(F.col("transaction_date"))
-    return (day if granularity == "day" else F.trunc(day, granularity)).alias("period")
+    # pure date arithmetic (no session time zone is involved, unlike
+    # date_trunc, which returns a zoned timestamp); weeks start on Monday
+    return day if granularity == "day" else F.trunc(day, granularity)
+
+
+def _period(granularity: str) -> Column:
+    return period_of(F.to_date(F.col("transaction_date")), granularity).alias("period")
 
 
 def _trend_rows(t: LedgerTables, window: Window) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerscope.operators import ledger, metrics, report, trend, users
+from ledgerscope.operators import ledger, metrics, report, state, trend, users
 from ledgerscope.plans import params as P
 from ledgerscope.sources.tables import LedgerTables, fixture_tables
 
@@ -57,6 +57,11 @@ def registry() -> dict[str, Builder]:
         "kpi_user": lambda t: report.kpi_user(t, w),
         "report_mart": lambda t: report.report_mart(t, w, as_of),
         "mart_contents": lambda t: report.mart_contents(t, w, as_of),
+        # J1, J2, J18, J19 from the state of appended batches
+        "general_metrics_batches": lambda t: state.general_metrics(_state(t), t, w),
+        "trend_week_batches": lambda t: state.transaction_trend(_state(t), t, w, "week"),
+        "depositors_batches": lambda t: state.depositors_summary(_state(t), t),
+        "first_transactions_batches": lambda t: state.first_transactions(_state(t), t),
         # J17-J20
         "ledger_base": lambda t: ledger.ledger_base(t),
         "depositors_summary": lambda t: ledger.depositors_summary(t),
@@ -67,6 +72,11 @@ def registry() -> dict[str, Builder]:
     return reg
 
 
+def _state(t: LedgerTables) -> state.LedgerState:
+    """All transactions of ``t``, appended in three batches."""
+    return t.staged("batches", lambda: state.replayed(t, P.BATCH_DAYS))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(build: Builder):
         return lambda spark, sf_dir: build(fixture_tables(spark, sf_dir))

@@ -10,4 +10,6 @@ END = dt.date(2024, 1, 20)
 AS_OF = dt.date(2024, 1, 31)
 WINDOW = Window(START, END)
 PRESET = "Last 30 Days"
+#: Days at which the ledger is cut into batches.
+BATCH_DAYS = [dt.date(2024, 1, 10), dt.date(2024, 1, 18)]
 SELECTED_ASSET = "equity"

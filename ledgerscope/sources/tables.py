@@ -13,7 +13,7 @@ name>": "use_option"}}``.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -96,6 +96,10 @@ class LedgerTables:
             self._bounds[limits] = chosen
         return name in self._bounds[limits]
 
+    def with_transactions(self, rows: DataFrame) -> LedgerTables:
+        """The same dimensions (and their checked sizes) with other transactions."""
+        return replace(self, transactions=rows, paths=None, reopen=None, _staged={})
+
     def _rows(self, name: str) -> int:
         if name not in self._bounds:
             self._bounds[name] = getattr(self, name).count()

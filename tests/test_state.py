@@ -1,0 +1,149 @@
+"""The mergeable state gives what the jobs give over all rows, whatever the batches."""
+
+import datetime as dt
+import os
+import random
+import threading
+
+import pytest
+from frames import ledger_tables, tx, user
+from pyspark.sql import functions as F
+
+from ledgerscope.functions.periods import Window
+from ledgerscope.operators import instants, ledger, metrics, state, trend
+from ledgerscope.plans import params as P
+from ledgerscope.sources.tables import fixture_tables
+
+SF = "/root/testdata/sf0.001"
+W = Window.of("2024-01-05", "2024-01-20")
+
+
+def rows(df):
+    return sorted(map(repr, map(tuple, df.collect())))
+
+
+def small(spark, seed=1, n=160):
+    """Ties, bound midnights, missing amounts, providers, types, instants and owners."""
+    rng = random.Random(seed)
+    txs = []
+    for i in range(n):
+        day = rng.randint(1, 28)
+        at = rng.choice([f"2024-01-{day:02d} 00:00:00", f"2024-01-{day:02d} {rng.randint(0, 23):02d}:30:00.000001", "2024-01-20 00:00:00",
+                         "2024-01-20 00:00:00.000001", "2024-01-05 00:00:00"])
+        row = list(tx(i, at, rng.randint(1, 90), rng.choice(["deposit", "withdrawal", "direct_debit", "refund", None]),
+                      plan_id=rng.choice([1, 2, 3, None]), investment_plan_id=rng.choice([11, 12, None, None]),
+                      status=rng.choice(["success"] * 5 + ["failed"]), provider=rng.choice(["a", "Flex Dollar", None]),
+                      metadata=rng.choice(["{}", "Monthly Maintenance Fee Deduction"])))
+        if rng.random() < 0.1:
+            row[8] = row[9] = None
+        if rng.random() < 0.05:
+            row[7] = None
+        txs.append(tuple(row))
+    return ledger_tables(spark, transactions=txs, users=[user(1), user(2, restricted=True), user(3)],
+                         plans=[(1, 1, "s"), (2, 2, "s"), (3, None, "s")], investment_plans=[(11, 3, 7, "f", None), (12, 1, 8, "f", None)],
+                         assets=[(7, "equity", None)])
+
+
+def same_as_whole(made, t, window=W):
+    assert rows(state.general_metrics(made, t, window)) == rows(metrics.general_metrics(t, window))
+    for grain in trend.GRANULARITIES:
+        assert rows(state.transaction_trend(made, t, window, grain)) == rows(trend.transaction_trend(t, window, grain))
+    assert rows(state.first_transactions(made, t)) == rows(ledger.first_transactions(t))
+    assert rows(state.depositors_summary(made, t)) == rows(ledger.depositors_summary(t))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_any_split_equals_the_whole(spark, tmp_path, seed):
+    t = small(spark, seed)
+    made = state.LedgerState(spark, str(tmp_path / "s"))
+    parts = t.transactions.randomSplit([0.2, 0.5, 0.3], seed=seed)
+    for i, part in enumerate(parts):
+        assert made.append(f"b{i}", t.with_transactions(part))
+    same_as_whole(made, t)
+    for window in (Window.of("2024-01-20", "2024-01-20"), Window.of("2023-01-01", "2025-01-01"), Window.of("2025-01-01", "2025-02-01")):
+        assert rows(state.general_metrics(made, t, window)) == rows(metrics.general_metrics(t, window))
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    t = small(spark)
+    made = state.LedgerState(spark, str(tmp_path / "s"))
+    cut = F.col("id") < 80
+    early, late = t.with_transactions(t.transactions.filter(cut)), t.with_transactions(t.transactions.filter(~cut))
+    assert made.append("early", early) and not made.append("early", early)
+    assert made.compact() and not made.append("early", early)
+    assert made.append("late", late) and not made.append("late", early)
+    assert made.batches() == ["early", "late"]
+    same_as_whole(made, t)
+    assert made.compact()
+    assert not made.append("late", late) and not made.append("early", early)
+    same_as_whole(made, t)
+    assert made.cells().count() <= state.cells_of(ledger.facts(t)).count()
+    with pytest.raises(ValueError):
+        made.append("a/b", t)
+
+
+def test_two_writers_of_one_batch(spark, tmp_path):
+    t = small(spark)
+    made, meet, got = state.LedgerState(spark, str(tmp_path / "s")), threading.Barrier(2), []
+    batches = made.batches
+
+    def both():
+        found = batches()
+        meet.wait(30)
+        return found
+
+    made.batches = both
+    threads = [threading.Thread(target=lambda: got.append(made.append("b", t))) for _ in range(2)]
+    [x.start() for x in threads]
+    [x.join(120) for x in threads]
+    made.batches = batches
+    assert sorted(got) == [False, True] and made.batches() == ["b"] and len(os.listdir(tmp_path / "s" / "data")) == 1
+    same_as_whole(made, t)
+
+
+def test_a_dead_run_and_a_lost_compaction_count_for_nothing(spark, tmp_path):
+    t = small(spark)
+    made = state.LedgerState(spark, str(tmp_path / "s"))
+    made.append("b", t)
+    made._write(state.cells_of(ledger.facts(t)), state.instants_of(ledger.facts(t)))  # no manifest follows
+    same_as_whole(made, t)
+    runs = made._runs()
+    assert made.compact()
+    made._runs = lambda: runs  # a second writer that saw the state before
+    assert not made.compact()
+    del made._runs
+    same_as_whole(made, t)
+
+
+def test_large_dimensions(spark, tmp_path):
+    t = fixture_tables(spark, SF)
+    made = state.replayed(t, P.BATCH_DAYS, str(tmp_path / "s"))
+    assert len(made.batches()) == 3
+    want = rows(metrics.general_metrics(t, P.WINDOW)), rows(ledger.depositors_summary(t)), rows(ledger.depositors_by_asset(t))
+    spark.conf.set("ledgerscope.broadcast.maxRows", "0")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        t = fixture_tables(spark, SF)
+        assert (rows(state.general_metrics(made, t, P.WINDOW)), rows(state.depositors_summary(made, t))) == want[:2]
+        assert (rows(ledger.depositors_summary(t)), rows(ledger.depositors_by_asset(t))) == want[1:]
+    finally:
+        spark.conf.unset("ledgerscope.broadcast.maxRows")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_instants_of_a_hot_customer_lie_in_many_tasks(spark):
+    base = dt.datetime(2024, 1, 1)
+    made = [(1, base + dt.timedelta(seconds=997 * i, microseconds=i % 7)) for i in range(3000)] + [(2, base), (2, base), (3, None)]
+    made += made[:500]
+    df = spark.createDataFrame(made, "customer_id long, transaction_date timestamp_ntz")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        blocks = instants.blocks_of(df, ["customer_id"])
+        held = blocks.filter("customer_id = 1").groupBy(F.spark_partition_id().alias("p")).agg(F.sum("n").alias("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(held) == 4 and max(r["n"] for r in held) < 1.5 * 3500 / 4
+    half = instants.blocks_of(df.limit(900), ["customer_id"]).union(instants.blocks_of(df, ["customer_id"]))
+    got = {r["customer_id"]: r for r in instants.distinct_instants(instants.merged_blocks(half, ["customer_id"]), ["customer_id"]).collect()}
+    assert got[1]["tx_days"] == len({at for c, at in made if c == 1}) and got[1]["first_deposit_date"] == base
+    assert (got[2]["tx_days"], got[3]["tx_days"], got[3]["first_deposit_date"], got[3]["deposit_count"]) == (1, 0, None, 1)
