@@ -47,6 +47,7 @@ from pyspark.sql import functions as F
 from ledgerscope.llm.common import durable, give_back, mix64, row_runs, signed, text_buffer
 from ledgerscope.llm.components import components
 from ledgerscope.llm.words import SPACED, grams, scan
+from ledgerscope.operators.membership import bits_for, bloom, may_hold
 
 SHINGLE = 5
 PERCENT = 80
@@ -284,10 +285,13 @@ def _across(rows: DataFrame) -> DataFrame:
 def _mixed(rows: DataFrame, value: str) -> DataFrame:
     """The rows of keys with more than one ``value``, with the smallest as ``least``.
 
-    An aggregate a key joined back: AQE splits a key that a large part of all rows share.
+    An aggregate a key, written and joined back: AQE splits a key that a large part of all rows share.  Rows of
+    other keys, nearly all, are dropped by a membership filter before they would be shuffled again.
     """
-    ends = rows.groupBy("key").agg(F.min(value).alias("least"), F.max(value).alias("most")).where("least < most")
-    return rows.join(ends.select("key", "least"), "key")
+    ends = durable(rows.groupBy("key").agg(F.min(value).alias("least"), F.max(value).alias("most"))
+                   .where("least < most").select("key", "least"), "shared-keys")
+    bits = bits_for(ends.count())
+    return rows.where(may_hold(bloom(ends, "key", bits), F.col("key"), bits)).join(ends, "key")
 
 
 def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
