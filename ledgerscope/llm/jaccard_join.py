@@ -41,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,8 @@ SKETCH_BITS = 1024
 SPARE = 4
 #: Members of a bucket that are compared in memory at a time.
 BLOCK = 4096
+#: Smallest keys that a member of a compared bucket carries: a pair is told only where it shares no smaller one.
+LOW_KEYS = 8
 #: Document ids that are broadcast to pick the texts to verify (8 bytes each); more are joined.
 BROADCAST_IDS = 2_000_000
 #: Sets that one task remembers having emitted (a repeat emits no parts again).
@@ -231,14 +234,15 @@ def _meetings(rows: DataFrame) -> DataFrame:
     placed = placed.withColumn("own", block(F.col("kind"), F.pmod(F.xxhash64("doc"), mine).cast("int"))).withColumn(
         "other", F.explode(others))
     return placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "n",
-                         "root", "bits")
+                         "root", "bits", "lows")
 
 
 def _across(rows: DataFrame) -> DataFrame:
     """Pairs of members of one bucket that are in different components and near by sketch.
 
-    ``rows``: ``key, doc, n, bits, root``.  Each two blocks of a bucket that may hold such pairs
-    meet in a group of their own (``_meetings``), so a group is bounded.
+    ``rows``: ``key, doc, n, bits, root, lows``.  Each two blocks of a bucket that may hold such pairs
+    meet in a group of their own (``_meetings``), so a group is bounded.  Near members share many keys;
+    a bucket leaves a pair to one of a smaller key that ``lows`` show both to have.
     """
     spark = rows.sparkSession
     met = _meetings(rows)
@@ -262,6 +266,7 @@ def _across(rows: DataFrame) -> DataFrame:
         group = np.stack([np.asarray(t[c]).astype(np.int64) for c in ("key", "i", "j")])
         own, doc, n, root = (np.asarray(t[c]) for c in ("own", "doc", "n", "root"))
         bits = _bit_rows(t["bits"])
+        lows = np.asarray(pc.list_flatten(t["lows"].combine_chunks())).reshape(-1, LOW_KEYS)
         found = [np.zeros((2, 0), np.int64)]
         left, step = np.arange(t.num_rows), 0
         while len(left):  # members that have another one ``step`` rows on in their group
@@ -274,7 +279,10 @@ def _across(rows: DataFrame) -> DataFrame:
             y = x + step
             if len(x):
                 good = _near(bits[x], bits[y], n[x], n[y])
-                found.append(np.stack([doc[x[good]], doc[y[good]]]))
+                x, y = x[good], y[good]
+                both = (lows[x][:, :, None] == lows[y][:, None, :]) & (lows[x][:, :, None] < group[0, x][:, None, None])
+                first = ~both.any(axis=(1, 2))
+                found.append(np.stack([doc[x[first]], doc[y[first]]]))
         x, y = np.unique(np.concatenate(found, axis=1), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))],
                                           names=["x", "y"])
@@ -319,7 +327,11 @@ def jaccard_members(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rooted = durable(about.select("doc", "set").join(roots, F.col("set") == F.col("node"), "left").select(
         "doc", F.xxhash64(F.coalesce("root", "set")).alias("root")), "roots")
     mixed = _mixed(durable(buckets.select("key", "doc").join(rooted, "doc"), "rooted"), "root").select("key", "doc", "root")
-    mixed = mixed.join(about.select("doc", "n", "bits"), "doc").select("key", "doc", "n", "bits", "root")
+    mixed = durable(mixed, "mixed")
+    none = F.array_repeat(F.lit((1 << 63) - 1).cast("long"), LOW_KEYS)
+    lows = mixed.groupBy("doc").agg(F.slice(F.concat(F.sort_array(F.collect_set("key")), none), 1, LOW_KEYS).alias("lows"))
+    mixed = mixed.join(about.select("doc", "n", "bits").join(lows, "doc"), "doc").select(
+        "key", "doc", "n", "bits", "root", "lows")
     more = _verified(_across(mixed), docs, text)
     roots = components(links.union(more))
 
