@@ -81,45 +81,49 @@ class Window:
                 & (c < F.lit(self._day_after_end).cast("timestamp_ntz")))
 
 
+def _first_of_month(d: dt.date, months: int) -> dt.date:
+    whole = d.year * 12 + d.month - 1 + months
+    return dt.date(whole // 12, whole % 12 + 1, 1)
+
+
+#: Days that presets count from: as a plain date and as a Spark expression of the anchor day.
+_MARKS = {
+    "day": (lambda d: d, lambda c: c),
+    # weeks start on Sunday here; the last one that is not after the day
+    "sunday": (lambda d: d - dt.timedelta(days=(d.weekday() + 1) % 7), lambda c: F.date_sub(c, (F.weekday(c) + 1) % 7)),
+    # Monday to Sunday weeks: the last Sunday before the day's own week
+    "past sunday": (lambda d: d - dt.timedelta(days=d.weekday() + 1), lambda c: F.date_sub(c, F.weekday(c) + 1)),
+    "month": (lambda d: _first_of_month(d, 0), lambda c: F.trunc(c, "MM")),
+    "past month": (lambda d: _first_of_month(d, -1), lambda c: F.add_months(F.trunc(c, "MM"), -1)),
+    "all": (lambda d: ALL_TIME_START, lambda c: F.lit(ALL_TIME_START)),
+}
+
+#: Preset -> the mark and days added that give its first day, and those that give its last.
+_RULES = {
+    "Today": ("day", 0, "day", 0),
+    "Past 7 Days": ("day", -6, "day", 0),
+    "Last 14 Days": ("day", -13, "day", 0),
+    "This Week": ("sunday", 0, "day", 0),
+    "Last Week": ("past sunday", -6, "past sunday", 0),
+    "Last 30 Days": ("day", -29, "day", 0),
+    "Last Month": ("past month", 0, "month", -1),
+    "All Time": ("all", 0, "day", 0),
+}
+
+
 def preset_window(option: str, as_of) -> Window:
     """Dates of one preset, as plain Python (for building job parameters)."""
+    if option not in _RULES:
+        raise ValueError(f"unknown preset {option!r}")
+    first, before, last, after = _RULES[option]
     d = _as_date(as_of)
-    dow = d.weekday()  # Monday 0 .. Sunday 6
-    day = dt.timedelta(days=1)
-    if option == "Today":
-        return Window(d, d)
-    if option in ("Past 7 Days", "Last 14 Days", "Last 30 Days"):
-        span = {"Past 7 Days": 7, "Last 14 Days": 14, "Last 30 Days": 30}[option]
-        return Window(d - (span - 1) * day, d)
-    if option == "This Week":
-        # weeks start on Sunday here
-        return Window(d - ((dow + 1) % 7) * day, d)
-    if option == "Last Week":
-        # Monday..Sunday ending on the Sunday that opens "This Week"
-        sunday = d - (dow + 1) * day
-        return Window(sunday - 6 * day, sunday)
-    if option == "Last Month":
-        last = d.replace(day=1) - day
-        return Window(last.replace(day=1), last)
-    if option == "All Time":
-        return Window(ALL_TIME_START, d)
-    raise ValueError(f"unknown preset {option!r}")
+    return Window(_MARKS[first][0](d) + dt.timedelta(days=before), _MARKS[last][0](d) + dt.timedelta(days=after))
 
 
 def preset_columns(as_of: Column) -> dict[str, tuple[Column, Column]]:
     """Each preset's (start, end) as Spark date expressions of ``as_of``."""
-    wd = F.weekday(as_of)  # Monday 0 .. Sunday 6
-    month_start = F.trunc(as_of, "MM")
-    return {
-        "Today": (as_of, as_of),
-        "Past 7 Days": (F.date_sub(as_of, 6), as_of),
-        "Last 14 Days": (F.date_sub(as_of, 13), as_of),
-        "This Week": (F.date_sub(as_of, F.when(wd == 6, 0).otherwise(wd + 1)), as_of),
-        "Last Week": (F.date_sub(as_of, wd + 7), F.date_sub(as_of, wd + 1)),
-        "Last 30 Days": (F.date_sub(as_of, 29), as_of),
-        "Last Month": (F.add_months(month_start, -1), F.date_sub(month_start, 1)),
-        "All Time": (F.lit(ALL_TIME_START), as_of),
-    }
+    return {name: (F.date_add(_MARKS[first][1](as_of), before), F.date_add(_MARKS[last][1](as_of), after))
+            for name, (first, before, last, after) in _RULES.items()}
 
 
 def date_presets(spark: SparkSession, as_of_dates: DataFrame | None = None,

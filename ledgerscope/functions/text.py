@@ -35,16 +35,66 @@ def clean_label(c: Column, aliases: dict[str, str] | None = None) -> Column:
     return apply_aliases(out, aliases) if aliases else out
 
 
-#: Spellings of a date tried after ISO, in this order; a day over 12 settles day and month.
-DATE_FORMATS = ("yyyyMMdd", "yyyy/M/d", "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "d.M.yyyy",
-                "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy")
-
-
-def birth_date(c: Column, formats=DATE_FORMATS) -> Column:
-    """Lenient date parse: ISO, then ``formats``; text that is no date becomes NULL, not an error."""
-    bare = strip(c.cast("string"))
-    tried = [F.try_to_timestamp(bare, F.lit(f)).cast("date") for f in formats]
-    return F.coalesce(bare.try_cast("date"), *tried)
+_MONTHS = ("Jan(?:uary)?", "Feb(?:ruary)?", "Mar(?:ch)?", "Apr(?:il)?", "May", "June?", "July?", "Aug(?:ust)?",
+           "Sep(?:tember)?", "Oct(?:ober)?", "Nov(?:ember)?", "Dec(?:ember)?")
+_NAME = f"({'|'.join(_MONTHS)})"
+#: Spellings of a date besides ISO, each with the replacement that makes year, month and day of it. No text has two of them.
+_SPELLINGS = (
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
+    (r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "$1-$2-$3"),
+    (r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$", "$3-$2-$1"),
+    (rf"(?i)^{_NAME} (\d{{1,2}}), (\d{{4}})$", "$3-$1-$2"),
+    (rf"(?i)^(\d{{1,2}}) {_NAME} (\d{{4}})$", "$3-$2-$1"),
+)
+#: Two numbers and a year, with slashes or hyphens: either may be the day.
+_TWO_NUMBERS = r"^(\d{1,2})([/-])(\d{1,2})\2(\d{4})$"
+
+
+def _numbered_month(text: Column) -> Column:
+    """``text`` with the name of its month as a number."""
+    place = F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.regexp_extract(text, r"([A-Za-z]{3})", 1)))
+    number = ((place + 2) / 3).cast("int").cast("string")
+    return F.when(text.rlike("[A-Za-z]"), F.regexp_replace(text, "[A-Za-z]+", number)).otherwise(text)
+
+
+def _once(value: Column, body) -> Column:
+    """``body(value)``, with ``value`` evaluated once and not copied into each of its uses."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _numbers(bare: Column) -> tuple[Column, Column]:
+    return tuple(F.regexp_extract(bare, _TWO_NUMBERS, i).try_cast("int") for i in (1, 3))
+
+
+def day_first_votes(c: Column) -> Column:
+    """+1 where a date of two numbers and a year can only have its day first, -1 where only its month, else 0."""
+    def vote(bare: Column) -> Column:
+        first, second = _numbers(bare)
+        return F.when((first > 12) & (second <= 12), 1).when((second > 12) & (first <= 12), -1).otherwise(0)
+
+    return _once(strip(c.cast("string")), vote)
+
+
+def birth_date(c: Column, day_first: Column | bool = False) -> Column:
+    """Lenient date parse; text that is no date becomes NULL, not an error.
+
+    The text's spelling rewrites it as year-month-day, and that is parsed once.  Of two numbers and a year one
+    over 12 is the day; where both may be, ``day_first`` says (the column's vote, ``day_first_votes``).
+    """
+    if not isinstance(day_first, bool):
+        return F.when(day_first, birth_date(c, True)).otherwise(birth_date(c, False))
+
+    def rewritten(bare: Column) -> Column:
+        first, second = _numbers(bare)
+        day_leads = (first > 12) | (second <= 12) if day_first else first > 12
+        plain = F.when(bare.rlike(_TWO_NUMBERS), F.when(day_leads, F.regexp_replace(bare, _TWO_NUMBERS, "$4-$3-$1"))
+                       .otherwise(F.regexp_replace(bare, _TWO_NUMBERS, "$4-$1-$3")))
+        for pattern, made in _SPELLINGS:
+            spelled = F.regexp_replace(bare, pattern, made)
+            plain = plain.when(bare.rlike(pattern), _numbered_month(spelled) if _NAME in pattern else spelled)
+        return plain.otherwise(bare)
+
+    return _once(strip(c.cast("string")), rewritten).try_cast("date")
 
 
 def age_on(dob: Column, as_of) -> Column:

@@ -7,19 +7,23 @@ messages.  Ids are compared as text, as the source does (the message table
 stores them as text).  The union is not de-duplicated per branch; one
 ``distinct`` over all of it is combined map-side before its shuffle, so a
 user with a huge share of activity costs one row per task, not per event.
+The sign-up cohort (J8) needs the activity of its own users only: each of the five
+scans drops the others' before any shuffle (``CohortFilter``).
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope import reference_data as rd
 from ledgerscope.functions import text
 from ledgerscope.functions.periods import Window
-from ledgerscope.operators.ledger import ledger
+from ledgerscope.operators.ledger import PAIR, all_small, by_pair, facts, ledger
+from ledgerscope.operators.membership import bits_for, bloom, may_hold
 from ledgerscope.sources.tables import LedgerTables
 
 
@@ -28,17 +32,19 @@ def active_users(t: LedgerTables, window: Window) -> DataFrame:
     return t.staged(("active_users", window), lambda: _active_users(t, window))
 
 
-def _active_users(t: LedgerTables, window: Window) -> DataFrame:
-    tx = (ledger(t, users=False, assets=False)
-          .filter(window.ts_between("transaction_date")))
+Kept = Callable[[DataFrame, str], DataFrame]
+
+
+def _active_users(t: LedgerTables, window: Window, keep: Kept = lambda rows, column: rows) -> DataFrame:
+    """``keep(rows, column)`` drops rows whose user is of no interest, before any shuffle."""
     branches = [
-        t.budgets.filter(window.ts_between("created_at"))
-         .select(F.col("user_id").cast("string").alias("user_id")),
-        t.external_transactions.filter(window.ts_between("created_at"))
-         .select(F.col("user_id").cast("string").alias("user_id")),
-        _matched_plan_users(tx),
-        t.messages.filter(window.ts_between("created_at"))
-         .select(F.col("user_ref").cast("string").alias("user_id")),
+        keep(t.budgets.filter(window.ts_between("created_at"))
+             .select(F.col("user_id").cast("string").alias("user_id")), "user_id"),
+        keep(t.external_transactions.filter(window.ts_between("created_at"))
+             .select(F.col("user_id").cast("string").alias("user_id")), "user_id"),
+        _plan_users(t, window, keep),
+        keep(t.messages.filter(window.ts_between("created_at"))
+             .select(F.col("user_ref").cast("string").alias("user_id")), "user_id"),
     ]
     out = branches[0]
     for b in branches[1:]:
@@ -46,6 +52,50 @@ def _active_users(t: LedgerTables, window: Window) -> DataFrame:
     return out.distinct()
 
 
+def _plan_users(t: LedgerTables, window: Window, keep: Kept) -> DataFrame:
+    """Users of the plans with a transaction in the window.
+
+    Where the plans are large, the window's different pairs of plan ids are found before the joins,
+    and of those only the pairs with a plan whose user is kept.
+    """
+    if all_small(t):
+        tx = ledger(t, users=False, assets=False).filter(window.ts_between("transaction_date"))
+        return keep(_matched_plan_users(tx), "user_id")
+    rows = facts(t).filter(window.ts_between("transaction_date"))
+    rows = keep.plans(rows) if hasattr(keep, "plans") else rows
+    pairs = rows.select(*PAIR).distinct()
+    return keep(_matched_plan_users(by_pair(t, pairs, users=False, assets=False)), "user_id")
+
+
+class CohortFilter:
+    """Keeps rows of the cohort's users, and may keep others: what follows compares ids again.
+
+    A user base within the broadcast bounds is a broadcast semi join; a larger one a membership filter of bounded
+    size (``membership``) over the cohort's ids, and for transactions, which name plans only, one over the
+    ids of the cohort's plans of each kind.
+    """
+
+    def __init__(self, t: LedgerTables, ids: DataFrame):
+        self.t, self.ids = t, ids
+        self.bits = bits_for(t.rows("users"))
+        self.words = None if t.is_small("users") else bloom(ids, "user_id", self.bits)
+
+    def __call__(self, rows: DataFrame, column: str) -> DataFrame:
+        if self.words is None:
+            few = F.broadcast(self.ids.select(F.col("user_id").alias("_cohort")))
+            return rows.join(few, F.col(column) == F.col("_cohort"), "left_semi")
+        return rows.where(may_hold(self.words, F.col(column), self.bits))
+
+    def plans(self, rows: DataFrame) -> DataFrame:
+        test = F.lit(False)
+        for plans, key, column in ((self.t.plans, "plans", "plan_id"),
+                                   (self.t.investment_plans, "investment_plans", "investment_plan_id")):
+            own = self(plans.select("id", F.col("user_id").cast("string").alias("_user")), "_user")
+            bits = bits_for(self.t.rows(key))
+            test = test | may_hold(bloom(own, "id", bits), F.col(column), bits)
+        return rows.where(test)
+
+
 def _matched_plan_users(tx: DataFrame) -> DataFrame:
     """User ids of the plan-kind branches: one per matched plan on the row."""
     ids = F.filter(F.array(
@@ -79,7 +129,8 @@ def _user_insights(t: LedgerTables, window: Window) -> DataFrame:
                       F.coalesce(window.day_between("most_recent_activity"), F.lit(False))
                       .alias("is_recent")))
     profiles = t.profiles.select(F.col("user_id").alias("pf_user_id"), "employment_status")
-    active = (active_users(t, window).filter(F.col("user_id").isNotNull())
+    keep = CohortFilter(t, cohort.select("user_id"))
+    active = (_active_users(t, window, keep).filter(F.col("user_id").isNotNull())
               .select(F.col("user_id").alias("au_id"), F.lit(True).alias("_active")))
     return (cohort
             .join(profiles, cohort["id"] == profiles["pf_user_id"], "left")
@@ -106,19 +157,29 @@ def user_clean(t: LedgerTables, window: Window, as_of: dt.date) -> DataFrame:
     return t.staged(("user_clean", window, as_of), lambda: _user_clean(t, window, as_of))
 
 
+def day_first(t: LedgerTables) -> Column:
+    """Whether the users' birth dates of two numbers and a year have the day first: the vote of all that
+    show it, as a scalar subquery; the month is first on a tie."""
+    return t.users.agg((F.coalesce(F.sum(text.day_first_votes(F.col("dob"))), F.lit(0)) > 0).alias("day_first")).scalar()
+
+
 def _user_clean(t: LedgerTables, window: Window, as_of: dt.date) -> DataFrame:
-    dob = text.birth_date(F.col("dob"))
-    age = text.age_on(dob, as_of)
-    return user_insights(t, window).select(
+    return cleaned(user_insights(t, window), day_first(t), as_of)
+
+
+def cleaned(insights: DataFrame, day_leads: Column, as_of: dt.date) -> DataFrame:
+    """J10 over J8 rows.  Each of ``dob``, ``age`` and ``age_group`` is made from the finished one before."""
+    rows = insights.withColumn("dob", text.birth_date(F.col("dob"), day_leads))
+    rows = rows.withColumn("age", text.age_on(F.col("dob"), as_of))
+    return rows.select(
         "user_id",
         text.clean_label(F.col("gender"), rd.GENDER_ALIASES).alias("gender"),
         text.strip(F.col("country")).alias("country"),
-        dob.alias("dob"),
+        "dob",
         text.clean_label(F.col("status"), rd.STATUS_ALIASES).alias("status"),
         text.clean_label(F.col("use_option"), rd.USE_OPTION_ALIASES).alias("use_option"),
-        "employment_status", "created_at", "is_recent", "is_active",
-        age.alias("age"),
-        text.age_group_label(age).alias("age_group"))
+        "employment_status", "created_at", "is_recent", "is_active", "age",
+        text.age_group_label(F.col("age")).alias("age_group"))
 
 
 def unparsed_birth_dates(t: LedgerTables, window: Window) -> DataFrame:
@@ -128,7 +189,7 @@ def unparsed_birth_dates(t: LedgerTables, window: Window) -> DataFrame:
     given = F.col("dob").isNotNull()
     return user_insights(t, window).agg(
         F.count_if(given).alias("given"),
-        F.count_if(given & text.birth_date(F.col("dob")).isNull()).alias("unparsed"))
+        F.count_if(given & text.birth_date(F.col("dob"), day_first(t)).isNull()).alias("unparsed"))
 
 
 DISTRIBUTIONS = ("gender", "country", "use_option", "status", "employment_status")
@@ -155,14 +216,8 @@ def age_distribution(t: LedgerTables, window: Window, as_of: dt.date) -> DataFra
 
 
 def age_distribution_of(clean: DataFrame) -> DataFrame:
-    """J12 over an already computed (or stored) J10 frame."""
-    counts = (clean
-              .select(text.age_bin(F.col("age")).alias("age_bin"))
-              .filter(F.col("age_bin").isNotNull())
-              .groupBy("age_bin").agg(F.count(F.lit(1)).alias("count")))
-    # both sides have at most twelve rows by construction; the counts are the
-    # broadcast side of a right join that keeps every bin
-    bins = rd.age_bins(clean.sparkSession)
-    return (F.broadcast(counts).join(bins, "age_bin", "right")
-            .orderBy("age_bin")
-            .select("age_group", F.coalesce(F.col("count"), F.lit(0)).alias("count")))
+    """J12 over an already computed (or stored) J10 frame: one conditional count a bin, a row in all."""
+    width, lows = rd.AGE_BIN_WIDTH, [rd.AGE_BIN_FIRST + i * rd.AGE_BIN_WIDTH for i in range(rd.AGE_BIN_COUNT)]
+    counts = clean.agg(*[F.count_if((F.col("age") >= lo) & (F.col("age") < lo + width)).alias(f"from_{lo}") for lo in lows])
+    bins = F.array(*[F.struct(F.lit(f"[{lo}, {lo + width})").alias("age_group"), F.col(f"from_{lo}").alias("count")) for lo in lows])
+    return counts.select(F.inline(bins))

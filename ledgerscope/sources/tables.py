@@ -87,7 +87,7 @@ class LedgerTables:
         """
         limits = broadcast_row_limit(self.spark), broadcast_byte_limit(self.spark)
         if limits not in self._bounds:
-            within = [n for n in DIMENSIONS if self._rows(n) <= limits[0]]
+            within = [n for n in DIMENSIONS if self.rows(n) <= limits[0]]
             chosen, total = set(), 0
             for size, n in sorted((self._bytes(n), n) for n in within):
                 total += size
@@ -100,7 +100,8 @@ class LedgerTables:
         """The same dimensions (and their checked sizes) with other transactions."""
         return replace(self, transactions=rows, paths=None, reopen=None, _staged={})
 
-    def _rows(self, name: str) -> int:
+    def rows(self, name: str) -> int:
+        """Rows of a table, counted once per object."""
         if name not in self._bounds:
             self._bounds[name] = getattr(self, name).count()
         return self._bounds[name]
