@@ -24,36 +24,39 @@ from pyspark.sql import functions as F
 
 from ledgerscope import reference_data as rd
 from ledgerscope.operators.instants import blocks_of, distinct_instants, merged_blocks
-from ledgerscope.operators.joins import dimension_join
+from ledgerscope.operators.joins import dimension_join, heavy_keys
 from ledgerscope.sources.tables import LedgerTables
 
-def _user_columns(t: LedgerTables) -> DataFrame:
-    return t.users.select(F.col("id").alias("u_id"), "restricted",
-                          F.col("created_at").alias("sign_up_date"),
-                          "first_name", "last_name")
+def _user_columns(t: LedgerTables, first: DataFrame | None = None) -> DataFrame:
+    """The owners' attributes; with ``first`` (J19) their first transaction as ``first_transaction_date``."""
+    owners = t.users.select(F.col("id").alias("u_id"), "restricted",
+                            F.col("created_at").alias("sign_up_date"),
+                            "first_name", "last_name")
+    if first is None:
+        return owners
+    return owners.join(first.withColumnRenamed("user_id", "_first_of"), F.col("u_id") == F.col("_first_of"),
+                       "left").drop("_first_of")
 
 
 def _with_user_attrs(t: LedgerTables, dim: DataFrame, key: str, prefix: str,
-                     spread_by: str) -> DataFrame:
+                     spread_by: str, first: DataFrame | None = None) -> DataFrame:
     """Left-join the user attributes onto a plan dimension (large user base:
     a sort-merge join of two dimension-sized tables)."""
-    joined = dimension_join(dim, key, _user_columns(t), "u_id", small=t.is_small("users"),
-                            spread_by=spread_by)
-    return joined.withColumnsRenamed({c: f"{prefix}{c}" for c in
-                                      ("u_id", "restricted", "sign_up_date",
-                                       "first_name", "last_name")})
+    owners = _user_columns(t, first)
+    joined = dimension_join(dim, key, owners, "u_id", small=t.is_small("users"), spread_by=spread_by)
+    return joined.withColumnsRenamed({c: f"{prefix}{c}" for c in owners.columns})
 
 
-def savings_dimension(t: LedgerTables, users: bool = True) -> DataFrame:
+def savings_dimension(t: LedgerTables, users: bool = True, first: DataFrame | None = None) -> DataFrame:
     dim = t.plans.select(F.col("id").alias("p_id"), F.col("user_id").alias("p_user_id"),
                          F.col("plan_option").alias("p_option"))
     if users:
-        dim = _with_user_attrs(t, dim, "p_user_id", "p_", spread_by="p_id")
+        dim = _with_user_attrs(t, dim, "p_user_id", "p_", spread_by="p_id", first=first)
     return dim
 
 
 def investment_dimension(t: LedgerTables, users: bool = True,
-                         assets: bool = True) -> DataFrame:
+                         assets: bool = True, first: DataFrame | None = None) -> DataFrame:
     dim = t.investment_plans.select(
         F.col("id").alias("ip_id"), F.col("user_id").alias("ip_user_id"),
         F.col("asset_id"), F.col("plan_option").alias("ip_option"),
@@ -64,7 +67,7 @@ def investment_dimension(t: LedgerTables, users: bool = True,
         dim = dimension_join(dim, "asset_id", a, "a_id", small=t.is_small("assets"),
                              spread_by="ip_id").drop("a_id")
     if users:
-        dim = _with_user_attrs(t, dim, "ip_user_id", "ip_", spread_by="ip_id")
+        dim = _with_user_attrs(t, dim, "ip_user_id", "ip_", spread_by="ip_id", first=first)
     return dim
 
 
@@ -131,10 +134,12 @@ def by_pair(t: LedgerTables, partial: DataFrame, *, users: bool = True, assets:
 
 
 def resolve(t: LedgerTables, fact: DataFrame, spread_by: str, *, users: bool = True,
-            assets: bool = True) -> DataFrame:
+            assets: bool = True, first: DataFrame | None = None, hot: bool = False) -> DataFrame:
     """``fact`` (any rows with the two plan ids) with the plans' and the owner's attributes.
 
-    ``spread_by``: a column that scatters rows without a plan id.
+    ``spread_by``: a column that scatters rows without a plan id.  ``first``: the owners' first
+    transactions (J19), which come along as an attribute of the owner.  ``hot``: ``fact`` are raw rows, of
+    which one plan may have a large part (``joins.dimension_join``).
     """
     # Users within the broadcast bound are joined once, on the owner, after
     # both plan joins (no shuffle either way).  Larger user bases are joined
@@ -142,15 +147,17 @@ def resolve(t: LedgerTables, fact: DataFrame, spread_by: str, *, users: bool = T
     # shuffle.
     users_once = users and t.is_small("users")
     pre_join = users and not users_once
-    inv = investment_dimension(t, users=pre_join, assets=assets)
-    sav = savings_dimension(t, users=pre_join)
+    inv = investment_dimension(t, users=pre_join, assets=assets, first=first)
+    sav = savings_dimension(t, users=pre_join, first=first)
     # the dimensions have as many rows as their plan tables (unique-key joins)
-    j = dimension_join(fact, "investment_plan_id", inv, "ip_id",
-                       small=t.is_small("investment_plans"), spread_by=spread_by)
+    heavy = {c: heavy_keys(fact, c) if hot and not t.is_small(n) else () for c, n in
+             (("investment_plan_id", "investment_plans"), ("plan_id", "plans"))}
+    j = dimension_join(fact, "investment_plan_id", inv, "ip_id", small=t.is_small("investment_plans"),
+                       spread_by=spread_by, heavy=heavy["investment_plan_id"])
     j = dimension_join(j, "plan_id", sav, "p_id",
-                       small=t.is_small("plans"), spread_by=spread_by)
+                       small=t.is_small("plans"), spread_by=spread_by, heavy=heavy["plan_id"])
     if users_once:
-        j = j.join(F.broadcast(_user_columns(t)),
+        j = j.join(F.broadcast(_user_columns(t, first)),
                    F.coalesce("p_user_id", "ip_user_id") == F.col("u_id"), "left")
 
     has_inv = F.col("investment_plan_id").isNotNull()
@@ -169,6 +176,7 @@ def resolve(t: LedgerTables, fact: DataFrame, spread_by: str, *, users: bool = T
     if users_once:
         cols += [F.col("u_id").alias("customer_id"), "restricted", "sign_up_date",
                  F.concat("first_name", F.lit(" "), "last_name").alias("customer_name")]
+        cols += [] if first is None else ["first_transaction_date"]
     elif users:
         # the owner is the savings plan's user when that plan names one
         by_savings = F.col("p_user_id").isNotNull()
@@ -182,6 +190,7 @@ def resolve(t: LedgerTables, fact: DataFrame, spread_by: str, *, users: bool = T
             owner_attr("sign_up_date").alias("sign_up_date"),
             F.concat(owner_attr("first_name"), F.lit(" "), owner_attr("last_name")).alias("customer_name"),
         ]
+        cols += [] if first is None else [owner_attr("first_transaction_date").alias("first_transaction_date")]
     return j.select(*cols)
 
 
@@ -207,7 +216,8 @@ def base_asset(t: LedgerTables) -> DataFrame:
 
 def ledger_base(t: LedgerTables) -> DataFrame:
     """J17 as a result: the enriched rows of the platform metrics."""
-    return base_general(t).select(
+    rows = base_general(t) if all_small(t) else resolve(t, facts(t), "transaction_id", assets=False, hot=True).filter(eligible())
+    return rows.select(
         "customer_id", "customer_name", "transaction_id", "transaction_type",
         "transaction_date", "ghs_amount", "usd_amount", F.col("provider").alias("pn"))
 
@@ -282,14 +292,13 @@ def first_transactions(t: LedgerTables) -> DataFrame:
 
 
 def ledger_cohorts(t: LedgerTables) -> DataFrame:
-    """Per-row cohort attributes of the asset ledger."""
-    rows = base_asset(t)
-    ft = first_transactions(t).withColumnRenamed("user_id", "ft_user_id")
-    # one row per plan owner: at most as many as both plan tables hold, so
-    # it is broadcast when both passed their size check
-    small = t.is_small("plans") and t.is_small("investment_plans")
-    return (dimension_join(rows, "customer_id", ft, "ft_user_id", small=small,
-                           spread_by="transaction_id")
+    """Per-row cohort attributes of the asset ledger.
+
+    The first transaction is an attribute of the owner and comes with the plan dimensions, so
+    raw rows take part in the two plan joins and no third one.
+    """
+    rows = resolve(t, facts(t), "transaction_id", first=first_transactions(t), hot=True)
+    return (rows.filter(eligible() & provider_ok())
             .select("transaction_id", "transaction_type", "asset_type", "customer_id",
                     "customer_name", "first_transaction_date",
                     F.date_format("transaction_date", "yyyy-MM").alias("transaction_cohort"),

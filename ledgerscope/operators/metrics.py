@@ -20,7 +20,6 @@ the window.  Averages are carried as sum and non-null count.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerscope import reference_data as rd
@@ -164,9 +163,9 @@ def general_metrics_presets(t: LedgerTables, as_of,
     preset at most) cut time into cells, each a point or the open stretch
     between two; a row lies in one cell, so rows are not multiplied.  They are
     aggregated per customer and cell (where dimensions are large per pair of
-    plan ids first, ``_grouped``), and only those few rows are handed to the
-    presets whose window holds the cell.  A customer's first and last deposit
-    reach its rows by a window function over them, without a second scan.
+    plan ids first, ``_grouped``), and only those few rows are handed to all
+    presets, with a mark whether the preset's window holds the cell: so a customer's first and last deposit
+    reach every preset by the same aggregation.
     Presets with no rows still get their row.
     """
     windows = [preset_window(name, as_of) for name in presets]
@@ -199,17 +198,18 @@ def general_metrics_presets(t: LedgerTables, as_of,
     per_cell = _grouped(rows, ["customer_id", "cell"], aggs,
                         None if small else lambda p: by_pair(t, p, assets=False).filter(eligible()),
                         pair_keys=["cell"])
-    if bounds is None:
-        per_customer = W.partitionBy("customer_id")
-        per_cell = (per_cell.withColumn("first_dep", F.min("first_dep").over(per_customer))
-                    .withColumn("last_dep", F.max("last_dep").over(per_customer)))
-    # a literal table of at most four rows a preset and end point
-    of_cell = rd.small_table(t.spark, ("cells", tuple(held)),
-                             lambda: t.spark.createDataFrame(held, "cell int, preset_order int"))
+    # A literal table of a row a cell and preset.  Every cell goes to every preset, because any may hold the
+    # customer's first or last deposit; only a preset's own cells count in its sums.
+    points_ = range(2 * len(points) + 1)
+    of_cell = rd.small_table(t.spark, ("cells", tuple(held)), lambda: t.spark.createDataFrame(
+        [(c, n, (c, n) in set(held)) for c in points_ for n in range(len(windows))
+         if bounds is None or (c, n) in set(held)], "cell int, preset_order int, own boolean"))
     lifetime = [] if bounds is not None else [F.min("first_dep").alias("first_dep"),
                                               F.max("last_dep").alias("last_dep")]
+    # grouped by customer already: no further exchange
     per = (per_cell.join(F.broadcast(of_cell), "cell").groupBy("customer_id", "preset_order")
-           .agg(*[F.sum(c).alias(c) for c in sums], *lifetime))
+           .agg(*[F.sum(F.when(F.col("own"), F.col(c))).alias(c) for c in sums], *lifetime)
+           .filter(F.col("win_n") > 0))
     if bounds is not None:
         per = per.join(bounds.select("customer_id", "first_dep", "last_dep"), "customer_id", "left")
     # one row per preset: bounded by construction
@@ -259,8 +259,8 @@ def asset_metrics(t: LedgerTables, window: Window, fees: DataFrame | None = None
 
 def asset_rollup(t: LedgerTables, window: Window, fees: DataFrame | None = None,
                  deposit_types=rd.DEPOSIT_TYPES_ASSET,
-                 bounds: DataFrame | None = None) -> DataFrame:
-    """J4's columns plus ``total_users`` (J6) from the same single pass.
+                 bounds: DataFrame | None = None, only: str | None = None) -> DataFrame:
+    """J4's columns plus ``total_users`` (J6) from the same single pass; with ``only`` of that asset type alone.
 
     Level-1 groups are (customer, asset type) over exactly J6's rows
     (successful, unrestricted owner, provider kept), so the distinct users of
@@ -270,6 +270,8 @@ def asset_rollup(t: LedgerTables, window: Window, fees: DataFrame | None = None,
     is_wd = F.col("transaction_type") == rd.WITHDRAWAL_TYPE
     small = all_small(t)
     rows = base_asset(t) if small else facts(t).filter(provider_ok())
+    wanted = F.lit(True) if only is None else F.col("asset_type") == F.lit(only)
+    rows = rows.filter(wanted) if small and only is not None else rows
     extra = [
         f"sum(CASE WHEN _win AND transaction_type = '{rd.FEE_TYPE}' THEN ghs_amount END) AS fee_ghs",
         f"sum(CASE WHEN _win AND transaction_type = '{rd.EARLY_WITHDRAWAL_TYPE}' "
@@ -277,7 +279,7 @@ def asset_rollup(t: LedgerTables, window: Window, fees: DataFrame | None = None,
     ]
     level1 = customer_rollup(rows, ["customer_id", "asset_type"], {"": window}, is_dep, is_wd,
                              extra, bounds=bounds,
-                             resolved=None if small else lambda p: by_pair(t, p).filter(eligible()))
+                             resolved=None if small else lambda p: by_pair(t, p).filter(eligible() & wanted))
     level2 = (level1.filter(F.col("win_n") > 0)
               .groupBy("asset_type")
               .agg(*level2_totals(window, lifetime_ok="asset_type IS NOT NULL"),
@@ -360,8 +362,7 @@ def asset_type_count(t: LedgerTables, window: Window) -> DataFrame:
 def asset_detail(t: LedgerTables, window: Window, selected: str,
                  fees: DataFrame | None = None) -> DataFrame:
     """The asset page for one type: its J4 row plus its J6 user count."""
-    return (asset_rollup(t, window, fees)
-            .filter(F.col("asset_type") == selected)
+    return (asset_rollup(t, window, fees, only=selected)
             .select(*ASSET_COLUMNS, "total_users"))
 
 

@@ -6,14 +6,24 @@ reclassified here, and direct debits are their own series.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope import reference_data as rd
 from ledgerscope.functions.periods import Window
 from ledgerscope.operators.ledger import PAIR, all_small, by_pair, eligible, facts, ledger, provider_ok
+from ledgerscope.session import shared_dir
 from ledgerscope.sources.tables import LedgerTables
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back."""
+    path = f"{shared_dir(df.sparkSession)}/trend/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 GRANULARITIES = ("day", "week", "month")
 
 
@@ -73,3 +83,35 @@ def trend_pivot(t: LedgerTables, window: Window, granularity: str = "month",
             .groupBy("period")
             .agg(*sums, other.alias(rd.TREND_OTHER))
             .orderBy("period"))
+
+
+#: Most type columns of ``trend_pivot_present``.
+MOST_TYPES = 100
+
+
+def trend_pivot_present(t: LedgerTables, window: Window, granularity: str = "month",
+                        most: int = MOST_TYPES) -> DataFrame:
+    """J3 with the types that the window's rows have: one row per period, one amount column per type.
+
+    The trend (a row a period and type) is computed once and written; a pass over it finds the types, and a
+    second spreads them.  Columns are in the types' order, with deposits and withdrawals
+    named ``Deposits`` / ``Withdrawals``; a name that is taken, letter case aside, gets ``_`` after it.  Of more than ``most``
+    types those with the largest absolute totals have columns, ties by name; the others and rows without a
+    type add up in ``Other``, so a row's columns add up to the period's total.
+    """
+    long = stored(_trend_sums(t, window, granularity).groupBy("period", "tx_type").agg(F.sum("ghs_amount").alias("amount")))
+    totals = (long.where("tx_type IS NOT NULL").groupBy("tx_type").agg(F.abs(F.sum("amount")).alias("total"))
+              .orderBy(F.col("total").desc_nulls_last(), "tx_type").limit(most))
+    types = sorted(r["tx_type"] for r in totals.collect())  # at most ``most`` names
+    taken, names = {"period", rd.TREND_OTHER.lower()}, {}
+    for kind in types:
+        name = rd.TREND_RENAMES.get(kind, kind)
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        names[kind] = name
+    zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    sums = [zero(F.sum(F.when(F.col("tx_type") == kind, F.col("amount")))).alias(name) for kind, name in names.items()]
+    rest = F.lit(True) if not types else ~F.coalesce(F.col("tx_type").isin(*types), F.lit(False))
+    return (long.groupBy("period").agg(*sums, zero(F.sum(F.when(rest, F.col("amount")))).alias(rd.TREND_OTHER))
+            .orderBy("period"))

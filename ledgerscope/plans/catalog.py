@@ -28,6 +28,7 @@ def registry() -> dict[str, Builder]:
         "trend_week": lambda t: trend.transaction_trend(t, w, "week"),
         "trend_month": lambda t: trend.transaction_trend(t, w, "month"),
         "trend_pivot": lambda t: trend.trend_pivot(t, w, "day"),
+        "trend_pivot_present": lambda t: trend.trend_pivot_present(t, w, "day"),
         # J4, J4r, J4f, J16
         "asset_metrics": lambda t: metrics.asset_metrics(t, w),
         "asset_revenue": lambda t: metrics.asset_revenue(t, w),

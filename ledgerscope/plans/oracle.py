@@ -255,6 +255,14 @@ _PIVOT = f"""SELECT CAST(moment AS DATE) AS period,
                 ELSE COALESCE(ghs, 0) END) AS DOUBLE) AS "Other"
 {_TREND_ROWS} GROUP BY 1"""
 
+# The fixture's types; a row without one is in Other.
+_PRESENT = {"deposit": "Deposits", "direct_debit": "direct_debit", "early_withdrawal": "early_withdrawal", "refund": "refund",
+            "withdrawal": "Withdrawals"}
+_PIVOT_PRESENT = ("SELECT CAST(moment AS DATE) AS period, " + ", ".join(
+    f"CAST(SUM(CASE WHEN raw_kind = '{kind}' THEN COALESCE(ghs, 0) ELSE 0 END) AS DOUBLE) AS \"{name}\""
+    for kind, name in _PRESENT.items())
+    + f", CAST(SUM(CASE WHEN raw_kind IS NULL THEN COALESCE(ghs, 0) ELSE 0 END) AS DOUBLE) AS \"Other\" {_TREND_ROWS} GROUP BY 1")
+
 _GENERAL = f"SELECT {_MEASURE_LIST} FROM ({_flows('platform', '', _DAY, f'WHERE moment {_MOMENT}')}) f"
 
 _PRESET_ROWS = f"""within AS (
@@ -338,6 +346,7 @@ def oracle_sql(inline_fixtures: bool = True) -> dict[str, str]:
         "general_metrics": rows(_GENERAL, _PLATFORM),
         "date_presets": rows(_PRESET_ROWS, _PLATFORM, _PRESETS),
         "trend_pivot": rows(_PIVOT),
+        "trend_pivot_present": rows(_PIVOT_PRESENT),
         "asset_metrics": assets(f"SELECT {columns} FROM asset_row"),
         "asset_revenue": assets("SELECT asset_type, estimated_revenue FROM asset_row"),
         "asset_fees": assets("SELECT asset_type, maintenance_fees_ghs, early_withdrawal_fees_usd FROM asset_row"),

@@ -1,0 +1,83 @@
+"""A plan with a large part of all rows: found in one pass, dealt over tasks, results unchanged."""
+
+import pytest
+from frames import ledger_tables, user
+from pyspark.sql import functions as F
+
+import __spark_entry__ as E
+from ledgerscope.operators import ledger
+from ledgerscope.operators.joins import dimension_join, heavy_keys
+
+SF = "/root/testdata/sf0.001"
+PARTS = 16
+
+
+@pytest.fixture()
+def plain(spark):
+    """Large dimensions, and no help from adaptive execution."""
+    conf = {"ledgerscope.broadcast.maxRows": "0", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false",
+            "spark.sql.shuffle.partitions": str(PARTS)}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def hot_ledger(spark, n=24_000):
+    """A third of all rows on savings plan 1, a fifth on investment plan 9001; the rest on 3,000 others or none."""
+    t = ledger_tables(spark, users=[user(1), user(2)])
+    rows = spark.range(n).select(
+        F.col("id"),
+        F.expr("CASE WHEN id % 3 = 0 THEN 1 WHEN id % 5 < 4 THEN 10 + pmod(xxhash64(id), 3000) END").cast("bigint").alias("plan_id"),
+        F.expr("CASE WHEN id % 5 = 4 THEN 9001 WHEN id % 3 <> 0 AND id % 2 = 0 THEN 9100 + pmod(xxhash64(id), 3000) END").cast("bigint")
+        .alias("investment_plan_id"),
+        F.lit("success").alias("status"), F.lit("deposit").alias("tx_type"), F.lit("p").alias("provider_number"), F.lit("{}").alias("metadata"),
+        F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,id)").alias("updated_at"),
+        F.lit(1).cast("decimal(18,2)").alias("amount"), F.lit(2).cast("decimal(18,2)").alias("usd_amount"), F.lit(1).cast("decimal(18,6)").alias("exchange_rate"))
+    plans = spark.range(1, 3100).select("id", (1 + F.col("id") % 2).alias("user_id"), F.lit("s").alias("plan_option"))
+    inv = spark.range(9001, 12_200).select("id", (1 + F.col("id") % 2).alias("user_id"), F.lit(None).cast("bigint").alias("asset_id"),
+                                           F.lit("f").alias("plan_option"), F.lit(None).cast("date").alias("maturity_date"))
+    return type(t)(**{**{n: getattr(t, n) for n in ("users", "assets", "profiles", "budgets", "external_transactions", "messages")},
+                      "transactions": rows, "plans": plans, "investment_plans": inv}, fees=t.fees)
+
+
+def test_summary_finds_the_heavy_keys(spark):
+    facts = hot_ledger(spark).transactions
+    found = dict(heavy_keys(facts, "plan_id"))
+    assert 1 in found and found[1] > 50 and len(found) < 5
+    assert 9001 in dict(heavy_keys(facts, "investment_plan_id"))
+    assert heavy_keys(facts.where("false"), "plan_id") == ()
+
+
+def test_largest_task_is_near_the_median(spark, plain):
+    t = hot_ledger(spark)
+    rows = ledger.resolve(t, ledger.facts(t), "transaction_id", hot=True)
+    sizes = sorted(r["count"] for r in rows.groupBy(F.spark_partition_id().alias("p")).count().collect())
+    assert len(sizes) == PARTS and sizes[-1] <= 3 * sizes[len(sizes) // 2]
+    bare = ledger.resolve(t, ledger.facts(t), "transaction_id")
+    worst = sorted(r["count"] for r in bare.groupBy(F.spark_partition_id().alias("p")).count().collect())
+    assert worst[-1] > 3 * worst[len(worst) // 2]
+    assert sorted(map(repr, rows.collect())) == sorted(map(repr, bare.collect()))
+
+
+def test_join_with_replicas_is_the_left_join(spark, plain):
+    fact = spark.createDataFrame([(i, k) for i, k in enumerate([1] * 50 + [2] * 10 + [None] * 9 + [7, 8])], "id bigint, k bigint")
+    dim = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "d bigint, v string")
+    got = dimension_join(fact, "k", dim, "d", small=False, spread_by="id", heavy=((1, 16), (8, 4)))
+    want = fact.join(dim, F.col("k") == F.col("d"), "left")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+@pytest.mark.parametrize("key, raw", [("ledger_cohorts", 2), ("ledger_base", 2)])
+def test_raw_rows_are_exchanged_for_the_two_plan_joins_only(spark, plain, key, raw):
+    plan = E.queries()[key](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-|*()0123456789"))
+    at = next(i for i, x in enumerate(plan) if "events.parquet" in x)  # the left-most leaf: the transactions
+    level, exchanges = depth(plan[at]), 0
+    for line in reversed(plan[:at]):
+        if depth(line) < level:
+            level = depth(line)
+            exchanges += "Exchange" in line
+    assert exchanges == raw

@@ -20,3 +20,29 @@ def test_pivot_total_equals_trend_total(spark, sf):
     assert got.keys() == want.keys()
     assert all(got[d] == pytest.approx(want[d]) for d in want)
     assert sum(r["Other"] for r in wide.collect()) > 0
+
+
+def test_every_present_type_has_a_column(spark):
+    t = fixture_tables(spark, "/root/testdata/sf0.001")
+    long = trend.transaction_trend(t, P.WINDOW, "day")
+    wide = trend.trend_pivot_present(t, P.WINDOW, "day")
+    kinds = {r["tx_type"] for r in long.select("tx_type").distinct().collect()} - {None}
+    assert wide.columns == ["period", "Deposits", "direct_debit", "early_withdrawal", "refund", "Withdrawals", "Other"] and len(kinds) == 5
+    want = {r["period"]: r["s"] for r in long.groupBy("period").agg(F.sum("total_amount").alias("s")).collect()}
+    got = {r["period"]: sum(r[c] for c in wide.columns[1:]) for r in wide.collect()}
+    assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d]) for d in want)
+
+
+def test_overflow_taken_names_and_empty_windows(spark):
+    from frames import ledger_tables, tx, user
+    from ledgerscope.functions.periods import Window
+    kinds = ["deposit", "Deposits", "other", "period", "a", "b", None, "B"]
+    t = ledger_tables(spark, users=[user(1)], plans=[(1, 1, "s")],
+                      transactions=[tx(i, "2024-01-03", 10 * (i + 1), k, plan_id=1) for i, k in enumerate(kinds)])
+    w = Window.of("2024-01-01", "2024-02-01")
+    r = trend.trend_pivot_present(t, w).first().asDict()
+    assert r["Other"] == 70 and len(r) == 9 and sum(v for k, v in r.items() if k != "period") == 360
+    assert {k.lower() for k in r} == {"period", "deposits", "deposits_", "other_", "period_", "a", "b", "b_", "other"}
+    few = trend.trend_pivot_present(t, w, most=2).first().asDict()
+    assert (few["B"], few["b"], few["Other"]) == (80, 60, 220) if "b" in few else (few["B"], few["b_"], few["Other"]) == (80, 60, 220)
+    assert trend.trend_pivot_present(t, Window.of("2020-01-01", "2020-02-01")).columns == ["period", "Other"]
