@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerscope.operators import ledger, metrics, report, state, trend, users
 from ledgerscope.plans import params as P
+from ledgerscope.sources import store
 from ledgerscope.sources.tables import LedgerTables, fixture_tables
 
 Builder = Callable[[LedgerTables], DataFrame]
@@ -63,6 +64,9 @@ def registry() -> dict[str, Builder]:
         "trend_week_batches": lambda t: state.transaction_trend(_state(t), t, w, "week"),
         "depositors_batches": lambda t: state.depositors_summary(_state(t), t),
         "first_transactions_batches": lambda t: state.first_transactions(_state(t), t),
+        # J2 and J17 from the co-partitioned store
+        "trend_month_stored": lambda t: store.transaction_trend(_store(t), w, "month"),
+        "ledger_base_stored": lambda t: store.ledger_base(_store(t)),
         # J17-J20
         "ledger_base": lambda t: ledger.ledger_base(t),
         "depositors_summary": lambda t: ledger.depositors_summary(t),
@@ -78,6 +82,11 @@ def _state(t: LedgerTables) -> state.LedgerState:
     return t.staged("batches", lambda: state.replayed(t, P.BATCH_DAYS))
 
 
+def _store(t: LedgerTables) -> store.LedgerStore:
+    """``t``'s ledger written as a store and opened."""
+    return t.staged("store", lambda: store.open_store(t.spark, store.write_store(t, buckets=P.STORE_BUCKETS)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(build: Builder):
         return lambda spark, sf_dir: build(fixture_tables(spark, sf_dir))

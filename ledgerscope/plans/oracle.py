@@ -378,6 +378,7 @@ def oracle_sql(inline_fixtures: bool = True) -> dict[str, str]:
         q[f"trend_{grain}"] = rows(_trend(grain))
     # A ledger appended in batches gives what it gives at once.
     q |= {"general_metrics_batches": q["general_metrics"], "trend_week_batches": q["trend_week"],
+          "trend_month_stored": q["trend_month"], "ledger_base_stored": q["ledger_base"],
           "depositors_batches": q["depositors_summary"], "first_transactions_batches": q["first_transactions"]}
     dists = {"dist_gender": "gender", "dist_country": "country", "dist_use_option": "use_option",
              "dist_status": "status", "dist_employment": "employment_status"}

@@ -12,4 +12,6 @@ WINDOW = Window(START, END)
 PRESET = "Last 30 Days"
 #: Days at which the ledger is cut into batches.
 BATCH_DAYS = [dt.date(2024, 1, 10), dt.date(2024, 1, 18)]
+#: Buckets of the fixture's ledger store.
+STORE_BUCKETS = 8
 SELECTED_ASSET = "equity"
