@@ -97,3 +97,33 @@ def test_query_digest(spark):
     for doc, n, hit, items in brute(rows("documents", "doc_id"), rows("benchmark", "item_id")):
         digest = hashlib.sha256(",".join(items).encode()).hexdigest()
         assert got[doc] == (n, hit, len(items), digest, hit > 0)
+
+
+def test_index_stays_within_eight_times_its_items():
+    import pickle
+    import pyarrow as pa
+    from ledgerscope.llm.decontamination import INDEX_FACTOR, ItemIndex
+    rng = random.Random(3)
+    texts = [prose(rng, 100, size=5000) for _ in range(9000)]
+    index = ItemIndex(pa.table({"id": [str(i) for i in range(9000)], "t": texts}))
+    size = sum(len(t) for t in texts)
+    assert size > 4e6 and index.nbytes() <= INDEX_FACTOR * size and len(pickle.dumps(index)) <= INDEX_FACTOR * size
+
+
+def test_one_item_repeated_and_one_text_under_many_ids(spark):
+    rng = random.Random(8)
+    text = prose(rng, 30)
+    items = [(7, text)] * 3000 + [(1000 + i, text) for i in range(50)] + [(9, "short item")] * 100
+    docs = [(1, f"so {text} it is"), (2, prose(rng, 60)), (3, "a Short   ITEM here")]
+    got = decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, ITEM))
+    want = brute(docs, {(i, t) for i, t in items})
+    assert [(r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in got.orderBy("doc_id").collect()] == want
+
+
+def test_several_blocks_give_what_one_gives(spark):
+    rng = random.Random(5)
+    items = [(i, prose(rng, rng.choice([4, 12, 40]))) for i in range(60)]
+    docs = [(i, " ".join([prose(rng, 10), items[i % 60][1], prose(rng, 10), items[(7 * i) % 60][1]])) for i in range(40)]
+    df, own = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, ITEM)
+    got = decontaminate(df, own, block_bytes=15_000).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in got] == brute(docs, items)
