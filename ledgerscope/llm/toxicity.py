@@ -28,15 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerscope.llm.common import durable
 
 #: Most labelled documents of each class that the model is fitted on.
 SAMPLE = {1: 10_000, 0: 20_000}
-#: Most lexicon entries.
-TERMS = 5_000
+#: Most lexicon entries: the most telling of the terms that pass all tests, so that no language's words are
+#: cut for being rarer than another's.
+TERMS = 50_000
 #: Least toxic documents and least different words before it that a term needs.
 LEAST_DOCS, LEAST_CONTEXTS = 3, 3
 #: Least log odds of a term's share of toxic texts against its share of clean ones, and least
@@ -176,6 +177,12 @@ def context(text: str, start: int, end: int) -> float:
     return weight
 
 
+def lowered(text: str) -> str:
+    """``text`` in lower case with every character in its place; one whose lower case is longer stays as it is."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 class Scorer:
     def __init__(self, model: dict):
         self.model = model
@@ -187,30 +194,33 @@ class Scorer:
         """``(start, end, term, edits, strength)`` of every hit."""
         if not self.lexicon.terms:
             return []
-        low = text.lower()
-        for word in set(_TOKEN.findall(low)).difference(self.clean, self.hit):
+        low = lowered(text)
+        words = set(_TOKEN.findall(low))
+        for word in words.difference(self.clean, self.hit):
             found = self.lexicon.match(word if word.isalpha() else word.translate(_LOOKALIKES))
             if found:
                 self.hit[word] = found
             elif len(self.clean) < WORDS_KEPT:
                 self.clean.add(word)
         out = []
-        if self.hit:
-            for m in _TOKEN.finditer(low) if not self.hit.keys().isdisjoint(_TOKEN.findall(low)) else ():
+        if not self.hit.keys().isdisjoint(words):
+            for m in _TOKEN.finditer(low):
                 if m[0] in self.hit:
                     term, edits = self.hit[m[0]]
                     strength = self.lexicon.terms[term][0] / self.top * 0.6 ** edits * context(low, *m.span())
                     out.append((*m.span(), term, edits, strength))
         return out
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        found = self.hits(text) if text else []
+    def features(self, text: str | None, found: list | None = None) -> tuple[float, float, float]:
+        """Features of a text, or of its ``found`` hits."""
+        if found is None:
+            found = self.hits(text) if text else []
         strengths = [h[4] for h in found]
         return math.log1p(sum(strengths)), max(strengths, default=0.0), math.log1p(len({h[2] for h in found}))
 
-    def score(self, text: str | None) -> float:
+    def score(self, text: str | None, found: list | None = None) -> float:
         weights = self.model["weights"]
-        z = weights[0] + sum(a * b for a, b in zip(weights[1:], self.features(text)))
+        z = weights[0] + sum(a * b for a, b in zip(weights[1:], self.features(text, found)))
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
@@ -233,17 +243,28 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 # ---- fitting -------------------------------------------------------------------------------------
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> DataFrame:
-    """``text, toxic`` of at most about ``sample`` documents of each class, drawn by a hash of the id."""
+    """``text, toxic`` of at most about ``sample`` documents of each class.
+
+    Ids are drawn by a hash, and where their different rows are still more (many texts of one id), the rows by a hash of id and
+    text; a row that repeats counts once.
+    """
     flags = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.max(F.col("toxic").cast("int")).alias("toxic"))
-    counts = {r["toxic"]: r["count"] for r in flags.groupBy("toxic").count().collect()}
+    drawn = flags.where(_drawn(flags, F.xxhash64("doc_id"), sample))
+    # At most some 30,000 ids, by the rates.
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(drawn), "doc_id").withColumn(
+        "_h", F.xxhash64(F.lit("row"), "doc_id", "text"))
+    once = durable(rows.dropDuplicates(["_h"]), "drawn")
+    return durable(once.where(_drawn(once, F.col("_h"), sample)).select("text", "toxic"), "labelled")
+
+
+def _drawn(rows: DataFrame, mark: Column, most: dict[int, int]) -> Column:
+    """Whether a row is drawn, at a rate a class that leaves about ``most`` of it."""
+    counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     rate = F.lit(0.0)
-    for kind, most in sample.items():
-        rate = F.when(F.col("toxic") == kind, min(1.0, most / max(1, counts.get(kind, 0)))).otherwise(rate)
-    drawn = flags.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < rate * (1 << 20))
-    # At most some 30,000 ids, by the rates above.
-    return durable(docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select(
-        "text", "toxic"), "labelled")
+    for kind, limit in most.items():
+        rate = F.when(F.col("toxic") == kind, min(1.0, limit / max(1, counts.get(kind, 0)))).otherwise(rate)
+    return F.pmod(mark, F.lit(1 << 20)) < rate * (1 << 20)
 
 
 def _word_counts(sample: DataFrame) -> DataFrame:
@@ -316,9 +337,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE, lea
                    F.sum((F.col("toxic") > 0).cast("int")).alias("words"))
               .withColumn("odds", odds).where(good & (F.col("words") >= 3))
               .select("term", "odds", "toxic", F.lit(True).alias("stem")))
-    found = single.union(opened).orderBy(F.desc("toxic"), "term", "stem").limit(TERMS).collect()
+    found = single.union(opened).collect()  # words of the sample
     contexts = _contexts(rows, {(r["term"], r["stem"]) for r in found})
-    kept = [r for r in found if contexts.get((r["term"], r["stem"]), 0) >= LEAST_CONTEXTS]
+    kept = sorted((r for r in found if contexts.get((r["term"], r["stem"]), 0) >= LEAST_CONTEXTS),
+                  key=lambda r: (-r["odds"], r["term"], r["stem"]))[:TERMS]
     stems = {r["term"]: r["odds"] for r in kept if r["stem"]}
     # The shortest stem stands for the longer ones, where it is as telling.  Words stay beside it: they allow
     # more edits than a short stem.
@@ -374,9 +396,10 @@ def score_frame(docs: DataFrame, model: dict, text: str = "text", features: bool
                 found = np.array([scorer.features(t) for t in texts]).reshape(-1, 3)
                 made = [pa.array(found[:, i]) for i in range(3)]
             else:
-                made = [pa.array([scorer.score(t) for t in texts], pa.float64()),
-                        pa.array([[dict(zip(("start", "end", "term", "edits", "strength"), h))
-                                   for h in (scorer.hits(t) if t else [])] for t in texts], hit)]
+                found = [scorer.hits(t) if t else [] for t in texts]
+                made = [pa.array([scorer.score(t, h) for t, h in zip(texts, found)], pa.float64()),
+                        pa.array([[dict(zip(("start", "end", "term", "edits", "strength"), h)) for h in one]
+                                  for one in found], hit)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + made, names=columns + names)
 
     return docs.mapInArrow(run, schema)

@@ -172,3 +172,22 @@ def test_query(spark):
     right = sum(r["toxic"] == r["predicted"] for r in rows)
     assert got.count() == 1000 and right / len(rows) > 0.9
     assert sum(r["predicted"] for r in rows if r["toxic"] == 0) <= 0.03 * len(rows)
+
+
+def test_a_hot_id_stays_within_the_sample(spark):
+    from ledgerscope.llm.toxicity import labelled_sample
+    docs = spark.createDataFrame([(1, f"text number {i}") for i in range(3000)] + [(2, "one text")] * 500 + [(3, "other")],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    rows = labelled_sample(docs, labels, {1: 40, 0: 40}).groupBy("toxic").count().collect()
+    counts = {r["toxic"]: r["count"] for r in rows}
+    assert 10 < counts[1] < 90 and counts[0] == 2
+
+
+def test_hits_are_places_in_the_text():
+    from ledgerscope.llm.toxicity import Scorer, lowered
+    text = "İİ you İdiotish STUPIDO fool"
+    assert len(lowered(text)) == len(text) and lowered("ABC é") == "abc é"
+    scorer = Scorer({"terms": {"stupido": (5.0, False)}, "plain": set(), "weights": [0.0, 1.0, 1.0, 1.0]})
+    (start, end, term, edits, _), = scorer.hits(text)
+    assert text[start:end] == "STUPIDO" and (term, edits) == ("stupido", 0)
