@@ -57,6 +57,10 @@ def _widened(rows: np.ndarray, width: int) -> np.ndarray:
     return rows if rows.shape[1] == width else np.pad(rows, ((0, 0), (0, width - rows.shape[1])))
 
 
+#: Most shards that a task opens one after the other, and how many tasks a shuffle partition should still leave.
+MOST_SHARDS, TASKS_A_PART = 16, 4
+
+
 class Queries:
     """A group of queries and the best that each has met so far."""
 
@@ -120,10 +124,12 @@ def quantised(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     bad = np.zeros(len(values) + 1, np.int64)
     np.cumsum(~np.isfinite(values), out=bad[1:])
     whole = (bad[ends] == bad[ends - sizes]) & np.asarray(lists.is_valid())
-    out = np.zeros((int(whole.sum()), int(sizes.max(initial=0))), np.int64)
     numbers = np.flatnonzero(whole)
-    for i, row in enumerate(numbers.tolist()):
-        out[i, :sizes[row]] = np.floor(SCALE * values[ends[row] - sizes[row]:ends[row]])
+    out = np.zeros((len(numbers), int(sizes.max(initial=0))), np.int64)
+    held = sizes[numbers]
+    row = np.repeat(np.arange(len(numbers)), held)
+    place = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
+    out[row, place] = np.floor(SCALE * values[np.repeat(ends[numbers] - held, held) + place])
     return numbers, out
 
 
@@ -226,22 +232,31 @@ def search(queries: DataFrame, vectors: DataFrame, vec_id: str = "vec_id", vecto
         _write_blocks(ordered(queries, group), folder, "query", group, group)), "topk-files")
     groups = files.where("kind = 'query'").select(
         F.col("path").alias("group"), F.row_number().over(Window.orderBy("path")).alias("at"))
-    # Each shard file meets each query file: a list of file names, not of rows.
-    meetings = files.where("kind = 'shard'").select(F.col("path").alias("shard"), F.explode(
-        F.sequence(F.lit(1), F.lit(files.where("kind = 'query'").count()))).alias("at"))
-    work = meetings.join(groups, "at").select("shard", "group").repartition(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "group")
+    # Each query file meets each shard file, in runs of shards: lists of file names, not of rows.  A run keeps what its
+    # queries have found, so the k-th score of one shard prunes the next, and a query's rows leave once a run.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_shards, n_groups = (files.where(f"kind = '{kind}'").count() for kind in ("shard", "query"))
+    run_length = max(1, min(MOST_SHARDS, n_shards * n_groups // (TASKS_A_PART * parts)))
+    runs = (files.where("kind = 'shard'").withColumn("at_shard", F.row_number().over(Window.orderBy("path")))
+            .groupBy(F.floor(F.col("at_shard") / run_length).alias("run"))
+            .agg(F.sort_array(F.collect_list("path")).alias("shards")))
+    meetings = runs.select("run", "shards", F.explode(F.sequence(F.lit(1), F.lit(n_groups))).alias("at"))
+    work = meetings.join(groups, "at").select("run", "shards", "group").repartition(parts, "run", "group").sortWithinPartitions(
+        "run", "group").drop("run")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_name, open_shard = None, None
+        opened: dict[str, Shard] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                if row["shard"] != open_name:
-                    open_name, open_shard = row["shard"], Shard(row["shard"])
+                if not opened.keys() >= set(row["shards"]):
+                    opened = {}  # the next run's shards
                 asked = Shard(row["group"])
-                for i in range(len(asked.maxima)):
-                    q = Queries(*asked.block(i), k)
-                    q.search(open_shard.maxima, open_shard.minima, open_shard.block)
+                met = [Queries(*asked.block(i), k) for i in range(len(asked.maxima))]
+                for path in row["shards"]:
+                    shard_ = opened.setdefault(path, Shard(path)) if path not in opened else opened[path]
+                    for q in met:
+                        q.search(shard_.maxima, shard_.minima, shard_.block)
+                for i, q in enumerate(met):
                     at, found, score = q.results()
                     asker = (zlib.crc32(row["group"].encode()) << 31) + i * group + at
                     yield pa.RecordBatch.from_arrays(
