@@ -224,9 +224,17 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+#: Text bytes that one file, and the task that writes it, should take.
+FILE_BYTES = 256 << 20
 MANIFEST = "path string, number long, n_docs long, n_ids long"
 
 
+def _files_for(rows: DataFrame) -> int:
+    """Ranges of about ``FILE_BYTES`` of text, and as many at least as the session's shuffles have partitions."""
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "doc_id", text: str = "text",
                       end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Write ``docs`` in ascending id order; the manifest of files, in order of ``number``."""
@@ -234,7 +242,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, doc_id: str
     folder = qualified(spark, folder)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ordered = (rows.withColumn("h", F.xxhash64("text"))
-               .repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc", "h")
+               .repartitionByRange(_files_for(rows), "doc", "h")
                .sortWithinPartitions("doc", "h").select("doc", "text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
