@@ -1,6 +1,7 @@
 """Token counts through a digest cache.
 
-``count_tokens`` joins the digest of each normalised text and the tokenizer
+``count_tokens`` joins the digest of each text (normalised: null is empty; the tokenizer
+tells any other difference, so none may share a count) and the tokenizer
 version's digest to a stored table of counts, encodes only distinct texts that
 the table lacks, and appends those counts to it.
 
@@ -23,11 +24,14 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import run_folder
+from ledgerscope.llm.common import durable, run_folder
+from ledgerscope.operators.membership import bits_for, bloom, may_hold
 
 LIMIT = 4096
 #: Words whose counts one Python worker remembers (some 150 MB).
 WORDS_KEPT = 1_000_000
+#: Session setting that names a cache folder for all runs of the query; without it a run has its own.
+CACHE_CONF = "ledgerscope.tokenCounts.cache"
 CACHE_SCHEMA = "digest binary, version binary, n_tokens long"
 
 _MARK = "▁"
@@ -85,6 +89,16 @@ class PieceCounter:
         return sum([known[p] if p in known else counts[p] for p in parts])
 
 
+_counters: dict[str, PieceCounter] = {}
+
+
+def counter(model_file: str) -> PieceCounter:
+    """One counter a Python worker and file, kept between tasks."""
+    if model_file not in _counters:
+        _counters[model_file] = PieceCounter(model_file)
+    return _counters[model_file]
+
+
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """The stored counts; an absent table is empty."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -97,7 +111,8 @@ def count_tokens(docs: DataFrame, model_file: str, cache_path: str, limit: int =
                  text: str = "text") -> DataFrame:
     """``docs`` with ``n_bytes, n_tokens, over_limit`` instead of the text.
 
-    The text is read twice (digests, then misses); a miss travels once per map
+    Digests meet the cache first.  Texts whose digest is stored are dropped where they are read, by a
+    membership filter over the missing digests; a miss travels once per map
     task that holds it, reduced to one row per digest.  The last join moves
     digests and ids only, and AQE splits a digest that many rows share.
     """
@@ -105,16 +120,20 @@ def count_tokens(docs: DataFrame, model_file: str, cache_path: str, limit: int =
     version = F.lit(bytearray(tokenizer_version(model_file)))
     whole = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.withColumn("_digest", F.unhex(F.sha2(whole, 256)))
-    stored = read_cache(spark, cache_path).where(F.col("version") == version).select(
-        F.col("digest").alias("_digest"), F.col("n_tokens").alias("_n")).dropDuplicates(["_digest"])
-    misses = (keyed.select("_digest", whole.alias("_text"))
-              .groupBy("_digest").agg(F.first("_text").alias("_text"))
-              .join(stored.select("_digest"), "_digest", "left_anti"))
+    stored = read_cache(spark, cache_path).where(F.col("version") == version).select(F.col("digest").alias("_digest")).distinct()
+    texts = keyed.select("_digest", whole.alias("_text"))
+    if not stored.isEmpty():
+        missing = durable(keyed.select("_digest").distinct().join(stored, "_digest", "left_anti"), "missing")
+        bits = bits_for(missing.count())
+        texts = texts.where(may_hold(bloom(missing, "_digest", bits), F.col("_digest"), bits))
+        misses = texts.groupBy("_digest").agg(F.first("_text").alias("_text")).join(missing, "_digest", "left_semi")
+    else:
+        misses = texts.groupBy("_digest").agg(F.first("_text").alias("_text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PieceCounter(model_file)
+        counts_of = counter(model_file)
         for batch in batches:
-            counts = [counter.count(t.as_py()) for t in batch.column("_text")]
+            counts = [counts_of.count(t.as_py()) for t in batch.column("_text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_digest"), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
 
@@ -132,4 +151,5 @@ def count_tokens(docs: DataFrame, model_file: str, cache_path: str, limit: int =
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), run_folder(spark, "token-counts"))
+    cache = spark.conf.get(CACHE_CONF, None) or run_folder(spark, "token-counts")
+    return count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), cache)

@@ -61,3 +61,20 @@ def test_query(spark):
     got = queries()["op7_token_counts"](spark, "/root/testdata/sf0.001").collect()
     assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in got} == want
     assert all(r["over_limit"] == (r["n_tokens"] > 4096) for r in got)
+
+
+def test_the_query_meets_a_cache_that_outlives_a_run(spark, tmp_path):
+    from ledgerscope.llm import token_counts
+    from ledgerscope.llm.queries import queries
+    run, folder = queries()["op7_token_counts"], "/root/testdata/sf0.001"
+    spark.conf.set(token_counts.CACHE_CONF, str(tmp_path / "cache"))
+    try:
+        first = sorted(map(tuple, run(spark, folder).collect()))
+        held = token_counts.read_cache(spark, str(tmp_path / "cache")).count()
+        assert sorted(map(tuple, run(spark, folder).collect())) == first
+        assert token_counts.read_cache(spark, str(tmp_path / "cache")).count() == held  # nothing was encoded again
+        more = run(spark, "/root/testdata/sf0.01").count()
+        assert token_counts.read_cache(spark, str(tmp_path / "cache")).count() > held and more == 1000
+        assert token_counts.read_cache(spark, str(tmp_path / "cache")).groupBy("digest").count().where("count > 1").isEmpty()
+    finally:
+        spark.conf.unset(token_counts.CACHE_CONF)
