@@ -160,7 +160,21 @@ def user_clean(t: LedgerTables, window: Window, as_of: dt.date) -> DataFrame:
 def day_first(t: LedgerTables) -> Column:
     """Whether the users' birth dates of two numbers and a year have the day first: the vote of all that
     show it, as a scalar subquery; the month is first on a tie."""
-    return t.users.agg((F.coalesce(F.sum(text.day_first_votes(F.col("dob"))), F.lit(0)) > 0).alias("day_first")).scalar()
+    return day_first_of(t.users, "dob")
+
+
+def day_first_of(rows: DataFrame, column: str) -> Column:
+    votes = F.coalesce(F.sum(text.day_first_votes(F.col(column))), F.lit(0))
+    return rows.agg((votes > 0).alias("day_first")).scalar()
+
+
+def birth_dates(rows: DataFrame, as_of: dt.date, column: str = "dob") -> DataFrame:
+    """``rows`` with ``dob_text`` (``column`` as it is), ``dob``, ``age`` and ``age_group``: the birth dates of any
+    table, read by its own column's vote."""
+    made = rows.withColumn("dob_text", F.col(column)).withColumn(
+        "dob", text.birth_date(F.col("dob_text"), day_first_of(rows, column)))
+    made = made.withColumn("age", text.age_on(F.col("dob"), as_of))
+    return made.withColumn("age_group", text.age_group_label(F.col("age")))
 
 
 def _user_clean(t: LedgerTables, window: Window, as_of: dt.date) -> DataFrame:

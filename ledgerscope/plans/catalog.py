@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerscope.operators import ledger, metrics, report, state, trend, users
 from ledgerscope.plans import params as P
-from ledgerscope.sources import store
+from ledgerscope.sources import fixtures, store
 from ledgerscope.sources.tables import LedgerTables, fixture_tables
 
 Builder = Callable[[LedgerTables], DataFrame]
@@ -90,4 +90,8 @@ def _store(t: LedgerTables) -> store.LedgerStore:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(build: Builder):
         return lambda spark, sf_dir: build(fixture_tables(spark, sf_dir))
-    return {k: bind(b) for k, b in registry().items()}
+    found = {k: bind(b) for k, b in registry().items()}
+    # F12 over spellings that the ledger's own users don't have
+    found["birth_dates_spelled"] = lambda spark, sf_dir: users.birth_dates(
+        fixtures.spark_views(spark, sf_dir)["fx_spelled"], P.AS_OF)
+    return found

@@ -376,6 +376,13 @@ def oracle_sql(inline_fixtures: bool = True) -> dict[str, str]:
     }
     for grain in ("day", "week", "month"):
         q[f"trend_{grain}"] = rows(_trend(grain))
+    formats = "['%Y-%m-%d', '%d/%m/%Y', '%d-%m-%Y', '%d.%m.%Y', '%Y%m%d', '%Y/%m/%d', '%B %d, %Y', '%d %b %Y']"
+    if inline_fixtures:
+        q["birth_dates_spelled"] = over(["fx_spelled"], [], f"""SELECT user_id, dob AS dob_text, CAST(day AS DATE) AS dob,
+  CAST(2024 - year(day) AS INTEGER) AS age,
+  CASE WHEN 2024 - year(day) BETWEEN 18 AND 77 THEN format('[{{}}, {{}})', 18 + 5 * ((2024 - year(day) - 18) // 5),
+       23 + 5 * ((2024 - year(day) - 18) // 5)) END AS age_group
+FROM (SELECT *, try_strptime(trim(dob), {formats}) AS day FROM fx_spelled) x""")
     # A ledger appended in batches gives what it gives at once.
     q |= {"general_metrics_batches": q["general_metrics"], "trend_week_batches": q["trend_week"],
           "trend_month_stored": q["trend_month"], "ledger_base_stored": q["ledger_base"],

@@ -84,6 +84,19 @@ SELECT user_key AS user_id, ts AS created_at FROM {fx_activity} WHERE event_type
 """,
     "fx_messages": """
 SELECT CAST(user_key AS VARCHAR(20)) AS user_ref, ts AS created_at FROM {fx_activity} WHERE event_type = 'view'
+""",
+    "fx_spelled": """
+SELECT c_custkey AS user_id,
+  CASE c_custkey % 8 WHEN 0 THEN y || '-' || mm || '-' || dd WHEN 1 THEN dd || '/' || mm || '/' || y
+       WHEN 2 THEN dd || '-' || mm || '-' || y WHEN 3 THEN dd || '.' || mm || '.' || y WHEN 4 THEN y || mm || dd
+       WHEN 5 THEN y || '/' || mm || '/' || dd WHEN 6 THEN ' ' || month_name || ' ' || CAST(d AS VARCHAR(2)) || ', ' || y
+       ELSE CASE WHEN c_custkey % 3 = 0 THEN 'unknown' ELSE dd || ' ' || SUBSTR(month_name, 1, 3) || ' ' || y END END AS dob
+FROM (SELECT c_custkey, CAST(1940 + c_custkey % 70 AS VARCHAR(4)) AS y, 1 + c_custkey % 28 AS d,
+        LPAD(CAST(1 + c_custkey % 12 AS VARCHAR(2)), 2, '0') AS mm, LPAD(CAST(1 + c_custkey % 28 AS VARCHAR(2)), 2, '0') AS dd,
+        CASE c_custkey % 12 WHEN 0 THEN 'January' WHEN 1 THEN 'February' WHEN 2 THEN 'March' WHEN 3 THEN 'April'
+             WHEN 4 THEN 'May' WHEN 5 THEN 'June' WHEN 6 THEN 'July' WHEN 7 THEN 'August' WHEN 8 THEN 'September'
+             WHEN 9 THEN 'October' WHEN 10 THEN 'November' ELSE 'December' END AS month_name
+      FROM {customer}) c
 """,
 }
 

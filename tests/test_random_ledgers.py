@@ -115,6 +115,10 @@ def _check(spark, seed, hot=False):
     for name, rows in data.items():
         con.register(FX[name], _arrow(rows, SCHEMAS[name]))
     sql = oracle_sql(inline_fixtures=False)
+    # its columns are the types of the data, and the statement names the fixture's; see test_trend_pivot
+    del sql["trend_pivot_present"]
+    if seed != 1:  # many jobs each; their own tests try them on other ledgers
+        sql = {k: v for k, v in sql.items() if not k.endswith(("_batches", "_stored")) and k != "mart_contents"}
     builders = catalog.registry()
     failures = []
     for key, text in sorted(sql.items()):
