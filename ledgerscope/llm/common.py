@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerscope.session import shared_dir
 
 # Text bytes that one vectorised step looks at; bounds numpy's temporaries.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,8 +108,8 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-_BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"),
-            ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"))
+_BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"),
+            ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"))
 
 
 def text_batches(spark: SparkSession) -> None:

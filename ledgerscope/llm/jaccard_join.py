@@ -201,6 +201,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc"), pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
                  pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc", "set", "tokens"])
+        give_back()
 
     sets = durable(wanted.mapInArrow(tokens, "doc long, set binary, tokens array<long>").dropDuplicates(
         ["doc", "set"]), "sets")
@@ -261,6 +262,7 @@ def _across(rows: DataFrame) -> DataFrame:
                 rest = rest.slice(int(ends[-1]) + 1)
         if rest is not None and rest.num_rows:
             yield pairs_of(rest)
+        give_back()
 
     def pairs_of(t: pa.Table) -> pa.RecordBatch:
         group = np.stack([np.asarray(t[c]).astype(np.int64) for c in ("key", "i", "j")])

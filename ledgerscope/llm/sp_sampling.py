@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from ledgerscope.llm.common import give_back, mix64, row_runs, text_buffer
 
 #: Segments whose forward pass one Python worker keeps (some 400 bytes each), and the longest of them.
-SEGMENTS_KEPT, LONGEST_KEPT = 120_000, 48
+SEGMENTS_KEPT, LONGEST_KEPT = 80_000, 48
 #: Text bytes that are sampled, and rows that are decoded at a time.
 RUN_BYTES, DECODED_ROWS = 1 << 20, 512
 ALPHA = 1.0
