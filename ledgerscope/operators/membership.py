@@ -47,3 +47,8 @@ def may_hold(words: Column, value: Column, bits: int) -> Column:
         word = F.get(words, F.shiftright(at, 6).cast("int"))
         test = test & (F.call_function("shiftrightunsigned", word, at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1)
     return test
+
+
+def kept(rows: DataFrame, words: Column, value: Column, bits: int) -> DataFrame:
+    """The rows whose ``value`` the filter may hold; the filter is computed once for them."""
+    return rows.withColumn("_members", words).where(may_hold(F.col("_members"), value, bits)).drop("_members")
