@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from ledgerscope.llm.common import durable, give_back, mix64, row_runs, signed, text_buffer
 from ledgerscope.llm.components import components
 from ledgerscope.llm.words import SPACED, grams, scan
-from ledgerscope.operators.membership import bits_for, bloom, may_hold
+from ledgerscope.operators.membership import bits_for, bloom, kept
 
 SHINGLE = 5
 PERCENT = 80
@@ -301,7 +301,7 @@ def _mixed(rows: DataFrame, value: str) -> DataFrame:
     ends = durable(rows.groupBy("key").agg(F.min(value).alias("least"), F.max(value).alias("most"))
                    .where("least < most").select("key", "least"), "shared-keys")
     bits = bits_for(ends.count())
-    return rows.where(may_hold(bloom(ends, "key", bits), F.col("key"), bits)).join(ends, "key")
+    return kept(rows, bloom(ends, "key", bits), F.col("key"), bits).join(ends, "key")
 
 
 def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerscope.llm.common import durable, run_folder
-from ledgerscope.operators.membership import bits_for, bloom, may_hold
+from ledgerscope.operators.membership import bits_for, bloom, kept
 
 LIMIT = 4096
 #: Words whose counts one Python worker remembers (some 150 MB).
@@ -125,7 +125,7 @@ def count_tokens(docs: DataFrame, model_file: str, cache_path: str, limit: int =
     if not stored.isEmpty():
         missing = durable(keyed.select("_digest").distinct().join(stored, "_digest", "left_anti"), "missing")
         bits = bits_for(missing.count())
-        texts = texts.where(may_hold(bloom(missing, "_digest", bits), F.col("_digest"), bits))
+        texts = kept(texts, bloom(missing, "_digest", bits), F.col("_digest"), bits)
         misses = texts.groupBy("_digest").agg(F.first("_text").alias("_text")).join(missing, "_digest", "left_semi")
     else:
         misses = texts.groupBy("_digest").agg(F.first("_text").alias("_text"))
