@@ -171,6 +171,96 @@ SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <
 FROM placed
 """
 
+_LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"
+_PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+          "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+_ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _pii_sql() -> str:
+    """Base spans by the plain patterns; the terms by counts of rows and texts, all in tables."""
+    found = " UNION ALL ".join(
+        f"SELECT r, text, '{kind}' AS kind, {k} AS k, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS g FROM doc"
+        for k, (kind, p) in enumerate(_PLAIN.items()))
+    bare = "part"
+    for kind in ("phone", "email", "ip"):
+        bare = f"regexp_replace({bare}, '{_PLAIN[kind]}', ' ', 'g')"
+    words = f"regexp_extract_all(translate({bare}, {_ASCII}), '{_LETTERS}{{3,}}')"
+    disclosed = "1 - ln(CAST({n} AS DOUBLE) / {of}) / ln(CAST(e.n AS DOUBLE) / (SELECT count(*) FROM doc))"
+    known = "e.n < (SELECT count(*) FROM doc)"
+    return rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_LOWERED} AS low FROM documents),
+found AS ({found}),
+run AS (
+  SELECT r, text, kind, k, value, digits, place AS start, place + length(value) AS stop
+  FROM (SELECT *, m[i] AS value, regexp_replace(m[i], '[^0-9]', '', 'g') AS digits,
+               CAST(list_sum([length(x) FOR x IN g[1:i]]) + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0) AS BIGINT) AS place
+        FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found))
+  WHERE kind <> 'card' OR length(digits) BETWEEN 14 AND 19),
+mention AS (
+  SELECT * FROM (
+    SELECT *, coalesce(lag(stop) OVER w, 0) AS before_at, coalesce(lead(start) OVER w, length(text)) AS after_at,
+           CASE kind WHEN 'email' THEN 'email:' || translate(value, {_ASCII}) WHEN 'ip' THEN 'ip:' || value
+                     ELSE kind || ':' || digits END AS entity
+    FROM run WINDOW w AS (PARTITION BY r, kind ORDER BY start))
+  WHERE CASE kind
+    WHEN 'email' THEN true
+    WHEN 'ip' THEN len([x FOR x IN string_split(value, '.') IF length(ltrim(x, '0')) > 3 OR CAST('0' || right(ltrim(x, '0'), 3) AS INT) > 255]) = 0
+    WHEN 'phone' THEN length(digits) BETWEEN 10 AND 15
+    ELSE list_sum([CASE WHEN j % 2 = 0 THEN CAST(substr(digits, length(digits) - j, 1) AS INT)
+                        ELSE CAST(substr(digits, length(digits) - j, 1) AS INT) * 2
+                             - CASE WHEN substr(digits, length(digits) - j, 1) > '4' THEN 9 ELSE 0 END END
+                   FOR j IN range(length(digits))]) % 10 = 0 END),
+side AS (
+  SELECT r, entity, true AS head, substr(text, before_at + 1, start - before_at) AS whole FROM mention
+  UNION ALL SELECT r, entity, false, substr(text, stop + 1, after_at - stop) FROM mention),
+cut AS (
+  SELECT r, entity, head, CASE WHEN length(whole) <= 160 THEN whole
+           WHEN head THEN regexp_replace(right(whole, 160), '^{_LETTERS}+', '')
+           ELSE regexp_replace(left(whole, 160), '{_LETTERS}+$', '') END AS part
+  FROM side),
+pair AS (
+  SELECT DISTINCT r, entity, term FROM (
+    SELECT r, entity, unnest(CASE WHEN head THEN list_reverse(words)[1:5] ELSE words[1:5] END) AS term
+    FROM (SELECT *, {words} AS words FROM cut)
+    UNION ALL SELECT r, entity, '' FROM mention)),
+counted AS (
+  SELECT entity, term, left(term, CAST(ceil(length(term) / 2) AS INT)) || '*' AS form, count(*) AS n, count(DISTINCT text) AS texts
+  FROM pair JOIN doc USING (r) GROUP BY ALL),
+word_rows AS (
+  SELECT term, left(term, CAST(ceil(length(term) / 2) AS INT)) || '*' AS form, count(*) AS n
+  FROM (SELECT DISTINCT r, unnest(regexp_extract_all(low, '{_LETTERS}{{3,}}')) AS term FROM doc) GROUP BY ALL),
+revealing AS (
+  SELECT c.entity, c.term
+  FROM counted c JOIN counted e ON e.entity = c.entity AND e.term = '' JOIN word_rows v ON v.term = c.term
+  WHERE c.term <> '' AND c.texts >= 3 AND {known} AND {disclosed.format(n='c.n', of='v.n')} >= 0.8),
+term_of AS (SELECT DISTINCT r, term FROM pair JOIN revealing USING (entity, term)),
+token AS (
+  SELECT r, m[i] AS term,
+         CAST(list_sum([length(x) FOR x IN g[1:i]]) + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0) AS BIGINT) AS start
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i
+        FROM (SELECT r, regexp_extract_all(low, '{_LETTERS}+') AS m, string_split_regex(low, '{_LETTERS}+') AS g
+              FROM doc WHERE r IN (SELECT r FROM term_of)))),
+span AS (
+  SELECT r, k, kind, start, stop FROM mention
+  UNION ALL
+  SELECT t.r, 4, 'term', t.start, t.start + length(t.term) FROM token t JOIN term_of USING (r, term)
+  WHERE NOT EXISTS (SELECT 1 FROM mention b WHERE b.r = t.r AND b.start < t.start + length(t.term) AND t.start < b.stop)),
+listed AS (
+  SELECT r, count(*) FILTER (WHERE k = 0) AS n_email, count(*) FILTER (WHERE k = 1) AS n_ip, count(*) FILTER (WHERE k = 2) AS n_card,
+         count(*) FILTER (WHERE k = 3) AS n_phone,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) FILTER (WHERE k < 4) AS base,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) AS spans
+  FROM span GROUP BY r)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
+       coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM doc LEFT JOIN listed USING (r)
+"""
+
+
+PII_SQL = _pii_sql()
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -197,5 +287,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc_zip": WARC_SQL,
         "op10_jaccard_join": JACCARD_SQL,
         "op11_fill_middle": FILL_MIDDLE_SQL,
+        "op12_pii_disclosure": PII_SQL,
         "op13_resampling": RESAMPLING_SQL,
     }

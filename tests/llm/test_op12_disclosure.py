@@ -232,3 +232,20 @@ def test_query(spark):
     for (doc, _), (b, s, _) in zip(rows, brute(rows)):
         assert tuple(got[doc]) == (doc, *[sum(x[3] == k for x in b) for k in KINDS],
                                    hashlib.sha256(line(b).encode()).hexdigest(), line(s))
+
+
+def test_sql_agrees_on_people_and_tricky_texts():
+    """The oracle's statement over planted people, against the brute-force version: terms and all."""
+    import duckdb
+    import pyarrow as pa
+    from ledgerscope.llm.queries import PII_SQL
+    short = [t for t in TRICKY if len(t) < 1000]
+    rows = corpus() + [(1000 + i, t) for i, t in enumerate(short)]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": pa.array([r[1] for r in rows], pa.string())}))
+    line = lambda spans: ",".join(f"{k}:{a}:{b}" for a, _, b, k, _ in spans)
+    want = [(doc, *[sum(x[3] == k for x in b) for k in KINDS], hashlib.sha256(line(b).encode()).hexdigest(), line(s))
+            for (doc, _), (b, s, _) in zip(rows, brute(rows))]
+    got = con.execute(PII_SQL).fetchall()
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert sum("term:" in r[-1] for r in got) > 20

@@ -191,3 +191,23 @@ def test_hits_are_places_in_the_text():
     scorer = Scorer({"terms": {"stupido": (5.0, False)}, "plain": set(), "weights": [0.0, 1.0, 1.0, 1.0]})
     (start, end, term, edits, _), = scorer.hits(text)
     assert text[start:end] == "STUPIDO" and (term, edits) == ("stupido", 0)
+
+
+def test_query_against_a_score_text_by_text(spark):
+    """Every row of the query again: the model of the learning folds, each text scored here."""
+    import zlib
+    from ledgerscope.llm.queries import queries
+    from ledgerscope.llm.toxicity import THRESHOLD, Scorer, fit
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
+    held = lambda doc: zlib.crc32(str(doc).encode()) % 4 == 2
+    learn = spark.createDataFrame([(r["doc_id"],) for r in docs.select("doc_id").collect() if not held(r["doc_id"])], "doc_id long")
+    scorer = Scorer(fit(docs.join(learn, "doc_id"), labels.join(learn, "doc_id")))
+    got = {r["doc_id"]: r for r in queries()["op2_toxicity"](spark, folder).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for doc, text in rows:
+        score = scorer.score(text)
+        assert abs(got[doc]["score"] - score) < 1e-9
+        assert (got[doc]["held_out"], got[doc]["predicted"]) == (held(doc), int(score >= THRESHOLD))

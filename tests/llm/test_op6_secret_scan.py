@@ -206,3 +206,28 @@ def test_long_runs_and_assignments_end_soon(spark):
              "password=\"" + "x" * 300_000, "-----BEGIN PRIVATE KEY-----" * 5_000, "1-" * 100_000]
     out = scan(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), [], None, path=None).collect()
     assert len(out) == len(texts)
+
+
+def test_query_against_brute_force(spark):
+    """Candidates by another regex engine, and each text masked again from its listed secrets."""
+    import hashlib
+    import regex
+    from ledgerscope.llm.queries import queries
+    from ledgerscope.llm.secret_scan import CANDIDATE
+    pattern = regex.compile(CANDIDATE)
+    folder = "/root/testdata/sf0.01"
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    masked = 0
+    for r in queries()["op6_secret_scan"](spark, folder).collect():
+        text, at, out = docs[r["doc_id"]], 0, ""
+        found = [(m, next(i for i in (2, 3, 4, 6, 8, 9) if m.group(i) is not None)) for m in pattern.finditer(text)]
+        assert r["n_candidates"] == len(found)
+        secrets = [s["candidate"] for s in r["secrets"]]
+        for m, group in found:
+            if secrets and m.group(group) == secrets[0]:
+                out += text[at:m.start(group)] + MASK
+                at = m.end(group)
+                secrets.pop(0)
+                masked += 1
+        assert not secrets and r["redacted_sha256"] == hashlib.sha256((out + text[at:]).encode()).hexdigest()
+    assert masked > 3
