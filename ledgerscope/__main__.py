@@ -10,6 +10,9 @@ deposit bounds in ``--bounds`` (built when missing or with ``--refresh-bounds``,
 refused when stale), and writes the window's report tables under ``--out``
 (default: ``<spark.checkpoint.dir>/report_mart``), replacing only that window's
 partitions.  Prints the mart's manifest.
+
+With ``--results`` the mart is looked up in that folder first and computed only if no run over the
+same files and arguments has stored it there (``operators.results``).
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import datetime as dt
 
 from ledgerscope.functions.periods import PRESETS, Window, preset_window
 from ledgerscope.operators import report
+from ledgerscope.operators.results import ResultStore
 from ledgerscope.session import build_session, shared_dir
 from ledgerscope.sources.tables import fixture_tables, parquet_tables
 
@@ -36,12 +40,16 @@ def main(argv=None) -> None:
     ap.add_argument("--fees", default=None, help="Parquet fee schedule; required with --tables")
     ap.add_argument("--bounds", default=None,
                     help="folder of the stored lifetime deposit bounds; built when missing")
+    ap.add_argument("--results", default=None,
+                    help="folder of stored results: reuse the mart of an earlier run over the same files")
     ap.add_argument("--refresh-bounds", action="store_true", help="build the bounds again")
     ap.add_argument("--local", action="store_true", help="run on local[*] instead of the cluster")
     args = ap.parse_args(argv)
 
     if args.tables and not args.fees:
         ap.error("--tables needs --fees")
+    if args.results and (args.out or args.bounds):
+        ap.error("--results goes without --out and --bounds")
     as_of = dt.date.fromisoformat(args.as_of) if args.as_of else dt.date.today()
     if args.preset:
         window = preset_window(args.preset, as_of)
@@ -55,6 +63,13 @@ def main(argv=None) -> None:
         t = parquet_tables(spark, args.tables, fees=spark.read.parquet(args.fees))
     else:
         t = fixture_tables(spark, args.fixture)
+    if args.results:
+        store = ResultStore(spark, args.results)
+        before = len(store.entries())
+        for name, df in report.mart_tables(t, window, as_of, store).items():
+            print(f"{name:22s} {window.start} .. {window.end} {df.count()} rows")
+        print(f"results: {store.root} ({'computed' if len(store.entries()) > before else 'reused'})")
+        return
     bounds = None
     if args.bounds:
         bounds = None if args.refresh_bounds else report.read_deposit_bounds(t, args.bounds)

@@ -130,3 +130,16 @@ def test_frames_without_files_are_computed_each_time(spark, tmp_path):
     assert report.reused("user_counts", t, store=store, window=W).first()["registered_users"] == 1
     assert store.entries() == {}
     assert report.reused("user_clean", fixture_tables(spark, SF), store=store, window=P.WINDOW, as_of=P.AS_OF).count() == 38
+
+
+def test_batch_job_reuses_results(spark, tmp_path, capsys):
+    from ledgerscope.__main__ import main
+    args = ["--fixture", SF, "--preset", "Last 30 Days", "--as-of", "2024-01-31", "--results", str(tmp_path / "r"), "--local"]
+    main(args)
+    first = capsys.readouterr().out
+    main(args)
+    second = capsys.readouterr().out
+    assert "(computed)" in first and "(reused)" in second
+    assert first.splitlines()[:-1] == second.splitlines()[:-1] and len(first.splitlines()) == len(report.MART_TABLES) + 1
+    with pytest.raises(SystemExit):
+        main([*args, "--out", "x"])
