@@ -64,7 +64,7 @@ class LedgerStore:
         return rows.drop("month").join(self.pairs.drop(*PAIR), KEYS, "left").drop(*KEYS)
 
 
-def _table(spark: SparkSession, root: str, run: str, kind: str) -> str:
+def _table(run: str, kind: str) -> str:
     return f"ledgerscope_{kind}_{run}"
 
 
@@ -72,12 +72,12 @@ def _save(df: DataFrame, root: str, run: str, kind: str, buckets: int, by: list[
     """``df`` bucketed by ``KEYS``.  Each bucket is written by one task a month at most, not by all tasks."""
     dealt = df.repartition(buckets, *[F.col(c) for c in KEYS])
     (dealt.write.format("parquet").partitionBy(*by).bucketBy(buckets, *KEYS).sortBy(*KEYS)
-     .option("path", f"{root}/{kind}/{run}").saveAsTable(_table(df.sparkSession, root, run, kind)))
+     .option("path", f"{root}/{kind}/{run}").saveAsTable(_table(run, kind)))
 
 
 def _open(spark: SparkSession, root: str, run: str, kind: str, buckets: int, ddl: str, by: list[str]) -> DataFrame:
     """The bucketed table of an earlier run, known to this session's catalog from then on."""
-    name = _table(spark, root, run, kind)
+    name = _table(run, kind)
     if not spark.catalog.tableExists(name):
         parts = f"PARTITIONED BY ({', '.join(by)})" if by else ""
         keys = ", ".join(KEYS)
@@ -122,7 +122,7 @@ def write_store(t: LedgerTables, root: str | None = None, buckets: int = BUCKETS
     salt = F.pmod(F.xxhash64("transaction_id"), _spread(heavy, 1)).cast("int")
     rows = rows.drop("pair").withColumn("salt", salt).withColumn("month", F.date_format("transaction_date", "yyyy-MM"))
     _save(rows, root, run, "ledger", buckets, ["month"])
-    ledger = spark.table(_table(spark, root, run, "ledger"))
+    ledger = spark.table(_table(run, "ledger"))
     pairs = _resolved_pairs(t, ledger, heavy)
     _save(pairs, root, run, "pairs", buckets, [])
     _publish(spark, root, {"ledger": run, "pairs": run, "buckets": buckets, "heavy": heavy,
