@@ -67,12 +67,14 @@ def _numbers(bare: Column) -> tuple[Column, Column]:
 
 
 def day_first_votes(c: Column) -> Column:
-    """+1 where a date of two numbers and a year can only have its day first, -1 where only its month, else 0."""
-    def vote(bare: Column) -> Column:
-        first, second = _numbers(bare)
-        return F.when((first > 12) & (second <= 12), 1).when((second > 12) & (first <= 12), -1).otherwise(0)
+    """+1 where a date of two numbers and a year can only have its day first, -1 where only its month, else 0.
 
-    return _once(strip(c.cast("string")), vote)
+    One match a sign on the text as it is: every row of the column votes, and few of them are such dates.
+    """
+    bare, space = c.cast("string"), f"{WHITESPACE}*"
+    over, upto = r"(?:1[3-9]|[2-9]\d)", r"(?:0?\d|1[0-2])"  # over 12; at most 12
+    return (F.when(bare.rlike(rf"^{space}{over}([/-]){upto}\1\d{{4}}{space}$"), 1)
+            .when(bare.rlike(rf"^{space}{upto}([/-]){over}\1\d{{4}}{space}$"), -1).otherwise(0))
 
 
 def birth_date(c: Column, day_first: Column | bool = False) -> Column:

@@ -52,3 +52,12 @@ def may_hold(words: Column, value: Column, bits: int) -> Column:
 def kept(rows: DataFrame, words: Column, value: Column, bits: int) -> DataFrame:
     """The rows whose ``value`` the filter may hold; the filter is computed once for them."""
     return rows.withColumn("_members", words).where(may_hold(F.col("_members"), value, bits)).drop("_members")
+
+
+def read_once(rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with ``_tested``, a struct of ``columns``, for tests that use a computed column often.
+
+    A test is moved below the column that it uses and has that column's whole expression in each of its uses:
+    at three places a key the filter becomes a method too long for the JVM to compile.  A generator's output stays.
+    """
+    return rows.withColumn("_tested", F.explode(F.array(F.struct(*columns))))

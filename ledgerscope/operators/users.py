@@ -23,7 +23,7 @@ from ledgerscope import reference_data as rd
 from ledgerscope.functions import text
 from ledgerscope.functions.periods import Window
 from ledgerscope.operators.ledger import PAIR, all_small, by_pair, facts, ledger
-from ledgerscope.operators.membership import bits_for, bloom, kept, may_hold
+from ledgerscope.operators.membership import bits_for, bloom, kept, may_hold, read_once
 from ledgerscope.sources.tables import LedgerTables
 
 
@@ -84,17 +84,18 @@ class CohortFilter:
         if self.words is None:
             few = F.broadcast(self.ids.select(F.col("user_id").alias("_cohort")))
             return rows.join(few, F.col(column) == F.col("_cohort"), "left_semi")
-        return kept(rows, self.words, F.col(column), self.bits)
+        return kept(read_once(rows, column), self.words, F.col(f"_tested.{column}"), self.bits).drop("_tested")
 
     def plans(self, rows: DataFrame) -> DataFrame:
-        test, names = F.lit(False), []
+        test, names = F.lit(False), ["_tested"]
+        rows = read_once(rows, *PAIR)
         for plans, key, column in ((self.t.plans, "plans", "plan_id"),
                                    (self.t.investment_plans, "investment_plans", "investment_plan_id")):
             own = self(plans.select("id", F.col("user_id").cast("string").alias("_user")), "_user")
             bits = bits_for(self.t.rows(key))
             names.append(f"_members_{key}")
             rows = rows.withColumn(names[-1], bloom(own, "id", bits))
-            test = test | may_hold(F.col(names[-1]), F.col(column), bits)
+            test = test | may_hold(F.col(names[-1]), F.col(f"_tested.{column}"), bits)
         return rows.where(test).drop(*names)
 
 

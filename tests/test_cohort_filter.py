@@ -62,6 +62,13 @@ def test_every_scan_is_filtered_before_the_first_exchange(spark, no_broadcast):
     assert main and filtered >= 4  # three activity tables and the transactions
 
 
+def test_a_computed_id_is_read_once_by_its_filter(spark, no_broadcast):
+    t = fixture_tables(spark, SF)  # the ids are computed by a rule with seven branches
+    for df in (users._user_insights(t, P.WINDOW), users._user_clean(t, P.WINDOW, P.AS_OF)):
+        tests = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "shiftrightunsigned" in x]
+        assert tests and not [x for x in tests if "FLOOR" in x]
+
+
 def test_both_paths_give_the_same(spark, no_broadcast):
     t = fixture_tables(spark, SF)
     large = sorted(map(repr, users._user_insights(t, P.WINDOW).collect()))
