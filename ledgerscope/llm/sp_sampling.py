@@ -47,7 +47,7 @@ ALPHA = 1.0
 _MARK, _LITERAL = "▁", "\ud800"  # a lone surrogate stands for a mark that the text holds itself
 _SEGMENT = re.compile(f"{_MARK}+[^{_MARK}]*")
 _TINY = 1e-100
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Longest segments that are filtered as columns, and how many at a time.
 _COLUMNS, _TOGETHER = 32, 1024
 _MOST = (1 << 32) - 1
@@ -77,20 +77,26 @@ class Lattices:
                 self.pieces[piece] = (i, (1.0 - score) ** -alpha if by_rank else float(np.exp(alpha * score)))
                 self.spelled.append(piece.replace(_MARK, " ").encode())
         self.longest = max(map(len, self.pieces))
-        # The same vocabulary for whole columns of segments: hashes of pieces, their ids and weights.
-        # An ASCII character that no piece spells is one byte piece and so stands among them.
+        # The same vocabulary for whole columns of segments: hashes of pieces and of their beginnings, with the ids
+        # of pieces (-1: a beginning only) and weights by id.  An ASCII character that no piece spells is one byte
+        # piece and so stands among them.
         lone = {chr(b): (self.bytes[b], 1.0) for b in range(128) if chr(b) not in self.pieces}
-        spread = max(16, (4 * len(self.pieces)).bit_length())
+        spelled = self.pieces | lone
+        begun = {p[:k] for p in spelled for k in range(1, len(p))}
+        spread = max(16, (3 * len(begun | spelled.keys())).bit_length())
         self.shift, size = np.uint64(64 - spread), 1 << spread
         self.hashes, self.hashed_id = np.zeros(size + 64, np.uint64), np.full(size + 64, -1, np.int32)
-        self.hashed_weight = np.zeros(size + 64)
-        for p, (i, w) in (self.pieces | lone).items():
+        self.weight = np.zeros(sp.get_piece_size())
+        for p in begun | spelled.keys():
             h = self._hash(p)
             slot = int(h >> self.shift)
-            while self.hashed_id[slot] >= 0:
+            while self.hashes[slot]:
                 slot += 1
-            self.hashes[slot], self.hashed_id[slot], self.hashed_weight[slot] = h, i, w
-        self.single = frozenset(p for p in self.pieces if len(p) == 1) | lone.keys()
+            self.hashes[slot] = h
+            if p in spelled:
+                self.hashed_id[slot], self.weight[spelled[p][0]] = spelled[p]
+        self.single = np.zeros(0x110000, bool)
+        self.single[[ord(p) for p in spelled if len(p) == 1]] = True
         self.known: dict[str, int] = {}
         self.final = np.zeros(1 << 16, np.int64)      # last node of each segment
         self.upto = np.zeros(1 << 18, np.uint32)      # largest draw that takes each edge or one before it
@@ -153,44 +159,56 @@ class Lattices:
         h = np.zeros(1, np.uint64)
         for c in piece:
             h = h * _BASE + np.uint64(ord(c) + 1)
-        return mix64(h ^ np.uint64(len(piece)))[0]
+        return (h * _SPREAD)[0]
 
-    def _forward_many(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """``_forward`` for segments of one length whose every character is a piece or a byte."""
-        n, length = len(segments), len(segments[0])
-        codes = np.frombuffer("".join(segments).encode("utf-32-le"), "<u4").reshape(n, length).astype(np.uint64) + 1
+    def _forward_many(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``_forward`` for segments of one length, a row of character codes each, all of them pieces or bytes."""
+        n, length = codes.shape
         width = min(length, self.longest)
-        ids = np.full((n, length + 1, width), -1, np.int32)  # [segment, end, start - first possible start]
-        weights = np.zeros((n, length + 1, width))
-        h = np.zeros((n, length), np.uint64)
+        padded = np.zeros((n, length + 1), np.uint64)  # a code of 0 ends what begins in a segment
+        padded[:, :length] = codes
+        padded[:, :length] += np.uint64(1)
+        padded = padded.ravel()
+        ids = np.full(n * (length + 1) * width, -1, np.int32)  # [segment, end, start - first possible start]
+        weights = np.zeros(ids.shape)
+        at = np.flatnonzero(padded)  # starts of what may still become a piece
+        h = np.zeros(len(at), np.uint64)
         for size in range(1, width + 1):
-            h = h[:, :length - size + 1] * _BASE + codes[:, size - 1:]
-            mixed = mix64(h ^ np.uint64(size))
-            slot = (mixed >> self.shift).astype(np.int64).ravel()
-            flat = mixed.ravel()
-            other = np.flatnonzero((self.hashes[slot] != flat) & (self.hashed_id[slot] >= 0))
+            h = h * _BASE + padded[at + (size - 1)]
+            mixed = h * _SPREAD
+            slot = (mixed >> self.shift).astype(np.int64)
+            there = self.hashes[slot]
+            other = np.flatnonzero((there != mixed) & (there != 0))
             while len(other):
                 slot[other] += 1
-                now = slot[other]
-                other = other[(self.hashes[now] != flat[other]) & (self.hashed_id[now] >= 0)]
-            slot = slot.reshape(mixed.shape)  # an empty place says that no piece has this hash
-            ids[:, size:, width - size] = self.hashed_id[slot]
-            weights[:, size:, width - size] = self.hashed_weight[slot]
+                now = self.hashes[slot[other]]
+                there[other] = now
+                other = other[(now != mixed[other]) & (now != 0)]
+            begun = np.flatnonzero(there == mixed)  # an empty place says that no piece begins like this
+            at, h = at[begun], h[begun]
+            if not len(at):
+                break
+            which = self.hashed_id[slot[begun]]
+            whole = np.flatnonzero(which >= 0)
+            place = (at[whole] + size) * width + (width - size)
+            ids[place] = which[whole]
+            weights[place] = self.weight[which[whole]]
+        weights = weights.reshape(n, length + 1, width)
         reached = np.zeros((n, length + 1))
         reached[:, 0] = 1.0
         for end in range(1, length + 1):
             first = max(0, end - width)
-            weights[:, end, width - end + first:] *= reached[:, first:end]
-            weights[:, end] = np.cumsum(weights[:, end], axis=1)
-            reached[:, end] = weights[:, end, -1]
-        there = ids >= 0
-        upto = weights / np.where(reached > 0, reached, 1.0)[:, :, None]
+            own = weights[:, end, width - end + first:]
+            own *= reached[:, first:end]
+            np.cumsum(own, axis=1, out=own)
+            reached[:, end] = own[:, -1]
+        edge = np.flatnonzero(ids >= 0)
+        node = edge // width
+        upto = weights.ravel()[edge] / reached.ravel()[node]
         draws = np.maximum((upto * 4294967296.0).astype(np.int64) - 1, 0)
-        last = width - 1 - np.argmax(there[:, :, ::-1], axis=2)
-        np.put_along_axis(draws, last[:, :, None], _MOST, axis=2)
-        starts = np.arange(length + 1)[:, None] - width + np.arange(width)
-        return (draws[there], np.broadcast_to(starts, ids.shape)[there].astype(np.int32), ids[there],
-                there.sum(axis=2).ravel())
+        draws[np.append(node[1:] != node[:-1], True)] = _MOST
+        starts = node % (length + 1) - width + (edge - node * width)
+        return draws, starts.astype(np.int32), ids[edge], np.bincount(node, minlength=n * (length + 1))
 
     def _room(self, name: str, n: int) -> None:
         array = getattr(self, name)
@@ -198,32 +216,50 @@ class Lattices:
             more = max(n, len(array) + len(array) // 4) - len(array)
             setattr(self, name, np.concatenate([array, np.zeros(more, array.dtype)]))
 
+    def _columns(self, segments: list[str]) -> Iterator[tuple[list[str], np.ndarray | None]]:
+        """The segments by length, with their character codes; None for those to be filtered one by one."""
+        segments = sorted(segments, key=len)
+        lengths = np.fromiter(map(len, segments), np.int64, len(segments))
+        few = int(np.searchsorted(lengths, _COLUMNS, side="right"))
+        codes = np.frombuffer("".join(segments[:few]).encode("utf-32-le", "surrogatepass"), "<u4")
+        at = np.concatenate(([0], np.cumsum(lengths)))
+        alone = segments[few:]
+        for length in np.unique(lengths[:few]).tolist():
+            lo, hi = np.searchsorted(lengths[:few], [length, length + 1]).tolist()
+            rows = codes[at[lo]:at[hi]].reshape(hi - lo, length)
+            plain = self.single[rows].all(axis=1)
+            group = segments[lo:hi]
+            if not plain.all():
+                alone += [group[i] for i in np.flatnonzero(~plain)]
+                group, rows = [group[i] for i in np.flatnonzero(plain)], rows[plain]
+            for i in range(0, len(group), _TOGETHER):
+                yield group[i:i + _TOGETHER], rows[i:i + _TOGETHER]
+        for i in range(0, len(alone), _TOGETHER):
+            yield alone[i:i + _TOGETHER], None
+
     def add(self, segments: list[str]) -> dict[str, int]:
         """Numbers of new segments, whose forward passes go to the end of the arrays."""
-        alike: dict[int, list[str]] = {}
-        for s in segments:
-            alike.setdefault(len(s) if len(s) <= _COLUMNS and self.single.issuperset(s) else 0, []).append(s)
         order: list[str] = []
         n = self.n_segments
-        for length, group in alike.items():
-            for i in range(0, len(group), _TOGETHER):
-                some, node = group[i:i + _TOGETHER], self.n_nodes
-                if length:
-                    upto, before, piece, into = self._forward_many(some)
-                    final = node + length + np.arange(len(some)) * (length + 1)
-                else:
-                    upto, before, piece, into, final, at = [], [], [], [], [], node
-                    for s in some:
-                        at += self._forward(s, upto, before, piece, into)
-                        final.append(at - 1)
-                m = self.n_edges
-                first = m + np.cumsum(into) - into
-                for name, values, to in (("final", final, n + len(order)), ("upto", upto, m), ("open", first, node),
-                                         ("before", before, m), ("piece", piece, m)):
-                    self._room(name, to + len(values))
-                    getattr(self, name)[to:to + len(values)] = values
-                order += some
-                self.n_segments, self.n_edges, self.n_nodes = n + len(order), m + len(upto), int(final[-1]) + 1
+        for some, codes in self._columns(segments):
+            node = self.n_nodes
+            if codes is not None:
+                length = codes.shape[1]
+                upto, before, piece, into = self._forward_many(codes)
+                final = node + length + np.arange(len(some)) * (length + 1)
+            else:
+                upto, before, piece, into, final, at = [], [], [], [], [], node
+                for s in some:
+                    at += self._forward(s, upto, before, piece, into)
+                    final.append(at - 1)
+            m = self.n_edges
+            first = m + np.cumsum(into) - into
+            for name, values, to in (("final", final, n + len(order)), ("upto", upto, m), ("open", first, node),
+                                     ("before", before, m), ("piece", piece, m)):
+                self._room(name, to + len(values))
+                getattr(self, name)[to:to + len(values)] = values
+            order += some
+            self.n_segments, self.n_edges, self.n_nodes = n + len(order), m + len(upto), int(final[-1]) + 1
         return dict(zip(order, range(n, n + len(order))))
 
     def sample(self, texts: list[str], row_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,15 +270,18 @@ class Lattices:
             parts.extend(own)
             counts.append(len(own))
         new = [p for p in set(parts) if p not in self.known]
-        new.sort(key=lambda p: len(p) > LONGEST_KEPT)
+        if len(self.known) < SEGMENTS_KEPT:
+            new.sort(key=lambda p: len(p) > LONGEST_KEPT)
         keep = [p for p in new[:max(0, SEGMENTS_KEPT - len(self.known))] if len(p) <= LONGEST_KEPT]
-        self.known.update(self.add(keep))
+        known = self.known
+        known.update(self.add(keep))
         mark = self.n_segments, self.n_edges, self.n_nodes
         passing = self.add(new[len(keep):])
-        known = self.known
-        numbers = [known[p] if p in known else passing[p] for p in parts] if passing else list(
-            map(known.__getitem__, parts))
-        drawn = self._backward(np.array(numbers, np.int64), np.array(counts, np.int64), row_keys)
+        known.update(passing)
+        numbers = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+        for p in passing:
+            del known[p]
+        drawn = self._backward(numbers, np.array(counts, np.int64), row_keys)
         self.n_segments, self.n_edges, self.n_nodes = mark  # the others were for this run only
         return drawn
 

@@ -82,6 +82,41 @@ def test_columns_equal_one_by_one(tool, monkeypatch):
     assert all(edges(fast, a[w]) == edges(slow, b[w]) for w in words)
 
 
+def slots(tool, text):
+    h = tool._hash(text)
+    slot = int(h >> tool.shift)
+    while tool.hashes[slot] not in (h, 0):
+        slot += 1
+    return tool.hashes[slot] == h, int(tool.hashed_id[slot])
+
+
+def test_columns_look_up_only_what_begins_a_piece(tool):
+    some = sorted(tool.pieces)[::97]
+    for p in some:
+        assert slots(tool, p) == (True, tool.pieces[p][0])
+        for k in range(1, len(p)):  # a beginning is found, so that its longer ones are tried
+            assert slots(tool, p[:k]) == (True, tool.pieces.get(p[:k], (-1,))[0])
+    assert not slots(tool, "\ufffe\uffff")[0]
+
+
+def test_odd_segments_equal_one_by_one(monkeypatch):
+    odd = ["▁", "▁▁▁", "▁\x00", "▁a\x7f", "▁" + sp_sampling._LITERAL, "▁é", "▁\U0010ffff", "▁日本語", "▁" + "x" * 31, "▁" + "x" * 32,
+           "▁the", "▁" + "ab" * 40, "▁a\n\tb", "▁qzxj"]
+    fast, slow = Lattices(MODEL), Lattices(MODEL)
+    a = fast.add(odd)
+    monkeypatch.setattr(sp_sampling, "_COLUMNS", 0)
+    b = slow.add(odd)
+    assert a.keys() == b.keys() == set(odd)
+
+    def edges(x, i):
+        at = int(x.final[i - 1]) + 1 if i else 0
+        into = np.append(x.open[at:int(x.final[i]) + 1], x.open[int(x.final[i]) + 1] if i + 1 < x.n_segments else x.n_edges)
+        lo, hi = int(into[0]), int(into[-1])
+        return (into - lo).tolist(), x.before[lo:hi].tolist(), x.piece[lo:hi].tolist(), x.upto[lo:hi].tolist()
+
+    assert all(edges(fast, a[w]) == edges(slow, b[w]) for w in odd)
+
+
 def test_frames(spark):
     docs = documents(spark, extra=True)
     rows = decode_pieces(sample_pieces(docs, MODEL, verify=True), MODEL).collect()
