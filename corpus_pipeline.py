@@ -60,24 +60,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document is its id and its text; of a component's documents with an id, the first by these stays."""
     text_batches(spark)
+    size = docs.count()
     members = durable(jaccard_members(docs.select("doc_id", "text")).where("doc_id IS NOT NULL").select(
-        "doc_id", F.coalesce("text_digest", F.lit(b"")).alias("_text"), "root"), "members")
+        "doc_id", F.coalesce("text_digest", F.lit(b"")).alias("_text"), "root"), "members", size)
     linked = members.where("root IS NOT NULL").distinct()
     first = linked.groupBy("root").agg(F.min(F.struct("doc_id", "_text")).alias("stays"))
     gone = linked.join(first, "root").where("struct(doc_id, _text) <> stays").select("doc_id", "_text")
     again = members.groupBy("doc_id", "_text").count().where("count > 1").select("doc_id", "_text")
     keyed = docs.withColumn("_text", F.coalesce(text_digest(F.col("text")), F.lit(b"")))
-    left = keyed.join(_few(gone), ["doc_id", "_text"], "left_anti")
-    again = durable(again, "repeats")
+    left = keyed.join(_few(gone, size), ["doc_id", "_text"], "left_anti")
+    again = durable(again, "repeats", size)
     if again.isEmpty():
         return left.select(docs.columns)
-    once = left.join(_few(again), ["doc_id", "_text"], "left_semi").dropDuplicates(["doc_id", "_text"])
-    return left.join(_few(again), ["doc_id", "_text"], "left_anti").select(docs.columns).union(once.select(docs.columns))
+    once = left.join(_few(again, size), ["doc_id", "_text"], "left_semi").dropDuplicates(["doc_id", "_text"])
+    return left.join(_few(again, size), ["doc_id", "_text"], "left_anti").select(docs.columns).union(once.select(docs.columns))
 
 
-def _few(keys: DataFrame) -> DataFrame:
-    """``keys``, written; broadcast while they are at most ``BROADCAST_KEYS``."""
-    keys = durable(keys, "keys")
+def _few(keys: DataFrame, rows: int) -> DataFrame:
+    """``keys``, about ``rows`` at most, written; broadcast while they are at most ``BROADCAST_KEYS``."""
+    keys = durable(keys, "keys", rows)
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 

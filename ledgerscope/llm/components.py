@@ -12,17 +12,17 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """``node, root`` for every node of ``a, b`` edges; the root is the smallest node reached.
 
     Each round links every node's larger neighbours to its smallest one, then
     its smaller ones; a component is a star after about log(size) rounds.
     Every round is written to the shared folder.  A node's neighbours are
     never gathered: its smallest is an aggregate, joined back, and AQE splits a
-    node that many edges share.
+    node that many edges share.  ``rows``: about how many edges, if known (``durable``).
     """
     pair = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
-    now = durable(edges.where("a <> b").select(*pair).distinct(), "edges")
+    now = durable(edges.where("a <> b").select(*pair).distinct(), "edges", rows)
     mark = _mark(now)
     while mark[0]:
         both = now.union(now.select("b", "a"))
@@ -32,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(least, "a")
         small = joined.select("a", F.col("m").alias("b")).union(
             joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        now = durable(small, "edges")
+        now = durable(small, "edges", mark[0])
         before, mark = mark, _mark(now)
         if mark == before:
             break

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import durable, give_back, mix64, row_runs, text_buffer
+from ledgerscope.llm.common import durable, give_back, mix64, put_away, row_runs, text_buffer
 from ledgerscope.llm.words import ALNUM, grams, scan
 
 WINDOW = 10
@@ -211,6 +211,7 @@ def _pass(docs: DataFrame, items: pa.Table, text: str, earlier: bool) -> DataFra
     spans_type = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        put_away()
         block = index.value
         for batch in (whole.slice(lo, ROWS) for whole in batches for lo in range(0, whole.num_rows, ROWS)):
             raw, offsets = text_buffer(batch.column(text))

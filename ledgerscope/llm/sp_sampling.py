@@ -36,12 +36,12 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import give_back, mix64, row_runs, text_buffer
+from ledgerscope.llm.common import give_back, mix64, row_runs, text_buffer, tool
 
 #: Segments whose forward pass one Python worker keeps (some 400 bytes each), and the longest of them.
 SEGMENTS_KEPT, LONGEST_KEPT = 80_000, 48
 #: Text bytes that are sampled, and rows that are decoded at a time.
-RUN_BYTES, DECODED_ROWS = 1 << 20, 512
+RUN_BYTES, DECODED_ROWS = 1 << 18, 512
 ALPHA = 1.0
 
 _MARK, _LITERAL = "▁", "\ud800"  # a lone surrogate stands for a mark that the text holds itself
@@ -315,14 +315,9 @@ class Lattices:
         return out, np.bincount(row, weights=lengths, minlength=len(counts)).astype(np.int64)
 
 
-_lattices: dict[tuple, Lattices] = {}
-
-
 def lattices(model_file: str, alpha: float, by_rank: bool) -> Lattices:
     """One set of lattices a Python worker and model, kept between tasks."""
-    if (model_file, alpha, by_rank) not in _lattices:
-        _lattices[model_file, alpha, by_rank] = Lattices(model_file, alpha, by_rank)
-    return _lattices[model_file, alpha, by_rank]
+    return tool(("lattices", model_file, alpha, by_rank), lambda: Lattices(model_file, alpha, by_rank))
 
 
 def _schema(df: DataFrame, without: list[str], added: str) -> tuple[list[str], str]:
@@ -347,14 +342,14 @@ def sample_pieces(docs: DataFrame, model_file: str, seed: int = 0, key: str = "d
     columns, schema = _schema(docs, added, "pieces array<int>" + ", lossless boolean" * verify)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = lattices(model_file, alpha, by_rank)
-        spelled = np.array(tool.spelled, object)
+        sampler = lattices(model_file, alpha, by_rank)
+        spelled = np.array(sampler.spelled, object)
         for batch in batches:
             _, offsets = text_buffer(batch.column(text))
             keys = np.asarray(batch.column("_key")).astype(np.int64).view(np.uint64)
             for lo, hi in row_runs(offsets, RUN_BYTES):
                 texts = [t or "" for t in batch.column(text).slice(lo, hi - lo).to_pylist()]
-                ids, counts = tool.sample(texts, keys[lo:hi])
+                ids, counts = sampler.sample(texts, keys[lo:hi])
                 ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
                 made = [pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))]
                 if verify:

@@ -128,3 +128,47 @@ def test_run(spark, stages):
     assert len(new) == 1 and new.pop().startswith("pipeline-sentencepiece")
     assert [spark.conf.get(k, None) for k in keys] == conf
     assert sorted(rows(got, "doc_id", "n_pieces")) == sorted(rows(stages[-1][1], "doc_id", "n_pieces"))
+
+
+def test_few_files_where_the_session_joins_no_partitions(spark, stages):
+    """Each written file costs a process of the executor; a join's small steps are not written in a file a partition."""
+    import glob
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "48"}
+    kept = {key: spark.conf.get(key) for key in settings}
+    before, after = stages[1]
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        with common.passing(spark) as folders:
+            got = sorted(rows(pipeline.jaccard_join(spark, before, DIR), *before.columns))
+            files = [len(glob.glob(f"{folder.removeprefix('file:')}/part-*")) for folder in folders]
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+    assert got == sorted(rows(after, *after.columns))
+    assert len(files) > 10 and max(files) <= max(spark.sparkContext.defaultParallelism, before.rdd.getNumPartitions())
+
+
+def test_files_grow_with_the_rows(spark):
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "48"}
+    kept = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        assert common._files(spark, 0) == spark.sparkContext.defaultParallelism
+        assert common._files(spark, 20 * common.ROWS_A_FILE) == 20
+        assert common._files(spark, 48 * common.ROWS_A_FILE) is None
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+    assert common._files(spark, 0) is None
+
+
+def test_a_worker_keeps_one_tool(monkeypatch):
+    monkeypatch.setattr(common, "_tools", {})
+    first = common.tool(("one", 1), list)
+    assert common.tool(("one", 1), list) is first
+    other = common.tool(("two", 1), list)
+    assert other is not first and list(common._tools) == [("two", 1)]
+    common.put_away()
+    assert not common._tools
