@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from ledgerscope.llm.common import durable
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _state(edges: DataFrame) -> tuple[int, bool]:
+    """How many different edges ``a > b`` there are, and whether each component is a star around its smallest node."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select("b", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    count, other = nodes.agg(F.sum("up"), F.max(F.expr("up > 1 OR up = 1 AND down > 0"))).first()
+    return count or 0, not other
 
 
 def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
@@ -23,8 +28,8 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """
     pair = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
     now = durable(edges.where("a <> b").select(*pair).distinct(), "edges", rows)
-    mark = _mark(now)
-    while mark[0]:
+    count, stars = _state(now)
+    while not stars:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -32,9 +37,7 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
         joined = large.join(least, "a")
         small = joined.select("a", F.col("m").alias("b")).union(
             joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        now = durable(small, "edges", mark[0])
-        before, mark = mark, _mark(now)
-        if mark == before:
-            break
+        now = durable(small, "edges", count)
+        count, stars = _state(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

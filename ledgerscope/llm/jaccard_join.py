@@ -37,7 +37,7 @@ documents; other columns pass through, except ones named like a result column.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import durable, give_back, mix64, put_away, row_runs, signed, text_buffer
+from ledgerscope.llm.common import durable, give_back, holding, mix64, put_away, row_runs, signed, text_buffer
 from ledgerscope.llm.components import components
 from ledgerscope.llm.words import SPACED, grams, scan
 from ledgerscope.operators.membership import bits_for, bloom, kept
@@ -68,6 +68,8 @@ SHARED_KEYS, WIDE = 8, 64
 
 _ONE = np.uint64(1)
 
+Hold = Callable[[DataFrame], DataFrame]
+
 
 def token_sets(column) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text of an Arrow string column."""
@@ -182,7 +184,7 @@ def _hamming(pairs: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, text: str, size: int) -> DataFrame:
-    """Links ``a, b`` between the sets of the document pairs ``x, y`` that pass the exact test; ``size`` as in ``_across``."""
+    """Links ``a, b`` between the sets of the document pairs ``x, y``, about ``size``, that pass the exact test."""
     pairs = durable(pairs.distinct(), "pairs", size)
     ids = pairs.select(F.col("x").alias("doc")).union(pairs.select("y")).distinct()
     texts = ids.count()
@@ -208,7 +210,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, size: int) -> DataFr
         give_back()
 
     sets = durable(wanted.mapInArrow(tokens, "doc long, set binary, tokens array<long>").dropDuplicates(
-        ["doc", "set"]), "sets", texts * WIDE)
+        ["doc", "set"]), "sets", texts * WIDE, wide=True)
     side = lambda end, name: sets.select(
         F.col("doc").alias(end), F.col("set").alias(name), F.col("tokens").alias(f"{name}_tokens"))
     common = F.size(F.array_intersect("a_tokens", "b_tokens"))
@@ -217,7 +219,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, size: int) -> DataFr
             .where((F.col("a") != F.col("b")) & (100 * common >= PERCENT * whole)).select("a", "b"))
 
 
-def _meetings(rows: DataFrame, size: int) -> DataFrame:
+def _meetings(rows: DataFrame, hold: Hold) -> DataFrame:
     """``rows`` once for each block of their bucket that they are compared with: ``i, j`` name the two blocks, ``own``
     the row's.
 
@@ -225,7 +227,7 @@ def _meetings(rows: DataFrame, size: int) -> DataFrame:
     members of other roots share blocks, which meet all.  Members are dealt into blocks by hash, so no
     task numbers a bucket.
     """
-    sizes = durable(rows.groupBy("key", "root").agg(F.count("*").alias("size")), "bucket-roots", size)
+    sizes = hold(rows.groupBy("key", "root").agg(F.count("*").alias("size")))
     large = F.col("size") >= F.lit(BLOCK / 2)
     kinds = sizes.withColumn("kind", F.when(large, F.col("root"))).groupBy("key", "kind").agg(F.sum("size").alias("size"))
     blocks = kinds.select("key", "kind", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
@@ -242,15 +244,15 @@ def _meetings(rows: DataFrame, size: int) -> DataFrame:
                          "root", "bits", "lows")
 
 
-def _across(rows: DataFrame, size: int) -> DataFrame:
+def _across(rows: DataFrame, hold: Hold) -> DataFrame:
     """Pairs of members of one bucket that are in different components and near by sketch.
 
-    ``rows``: ``key, doc, n, bits, root, lows``, about ``size`` of them.  Each two blocks of a bucket that may hold such pairs
+    ``rows``: ``key, doc, n, bits, root, lows``.  Each two blocks of a bucket that may hold such pairs
     meet in a group of their own (``_meetings``), so a group is bounded.  Near members share many keys;
     a bucket leaves a pair to one of a smaller key that ``lows`` show both to have.
     """
     spark = rows.sparkSession
-    met = _meetings(rows, size)
+    met = _meetings(rows, hold)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = met.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
@@ -296,32 +298,26 @@ def _across(rows: DataFrame, size: int) -> DataFrame:
     return dealt.mapInArrow(compare, "x long, y long")
 
 
-def _mixed(rows: DataFrame, value: str, size: int) -> DataFrame:
+def _mixed(rows: DataFrame, value: str, keep: Hold) -> DataFrame:
     """The rows of keys with more than one ``value``, with the smallest as ``least``.
 
-    An aggregate a key, written and joined back: AQE splits a key that a large part of all rows share.  Rows of
+    An aggregate a key, kept by ``keep`` and joined back: AQE splits a key that a large part of all rows share.  Rows of
     other keys, nearly all, are dropped by a membership filter before they would be shuffled again.
     """
-    ends = durable(rows.groupBy("key").agg(F.min(value).alias("least"), F.max(value).alias("most"))
-                   .where("least < most").select("key", "least"), "shared-keys", size)
+    ends = keep(rows.groupBy("key").agg(F.min(value).alias("least"), F.max(value).alias("most"))
+                .where("least < most").select("key", "least"))
     bits = bits_for(ends.count())
     return kept(rows, bloom(ends, "key", bits), F.col("key"), bits).join(ends, "key")
 
 
-def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the text, with ``n_shingles, component_id``."""
-    return jaccard_members(docs, doc_id, text).select("doc_id", "n_shingles", "component_id")
-
-
-def jaccard_members(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, text_digest, n_shingles, component_id, root``; ``root`` names the component whatever ids its
-    documents have, null for an empty set."""
-    sketched = durable(_sketched(docs, doc_id, text), "sketches")
+def _roots(sketched: DataFrame, docs: DataFrame, text: str, hold: Hold) -> DataFrame:
+    """``node, root`` of the sets that are linked with others."""
     size = sketched.count() * SHARED_KEYS
     about = sketched.where("n > 0").select("doc", "n", "set", "bits").dropDuplicates(
         ["doc", "set"])
-    buckets = durable(_mixed(sketched.select("doc", F.explode("keys").alias("key")), "doc", size).select(
-        "key", "doc", "least"), "buckets", size)
+    # Written, not held: all keys were shuffled for it.
+    shared = _mixed(sketched.select("doc", F.explode("keys").alias("key")), "doc", lambda ends: durable(ends, "shared-keys", size))
+    buckets = durable(shared.select("key", "doc", "least"), "buckets", size)
 
     def end(name: str) -> DataFrame:
         return about.select(F.col("doc").alias(name), F.col("n").alias(f"n_{name}"),
@@ -329,20 +325,32 @@ def jaccard_members(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     star = buckets.where("least < doc").select(F.col("least").alias("x"), F.col("doc").alias("y")).distinct()
     star = star.join(end("y"), "y").join(end("x"), "x").where("set_x <> set_y")
-    links = durable(_verified(_hamming(star.select("x", "y", "n_x", "n_y", "bits_x", "bits_y")),
-                              docs, text, size), "links", size)
-    stars = components(links, size)
-    rooted = durable(about.select("doc", "set").join(stars, F.col("set") == F.col("node"), "left").select(
-        "doc", F.xxhash64(F.coalesce("root", "set")).alias("root")), "roots", size)
-    mixed = _mixed(durable(buckets.select("key", "doc").join(rooted, "doc"), "rooted", size), "root", size)
+    stars = components(_verified(_hamming(star.select("x", "y", "n_x", "n_y", "bits_x", "bits_y")),
+                                 docs, text, size), size)
+    rooted = about.select("doc", "set").join(stars, F.col("set") == F.col("node"), "left").select(
+        "doc", F.xxhash64(F.coalesce("root", "set")).alias("root"))
+    mixed = _mixed(hold(buckets.select("key", "doc").join(rooted, "doc")), "root", hold)
     mixed = durable(mixed.select("key", "doc", "root"), "mixed", size)
     none = F.array_repeat(F.lit((1 << 63) - 1).cast("long"), LOW_KEYS)
     lows = mixed.groupBy("doc").agg(F.slice(F.concat(F.sort_array(F.collect_set("key")), none), 1, LOW_KEYS).alias("lows"))
     mixed = mixed.join(about.select("doc", "n", "bits").join(lows, "doc"), "doc").select(
         "key", "doc", "n", "bits", "root", "lows")
-    more = _verified(_across(mixed, size), docs, text, size)
+    more = _verified(_across(mixed, hold), docs, text, size)
     # A star of the first components joins the same nodes as the links that made it.
-    roots = components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), size)
+    return components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), size)
+
+
+def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the text, with ``n_shingles, component_id``."""
+    return jaccard_members(docs, doc_id, text).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_members(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, text_digest, n_shingles, component_id, root``; ``root`` names the component whatever ids its
+    documents have, null for an empty set."""
+    sketched = durable(_sketched(docs, doc_id, text), "sketches")
+    with holding() as hold:
+        roots = _roots(sketched, docs, text, hold)
 
     least = sketched.where("n > 0").groupBy("set").agg(F.min("id").alias("id"))
     of = least.join(roots, F.col("set") == F.col("node"), "left").select(

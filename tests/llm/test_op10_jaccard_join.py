@@ -129,6 +129,30 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert all(got[i] == 100 for i in range(100, 161)) and all(got[i] == 7 for i in range(1000, 1040)) and 5 not in got
 
 
+def test_a_star_is_written_once(spark):
+    from ledgerscope.llm.common import passing
+    with passing(spark) as folders:
+        got = components(spark.createDataFrame([(1, i) for i in range(2, 30)] + [(40, 41)], "a long, b long"))
+        assert len(folders) == 1 and {r["node"]: r["root"] for r in got.collect()} == {
+            **dict.fromkeys(range(1, 30), 1), 40: 40, 41: 40}
+        assert components(spark.createDataFrame([(3, 3), (None, 4)], "a long, b long")).count() == 0
+
+
+def test_writes_few_folders_and_frees_what_it_held(spark):
+    """Only what is read after the join, or in a round, is written."""
+    from ledgerscope.llm.common import passing
+    rng = random.Random(5)
+    base = prose(rng, 60)
+    rows = [(1, base), (2, base + " more"), (3, base + " other end"), (4, prose(rng, 60)), (5, None)]
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    with passing(spark) as folders:
+        assert [c for _, _, c in sorted(classes(spark, rows))] == [1, 1, 1, 4, 5]
+        names = [folder.rsplit("/", 1)[1].rsplit("-", 1)[0] for folder in folders]
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
+    assert sorted(n for n in names if n != "edges") == [
+        "buckets", "mixed", "pairs", "pairs", "sets", "sets", "shared-keys", "sketches"]
+
+
 def test_a_large_group_makes_few_pairs(spark, monkeypatch):
     """300 near copies meet their bucket's smallest member, not each other."""
     rng = random.Random(8)

@@ -164,6 +164,26 @@ def test_files_grow_with_the_rows(spark):
     assert common._files(spark, 0) is None
 
 
+def test_known_rows_in_few_files_and_no_marker(spark):
+    """Where the session joins small partitions, files go by size, not by the partitions of the step."""
+    import glob
+    import os
+    with common.passing(spark) as folders:
+        got = common.durable(spark.range(1000).repartition(40), "narrow", 1000)
+        path = folders[0].removeprefix("file:")
+        assert sorted(r["id"] for r in got.collect()) == list(range(1000))
+        assert len(glob.glob(f"{path}/part-*")) <= spark.sparkContext.defaultParallelism
+        assert not os.path.exists(f"{path}/_SUCCESS")
+
+
+def test_held_until_the_end(spark):
+    persistent = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    before = persistent()
+    with common.holding() as hold:
+        assert hold(spark.range(10)).where("id > 3").count() == 6 and persistent() == before + 1
+    assert persistent() == before
+
+
 def test_a_worker_keeps_one_tool(monkeypatch):
     monkeypatch.setattr(common, "_tools", {})
     first = common.tool(("one", 1), list)
