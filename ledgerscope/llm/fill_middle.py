@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import give_back, row_runs, table, text_batches, text_buffer
+from ledgerscope.llm.common import give_back, joined, row_runs, table, text_batches, text_buffer
 
 #: Most code points by which a segment's chord may miss a boundary; a residual is two bytes.
 BOUND = 1023
@@ -212,7 +212,7 @@ def restore(output: Column, form: Column, marks: Marks = Marks()) -> Column:
 
 
 def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = joined(table(spark, sf_dir, "documents").select("doc_id", "text"))
     out = fill_in_middle(docs)
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
                       F.sha2("output", 256).alias("output_sha256"),

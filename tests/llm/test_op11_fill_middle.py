@@ -129,3 +129,49 @@ def test_query(spark):
     for doc, text in rows:
         n, form, p, m, output = brute(doc, text)
         assert tuple(got[doc]) == (doc, n, form, p, m, sha(output), sha(text))
+
+
+def test_small_cuts_of_files_are_read_together(spark, tmp_path):
+    """Each written file costs a process of the executor; cuts of a few KB don't become tasks, and so files, of their own."""
+    import glob
+    from ledgerscope.llm import common
+    from ledgerscope.llm.fill_middle import op11_fill_middle
+    key, folder, out = "spark.sql.files.maxPartitionBytes", str(tmp_path / "tables"), str(tmp_path / "out")
+    rows = [(i, t) for i, t in enumerate(texts())]
+    spark.createDataFrame(rows, SCHEMA).repartition(24).write.parquet(f"{folder}/documents.parquet")
+    kept, opened = spark.conf.get(key), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set(key, "4k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "4k")
+        table = common.table(spark, folder, "documents")
+        assert table.rdd.getNumPartitions() >= 24
+        assert common.joined(table).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+        op11_fill_middle(spark, folder).write.parquet(out)
+    finally:
+        spark.conf.set(key, kept)
+        spark.conf.set("spark.sql.files.openCostInBytes", opened)
+    assert len(glob.glob(f"{out}/part-*")) <= spark.sparkContext.defaultParallelism
+    got = {r["doc_id"]: r for r in spark.read.parquet(out).collect()}
+    assert len(got) == len(rows)
+    for doc, text in rows:
+        n, form, p, m, output = brute(doc, text)
+        assert (got[doc]["n"], got[doc]["form"], got[doc]["prefix_chars"], got[doc]["middle_chars"]) == (n, form, p, m)
+        assert got[doc]["output_sha256"] == hashlib.sha256(output.encode()).hexdigest()
+
+
+def test_tasks_grow_with_the_files(spark, monkeypatch):
+    """Whole rounds of the cores, and no task of more than about ``TASK_BYTES`` of cuts."""
+    from ledgerscope.llm import common
+    key, cores = "spark.sql.files.maxPartitionBytes", spark.sparkContext.defaultParallelism
+    kept = spark.conf.get(key)
+    cuts = spark.range(1000, numPartitions=40 * cores)
+    try:
+        spark.conf.set(key, "1MB")
+        monkeypatch.setattr(common, "TASK_BYTES", 30 << 20)
+        assert common.joined(cuts).rdd.getNumPartitions() == 2 * cores
+        monkeypatch.setattr(common, "TASK_BYTES", 1 << 20)
+        assert common.joined(cuts) is cuts
+    finally:
+        spark.conf.set(key, kept)
+    assert common.joined(cuts) is cuts
+    assert [common._bytes(x) for x in ("16m", "1MB", "134217728b", "512", "2GiB")] == [16 << 20, 1 << 20, 128 << 20, 512, 2 << 30]
