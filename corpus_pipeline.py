@@ -2,7 +2,7 @@
 
 ``STAGES`` are ``(name, function)``; a function takes ``(spark, docs, sf_dir)`` and
 returns a DataFrame, which ``run`` writes as Parquet in the shared folder and reads
-again as the next one's ``docs``.  All stages but the last return the columns of
+again as the next one's ``docs``; ``docs`` are read from files (``joined``).  All stages but the last return the columns of
 ``docs``.
 
 1. language_id: documents whose language can't be told go.
@@ -26,7 +26,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import durable, passing, settings_kept, table, text_batches
+from ledgerscope.llm.common import durable, joined, passing, settings_kept, table, text_batches
 from ledgerscope.llm.decontamination import decontaminate
 from ledgerscope.llm.jaccard_join import jaccard_members, text_digest
 from ledgerscope.llm.language_id import fit_table, fold_of, identify
@@ -53,6 +53,7 @@ def _columns(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text_batches(spark)
+    docs = joined(docs)
     model = fit_table(docs.where(fold_of("doc_id", 5) != 0))
     return _columns(identify(_apart(docs), model).where("NOT rejected"), docs)
 
@@ -60,7 +61,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document is its id and its text; of a component's documents with an id, the first by these stays."""
     text_batches(spark)
-    size = docs.count()
+    docs, size = joined(docs), docs.count()
     members = durable(jaccard_members(docs.select("doc_id", "text")).where("doc_id IS NOT NULL").select(
         "doc_id", F.coalesce("text_digest", F.lit(b"")).alias("_text"), "root"), "members", size)
     linked = members.where("root IS NOT NULL").distinct()
@@ -84,12 +85,12 @@ def _few(keys: DataFrame, rows: int) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text_batches(spark)
-    out = decontaminate(_apart(docs), table(spark, sf_dir, "benchmark"))
+    out = decontaminate(_apart(joined(docs)), table(spark, sf_dir, "benchmark"))
     return _columns(out.where("NOT contaminated"), docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = scan_secrets(_apart(docs)).withColumn("text", F.col("redacted"))
+    out = scan_secrets(_apart(joined(docs))).withColumn("text", F.col("redacted"))
     if "n_chars" in docs.columns:
         out = out.withColumn("_own_n_chars", F.when(F.size("secrets") > 0, F.length("text").cast("long")).otherwise(
             F.col("_own_n_chars")))
@@ -99,7 +100,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text_batches(spark)
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return sample_pieces(docs.select("doc_id", "lang", "text"), model, verify=True).select(
+    return sample_pieces(joined(docs).select("doc_id", "lang", "text"), model, verify=True).select(
         "doc_id", "lang", F.size("pieces").cast("long").alias("n_pieces"), "pieces", "lossless")
 
 

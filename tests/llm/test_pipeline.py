@@ -192,3 +192,42 @@ def test_a_worker_keeps_one_tool(monkeypatch):
     assert other is not first and list(common._tools) == [("two", 1)]
     common.put_away()
     assert not common._tools
+
+
+def test_known_rows_in_a_file_per_so_many(spark):
+    """A step's files follow its rows, not the cores, whether or not the session joins small partitions."""
+    import glob
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    kept = {k: spark.conf.get(k) for k in (key, "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "48")
+        for joins in ("true", "false"):
+            spark.conf.set(key, joins)
+            for known, most in ((1000, 1), (3 * common.ROWS_A_FILE, 3)):
+                with common.passing(spark) as folders:
+                    got = common.durable(spark.range(1000).repartition(40), "narrow", known)
+                    assert sorted(r["id"] for r in got.collect()) == list(range(1000))
+                    assert len(glob.glob(f"{folders[0].removeprefix('file:')}/part-*")) <= most
+    finally:
+        for k, value in kept.items():
+            spark.conf.set(k, value)
+
+
+def test_stages_read_small_cuts_together(spark, stages):
+    """Map stages write a file a task; cuts of a few KB are read by as many tasks as there are cores."""
+    settings = {"spark.sql.files.maxPartitionBytes": "4k", "spark.sql.files.openCostInBytes": "4k"}
+    kept = {key: spark.conf.get(key) for key in settings}
+    cores = spark.sparkContext.defaultParallelism
+    wide = pipeline.durable(stages[0][0].repartition(24), "cuts")
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        assert wide.rdd.getNumPartitions() >= 24
+        for k in (0, 2, 3, 4):
+            out = pipeline.STAGES[k][1](spark, wide, DIR)
+            assert out.rdd.getNumPartitions() <= cores, pipeline.STAGES[k][0]
+        got = sorted(rows(pipeline.language_id(spark, wide, DIR), "doc_id", "text"), key=str)
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+    assert got == sorted(rows(stages[0][1], "doc_id", "text"), key=str)
